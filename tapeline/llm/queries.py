@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, neardup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_near_duplicates": neardup.op4_near_duplicates,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.ORACLE_OP1,
+    "op4_near_duplicates": neardup.ORACLE_OP4,
 }
