@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup
+from . import decontaminate, mixing, neardup, quality_rules, sharding
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_near_duplicates": neardup.op4_near_duplicates,
+    "op5_shard_by_bytes": sharding.op5_shard_by_bytes,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_mix_sources": mixing.op9_mix_sources,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.ORACLE_OP1,
     "op4_near_duplicates": neardup.ORACLE_OP4,
+    "op7_quality_rules": quality_rules.ORACLE_OP7,
+    "op9_mix_sources": mixing.ORACLE_OP9,
 }
