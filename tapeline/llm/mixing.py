@@ -52,9 +52,9 @@ def mixing_plan(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most:
     return saved(out.select(F.col("source").alias("_source"), "source_size", "target", "times", F.coalesce("high", F.lit(16**coarse)).alias("high"), F.coalesce("low", F.lit(16**fine)).alias("low")), "plan")
 
 
-def _taken(docs: DataFrame, coarse: int = 3, fine: int = 5, **options) -> DataFrame:
-    """docs (with _source, _size, _hash) and its source's plan and n_taken, the times the mix takes the row."""
-    plan = mixing_plan(docs.select(F.col("_src").alias("source"), F.col("_size").alias("size"), F.col("_hash").alias("hash")), coarse=coarse, fine=fine, **options)
+def _taken(docs: DataFrame, slim: DataFrame, coarse: int = 3, fine: int = 5, **options) -> DataFrame:
+    """docs (with _src, _hash), its source's plan, and n_taken, the times the mix takes the row. slim: _src, _size, _hash of all rows."""
+    plan = mixing_plan(slim.select(F.col("_src").alias("source"), F.col("_size").alias("size"), F.col("_hash").alias("hash")), coarse=coarse, fine=fine, **options)
     df = docs.join(plan, F.col("_src").eqNullSafe(F.col("_source")))
     b, c = F.conv(F.substring("_hash", 1, coarse), 16, 10).cast("long"), F.conv(F.substring("_hash", coarse + 1, fine), 16, 10).cast("long")
     return df.withColumn("n_taken", F.col("times") + ((b < F.col("high")) | ((b == F.col("high")) & (c < F.col("low")))).cast("long"))
@@ -63,13 +63,15 @@ def _taken(docs: DataFrame, coarse: int = 3, fine: int = 5, **options) -> DataFr
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted)."""
     slim = saved(docs.select("doc_id", F.col("source").alias("_src"), n_words(F.col("text")).alias("_size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_hash")), "sizes")
-    return _taken(slim, **options).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("n_taken") * F.col("_size")).alias("taken"))
+    return _taken(slim, slim, **options).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("n_taken") * F.col("_size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs, each row as often as it is taken."""
-    df = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_src"), n_words(F.col("text")).alias("_size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_hash"))
-    taken = _taken(df, **options).where("n_taken > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_taken"))))
+    mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    slim = saved(docs.select(F.col("source").alias("_src"), n_words(F.col("text")).alias("_size"), mark.alias("_hash")), "sizes")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_src"), mark.alias("_hash"))
+    taken = _taken(rows, slim, **options).where("n_taken > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_taken"))))
     return taken.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
