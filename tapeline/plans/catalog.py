@@ -2,16 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from . import series_queries, trade_queries  # noqa: F401  (each adds its queries)
 
-from . import views
-
-FLAGSHIP = "s16_coverage"
-
-
-def s16_coverage(spark, sf_dir: str) -> DataFrame:
-    return views.bars(spark, sf_dir).groupBy("symbol", "timeframe").agg({"bar_ts": "count"}).withColumnRenamed("count(bar_ts)", "n_bars")
-
-
-QUERIES = {"s16_coverage": s16_coverage}
-ORACLE_SQL = {"s16_coverage": views.WITH + " SELECT symbol, timeframe, count(*) AS n_bars FROM bars GROUP BY ALL"}
+FLAGSHIP = "a1_strategy_performance"
+QUERIES = dict(trade_queries.QUERIES)
+ORACLE_SQL = {k: (v.replace("WITH bars", "WITH RECURSIVE bars", 1).replace("RECURSIVE_MARK ", "")) if "RECURSIVE_MARK" in v else v for k, v in trade_queries.ORACLE_SQL.items()}
