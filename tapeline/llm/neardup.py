@@ -1,16 +1,18 @@
 """Near-duplicate documents by MinHash with tensored banding, confirmed on the full shingle sets.
 
 A document's set is its distinct `shingle`-word shingles (A-Z lower-cased, split at ASCII white space).  Equal sets are folded into
-one node first, so that copies cost nothing further.  Each set gets one sketch of 2 * `tables` * `rows` minima (each element goes to a
-random place per round until all places are taken, so a sketch costs about one pass over the set).  Half of the minima form
-the `tables` short keys of collection A, half those of collection B; a table key is a pair (A_i, B_j), so `tables` ** 2 tables come
-from the hashing of 2 * `tables`.  At similarity 0.8 with 4 rows and 24 tables a pair shares no table with a chance of 7e-6.
-
-Only keys that two sets share are paired up.  In each table every member is compared with one leader (the member with most keys), so
-a group of copies costs its size, not its square.  What the leaders leave open - members of one table that are still in
-different components - is compared inside bounded blocks by the sketches, which leave out pairs over three standard errors below
-the threshold; of the others, the most alike of each two components are confirmed first, then the rest that is still open, until none is left.
-All links are confirmed on whole sets.  Components come from repeated contraction of the links; nothing of them goes to the driver.
+one node first, so that copies cost nothing further.  Each set gets one sketch of 2 * `groups` * `keys` * `rows` minima (each element goes to a
+random place per round until all places are taken, so a sketch costs about one pass over the set).  They form `groups` pairs of
+collections of `keys` short keys of `rows` minima; a table key is a pair (A_i, B_j) from the two collections of a group, so
+groups * keys ** 2 tables come from the hashing of 2 * groups * keys short keys.  With 4 rows, 6 keys and 4 groups a pair of similarity 0.8
+shares no table with a chance of 5e-5.
+
+Only short keys that two sets share are paired up.  In each table every member is compared, by sketch, with one leader (the member with most keys),
+so a group of copies costs its size, not its square.  Tables whose members are then still in several parts are compared inside bounded blocks, of
+which only a spanning forest of alike sketches leaves the task.  The components of all this are clusters; inside a cluster, again in
+bounded blocks, links are confirmed on the whole sets, the most alike first, and only a spanning forest of confirmed links leaves the
+task.  Sketches leave out only pairs over 3.4 standard errors below the threshold.  Components come from repeated contraction of the
+links; nothing of them goes to the driver.
 
 Defined results: a text that is null, empty or only white space has an empty set and links with nothing; fewer words than a shingle
 make one shingle; rows of one doc_id are one document; rows with a null doc_id are kept and link with nothing (component_id null);
@@ -118,79 +120,131 @@ def _alike(batches: Iterator[pa.RecordBatch], places: int, least: float) -> Iter
         yield batch.select([0, 1]).filter(pa.array((a == b).mean(axis=1) >= least))
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch], places: int, least: float, most: int) -> Iterator[pa.RecordBatch]:
-    """From each block (two sides of ids, labels and sketches) the pairs with different labels that look alike, at most `most` for two labels (0: all)."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the first `keys` columns, from sorted batches; holds one run and one batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        xs, ys = [], []
-        for one, sides in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids, labels = (np.array([m[c] for m in sides], np.int64) for c in ("set_id", "label"))
-            side = np.array([m["side"] for m in sides])
-            rows = np.frombuffer(b"".join(m["sketch"] for m in sides), np.uint16).reshape(-1, places)
-            found = []
-            for i in range(len(ids)):
-                js = np.arange(i + 1, len(ids))
-                js = js[(labels[js] != labels[i]) & (one | (side[js] != side[i]))]
-                s = (rows[js] == rows[i]).mean(axis=1)
-                ok = s >= least
-                found += [(-v, i, j) for v, j in zip(s[ok].tolist(), js[ok].tolist(), strict=True)]
-            taken: dict[tuple, int] = {}
-            for _, i, j in sorted(found):
-                key = (labels[i], labels[j]) if labels[i] < labels[j] else (labels[j], labels[i])
-                taken[key] = taken.get(key, 0) + 1
-                if not most or taken[key] <= most:
-                    xs.append(min(ids[i], ids[j]))
-                    ys.append(max(ids[i], ids[j]))
+        if not batch.num_rows:
+            continue
+        marks = list(zip(*(batch.column(c).to_pylist() for c in range(keys)), strict=True))
+        begin = 0
+        for k, mark in enumerate(marks):
+            if mark != last:
+                if k > begin:
+                    held.append(batch.slice(begin, k - begin))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, begin, last = [], k, mark
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Sets:
+    """Union-find over a few hundred numbers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[j] = i
+        return i != j
+
+
+def _tied(batches: Iterator[pa.RecordBatch], places: int, least: float, percent: int | None, shingle: int) -> Iterator[pa.RecordBatch]:
+    """Of each group (k, p, q, set_id, label, side, sketch[, text]) a spanning forest of its links, the most alike first.
+
+    A link: sketches alike and labels different; with percent also: confirmed on the whole sets."""
+    for group in _groups(batches, 3):
+        n = group.num_rows
+        if n < 2:
+            continue
+        one, ids, labels, side = group.column("p")[0] == group.column("q")[0], group.column("set_id").to_pylist(), group.column("label").to_numpy(), group.column("side").to_numpy()
+        rows = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(n, places)
+        found = []
+        for i in range(n - 1):
+            js = np.arange(i + 1, n)
+            js = js[(labels[js] != labels[i]) & (one | (side[js] != side[i]))]
+            s = (rows[js] == rows[i]).sum(axis=1)
+            ok = s >= least * places
+            found.append(np.column_stack([places - s[ok], np.full(int(ok.sum()), i), js[ok]]))
+        pairs = np.concatenate(found)
+        if not len(pairs):
+            continue
+        forest, sets, xs, ys = _Sets(n), {}, [], []
+        texts = group.column("text") if percent else None
+
+        def full(i: int, texts=texts, sets=sets) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(texts[i].as_py(), shingle)
+            return sets[i]
+
+        for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+            if forest.root(i) == forest.root(j):
+                continue
+            if percent:
+                a, b = full(i), full(j)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both < percent * (len(a) + len(b) - both):
+                    continue
+            forest.join(i, j)
+            xs.append(ids[i])
+            ys.append(ids[j])
         yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 80, rows: int = 4, tables: int = 24, block: int = 512, margin: float = 3.4) -> DataFrame:
+def _dealt(members: DataFrame, block: int, columns: list[str]) -> DataFrame:
+    """members (k, n, set_id, label, ...) dealt to groups of at most about two blocks: every two members of a k meet in exactly one group (k, p, q)."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    at = members.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("blocks")).cast("int"))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    at = at.select("k", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), *columns)
+    return at.repartition("k", "p", "q").sortWithinPartitions("k", "p", "q")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 80, rows: int = 4, keys: int = 6, groups: int = 4, block: int = 256, margin: float = 3.4) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of 100 * intersection >= percent * union), kept."""
-    places = 2 * tables * rows
+    half = keys * groups  # short keys of A; as many of B
+    places = 2 * half * rows
     least = percent / 100 - margin * (percent / 100 * (1 - percent / 100) / places) ** 0.5
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = saved(docs.mapInArrow(lambda b: _sketched(b, shingle, places), "doc_id long, n_shingles long, fp binary, sketch binary"), "sketches")
     nodes = saved(sets.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("set_id"), F.first("sketch").alias("sketch")), "nodes")
+    sketch = nodes.select("set_id", "sketch")
 
-    # the short keys that another set has too, then the table keys made of them
-    short = nodes.select("set_id", F.expr(f"posexplode(transform(sequence(0, {2 * tables - 1}), i -> xxhash64(substring(sketch, i * {2 * rows} + 1, {2 * rows}), i))) AS (i, k)"))
+    # the short keys that another set has too, then the table keys made of them: A_i with B_j of the same group of collections
+    short = nodes.select("set_id", F.expr(f"posexplode(transform(sequence(0, {2 * half - 1}), i -> xxhash64(substring(sketch, i * {2 * rows} + 1, {2 * rows}), i))) AS (i, k)"))
     twice = short.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    own = short.join(twice, "k").groupBy("set_id").agg(F.collect_list(F.when(F.col("i") < tables, F.col("k"))).alias("a"), F.collect_list(F.when(F.col("i") >= tables, F.col("k"))).alias("b"))
-    keys = saved(own.where("size(a) > 0 AND size(b) > 0").select("set_id", (F.size("a") * F.size("b")).alias("weight"), F.explode("a").alias("ka"), "b").select("set_id", "weight", "ka", F.explode("b").alias("kb")).select(F.xxhash64("ka", "kb").alias("k"), "set_id", "weight"), "keys")
-    heads = saved(keys.groupBy("k").agg(F.count("*").alias("n"), F.max(F.struct("weight", "set_id")).alias("m"), F.bit_xor(F.xxhash64("set_id")).alias("mark")).where("n > 1").select("k", "n", F.col("m.set_id").alias("leader"), "mark"), "heads")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs, "pairs")
-        ids = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
+    own = short.join(twice, "k").groupBy("set_id").agg(F.collect_list(F.struct(F.pmod("i", F.lit(groups)).alias("g"), (F.col("i") < half).alias("a"), "k")).alias("ks"))
+    tabled = own.select("set_id", F.expr("flatten(transform(filter(ks, x -> x.a), x -> transform(filter(ks, y -> NOT y.a AND y.g = x.g), y -> xxhash64(x.k, y.k)))) AS ts"))
+    member = saved(tabled.select("set_id", F.size("ts").alias("weight"), F.explode("ts").alias("k")), "tables")
+    heads = saved(member.groupBy("k").agg(F.count("*").alias("n"), F.max(F.struct("weight", "set_id")).alias("m"), F.bit_xor(F.xxhash64("set_id")).alias("mark")).where("n > 1").select("k", "n", F.col("m.set_id").alias("leader"), "mark"), "heads")
 
-        def hashes(batches):
-            for batch in batches:
-                found = [shingle_set(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "s"])
-
-        full = saved(docs.join(ids, "doc_id", "left_semi").mapInArrow(hashes, "id long, s array<long>"), "sets")
-        both = pairs.join(full.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(full.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
-        n = F.size(F.array_intersect("sx", "sy"))
-        return saved(both.select("x", "y", n.alias("n"), (F.size("sx") + F.size("sy")).alias("m")).where(f"100L * n >= {percent}L * (m - n)").select("x", "y"), "confirmed")
-
-    sketch = nodes.select("set_id", "sketch")
-    star = keys.join(heads.select("k", "leader"), "k").where("set_id != leader").select(F.least("set_id", "leader").alias("x"), F.greatest("set_id", "leader").alias("y")).distinct()
+    # clusters: what the sketches call alike, by leaders first and then within the tables that leaders leave in parts
+    star = member.join(heads.select("k", "leader"), "k").where("set_id != leader").select(F.least("set_id", "leader").alias("x"), F.greatest("set_id", "leader").alias("y")).distinct()
     star = star.join(sketch.toDF("x", "sx"), "x").join(sketch.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
-    links = confirmed(star.mapInArrow(lambda b: _alike(b, places, least), "x long, y long"))
-    # a table of two is settled by its leader; tables with the same members are one
-    wide = heads.where("n > 2").groupBy("n", "leader", "mark").agg(F.min("k").alias("k"))
-    open_keys = saved(keys.join(wide.select("k", "n", "leader"), "k").where("set_id != leader").select("k", "n", "set_id"), "open")
-    for most in (2, 16, 0):
-        labels = components(links)
-        now = open_keys.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-        split = now.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("k")
-        member = now.join(split, "k").join(sketch, "set_id").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("at", F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("blocks")).cast("int"))
-        dealt = member.select("k", "set_id", "label", "sketch", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("k", F.least("at", "other").alias("p"), F.greatest("at", "other").alias("q"), F.struct("set_id", "label", "sketch", F.col("at").alias("side")).alias("m"))
-        groups = dealt.groupBy("k", "p", "q").agg(F.collect_list("m").alias("ms")).where("size(ms) > 1").select((F.col("p") == F.col("q")).alias("one"), "ms")
-        pairs = saved(groups.mapInArrow(lambda b, most=most: _open_pairs(b, places, least, most), "x long, y long").distinct(), "open-pairs")
-        if pairs.isEmpty():
-            break
-        links = links.union(confirmed(pairs))
+    near = saved(star.mapInArrow(lambda b: _alike(b, places, least), "x long, y long"), "alike")
+    part = components(near).withColumnRenamed("node", "set_id")
+    wide = heads.where("n > 2").groupBy("n", "leader", "mark").agg(F.min("k").alias("k"))  # tables with the same members are one; a table of two is settled
+    left = saved(member.join(wide.select("k", "n", "leader"), "k").where("set_id != leader").join(part, "set_id", "left").select("k", "n", "set_id", F.coalesce("label", "set_id").alias("label")), "left")
+    split = left.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("k")
+    parts = _dealt(left.join(split, "k").join(sketch, "set_id"), block, ["set_id", "label", "side", "sketch"])
+    more = saved(parts.mapInArrow(lambda b: _tied(b, places, least, None, shingle), "x long, y long"), "alike-within")
+    cluster = saved(components(near.union(more)), "clusters")
+
+    # inside each cluster the links, confirmed on whole sets
+    size = cluster.groupBy("label").agg(F.count("*").alias("n"))
+    inside = cluster.join(size, "label").select(F.col("label").alias("k"), "n", F.col("node").alias("set_id"), F.col("node").alias("label")).join(sketch, "set_id")
+    inside = docs.join(inside, docs["doc_id"] == inside["set_id"]).drop("doc_id")
+    tied = _dealt(inside, block, ["set_id", "label", "side", "sketch", "text"])
+    links = saved(tied.mapInArrow(lambda b: _tied(b, places, least, percent, shingle), "x long, y long"), "confirmed")
     labels = components(links)
     out = sets.join(nodes.select("fp", "set_id"), "fp", "left").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "set_id", "doc_id"))
