@@ -63,7 +63,9 @@ def judge_quality(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: i
 
 def drop_low_quality(docs: DataFrame, **limits) -> DataFrame:
     """The accepted documents with their columns; text (and n_chars, if there) is the cleaned one."""
-    judged = judge_quality(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text")), **limits).where("kept")
+    judged = judge_quality(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text")), **limits)
+    # a filter that moved below the projections would evaluate the arrays anew inside their own lambdas; this true term holds it above them
+    judged = judged.withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0)).where("kept")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return judged.select(*[(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
