@@ -96,7 +96,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], k: int, places: int) -> Iterato
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each node's component, for the nodes of edges (x, y). Every round each node takes the smallest label around it and the links are contracted to links of labels."""
+    """(node, label): the smallest node of each node's component, for the nodes of edges (x, y). Every round each node points to the smallest node around it, pointers are followed to their roots, and the links are contracted to links of roots; both loops take logarithmically many steps."""
     edges = edges.where("x != y").select("x", "y")
     labels = None
     while True:
@@ -174,7 +174,7 @@ def _tied(batches: Iterator[pa.RecordBatch], places: int, least: float, percent:
             js = js[(labels[js] != labels[i]) & (one | (side[js] != side[i]))]
             s = (rows[js] == rows[i]).sum(axis=1)
             ok = s >= least * places
-            found.append(np.column_stack([places - s[ok], np.full(int(ok.sum()), i), js[ok]]))
+            found.append(np.column_stack([places - s[ok], np.full(int(ok.sum()), i), js[ok]]).astype(np.int32))
         pairs = np.concatenate(found)
         if not len(pairs):
             continue
@@ -186,7 +186,10 @@ def _tied(batches: Iterator[pa.RecordBatch], places: int, least: float, percent:
                 sets[i] = shingle_set(texts[i].as_py(), shingle)
             return sets[i]
 
-        for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+        order = np.argsort(pairs[:, 0], kind="stable")
+        for i, j in (p for at in range(0, len(order), 10_000) for p in pairs[order[at : at + 10_000], 1:].tolist()):
+            if len(xs) == n - 1:
+                break
             if forest.root(i) == forest.root(j):
                 continue
             if percent:
@@ -209,7 +212,7 @@ def _dealt(members: DataFrame, block: int, columns: list[str]) -> DataFrame:
     return at.repartition("k", "p", "q").sortWithinPartitions("k", "p", "q")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 80, rows: int = 4, keys: int = 6, groups: int = 4, block: int = 256, margin: float = 3.4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 80, rows: int = 4, keys: int = 6, groups: int = 4, block: int = 1024, margin: float = 3.4) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of 100 * intersection >= percent * union), kept."""
     half = keys * groups  # short keys of A; as many of B
     places = 2 * half * rows
