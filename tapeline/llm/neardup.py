@@ -104,6 +104,11 @@ def components(edges: DataFrame) -> DataFrame:
         step = saved(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("to")), "step")
         if step.isEmpty():
             return labels if labels is not None else step.select(F.col("x").alias("node"), F.col("to").alias("label"))
+        while True:  # follow the pointers to their roots: each join doubles the reach
+            far = saved(step.join(step.select(F.col("x").alias("to"), F.col("to").alias("next")), "to").select("x", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved")), "step")
+            step = far.select("x", "to")
+            if far.where("moved").isEmpty():
+                break
         to = step.select(F.col("x").alias("label"), "to")
         if labels is None:
             labels = step.select(F.col("x").alias("node"), F.col("to").alias("label"))
