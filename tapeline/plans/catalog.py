@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import series_queries, trade_queries  # noqa: F401  (each adds its queries)
+from . import portfolio_queries, series_queries, trade_queries  # noqa: F401  (each adds its queries)
 
 FLAGSHIP = "a1_strategy_performance"
 QUERIES = dict(trade_queries.QUERIES)
