@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -94,36 +95,47 @@ def probes(n: int, k: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def parity(line: str) -> int:
-    bits = 0
-    for a, b in zip(line, line[1:], strict=False):
-        bits ^= 1 << ((ord(a) * 0x9E3779B1 ^ ord(b) * 0x85EBCA77) * 0xC2B2AE3D >> 20 & 63)
-    return bits - (bits >> 63 << 64)
+def parities(lines: list[str]) -> np.ndarray:
+    """Of each line 64 parity bits of its bigrams."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(size)
+    bits = np.zeros(len(codes) + 1, np.uint64)
+    if len(codes) > 1:
+        h = (codes[:-1] * np.uint64(0x9E3779B1) ^ codes[1:] * np.uint64(0x85EBCA77)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        bits[: len(codes) - 1] = np.uint64(1) << (h >> np.uint64(58))
+        bits[ends[size > 0] - 1] = 0  # a pair across two lines
+    out = np.zeros(len(lines), np.uint64)
+    some = np.flatnonzero(size)
+    if len(some):
+        out[some] = np.bitwise_xor.reduceat(bits[: len(codes)], (ends - size)[some])
+    return out.view(np.int64)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2000):
+            batch = whole.slice(at, 2000)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parities(batch.column(0).to_pylist()))], ["line", "doc", "pos", "n", "sig"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Index and probe rows (key, side, doc, pos, sig) of distinct lines."""
-    plan: dict[int, tuple] = {}
+def _cut(batches: Iterator[pa.RecordBatch], k: int, probing: bool) -> Iterator[pa.RecordBatch]:
+    """Index or probe rows (key, doc, pos, sig) of distinct lines."""
+    plan: dict[int, list] = {}
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             batch = whole.slice(at, 2000)
-            keys, sides, docs, places, sigs = [], [], [], [], []
-            for line, doc, pos in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys, times = [], np.zeros(batch.num_rows, np.int64)
+            for row, line in enumerate(batch.column(0).to_pylist()):
                 n = len(line)
-                if n < max(least, k + 1):
-                    continue
                 if n not in plan:
                     if len(plan) > 5000:
                         plan.clear()
-                    plan[n] = ([(n, i, p, s) for i, (p, s) in enumerate(segments(n, k))], probes(n, k))
-                sig = parity(line)
-                for side, rows in enumerate(plan[n]):
-                    keys += [xxhash.xxh3_64_intdigest(line[p : p + s].encode("utf-8", "surrogatepass"), m * (k + 1) + i) - (1 << 63) for m, i, p, s in rows]
-                    sides += [side] * len(rows)
-                    docs += [doc] * len(rows)
-                    places += [pos] * len(rows)
-                    sigs += [sig] * len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sides, pa.int8()), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(sigs, pa.int64())], ["key", "side", "doc", "pos", "sig"])
+                    plan[n] = probes(n, k) if probing else [(n, i, p, s) for i, (p, s) in enumerate(segments(n, k))]
+                keys += [xxhash.xxh3_64_intdigest(line[p : p + s].encode("utf-8", "surrogatepass"), m * (k + 1) + i) for m, i, p, s in plan[n]]
+                times[row] = len(plan[n])
+            again = pa.array(np.repeat(np.arange(batch.num_rows), times))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), *(batch.column(c).take(again) for c in (1, 2, 3))], ["key", "doc", "pos", "sig"])
 
 
 def _near(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -132,38 +144,41 @@ def _near(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def line_classes(docs: DataFrame, *, distance: int = 2, min_chars: int = 20) -> DataFrame:
-    """A row per distinct line: line, n (occurrences), first and class (both struct(doc, pos): first occurrence of the line, of its class)."""
+    """A row per distinct line: line, n (occurrences), first and class (both struct(doc, pos): first occurrence of the line, of its class), n_links (to other lines)."""
     trimmed = F.trim(F.col("line"), F.lit(TRIM))
     lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc", "pos", trimmed.alias("line")).where("line <> ''")
     distinct = lines.groupBy("line").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n"))
-    spark = docs.sparkSession
+    distinct = distinct.select("line", "first.doc", "first.pos", "n").mapInArrow(_signed, "line string, doc long, pos int, n long, sig long")
     distinct = saved(distinct, "lines")
-    cut = distinct.select("line", "first.doc", "first.pos").mapInArrow(lambda b: _cut(b, distance, min_chars), "key long, side byte, doc long, pos int, sig long")
-    index = cut.where("side = 0").select("key", F.col("doc").alias("xd"), F.col("pos").alias("xp"), F.col("sig").alias("xs"))
-    probe = cut.where("side = 1").select("key", F.col("doc").alias("yd"), F.col("pos").alias("yp"), F.col("sig").alias("ys"))
+    long = distinct.where(F.length("line") >= max(min_chars, distance + 1)).select("line", "doc", "pos", "sig")
+    kind = "key long, doc long, pos int, sig long"
+    index = long.mapInArrow(lambda b: _cut(b, distance, False), kind).toDF("key", "xd", "xp", "xs")
+    probe = long.mapInArrow(lambda b: _cut(b, distance, True), kind).toDF("key", "yd", "yp", "ys")
     met = (F.bit_count(F.col("xs").bitwiseXOR(F.col("ys"))) <= 4 * distance) & ((F.col("xd") != F.col("yd")) | (F.col("xp") != F.col("yp")))
     pairs = index.join(probe, (index["key"] == probe["key"]) & met).select(F.struct(F.col("xd").alias("doc"), F.col("xp").alias("pos")).alias("x"), F.struct(F.col("yd").alias("doc"), F.col("yp").alias("pos")).alias("y"))
     pairs = saved(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs")
+    distinct = distinct.select("line", "n", F.struct("doc", "pos").alias("first"))
     text = distinct.select("first", "line")
     both = pairs.join(text.toDF("x", "a"), "x").join(text.toDF("y", "b"), "y").select("x", "y", "a", "b")
     node = "struct<doc: bigint, pos: int>"
     links = saved(both.mapInArrow(lambda b: _near(b, distance), f"x {node}, y {node}"), "line-links")
     labels = components(links)
-    return distinct.join(labels.withColumnRenamed("node", "first"), "first", "left").select("line", "n", "first", F.coalesce("label", "first").alias("class"))
+    degree = links.select(F.col("x").alias("first")).union(links.select("y")).groupBy("first").agg(F.count("*").alias("n_links"))
+    return distinct.join(labels.withColumnRenamed("node", "first"), "first", "left").join(degree, "first", "left").select("line", "n", "first", F.coalesce("label", "first").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """A row per document: doc_id, n_lines (not blank), n_removed, class_id (smallest doc_id that its lines' classes begin in), removed (line numbers taken out)."""
-    classes = line_classes(docs, **options).where("n > 1 OR first <> class").select("line", "class")
+    """A row per document: doc_id, n_lines (not blank), n_removed, class_id (smallest doc_id that its lines' classes begin in), n_links (of its lines to other lines), removed (line numbers taken out)."""
+    classes = line_classes(docs, **options).where("n > 1 OR n_links > 0").select("line", "class", "n_links")
     trimmed = F.trim(F.col("line"), F.lit(TRIM))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # only lines of classes with several occurrences travel; their hash stands for the text until both sides meet
     occ = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", F.md5(trimmed.cast("binary")).alias("h"))
-    hit = occ.join(classes.select(F.md5(F.col("line").cast("binary")).alias("h"), "class"), "h")
-    per = hit.groupBy("doc_id").agg(F.min("class.doc").alias("class_id"), F.sort_array(F.collect_set(F.when((F.col("class.doc") != F.col("doc_id")) | (F.col("class.pos") != F.col("pos")), F.col("pos")))).alias("removed"))
+    hit = occ.join(classes.select(F.md5(F.col("line").cast("binary")).alias("h"), "class", "n_links"), "h")
+    per = hit.groupBy("doc_id").agg(F.min("class.doc").alias("class_id"), F.sum("n_links").alias("n_links"), F.sort_array(F.collect_set(F.when((F.col("class.doc") != F.col("doc_id")) | (F.col("class.pos") != F.col("pos")), F.col("pos")))).alias("removed"))
     n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x, F.lit(TRIM)) != ""))
     out = docs.select("doc_id", n_lines.cast("long").alias("n_lines")).join(per, "doc_id", "left")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("removed", F.expr("CAST(array() AS array<int>)")).alias("removed"))
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("removed", F.expr("CAST(array() AS array<int>)")).alias("removed"))
 
 
 def without_lines(docs: DataFrame, **options) -> DataFrame:
@@ -176,4 +191,4 @@ def without_lines(docs: DataFrame, **options) -> DataFrame:
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", "class_id", F.sha2(F.array_join(F.col("removed").cast("array<string>"), ",").cast("binary"), 256).alias("removed_sha256"))
+    return found.select("doc_id", "n_lines", "n_removed", "class_id", "n_links", F.sha2(F.array_join(F.col("removed").cast("array<string>"), ",").cast("binary"), 256).alias("removed_sha256"))
