@@ -380,7 +380,7 @@ def test_quality_rules(docs, none):
 
 
 def test_line_rules(spark):
-    prose = "This is a sentence of a fair length that says something. " * 8
+    prose = " ".join(f"Sentence number {i} has word{i}, thing{i} and more{i}." for i in range(12))  # no three words come twice
     rows = [(1, prose + "\nHome | About | Contact | Login\nRead more"), (2, "\n".join(["a b c d e f g h i j k"] * 3 + [f"nav {i} | x | y | z" for i in range(30)]) + "\nok then."), (3, "###" * 5 + " hi there")]
     got = {r.doc_id: r for r in quality_rules.judge_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].kept and got[1].clean_text == prose and not got[2].kept and not got[3].kept
