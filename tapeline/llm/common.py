@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +42,10 @@ def lowered(text):
 
 def words(text):
     """The words of a text column as an array; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda x: x != "")
+    inner = F.trim(F.coalesce(text, F.lit("")), F.lit(BLANKS))  # nothing to split off at the ends, so no empty parts
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
 
 
 def n_words(text):
-    """Count of words: one split, without the empty ends."""
-    parts = F.split(F.coalesce(text, F.lit("")), SPACE)
-    return F.size(F.filter(parts, lambda x: x != "")).cast("long")
+    """Count of words."""
+    return F.size(words(text)).cast("long")

@@ -25,40 +25,38 @@ SEPARATOR = r"[|»›•>]"
 STOCK = r"(?i)(cookie policy|privacy policy|terms of use|terms of service|all rights reserved|click here|read more|sign up|log in|subscribe to|enable javascript|powered by|lorem ipsum|back to top|share this)"
 
 
-def _line_fails(line):
-    n = F.size(F.filter(F.split(line, SPACE), lambda x: x != ""))
+def _line_fails(line, n):
+    """Whether a line of n words fails; the dearer patterns are only tried where a cheap one has met."""
     stray, bars = F.regexp_count(line, F.lit(STRAY)), F.regexp_count(line, F.lit(SEPARATOR))
     return (
-        ((n >= 5) & ~line.rlike(SENTENCE))
-        | ((n >= 3) & (2 * stray >= n))
-        | ((bars >= 2) & (3 * bars >= n))
-        | ((n <= 20) & line.rlike(STOCK))
+        F.when((n >= 5) & ~line.rlike(SENTENCE), True)
+        .when(line.rlike(f"{STRAY}|{SEPARATOR}") & (((n >= 3) & (2 * stray >= n)) | ((bars >= 2) & (3 * bars >= n))), True)
+        .otherwise((n <= 20) & line.rlike(STOCK))
     )
 
 
-def _word_chars(text):
-    return F.length(F.regexp_replace(text, SPACE, "")).cast("long")
-
-
 def judge_quality(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, max_lost_percent: int = 50) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, base_failed, kept and clean_text."""
     text = F.coalesce("text", F.lit(""))
     df = docs.withColumn("_w", words(F.col("text"))).withColumn("_l", F.split(text, "\n"))
-    df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn("_g", F.expr("CASE WHEN size(_w) >= 3 THEN sort_array(transform(sequence(0, size(_w) - 3), i -> struct(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)) AS h, i AS p))) ELSE array() END"))
+    df = df.withColumn("n_words", F.size("_w").cast("long")).withColumn("_h", F.expr("CASE WHEN size(_w) >= 3 THEN transform(sequence(0, size(_w) - 3), i -> xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2))) ELSE array() END"))
+    # only texts in which a window comes again need the sorting
+    df = df.withColumn("_g", F.expr("CASE WHEN size(array_distinct(_h)) = size(_h) THEN array() ELSE sort_array(transform(_h, (h, i) -> struct(h AS h, i AS p))) END"))
     df = df.withColumn("_p", F.expr("sort_array(transform(filter(_g, (x, i) -> coalesce(x.h = get(_g, i - 1).h, false) OR coalesce(x.h = get(_g, i + 1).h, false)), x -> x.p))"))
     df = df.withColumn("n_repeat_words", F.expr("aggregate(transform(_p, (x, i) -> least(3, coalesce(get(_p, i + 1) - x, 3))), 0L, (a, x) -> a + x)"))
-    some = F.filter("_l", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    # each line once with its number of words: rules, copies and losses all start from it
+    df = df.withColumn("_l", F.transform("_l", lambda x: F.struct(x.alias("x"), F.size(words(x)).alias("n"))))
     df = (
-        df.withColumn("_s", some)
-        .withColumn("word_chars", _word_chars(text))
+        df.withColumn("_s", F.transform(F.filter("_l", lambda x: x["n"] > 0), lambda x: x["x"]))
+        .withColumn("clean_text", F.array_join(F.transform(F.filter("_l", lambda x: ~_line_fails(x["x"], x["n"])), lambda x: x["x"]), "\n"))
+        .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
         .withColumn("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
         .withColumn("n_dup_lines", (F.size("_s") - F.size(F.array_distinct("_s"))).cast("long"))
-        .withColumn("lost_chars", F.aggregate(F.filter("_s", _line_fails), F.lit(0).cast("long"), lambda a, x: a + _word_chars(x)))
+        .withColumn("lost_chars", F.col("word_chars") - F.length(F.array_join(words(F.col("clean_text")), "")))
         .withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost_percent * F.col("word_chars")))
-        .withColumn("clean_text", F.array_join(F.filter("_l", lambda x: ~_line_fails(x)), "\n"))
     )
-    return df.drop("_w", "_l", "_g", "_p", "_s")
+    return df.drop("_w", "_l", "_h", "_g", "_p", "_s")
 
 
 def drop_low_quality(docs: DataFrame, **limits) -> DataFrame:
