@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import series
@@ -26,13 +26,44 @@ def sweep_signals(bars: DataFrame, *, back: int = 20, tolerance: float = 0.002,
     return s.withColumn("risk", risk).where("risk > 0").withColumn("tp1", F.col("entry") + sign * reward[0] * risk).withColumn("tp2", F.col("entry") + sign * reward[1] * risk).select(*series.KEYS, "bar_ts", "direction", "entry", "sl", "tp1", "tp2", "risk")
 
 
-def walk(bars: DataFrame, signals: DataFrame, *, costs: Costs = Costs(), most: int = 20, tie_rule: str = "sl_first") -> DataFrame:
+#: The longest trade of the reference in 4h bars, its signal's bar counted, and the bars of other timeframes in one of 4h.
+LONGEST, SCALE = 168, {"5m": 48, "15m": 16, "30m": 8, "1h": 4, "2h": 2, "4h": 1}
+
+
+def longest(timeframe: str | None = None) -> Column | int:
+    """Bars that a trade is followed after its signal's bar: of one timeframe, or a column by the rows' own."""
+    if timeframe is not None:
+        return LONGEST * SCALE.get(timeframe, 1) - 1
+    scale = F.create_map(*[F.lit(x) for kv in SCALE.items() for x in kv])
+    return LONGEST * F.coalesce(scale[F.col("timeframe")], F.lit(1)) - 1
+
+
+def _numbered(bars: DataFrame) -> DataFrame:
+    return bars.withColumn("no", F.row_number().over(series.ordered()) - 1)
+
+
+def _with_paths(numbered: DataFrame, signals: DataFrame, most: Column) -> DataFrame:
+    """signals (with `no`) and their next `most` bars as `_path`: a series is cut into blocks of `most` bars, and a signal's path lies in its own block and the next."""
+    block = F.floor(F.col("no") / most).alias("_block")
+    blocks = numbered.groupBy(*series.KEYS, block).agg(F.sort_array(F.collect_list(F.struct("no", "bar_ts", "high", "low", "close"))).alias("_own"))
+    blocks = blocks.withColumn("_next", F.lead("_own").over(Window.partitionBy(*series.KEYS).orderBy("_block")))
+    df = signals.withColumn("_block", block).join(blocks, [*series.KEYS, "_block"])
+    path = F.slice(F.when(F.col("_next").isNull(), F.col("_own")).otherwise(F.concat("_own", "_next")), (F.col("no") % most + 2).cast("int"), most.cast("int"))
+    return df.withColumn("_path", path).drop("_block", "_own", "_next")
+
+
+def walk(bars: DataFrame, signals: DataFrame, *, costs: Costs = Costs(), most: int | None = None, tie_rule: str = "sl_first") -> DataFrame:
     """M1: from the bar after the signal on, stop first (or the first target first), first target moves the stop to entry, second target or time ends it.
 
-    Each signal row carries its next `most` bars as an array, so the fold needs no state beyond the row."""
-    ahead = series.ordered().rowsBetween(1, most)
-    paths = bars.withColumn("_path", F.collect_list(F.struct("bar_ts", "high", "low", "close")).over(ahead))
-    df = signals.join(paths.select(*series.KEYS, "bar_ts", "_path"), [*series.KEYS, "bar_ts"]).where("size(_path) > 0")
+    A trade is followed for `most` bars, by default the reference's limit for its timeframe. Each signal row carries its path as an array, so the fold
+    needs no state beyond the row."""
+    numbered = _numbered(bars)
+    df = signals.join(numbered.select(*series.KEYS, "bar_ts", "no"), [*series.KEYS, "bar_ts"])
+    return _walked(_with_paths(numbered, df, longest() if most is None else F.lit(most)), costs, tie_rule)
+
+
+def _walked(df: DataFrame, costs: Costs, tie_rule: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    df = df.where("size(_path) > 0")
     long = "direction = 'LONG'"
     step = f"""
         IF(s.done IS NOT NULL, s, named_struct(
@@ -60,7 +91,7 @@ def walk(bars: DataFrame, signals: DataFrame, *, costs: Costs = Costs(), most: i
     paid = F.col("entry") * (1 + sign * (costs.spread + costs.slippage))
     gross = sign * (price - paid) / F.col("risk")
     cost = (F.col("entry") * costs.commission + price * (costs.spread + costs.commission + costs.slippage)) / F.col("risk")
-    return df.select(*series.KEYS, F.col("bar_ts").alias("entry_time"), F.col("_s.at").alias("exit_time"), "direction", "entry", price.alias("exit"), outcome.alias("outcome"), (gross - cost).alias("r_multiple"), F.col("_s.n").alias("bars_held"), F.col("_s.mfe").alias("mfe"), F.col("_s.mae").alias("mae"))
+    return df.select(*series.KEYS, *keep, F.col("bar_ts").alias("entry_time"), F.col("_s.at").alias("exit_time"), "direction", "entry", price.alias("exit"), outcome.alias("outcome"), (gross - cost).alias("r_multiple"), F.col("_s.n").alias("bars_held"), F.col("_s.mfe").alias("mfe"), F.col("_s.mae").alias("mae"))
 
 
 def windows(bars: DataFrame, *, train: int, test: int, step: int, embargo: int = 0, anchored: bool = False) -> DataFrame:
@@ -72,19 +103,25 @@ def windows(bars: DataFrame, *, train: int, test: int, step: int, embargo: int =
     return df.select(*series.KEYS, "window", begin.alias("train_start"), (F.col("start") + train).alias("train_end"), (F.col("start") + train + embargo).alias("test_start"), (F.col("start") + train + embargo + test).alias("test_end"))
 
 
-def walk_forward(bars: DataFrame, grid: list[dict], *, train: int, test: int, step: int, embargo: int, least: int = 3) -> DataFrame:
-    """M4/M5: all parameter sets are simulated once over each whole series; each window picks the best mean R in its train range and reports it in its test range.
+def walk_forward(bars: DataFrame, grid: list[dict], *, train: int, test: int, step: int, embargo: int = longest("1h"), least: int = 3) -> DataFrame:
+    """M4/M5: each window picks the parameter set of best mean R in its train range and reports it in its test range.
+
+    Trades run to their own end or the limit of `walk`; those of a train range are followed to the bar before the test range at most, so none is scored by
+    bars of it. An embargo of the longest trade (the default, as in the reference) lets all of them end.
 
     grid: parameter sets of `sweep_signals` (a small driver-side list); the passes over the bars are one per set, unioned."""
-    numbered = bars.withColumn("no", F.row_number().over(series.ordered()) - 1).select(*series.KEYS, F.col("bar_ts").alias("entry_time"), "no")
-    runs = None
+    numbered = _numbered(bars)
+    signals = None
     for i, params in enumerate(grid):
-        one = walk(bars, sweep_signals(bars, **params)).select(*series.KEYS, "entry_time", "r_multiple").withColumn("combo", F.lit(i))
-        runs = one if runs is None else runs.union(one)
-    runs = runs.join(numbered, [*series.KEYS, "entry_time"])
+        one = sweep_signals(bars, **params).withColumn("combo", F.lit(i))
+        signals = one if signals is None else signals.union(one)
+    signals = signals.join(numbered.select(*series.KEYS, "bar_ts", "no"), [*series.KEYS, "bar_ts"])
     w = windows(bars, train=train, test=test, step=step, embargo=embargo)
-    inside = runs.join(w, list(series.KEYS)).where("no >= train_start AND no < test_end")
-    r, is_train, is_test = F.col("r_multiple"), F.col("no") < F.col("train_end"), F.col("no") >= F.col("test_start")
+    inside = signals.join(w, list(series.KEYS)).where("no >= train_start AND no < train_end OR no >= test_start AND no < test_end")
+    is_train, is_test = F.col("no") < F.col("train_end"), F.col("no") >= F.col("test_start")
+    known = F.when(is_train, F.slice("_path", F.lit(1), F.greatest(F.col("test_start") - F.col("no") - 1, F.lit(0)).cast("int"))).otherwise(F.col("_path"))
+    inside = _walked(_with_paths(numbered, inside, longest()).withColumn("_path", known), Costs(), "sl_first", ("window", "combo", "no", "train_end", "test_start"))
+    r = F.col("r_multiple")
     per = inside.groupBy(*series.KEYS, "window", "combo").agg(F.count(F.when(is_train, r)).alias("n_is"), F.avg(F.when(is_train, r)).alias("is_r"), F.count(F.when(is_test, r)).alias("n_oos"), F.avg(F.when(is_test, r)).alias("oos_r"))
     best = Window.partitionBy(*series.KEYS, "window").orderBy(F.desc("is_r"), "combo")
     return per.where(F.col("n_is") >= least).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")

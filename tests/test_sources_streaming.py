@@ -91,6 +91,45 @@ def test_walk_stop_and_ties(spark):
     assert (c.outcome, c.r_multiple) == ("breakeven", 0.0)
 
 
+SIGNAL = "symbol string, timeframe string, bar_ts timestamp_ntz, direction string, entry double, sl double, tp1 double, tp2 double, risk double"
+
+
+def hourly(spark, rows):
+    return spark.createDataFrame([("S", "1h", T0 + dt.timedelta(hours=i), *r, 1.0) for i, r in enumerate(rows)], tables.BAR_SCHEMA)
+
+
+def test_walk_follows_a_trade_to_the_reference_limit(spark):
+    flat, low = (10.0, 10.5, 9.5, 10.2), (10.0, 10.5, 8.0, 8.5)
+    free = simulation.Costs(0, 0, 0)
+    for start, after, want in ((0, 30, ("loss", 30)), (600, 671, ("loss", 671)), (600, 672, ("timeout", 671)), (1350, 40, ("timeout", 20))):
+        n = 1371 if start == 1350 else start + 800
+        b = hourly(spark, [low if i == start + after else flat for i in range(n)])
+        signal = spark.createDataFrame([("S", "1h", T0 + dt.timedelta(hours=start), "LONG", 10.0, 9.0, 11.0, 12.0, 1.0)], SIGNAL)
+        got = simulation.walk(b, signal, costs=free).collect()
+        assert [(r.outcome, r.bars_held, r.exit_time) for r in got] == [(*want, T0 + dt.timedelta(hours=start + want[1]))]
+        assert abs(got[0].r_multiple - (-1.0 if want[0] == "loss" else 0.2)) < 1e-9
+
+
+def test_walk_forward_trains_on_whole_trades_and_not_on_the_test_range(spark):
+    # every 40 bars a dip that closes back inside; the stop below it is hit 30 bars later only
+    def path(n, end):
+        rows = [(10.0, 10.1, 9.9, 10.0)] * n
+        for i in range(30, n, 40):
+            rows[i] = (10.0, 10.1, 9.5, 9.95)
+            rows[i + 30 : i + 31] = [(10.0, 10.1, 9.0 if i < end else 9.9, 10.0)]
+        return rows[:n]
+
+    def run(rows, **more):
+        return {r.window: r for r in simulation.walk_forward(hourly(spark, rows), [{"back": 20}], train=300, test=100, step=100, least=1, **more).collect()}
+
+    rows = path(520, 520)
+    a, changed = run(rows, embargo=20), run(rows[:320] + [(10.0, 30.0, 9.95, 10.0)] * 200, embargo=20)
+    assert a[0].is_r == changed[0].is_r
+    assert a[0].is_r < -0.9  # stops 30 bars on are in the score
+    assert run(rows) == {}  # the reference's embargo leaves no window in so few bars
+    assert set(run(path(1100, 1100))) == {0}
+
+
 def test_matching_is_one_to_one(spark):
     kind = "k string, id string, bar long"
     live = spark.createDataFrame([("a", "l1", 10), ("a", "l2", 11), ("a", "l3", 50)], kind)
