@@ -65,16 +65,24 @@ def daily_r(trades: DataFrame, by: str = "strategy") -> DataFrame:
 
 
 def overlap_wide(daily: DataFrame, labels: list[str], *, outer: bool) -> DataFrame:
-    """One column per label by date; outer fills 0, inner keeps only the dates that all have."""
+    """One column per given label by date; outer fills 0, inner keeps only the dates that all have. All labels of the data: `overlap_long`."""
     wide = daily.groupBy("day").pivot("strategy", labels).agg(F.sum("r"))
     return wide.fillna(0.0) if outer else wide.dropna(subset=labels)
 
 
-def pair_correlations(wide: DataFrame, labels: list[str]) -> DataFrame:
-    """Correlation of each pair of labels, all in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(labels) for b in labels[i + 1 :]]
-    row = wide.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    out = row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])).alias("x")).select("x.*")
+def overlap_long(daily: DataFrame, *, outer: bool) -> DataFrame:
+    """J8/J9 for all labels that the data has, a row per date and label; outer fills 0, inner keeps only the dates that all have."""
+    if outer:
+        grid = daily.select("day").distinct().crossJoin(daily.select("strategy").distinct())  # days times labels, as the result has
+        return grid.join(daily, ["day", "strategy"], "left").fillna(0.0, ["r"])
+    whole = daily.groupBy("day").agg(F.count("*").alias("_n")).join(daily.agg(F.countDistinct("strategy").alias("_all"))).where("_n = _all")  # one row
+    return daily.join(whole.select("day"), "day")
+
+
+def pair_correlations(long: DataFrame) -> DataFrame:
+    """Correlation of each pair of labels over the dates that both have."""
+    b = long.select("day", F.col("strategy").alias("b"), F.col("r").alias("_r"))
+    out = long.withColumnRenamed("strategy", "a").join(b, "day").where("a < b").groupBy("a", "b").agg(F.corr("r", "_r").alias("corr"))
     return out.withColumn("corr", F.round(F.col("corr") + 1.37e-7, 4) + F.lit(0.0)).withColumn("flag", F.when(F.abs("corr") > 0.5, "high").when(F.abs("corr") < 0.1, "low").otherwise("mid"))
 
 

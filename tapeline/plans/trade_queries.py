@@ -196,15 +196,29 @@ def j3_nearest(spark, d):
 @query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades GROUP BY ALL), n AS (SELECT DISTINCT day FROM d)
 SELECT n.day, round(coalesce(a.r, 0) + 1.37E-7, 4) + 0.0E0 AS click, round(coalesce(b.r, 0) + 1.37E-7, 4) + 0.0E0 AS purchase FROM n LEFT JOIN d a ON a.day = n.day AND a.strategy = 'click' LEFT JOIN d b ON b.day = n.day AND b.strategy = 'purchase'""")
 def j8_outer_by_date(spark, d):
+    """The two labels of its SQL; j8_all_by_date has all."""
     wide = joins.overlap_wide(joins.daily_r(trades(spark, d)), ["click", "purchase"], outer=True)
     return wide.select("day", *[rounded(F.col(c)).alias(c) for c in ("click", "purchase")])
 
 
+@query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades GROUP BY ALL)
+SELECT n.day, l.strategy, round(coalesce(d.r, 0) + 1.37E-7, 4) + 0.0E0 AS r FROM (SELECT DISTINCT day FROM d) n CROSS JOIN (SELECT DISTINCT strategy FROM d) l LEFT JOIN d ON d.day = n.day AND d.strategy = l.strategy""")
+def j8_all_by_date(spark, d):
+    return joins.overlap_long(joins.daily_r(trades(spark, d)), outer=True).select("day", "strategy", rounded(F.col("r")).alias("r"))
+
+
 @query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades WHERE strategy IN ('click', 'purchase', 'view') GROUP BY ALL), f AS (SELECT day FROM d GROUP BY day HAVING count(*) = 3), k AS (SELECT d.* FROM d JOIN f USING (day)),
 c AS (SELECT x.strategy AS a, y.strategy AS b, round(corr(x.r, y.r) + 1.37E-7, 4) + 0.0E0 AS corr FROM k x JOIN k y ON x.day = y.day AND x.strategy < y.strategy GROUP BY ALL) SELECT *, CASE WHEN abs(corr) > 0.5 THEN 'high' WHEN abs(corr) < 0.1 THEN 'low' ELSE 'mid' END AS flag FROM c""")
 def j13_pair_correlations(spark, d):
-    labels = ["click", "purchase", "view"]
-    return joins.pair_correlations(joins.overlap_wide(joins.daily_r(trades(spark, d)), labels, outer=False), labels)
+    """The three labels of its SQL; j13_all_pair_correlations has all."""
+    some = trades(spark, d).where(F.col("strategy").isin("click", "purchase", "view"))
+    return joins.pair_correlations(joins.overlap_long(joins.daily_r(some), outer=False))
+
+
+@query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades GROUP BY ALL), f AS (SELECT day FROM d GROUP BY day HAVING count(*) = (SELECT count(DISTINCT strategy) FROM d)), k AS (SELECT d.* FROM d JOIN f USING (day)),
+c AS (SELECT x.strategy AS a, y.strategy AS b, round(corr(x.r, y.r) + 1.37E-7, 4) + 0.0E0 AS corr FROM k x JOIN k y ON x.day = y.day AND x.strategy < y.strategy GROUP BY ALL) SELECT *, CASE WHEN abs(corr) > 0.5 THEN 'high' WHEN abs(corr) < 0.1 THEN 'low' ELSE 'mid' END AS flag FROM c""")
+def j13_all_pair_correlations(spark, d):
+    return joins.pair_correlations(joins.overlap_long(joins.daily_r(trades(spark, d)), outer=False))
 
 
 @query(", h AS (SELECT DISTINCT strategy, outcome FROM trades WHERE r_multiple > 1), s AS (SELECT DISTINCT strategy FROM h), o AS (SELECT DISTINCT outcome FROM h) SELECT strategy, outcome FROM s, o EXCEPT SELECT strategy, outcome FROM h")

@@ -130,6 +130,15 @@ def test_walk_forward_trains_on_whole_trades_and_not_on_the_test_range(spark):
     assert set(run(path(1100, 1100))) == {0}
 
 
+def test_correlations_and_dates_take_every_label(spark):
+    rows = [(s, f"d{i}", r) for s, values in {"new": [1.0, 2.0, 3.0, 9.0], "click": [2.0, 4.0, 6.0], "x": [3.0, 1.0, -1.0], "y": [1.0, 5.0, 1.0]}.items() for i, r in enumerate(values)]
+    daily = spark.createDataFrame(rows, "strategy string, day string, r double")
+    got = {(r.a, r.b): (r.corr, r.flag) for r in joins.pair_correlations(joins.overlap_long(daily, outer=False)).collect()}
+    assert got == {("click", "new"): (1.0, "high"), ("click", "x"): (-1.0, "high"), ("new", "x"): (-1.0, "high"), ("click", "y"): (0.0, "low"), ("new", "y"): (0.0, "low"), ("x", "y"): (0.0, "low")}
+    filled = {(r.day, r.strategy): r.r for r in joins.overlap_long(daily, outer=True).collect()}
+    assert len(filled) == 16 and filled[("d3", "new")] == 9.0 and filled[("d3", "click")] == 0.0
+
+
 def test_matching_is_one_to_one(spark):
     kind = "k string, id string, bar long"
     live = spark.createDataFrame([("a", "l1", 10), ("a", "l2", 11), ("a", "l3", 50)], kind)
