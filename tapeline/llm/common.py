@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
@@ -18,21 +19,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the session names none (tests)."""
+    """The folder that the driver and all executors see; a temporary one only in local mode where the session names none (tests)."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tapeline-")
         sc.setCheckpointDir(where)
     return where
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and gives Spark true sizes."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors, and gives Spark true sizes.
+
+    The tables are managed ones of a database in that folder, so that `spent` can drop them with their files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where = f"{shared_dir(spark).rstrip('/')}/tapeline-tables"
+    base = "tapeline_" + hashlib.md5(where.encode()).hexdigest()[:12]
+    place = where.replace("'", "\\'")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {base} LOCATION '{place}'")
+    full = f"{base}.{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.format("parquet").saveAsTable(full)
+    out = spark.table(full)
+    out._tapeline_table = full
+    return out
+
+
+def spent(*tables: DataFrame | None) -> None:
+    """Drop tables of `saved` that nothing will read any more; what else is given stays as it is."""
+    for df in tables:
+        full = getattr(df, "_tapeline_table", None)
+        if full:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {full}")
+
+
+#: A bitmap of ids that is broadcast has between these powers of two bits: 128 KB to 32 MB, whatever the number of ids.
+FEWEST_BITS, MOST_BITS = 20, 28
+_CELL = 32768  # bits of one row of the bitmap
+
+
+def bitmap(ids: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """The hashes of the ids as a table of bits, and its number of bits: about sixteen for each id, MOST_BITS at most."""
+    bits = 1 << min(MOST_BITS, max(FEWEST_BITS, (16 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64(column, F.lit(77)), F.lit(bits))
+    rows = ids.select(F.floor(place / _CELL).cast("long").alias("_cell"), (place % _CELL).alias("_bit"))
+    return rows.groupBy("_cell").agg(F.bitmap_construct_agg("_bit").alias("_bits")), bits
+
+
+def maybe_among(df: DataFrame, column: Column, marks: tuple[DataFrame, int], *, among: bool = True) -> DataFrame:
+    """The rows of df whose column may be one of the ids of `marks` (or, among=False, is none of them). Nothing but the bitmap of bounded size moves.
+
+    It only spares an exact join rows that it cannot need: a full bitmap lets all rows pass."""
+    rows, bits = marks
+    place = F.pmod(F.xxhash64(column, F.lit(77)), F.lit(bits))
+    bit = F.expr("CAST(conv(hex(substring(_bits, CAST(_place % 32768 AS INT) div 8 + 1, 1)), 16, 10) AS INT) & shiftleft(1, CAST(_place % 8 AS INT))")
+    own = df.withColumn("_place", place)
+    kind = "left_semi" if among else "left_anti"
+    return own.join(F.broadcast(rows), (F.floor(F.col("_place") / _CELL).cast("long") == F.col("_cell")) & (bit != 0), kind).drop("_place")
 
 
 def lowered(text):

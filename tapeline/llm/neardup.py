@@ -4,19 +4,25 @@ A document's set is its distinct `shingle`-word shingles (A-Z lower-cased, split
 one node first, so that copies cost nothing further.  Each set gets one sketch of 2 * `groups` * `keys` * `rows` minima (each element goes to a
 random place per round until all places are taken, so a sketch costs about one pass over the set).  They form `groups` pairs of
 collections of `keys` short keys of `rows` minima; a table key is a pair (A_i, B_j) from the two collections of a group, so
-groups * keys ** 2 tables come from the hashing of 2 * groups * keys short keys.  With 4 rows, 6 keys and 4 groups a pair of similarity 0.8
-shares no table with a chance of 5e-5.
+groups * keys ** 2 tables come from the hashing of 2 * groups * keys short keys.
 
 Only short keys that two sets share are paired up.  In each table every member is compared, by sketch, with one leader (the member with most keys),
-so a group of copies costs its size, not its square.  Tables whose members are then still in several parts are compared inside bounded blocks, of
-which only a spanning forest of alike sketches leaves the task.  The components of all this are clusters; inside a cluster, again in
-bounded blocks, links are confirmed on the whole sets, the most alike first, and only a spanning forest of confirmed links leaves the
-task.  Sketches leave out only pairs over 3.4 standard errors below the threshold.  Components come from repeated contraction of the
-links; nothing of them goes to the driver.
+so a group of copies costs its size, not its square.  Tables whose members are then still in several parts are compared inside bounded blocks:
+what is not in the largest part against all, and only a spanning forest of alike sketches leaves the task.  The components of all this are
+clusters.  Inside a cluster links are confirmed on the whole sets.  A cluster of more than `block` members is first held against single
+hubs (the members with most alike sketches), whose set goes to every block and every member's text to one; what the hubs leave in several
+parts is then compared in blocks as above, each member outside the largest part with all others.  Small clusters are one block.
+Components come from repeated contraction of the links; nothing of them goes to the driver.
+
+Chances: with 4 rows, 6 keys and 4 groups a pair of similarity exactly 0.8 shares no table with a chance of 5e-5; sketches leave out only pairs
+over `margin` standard errors below the threshold, which a pair of exactly 0.8 is with a chance of about 1e-5 at 4.5.  Pairs that a third copy joins have more ways.
+
+Texts of cluster members are fetched by a join that a bitmap of their ids (at most 32 MB, `common.maybe_among`) spares most other texts; it decides nothing.
 
 Defined results: a text that is null, empty or only white space has an empty set and links with nothing; fewer words than a shingle
-make one shingle; rows of one doc_id are one document; rows with a null doc_id are kept and link with nothing (component_id null);
-columns other than doc_id and text are ignored.
+make one shingle; very long texts are taken whole, and a block holds fewer of them; equal sets (repeated rows among them) are one class; rows of one
+doc_id are one document, which has the links of all its texts; rows with a null doc_id are kept and link with nothing (component_id null); an empty
+table gives an empty result; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import bitmap, maybe_among, saved, spent, table
 
 _LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -103,19 +109,24 @@ def components(edges: DataFrame) -> DataFrame:
         both = saved(edges.union(edges.select("y", "x")).distinct(), "links")
         step = saved(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("to")), "step")
         if step.isEmpty():
+            spent(both)
             return labels if labels is not None else step.select(F.col("x").alias("node"), F.col("to").alias("label"))
         while True:  # follow the pointers to their roots: each join doubles the reach
             far = saved(step.join(step.select(F.col("x").alias("to"), F.col("to").alias("next")), "to").select("x", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved")), "step")
-            step = far.select("x", "to")
+            spent(step)
+            step = far
             if far.where("moved").isEmpty():
                 break
         to = step.select(F.col("x").alias("label"), "to")
-        if labels is None:
-            labels = step.select(F.col("x").alias("node"), F.col("to").alias("label"))
-        else:
-            labels = saved(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        before = labels
+        found = step.select(F.col("x").alias("node"), F.col("to").alias("label")) if before is None else before.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        labels = saved(found, "labels")
         a, b = step.select("x", F.col("to").alias("x2")), step.select(F.col("x").alias("y"), F.col("to").alias("y2"))
-        edges = both.where("x < y").join(a, "x").join(b, "y").where("x2 != y2").select(F.col("x2").alias("x"), F.col("y2").alias("y"))
+        edges = saved(both.where("x < y").join(a, "x").join(b, "y").where("x2 != y2").select(F.col("x2").alias("x"), F.col("y2").alias("y")), "contracted")
+        spent(both, step, before)
+        if edges.isEmpty():
+            spent(edges)
+            return labels
 
 
 def _alike(batches: Iterator[pa.RecordBatch], places: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -146,117 +157,172 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-class _Sets:
-    """Union-find over a few hundred numbers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[j] = i
-        return i != j
+_HELD = 16_000_000  # shingles that a task keeps of the sets it has made of texts
 
 
-def _tied(batches: Iterator[pa.RecordBatch], places: int, least: float, percent: int | None, shingle: int) -> Iterator[pa.RecordBatch]:
-    """Of each group (k, p, q, set_id, label, side, sketch[, text]) a spanning forest of its links, the most alike first.
+def _tied(batches: Iterator[pa.RecordBatch], places: int, least: float, percent: int, shingle: int | None) -> Iterator[pa.RecordBatch]:
+    """Of each group (k, p, q, role, set_id, label, n_shingles, sketch[, text]) links that join its labels, a spanning forest of them.
 
-    A link: sketches alike and labels different; with percent also: confirmed on the whole sets."""
+    Rows of role 0 meet those of role 1, or each other where there is no role 1.  A link: labels not yet joined, sketches alike, sizes that
+    allow it; with a shingle length also: confirmed on the whole sets."""
     for group in _groups(batches, 3):
-        n = group.num_rows
-        if n < 2:
-            continue
-        one, ids, labels, side = group.column("p")[0] == group.column("q")[0], group.column("set_id").to_pylist(), group.column("label").to_numpy(), group.column("side").to_numpy()
-        rows = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(n, places)
-        found = []
-        for i in range(n - 1):
-            js = np.arange(i + 1, n)
-            js = js[(labels[js] != labels[i]) & (one | (side[js] != side[i]))]
-            s = (rows[js] == rows[i]).sum(axis=1)
-            ok = s >= least * places
-            found.append(np.column_stack([places - s[ok], np.full(int(ok.sum()), i), js[ok]]).astype(np.int32))
-        pairs = np.concatenate(found)
-        if not len(pairs):
-            continue
-        forest, sets, xs, ys = _Sets(n), {}, [], []
-        texts = group.column("text") if percent else None
+        role = group.column("role").to_numpy()
+        rows = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, places)
+        ids, size = group.column("set_id").to_numpy(), group.column("n_shingles").to_numpy()
+        part = np.unique(group.column("label").to_numpy(), return_inverse=True)[1]
+        one, two = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        alone = not len(two)
+        texts = group.column("text") if shingle else None
+        sets: dict[int, np.ndarray] = {}
+        held, xs, ys = 0, [], []
 
         def full(i: int, texts=texts, sets=sets) -> np.ndarray:
+            nonlocal held
             if i not in sets:
+                if held > _HELD:
+                    sets.clear()
+                    held = 0
                 sets[i] = shingle_set(texts[i].as_py(), shingle)
+                held += len(sets[i])
             return sets[i]
 
-        order = np.argsort(pairs[:, 0], kind="stable")
-        for i, j in (p for at in range(0, len(order), 10_000) for p in pairs[order[at : at + 10_000], 1:].tolist()):
-            if len(xs) == n - 1:
-                break
-            if forest.root(i) == forest.root(j):
+        for at in range(0, len(one), 64):
+            found = []
+            for n, i in enumerate(one[at : at + 64], at):
+                js = one[n + 1 :] if alone else two
+                js = js[(part[js] != part[i]) & (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))]
+                if len(js):
+                    s = (rows[js] == rows[i]).sum(axis=1)
+                    ok = s >= least * places
+                    found.append(np.column_stack([places - s[ok], np.full(int(ok.sum()), i), js[ok]]))
+            if not found:
                 continue
-            if percent:
-                a, b = full(i), full(j)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both < percent * (len(a) + len(b) - both):
+            pairs = np.concatenate(found)
+            for i, j in pairs[np.argsort(pairs[:, 0], kind="stable"), 1:].tolist():
+                if part[i] == part[j]:
                     continue
-            forest.join(i, j)
-            xs.append(ids[i])
-            ys.append(ids[j])
-        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
-
-
-def _dealt(members: DataFrame, block: int, columns: list[str]) -> DataFrame:
-    """members (k, n, set_id, label, ...) dealt to groups of at most about two blocks: every two members of a k meet in exactly one group (k, p, q)."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    at = members.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("blocks")).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    at = at.select("k", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), *columns)
+                if shingle:
+                    a, b = full(i), full(j)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * both < percent * (len(a) + len(b) - both):
+                        continue
+                part[part == part[j]] = part[i]
+                xs.append(int(ids[i]))
+                ys.append(int(ids[j]))
+        if xs:
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
+
+
+def _sided(rows: DataFrame) -> DataFrame:
+    """rows (k, label, n_shingles, ...) of the k that have several labels, with n and w (rows and shingles of the k), m and v (of those outside its largest label) and b (outside it)."""
+    per = rows.groupBy("k", "label").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
+    per = per.groupBy("k").agg(F.max(F.struct("c", "s", "label")).alias("top"), F.sum("c").alias("n"), F.sum("s").alias("w")).where("top.c < n")
+    per = per.select("k", "n", "w", (F.col("n") - F.col("top.c")).alias("m"), (F.col("w") - F.col("top.s")).alias("v"), F.col("top.label").alias("_top"))
+    return rows.join(per, "k").withColumn("b", F.col("label") != F.col("_top")).drop("_top")
+
+
+def _dealt(rows: DataFrame, block: int, heavy: int, columns: list[str], *, sides: bool = False) -> DataFrame:
+    """rows (k, n, w, m, v, b, set_id, ...) dealt to groups (k, p, q) of about `block` rows and `heavy` shingles a side: each row with b meets every other row of its k in one of them.
+
+    A row lies in one of the n / block rows of groups (role 0), and those with b also in one of the m / block columns (role 1). A k that fits
+    one group needs no role 1. sides: those with b have role 1 only, always."""
+    p_count = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") / heavy), F.lit(1)).cast("int")
+    q_count = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("v") / heavy), F.lit(1)).cast("int")
+    at = rows.withColumn("_pn", p_count).withColumn("_qn", F.when(p_count == 1, 1).otherwise(q_count))
+    at = at.withColumn("_p", F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("_pn")).cast("int")).withColumn("_q", F.pmod(F.xxhash64("set_id", F.lit(8)), F.col("_qn")).cast("int"))
+    across = F.expr("transform(sequence(0, _qn - 1), j -> struct(_p AS p, j AS q, 0 AS role))")
+    down = F.expr(f"IF(b AND ({str(sides).lower()} OR _pn > 1), transform(sequence(0, _pn - 1), i -> struct(i AS p, _q AS q, 1 AS role)), array())")
+    at = at.withColumn("_at", F.explode(F.concat(F.when(F.lit(sides) & F.col("b"), F.array()).otherwise(across), down))).select("k", "_at.p", "_at.q", "_at.role", *columns)
     return at.repartition("k", "p", "q").sortWithinPartitions("k", "p", "q")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 80, rows: int = 4, keys: int = 6, groups: int = 4, block: int = 1024, margin: float = 3.4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 80, rows: int = 4, keys: int = 6, groups: int = 4, block: int = 2048, heavy: int = 2_000_000, hubs: int = 3, margin: float = 4.5) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of 100 * intersection >= percent * union), kept."""
     half = keys * groups  # short keys of A; as many of B
     places = 2 * half * rows
     least = percent / 100 - margin * (percent / 100 * (1 - percent / 100) / places) ** 0.5
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = saved(docs.mapInArrow(lambda b: _sketched(b, shingle, places), "doc_id long, n_shingles long, fp binary, sketch binary"), "sketches")
-    nodes = saved(sets.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("set_id"), F.first("sketch").alias("sketch")), "nodes")
-    sketch = nodes.select("set_id", "sketch")
+    sketched = saved(docs.mapInArrow(lambda b: _sketched(b, shingle, places), "doc_id long, n_shingles long, fp binary, sketch binary"), "sketches")
+    folded = sketched.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("set_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    nodes = saved(folded, "nodes")
+    sets = saved(sketched.select("doc_id", "n_shingles", "fp"), "sets")
+    spent(sketched)
 
     # the short keys that another set has too, then the table keys made of them: A_i with B_j of the same group of collections
     short = nodes.select("set_id", F.expr(f"posexplode(transform(sequence(0, {2 * half - 1}), i -> xxhash64(substring(sketch, i * {2 * rows} + 1, {2 * rows}), i))) AS (i, k)"))
     twice = short.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     own = short.join(twice, "k").groupBy("set_id").agg(F.collect_list(F.struct(F.pmod("i", F.lit(groups)).alias("g"), (F.col("i") < half).alias("a"), "k")).alias("ks"))
-    tabled = own.select("set_id", F.expr("flatten(transform(filter(ks, x -> x.a), x -> transform(filter(ks, y -> NOT y.a AND y.g = x.g), y -> xxhash64(x.k, y.k)))) AS ts"))
+    tabled = own.select("set_id", F.expr("array_distinct(flatten(transform(filter(ks, x -> x.a), x -> transform(filter(ks, y -> NOT y.a AND y.g = x.g), y -> xxhash64(x.k, y.k))))) AS ts"))
     member = saved(tabled.select("set_id", F.size("ts").alias("weight"), F.explode("ts").alias("k")), "tables")
     heads = saved(member.groupBy("k").agg(F.count("*").alias("n"), F.max(F.struct("weight", "set_id")).alias("m"), F.bit_xor(F.xxhash64("set_id")).alias("mark")).where("n > 1").select("k", "n", F.col("m.set_id").alias("leader"), "mark"), "heads")
 
     # clusters: what the sketches call alike, by leaders first and then within the tables that leaders leave in parts
-    star = member.join(heads.select("k", "leader"), "k").where("set_id != leader").select(F.least("set_id", "leader").alias("x"), F.greatest("set_id", "leader").alias("y")).distinct()
-    star = star.join(sketch.toDF("x", "sx"), "x").join(sketch.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
-    near = saved(star.mapInArrow(lambda b: _alike(b, places, least), "x long, y long"), "alike")
-    part = components(near).withColumnRenamed("node", "set_id")
+    star = saved(member.join(heads.select("k", "leader"), "k").where("set_id != leader").select(F.least("set_id", "leader").alias("x"), F.greatest("set_id", "leader").alias("y")).distinct(), "stars")
+    some = saved(star.select(F.col("x").alias("set_id")).union(star.select("y")).distinct(), "in-tables")
+    cand = saved(maybe_among(nodes, F.col("set_id"), bitmap(some, "set_id")), "candidates")
+    sketch = cand.select("set_id", "sketch")
+    pairs = star.join(sketch.toDF("x", "sx"), "x").join(sketch.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
+    near = saved(pairs.mapInArrow(lambda b: _alike(b, places, least), "x long, y long"), "alike")
+    part = components(near)
     wide = heads.where("n > 2").groupBy("n", "leader", "mark").agg(F.min("k").alias("k"))  # tables with the same members are one; a table of two is settled
-    left = saved(member.join(wide.select("k", "n", "leader"), "k").where("set_id != leader").join(part, "set_id", "left").select("k", "n", "set_id", F.coalesce("label", "set_id").alias("label")), "left")
-    split = left.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("k")
-    parts = _dealt(left.join(split, "k").join(sketch, "set_id"), block, ["set_id", "label", "side", "sketch"])
-    more = saved(parts.mapInArrow(lambda b: _tied(b, places, least, None, shingle), "x long, y long"), "alike-within")
-    cluster = saved(components(near.union(more)), "clusters")
+    left = saved(member.join(wide.select("k", "leader"), "k").where("set_id != leader").join(part.withColumnRenamed("node", "set_id"), "set_id", "left").select("k", "set_id", F.coalesce("label", "set_id").alias("label")), "left")
+    spent(member, heads, star, some)
+    several = left.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("k")
+    split = saved(left.join(several, "k").join(cand.select("set_id", "n_shingles", "sketch"), "set_id"), "split")
+    parts = _dealt(_sided(split), block, heavy, ["set_id", "label", "n_shingles", "sketch"])
+    more = saved(parts.mapInArrow(lambda b: _tied(b, places, least, percent, None), "x long, y long"), "alike-within")
+    cluster = components(near.union(more))
+    spent(left, split)
 
     # inside each cluster the links, confirmed on whole sets
-    size = cluster.groupBy("label").agg(F.count("*").alias("n"))
-    inside = cluster.join(size, "label").select(F.col("label").alias("k"), "n", F.col("node").alias("set_id"), F.col("node").alias("label")).join(sketch, "set_id")
-    inside = docs.join(inside, docs["doc_id"] == inside["set_id"]).drop("doc_id")
-    tied = _dealt(inside, block, ["set_id", "label", "side", "sketch", "text"])
-    links = saved(tied.mapInArrow(lambda b: _tied(b, places, least, percent, shingle), "x long, y long"), "confirmed")
-    labels = components(links)
+    size = cluster.join(cand.select("set_id", "n_shingles"), cluster["node"] == cand["set_id"]).groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    sized = saved(cluster.join(size, "label").select(F.col("label").alias("k"), "n", "w", F.col("node").alias("set_id")), "clusters")
+    inside = sized.join(cand.select("set_id", "n_shingles", "sketch"), "set_id")
+    fetched = maybe_among(docs, F.col("doc_id"), bitmap(sized, "set_id")).withColumnRenamed("doc_id", "set_id")
+    columns = ["set_id", "label", "n_shingles", "sketch", "text"]
+
+    def confirmed(dealt: DataFrame, name: str) -> DataFrame:
+        return saved(dealt.mapInArrow(lambda b: _tied(b, places, least, percent, shingle), "x long, y long"), name)
+
+    few = fetched.join(inside.where(F.col("n") <= block), "set_id").withColumns({"label": F.col("set_id"), "m": F.col("n"), "v": F.col("w"), "b": F.lit(True)})
+    links = [confirmed(_dealt(few, block, heavy, columns), "confirmed")]
+    if not sized.where(F.col("n") > block).isEmpty():
+        links += _large_clusters(saved(fetched.join(inside.where(F.col("n") > block).drop("w"), "set_id").drop("n"), "large"), near.union(more), confirmed, block, heavy, hubs, columns)
+    found = links[0]
+    for one in links[1:]:
+        found = found.union(one)
+    labels = components(found)
     out = sets.join(nodes.select("fp", "set_id"), "fp", "left").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "set_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = saved(out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "classes")
+    spent(sets, nodes, cand, near, part, more, cluster, sized, labels, *links)
+    return out
+
+
+def _large_clusters(texts: DataFrame, alike: DataFrame, confirmed, block: int, heavy: int, hubs: int, columns: list[str]) -> list[DataFrame]:
+    """Tables of confirmed links (x, y) that join all that is joined in clusters (k, set_id, n_shingles, sketch, text) of any size."""
+    degree = alike.select(F.col("x").alias("set_id")).union(alike.select("y")).groupBy("set_id").agg(F.count("*").alias("degree"))
+    rest = saved(texts.select("k", "set_id", "n_shingles").distinct().join(degree, "set_id", "left"), "not-tied")
+    links: list[DataFrame] = []
+    for _ in range(hubs):
+        per = rest.groupBy("k").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"), F.max(F.struct("degree", "set_id", "n_shingles")).alias("hub")).where("n > 1")
+        per = per.select("k", "n", "w", F.lit(1).alias("m"), F.col("hub.n_shingles").alias("v"), F.col("hub.set_id").alias("hub"))
+        rows = texts.join(rest.select("k", "set_id"), ["k", "set_id"]).join(per, "k").withColumns({"b": F.col("set_id") == F.col("hub"), "label": F.col("set_id")})
+        links.append(confirmed(_dealt(rows, block, heavy, columns, sides=True), "confirmed-by-hubs"))
+        tied = links[-1].select(F.col("x").alias("set_id")).union(links[-1].select("y")).union(per.select("hub")).distinct()
+        before, rest = rest, saved(rest.join(tied, "set_id", "left_anti"), "not-tied")
+        spent(before)
+        if rest.isEmpty():
+            break
+    spent(rest)
+    found = links[0]
+    for one in links[1:]:
+        found = found.union(one)
+    own = components(found)
+    labelled = texts.join(own.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    links.append(confirmed(_dealt(_sided(labelled), block, heavy, columns), "confirmed-across"))
+    spent(texts, own)
+    return links
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
