@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import saved, table
+from tapeline.llm.common import bitmap, maybe_among, saved, spent, table
 from tapeline.llm.decontaminate import drop_contaminated
 from tapeline.llm.mixing import mixed
 from tapeline.llm.neardup import near_duplicates
@@ -19,13 +19,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays, once; rows without a doc_id stay."""
-    found = saved(near_duplicates(docs), "near-duplicates")
-    left = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    twice = saved(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    """The document with the smallest doc_id of each group stays, once: of rows that repeat a doc_id the one of the smallest text hash. Rows without a doc_id stay, of equal texts one."""
+    found = near_duplicates(docs)
+    gone = saved(found.where("NOT kept").select("doc_id").distinct(), "gone")
+    marks = bitmap(gone, "doc_id")
+    left = maybe_among(docs, F.col("doc_id"), marks, among=False).union(maybe_among(docs, F.col("doc_id"), marks).join(gone, "doc_id", "left_anti").select(*docs.columns))
+    twice = saved(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "repeated")
+    spent(found)
     if twice.isEmpty():
         return left
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).union(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    marks = bitmap(twice, "_again")
+    again = maybe_among(left, F.col("doc_id"), marks)
+    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    mark = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    order = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    first = again.join(twice, same, "left_semi").groupBy(F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), mark).alias("_mark")).agg(F.min_by(F.struct(*docs.columns), F.struct(mark, *order)).alias("_row"))
+    once = again.join(twice, same, "left_anti")
+    return maybe_among(left, F.col("doc_id"), marks, among=False).union(once).union(first.select("_row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
