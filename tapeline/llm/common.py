@@ -60,11 +60,11 @@ _CELL = 32768  # bits of one row of the bitmap
 
 
 def bitmap(ids: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """The hashes of the ids as a table of bits, and its number of bits: about sixteen for each id, MOST_BITS at most."""
+    """The hashes of the ids as a table of bits, and its number of bits: about sixteen for each id, MOST_BITS at most. Ids are dealt by cell first, so a task makes only its own cells."""
     bits = 1 << min(MOST_BITS, max(FEWEST_BITS, (16 * ids.count()).bit_length()))
     place = F.pmod(F.xxhash64(column, F.lit(77)), F.lit(bits))
     rows = ids.select(F.floor(place / _CELL).cast("long").alias("_cell"), (place % _CELL).alias("_bit"))
-    return rows.groupBy("_cell").agg(F.bitmap_construct_agg("_bit").alias("_bits")), bits
+    return rows.repartition("_cell").groupBy("_cell").agg(F.bitmap_construct_agg("_bit").alias("_bits")), bits
 
 
 def maybe_among(df: DataFrame, column: Column, marks: tuple[DataFrame, int], *, among: bool = True) -> DataFrame:

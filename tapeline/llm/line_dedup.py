@@ -3,14 +3,16 @@
 Lines are split at newlines and trimmed of ASCII white space; blank lines are left alone.  Equal lines are one node.  Lines of at least
 `min_chars` letters are linked within edit distance `distance`: an indexed line is cut into distance + 1 even segments, of which one must stand
 unchanged in any line that near; a probing line looks up, for each possible length, only those substrings that can be that segment (length-aware
-multi-match windows).  A join row also carries 64 parity bits over the line's bigrams, of which an edit flips at most four; pairs that differ in
-more cannot be near and never leave the join, so a segment that thousands of lines share does not give all their pairs.  The remaining
-pairs are verified by a banded bit-parallel edit distance.  Classes are the connected components; of a class the occurrence first by
-(doc_id, line number) stays, all others are removed.
-
-Defined results: null and blank texts have no lines; lines shorter than `min_chars` link only when equal; rows of one doc_id are one document
-(give them one text; rows that repeat a document whole count as copies, and lines of the same place are the same line); a null doc_id takes no
-part and keeps its text; an empty table gives an empty result; other columns are ignored.
+multi-match windows).  A probe whose key no other line has in the index, by a bitmap of bounded size, is not sent.  A join row also carries 64 parity
+bits over the line's bigrams, of which an edit flips at most four; pairs that differ in more cannot be near and never leave the join, so a
+segment that thousands of lines share does not give all their pairs.  Keys with more than `hot` index lines are dealt to as many tasks as they have
+`hot` lines, and their probes go to each.  The remaining pairs are verified by a banded bit-parallel edit distance.  Classes are the connected
+components; of a class the occurrence first by (doc_id, line number) stays, all others are removed.
+
+Defined results: null and blank texts have no lines; lines of fewer than `min_chars` letters (by default distance + 1, as shorter ones are within the
+distance of any other) link only when equal; very long texts and lines are taken whole; rows of one doc_id are one document (give them one text; rows
+that repeat a document whole count as copies, and lines of the same place are the same line); a null doc_id takes no part and keeps its text; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import bitmap, maybe_among, saved, spent, table
 from .neardup import components
 
 TRIM = " \t\n\x0b\x0c\r"
@@ -83,15 +85,15 @@ def segments(n: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def probes(n: int, k: int) -> list[tuple[int, int, int, int]]:
-    """(indexed length, segment, start, length) that a line of n letters must look up to meet all lines of n - k to n letters."""
+def probes(n: int, k: int) -> list[tuple[int, int, int, int, bool]]:
+    """(indexed length, segment, start, length, whether it is the line's own segment) that a line of n letters must look up to meet all lines of n - k to n letters."""
     out = []
     for m in range(max(k + 1, n - k), n + 1):
         gap = n - m
         for i, (p, size) in enumerate(segments(m, k)):
             low = max(0, p - i, p + gap - (k - i))
             high = min(n - size, p + i, p + gap + (k - i))
-            out += [(m, i, s, size) for s in range(low, high + 1)]
+            out += [(m, i, s, size, not gap and s == p) for s in range(low, high + 1)]
     return out
 
 
@@ -120,22 +122,23 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], k: int, probing: bool) -> Iterator[pa.RecordBatch]:
-    """Index or probe rows (key, doc, pos, sig) of distinct lines."""
+    """Index or probe rows (key, doc, pos, sig, own) of distinct lines."""
     plan: dict[int, list] = {}
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             batch = whole.slice(at, 2000)
-            keys, times = [], np.zeros(batch.num_rows, np.int64)
+            keys, own, times = [], [], np.zeros(batch.num_rows, np.int64)
             for row, line in enumerate(batch.column(0).to_pylist()):
                 n = len(line)
                 if n not in plan:
                     if len(plan) > 5000:
                         plan.clear()
-                    plan[n] = probes(n, k) if probing else [(n, i, p, s) for i, (p, s) in enumerate(segments(n, k))]
-                keys += [xxhash.xxh3_64_intdigest(line[p : p + s].encode("utf-8", "surrogatepass"), m * (k + 1) + i) for m, i, p, s in plan[n]]
+                    plan[n] = probes(n, k) if probing else [(n, i, p, s, True) for i, (p, s) in enumerate(segments(n, k))]
+                keys += [xxhash.xxh3_64_intdigest(line[p : p + s].encode("utf-8", "surrogatepass"), m * (k + 1) + i) for m, i, p, s, _ in plan[n]]
+                own += [x[4] for x in plan[n]]
                 times[row] = len(plan[n])
             again = pa.array(np.repeat(np.arange(batch.num_rows), times))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), *(batch.column(c).take(again) for c in (1, 2, 3))], ["key", "doc", "pos", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), *(batch.column(c).take(again) for c in (1, 2, 3)), pa.array(own, pa.bool_())], ["key", "doc", "pos", "sig", "own"])
 
 
 def _near(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -143,26 +146,43 @@ def _near(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield batch.select([0, 1]).filter(pa.array([within(a, b, k) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_()))
 
 
-def line_classes(docs: DataFrame, *, distance: int = 2, min_chars: int = 20) -> DataFrame:
+def line_classes(docs: DataFrame, *, distance: int = 2, min_chars: int | None = None, hot: int = 4096) -> DataFrame:
     """A row per distinct line: line, n (occurrences), first and class (both struct(doc, pos): first occurrence of the line, of its class), n_links (to other lines)."""
+    if not 0 <= distance <= 31:
+        raise ValueError("distance must be from 0 to 31: the verification's band has 64 diagonals")
     trimmed = F.trim(F.col("line"), F.lit(TRIM))
     lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc", "pos", trimmed.alias("line")).where("line <> ''")
     distinct = lines.groupBy("line").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n"))
     distinct = distinct.select("line", "first.doc", "first.pos", "n").mapInArrow(_signed, "line string, doc long, pos int, n long, sig long")
     distinct = saved(distinct, "lines")
-    long = distinct.where(F.length("line") >= max(min_chars, distance + 1)).select("line", "doc", "pos", "sig")
-    kind = "key long, doc long, pos int, sig long"
-    index = long.mapInArrow(lambda b: _cut(b, distance, False), kind).toDF("key", "xd", "xp", "xs")
-    probe = long.mapInArrow(lambda b: _cut(b, distance, True), kind).toDF("key", "yd", "yp", "ys")
-    met = (F.bit_count(F.col("xs").bitwiseXOR(F.col("ys"))) <= 4 * distance) & ((F.col("xd") != F.col("yd")) | (F.col("xp") != F.col("yp")))
-    pairs = index.join(probe, (index["key"] == probe["key"]) & met).select(F.struct(F.col("xd").alias("doc"), F.col("xp").alias("pos")).alias("x"), F.struct(F.col("yd").alias("doc"), F.col("yp").alias("pos")).alias("y"))
-    pairs = saved(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs")
+    long = distinct.where(F.length("line") >= max(min_chars or 0, distance + 1)).select("line", "doc", "pos", "sig")
+    kind = "key long, doc long, pos int, sig long, own boolean"
+    index = long.mapInArrow(lambda b: _cut(b, distance, False), kind).drop("own").toDF("key", "xd", "xp", "xs")
+    # keys of the index, and as other numbers those that several lines have: what a line's own segment must find
+    counts = saved(index.groupBy("key").agg(F.count("*").cast("int").alias("n")), "segment-keys")
+    with_others = F.xxhash64("key", F.lit("several"))
+    marks = bitmap(counts.select("key").union(counts.where("n > 1").select(with_others)), "key")
+    probe = maybe_among(long.mapInArrow(lambda b: _cut(b, distance, True), kind), F.when(F.col("own"), with_others).otherwise(F.col("key")), marks)
+    probe = saved(probe.select("key", F.col("doc").alias("yd"), F.col("pos").alias("yp"), F.col("sig").alias("ys")), "probes")
+    index = saved(maybe_among(index, F.col("key"), bitmap(probe.select("key").distinct(), "key")), "segments")
+    often = counts.where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("s"))
+    near_bits = (F.bit_count(F.col("xs").bitwiseXOR(F.col("ys"))) <= 4 * distance) & ((F.col("xd") != F.col("yd")) | (F.col("xp") != F.col("yp")))
+    if often.isEmpty():
+        met = probe.join(index, "key")
+    else:
+        parts = probe.join(often, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1))).drop("s")
+        dealt = index.join(often, "key", "left").withColumn("part", F.pmod(F.xxhash64("xd", "xp"), F.coalesce("s", F.lit(1))).cast("int")).drop("s")
+        met = parts.join(dealt, ["key", "part"])
+    x, y = F.struct(F.col("xd").alias("doc"), F.col("xp").alias("pos")), F.struct(F.col("yd").alias("doc"), F.col("yp").alias("pos"))
+    pairs = saved(met.where(near_bits).select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct(), "line-pairs")
+    spent(counts, probe, index)
     distinct = distinct.select("line", "n", F.struct("doc", "pos").alias("first"))
     text = distinct.select("first", "line")
     both = pairs.join(text.toDF("x", "a"), "x").join(text.toDF("y", "b"), "y").select("x", "y", "a", "b")
     node = "struct<doc: bigint, pos: int>"
     links = saved(both.mapInArrow(lambda b: _near(b, distance), f"x {node}, y {node}"), "line-links")
     labels = components(links)
+    spent(pairs)
     degree = links.select(F.col("x").alias("first")).union(links.select("y")).groupBy("first").agg(F.count("*").alias("n_links"))
     return distinct.join(labels.withColumnRenamed("node", "first"), "first", "left").join(degree, "first", "left").select("line", "n", "first", F.coalesce("label", "first").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

@@ -133,7 +133,7 @@ def test_edit_distance_and_segments(a, b, k, changes):
         if d <= k and min(len(x), len(y)) > k:
             s, t = sorted((x, y), key=len)
             cuts = line_dedup.segments(len(s), k)
-            assert any(m == len(s) and s[cuts[i][0] :][:n] == t[p : p + n] for m, i, p, n in line_dedup.probes(len(t), k))
+            assert any(m == len(s) and s[cuts[i][0] :][:n] == t[p : p + n] for m, i, p, n, _ in line_dedup.probes(len(t), k))
         if d <= k:
             one, none, two = line_dedup.parities([x, "", y]).tolist()
             assert ((one ^ two) & (1 << 64) - 1).bit_count() <= 4 * k and none == 0
@@ -168,6 +168,21 @@ def brute_lines(rows, k, least):
     return {d: sorted(p) for d, p in removed.items()}
 
 
+def test_short_lines_and_hot_segments(spark):
+    rng = random.Random(8)
+    lines = ["a", "b", "ab", "abc", "abd", "xyz", "é", "ok!!", "ok!", "", "yes", "no"] + ["".join(rng.choices("ab", k=rng.randint(3, 7))) for _ in range(30)]
+    lines += ["a common beginning of every line here " + "".join(rng.choices("0123456789", k=5)) for _ in range(60)]
+    rows = [(i, "\n".join(lines[i : i + 3])) for i in range(0, len(lines), 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    distinct = sorted({x for x in lines if x})
+    near = {(a, b) for a in distinct for b in distinct if a != b and min(len(a), len(b)) >= 3 and edits(a, b) <= 2}
+    for hot in (5, 4096):
+        assert {r.doc_id: r.removed for r in line_dedup.dedup_lines(df, hot=hot).collect() if r.removed} == brute_lines(rows, 2, 3)
+        assert {r.line: r.n_links for r in line_dedup.line_classes(df, hot=hot).collect()} == {x: sum(a == x for a, _ in near) for x in distinct}
+    with pytest.raises(ValueError):
+        line_dedup.line_classes(df, distance=32)
+
+
 def test_line_dedup(spark):
     rng = random.Random(5)
     base = ["".join(rng.choices("abcde ", k=rng.randint(18, 40))) + "." for _ in range(25)]
@@ -183,8 +198,9 @@ def test_line_dedup(spark):
     rows += [(100, None), (101, ""), (102, "z" * 100_000), (103, "z" * 100_000 + "y"), (None, base[0])]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, line string")
     got = line_dedup.dedup_lines(df).collect()
-    want = brute_lines([r for r in rows if r[0] not in (102, 103)], 2, 20) | {103: [0]}
+    want = brute_lines([r for r in rows if r[0] not in (102, 103)], 2, 3) | {103: [0]}
     assert {r.doc_id: r.removed for r in got if r.removed} == want
+    assert {r.doc_id: r.removed for r in line_dedup.dedup_lines(df, hot=2).collect() if r.removed} == want  # every shared segment dealt to parts
     assert len(got) == len(rows)
     kept = {r.doc_id: r.text for r in line_dedup.without_lines(df, distance=2).collect()}
     assert kept[103] == "" and kept[102] == "z" * 100_000 and kept[100] is None
