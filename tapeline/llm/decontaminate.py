@@ -6,17 +6,20 @@ runs of words that the benchmark knows and that are long enough to hold a phrase
 suffix array, Burrows-Wheeler transform and wavelet matrix over them, finds every phrase by backward search, locates the
 occurrences by walking to sampled suffix positions, and merges the spans.
 
-The benchmark reaches the tasks in blocks of at most `block_words` words, so that neither the driver nor a task holds more than
-one block's phrases at a time; every block is searched in every shard.  The corpus is never shuffled.
-
-Defined results: a null or empty text has no words and no hit; a null or empty item has no phrase; a null item_id counts as
-the empty string; repeated documents are judged one by one; repeated items count once by item_id; an empty benchmark hits nothing;
-columns other than doc_id, text, item_id are ignored.
+The benchmark is cut into blocks of at most about `block_words` words; tasks make their phrase tables, and the driver, a broadcast and a Python
+worker hold one block at a time.  A benchmark of one block is judged in one pass without a shuffle.  With more, each block has a pass over
+the corpus that writes its hits alone, then the hits of a document are merged; only hits and the documents that a bitmap of theirs lets pass are shuffled.
+
+Defined results: a null or empty text has no words and no hit; very long texts are taken whole, as a shard of their own if need be; a null or empty item
+has no phrase; a null item_id counts as the empty string; repeated documents are judged one by one; repeated items count once by item_id, and a
+phrase that several items share counts for each of them; an empty benchmark hits nothing; an empty table gives an empty result; columns
+other than doc_id, text, item_id are ignored (and kept by `drop_contaminated`), whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 
@@ -25,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bitmap, maybe_among, saved, spent, table
+
 _TO_WORDS = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _SAMPLE = 8  # every 8th suffix position is kept
@@ -71,20 +76,35 @@ def _pieces(batches: Iterator[pa.RecordBatch], window: int, most: int) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(texts, pa.binary())], ["item", "words"])
 
 
-def broadcast_phrases(benchmark: DataFrame, window: int, block_words: int) -> list:
-    """The benchmark as broadcast blocks of bounded size; the driver reads it partition by partition."""
-    pieces = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(lambda b: _pieces(b, window, max(block_words // 4, 2 * window)), "item string, words binary")
-    sc, blocks, block, held = benchmark.sparkSession.sparkContext, [], [], 0
-    for row in pieces.toLocalIterator():
-        words = bytes(row["words"]).split()
-        if block and held + len(words) > block_words:
-            blocks.append(sc.broadcast(Phrases(block, window)))
-            block, held = [], 0
-        block.append((row["item"], words))
-        held += len(words)
-    if block:
-        blocks.append(sc.broadcast(Phrases(block, window)))
-    return blocks
+def _tables(batches: Iterator[pa.RecordBatch], window: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A row per block of at most about `most` words: its phrase tables, pickled."""
+    held: list[tuple[str, list[bytes]]] = []
+    size = 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Phrases(held, window), 5)], pa.binary())], ["phrases"])
+
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = text.split()
+            if held and size + len(words) > most:
+                yield row()
+                held, size = [], 0
+            held.append((item, words))
+            size += len(words)
+    if held:
+        yield row()
+
+
+def phrase_blocks(benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """The benchmark as a table of blocks (no, phrases), made in as many tasks as it has blocks' worth of words."""
+    pieces = saved(benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(lambda b: _pieces(b, window, max(block_words // 4, 2 * window)), "item string, words binary"), "pieces")
+    total = pieces.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-total // (6 * block_words)))  # a word and its space have about six bytes; a part of more words makes more blocks
+    made = pieces.repartition(parts, F.xxhash64("item", "words")).mapInArrow(lambda b: _tables(b, window, block_words), "phrases binary")
+    out = saved(made.select(F.monotonically_increasing_id().alias("no"), "phrases"), "blocks")
+    spent(pieces)
+    return out
 
 
 # ---------------------------------------------------------------- the index
@@ -191,36 +211,40 @@ def _search(ids: np.ndarray, doc_of: np.ndarray, phrases: Phrases) -> tuple[np.n
     return which, first, phrases.length[which], doc_of[first]
 
 
-def _judge(texts: list[str | None], blocks: list) -> list[tuple[int, int, list[str], list[tuple[int, int]]]]:
-    """Of each text of a shard: words, words hit, item ids, and the merged spans in words."""
-    ids: list[list[np.ndarray]] = [[] for _ in blocks]
-    size = np.zeros(len(texts), np.int64)
+def _judge(texts: list[str | None], phrases: Phrases) -> list[tuple[int, list[str], list[tuple[int, int]]]]:
+    """Of each text of a shard: words, item ids, and the merged spans in words."""
+    ids, size = [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
         words = _split(text)
         size[k] = len(words)
-        for b, block in enumerate(blocks):
-            ids[b].append(np.fromiter((block.value.vocab.get(w, 0) for w in words), np.int32, len(words)))
+        ids.append(np.fromiter((phrases.vocab.get(w, 0) for w in words), np.int32, len(words)))
     doc_of, start = np.repeat(np.arange(len(texts)), size), np.concatenate([[0], np.cumsum(size)])
     depth, items = np.zeros(int(start[-1]) + 1, np.int32), [set() for _ in texts]
-    for b, block in enumerate(blocks):
-        phrases = block.value
-        if not len(doc_of) or not len(phrases.length):
-            continue
-        which, first, length, doc = _search(np.concatenate(ids[b]), doc_of, phrases)
+    if len(doc_of) and len(phrases.length):
+        which, first, length, doc = _search(np.concatenate(ids), doc_of, phrases)
         np.add.at(depth, first, 1)
         np.add.at(depth, first + length, -1)
         for d, p in set(zip(doc.tolist(), which.tolist(), strict=True)):
             items[d].update(phrases.items[p])
     hit = np.cumsum(depth[:-1]) > 0
-    total = np.concatenate([[0], np.cumsum(hit)])
-    n_hit = total[start[1:]] - total[start[:-1]]
     out = []
     for k in range(len(texts)):
         spans = []
-        if n_hit[k]:
+        if items[k]:
             change = np.flatnonzero(np.diff(np.concatenate([[0], hit[start[k] : start[k + 1]].astype(np.int8), [0]])))
             spans = [(int(a), int(b)) for a, b in zip(change[::2], change[1::2], strict=True)]
-        out.append((int(size[k]), int(n_hit[k]), sorted(items[k]), spans))
+        out.append((int(size[k]), sorted(items[k]), spans))
+    return out
+
+
+def _merged(spans: list[list[int]]) -> list[tuple[int, int]]:
+    """Spans of several blocks without overlaps."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(map(tuple, spans)):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
@@ -249,38 +273,103 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("items_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), ("clean_text", pa.string())])
 
 
+def _row(doc_id, text: str | None, n: int, items: list[str], spans: list, with_text: bool) -> tuple:
+    digest = hashlib.sha256(",".join(items).encode()).hexdigest()
+    return doc_id, n, sum(b - a for a, b in spans), items, digest, spans, (without_spans(text, spans) if spans else text) if with_text else None
+
+
+def _record(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+_KIND = "doc_id long, n_words long, n_hit long, items array<string>, items_sha256 string, spans array<array<long>>, clean_text string"
+
+
+def _one_block(docs: DataFrame, blocks: DataFrame):
+    """The phrases of a benchmark of at most one block, broadcast."""
+    row = blocks.first()
+    return docs.sparkSession.sparkContext.broadcast(pickle.loads(bytes(row["phrases"])) if row else Phrases([], 1))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs with _mark, equal for rows of equal doc_id and text (whose hits are equal too)."""
+    return docs.withColumn("_mark", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).cast("binary")))
+
+
+def _block_hits(docs: DataFrame, blocks: DataFrame, shard_chars: int) -> DataFrame:
+    """(_mark, items, spans) of the documents that any block hits: one pass over the corpus for each block, of which only its hits are written."""
+    texts, spark, tables = _marked(docs).select("_mark", "text"), docs.sparkSession, []
+    for (no,) in blocks.select("no").collect():  # numbers only
+        shared = spark.sparkContext.broadcast(pickle.loads(bytes(blocks.where(F.col("no") == no).first()["phrases"])))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                marks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for a, b in _shards(texts, shard_chars):
+                    rows = [(m, items, spans) for m, (_, items, spans) in zip(marks[a:b], _judge(texts[a:b], shared.value), strict=True) if items]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.int64())))], ["_mark", "items", "spans"])
+
+        tables.append(saved(texts.mapInArrow(run, "_mark string, items array<string>, spans array<array<long>>"), "block-hits"))
+        shared.destroy()
+    hits = tables[0]
+    for one in tables[1:]:
+        hits = hits.union(one)
+    merged = saved(hits.groupBy("_mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "hits")
+    spent(*tables)
+    return merged
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 200_000, shard_chars: int = 8_000_000, with_text: bool = True) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, items, items_sha256, spans (pairs of word offsets), clean_text (spans cut out; null unless with_text)."""
-    blocks = broadcast_phrases(benchmark, window, block_words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = phrase_blocks(benchmark, window, block_words)
+    if blocks.count() <= 1:
+        shared = _one_block(docs, blocks)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for a, b in _shards(texts, shard_chars):
+                    yield _record([_row(d, t, *x, with_text) for d, t, x in zip(doc_ids[a:b], texts[a:b], _judge(texts[a:b], shared.value), strict=True)])
+
+        return docs.mapInArrow(run, _KIND)
+    hits = _block_hits(docs, blocks, shard_chars)
+    marks = bitmap(hits.select("_mark"), "_mark")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in _shards(texts, shard_chars):
-                rows = []
-                for doc_id, text, (n, n_hit, items, spans) in zip(doc_ids[a:b], texts[a:b], _judge(texts[a:b], blocks), strict=True):
-                    rows.append((doc_id, n, n_hit, items, hashlib.sha256(",".join(items).encode()).hexdigest(), spans, (without_spans(text, spans) if spans else text) if with_text else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+            rows = [_row(d, t, len(_split(t)), sorted(i or []), _merged(s or []), with_text) for d, t, i, s in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            if rows:
+                yield _record(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, items_sha256 string, spans array<array<long>>, clean_text string")
+    none = [F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<array<bigint>>").alias("spans")]
+    clean = maybe_among(_marked(docs), F.col("_mark"), marks, among=False).select("doc_id", "text", *none)
+    rest = maybe_among(_marked(docs), F.col("_mark"), marks).join(hits, "_mark", "left").select("doc_id", "text", "items", "spans")
+    return clean.union(rest).mapInArrow(finish, _KIND)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 200_000, shard_chars: int = 8_000_000) -> DataFrame:
-    """The documents without a hit, with all their columns, in one pass and without a shuffle."""
-    blocks, at = broadcast_phrases(benchmark, window, block_words), docs.columns.index("text")
+    """The documents without a hit, with all their columns."""
+    blocks = phrase_blocks(benchmark, window, block_words)
+    if blocks.count() <= 1:
+        shared, at = _one_block(docs, blocks), docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            clean = [not x[1] for a, b in _shards(texts, shard_chars) for x in _judge(texts[a:b], blocks)]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(at).to_pylist()
+                clean = [not x[1] for a, b in _shards(texts, shard_chars) for x in _judge(texts[a:b], shared.value)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(run, docs.schema)
+    hits = _block_hits(docs, blocks, shard_chars).select("_mark")
+    marks = bitmap(hits, "_mark")
+    rows = _marked(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"))
+    left = maybe_among(rows, F.col("_mark"), marks, among=False).select("_row").union(maybe_among(rows, F.col("_mark"), marks).join(hits, "_mark", "left_anti").select("_row"))
+    return left.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), with_text=False)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 

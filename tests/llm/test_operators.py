@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -84,8 +85,15 @@ def test_decontaminate(spark, docs, block_words):
         assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
         assert sum(y - x for x, y in r.spans) == hit
         assert len(WORD.findall((r.clean_text or "").translate(AZ))) == n - hit
-    clean = {r.doc_id for r in dc.drop_contaminated(docs, bench).collect()}
-    assert clean == {r.doc_id for r in got if not r.n_hit}
+    clean = dc.drop_contaminated(docs, bench, block_words=block_words).collect()
+    assert sorted(map(str, clean)) == sorted(str(r) for r in docs.collect() if not brute_hits([r.text], items)[0][1])
+
+
+def test_blocks_are_bounded(spark):
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(200))) for i in range(30)], "item_id long, text string")
+    blocks = [pickle.loads(bytes(r.phrases)) for r in dc.phrase_blocks(bench, 10, 1000).collect()]
+    assert len(blocks) > 3 and all(len(b.vocab) <= 1000 for b in blocks) and {i for b in blocks for p in b.items for i in p} == {str(i) for i in range(30)}
+    assert sum(len(b.length) for b in blocks) == 30 * 191
 
 
 def test_decontaminate_empty(docs, none, spark):
@@ -97,12 +105,8 @@ def test_decontaminate_empty(docs, none, spark):
 @settings(max_examples=40, deadline=None)
 @given(st.text("ab ", max_size=60), st.text("ab ", max_size=8))
 def test_index_finds_all(text, item):
-    class Block:
-        value = dc.Phrases([("i", dc._split(item))], 3)
-
-    want = brute_hits([text], [("i", item)], 3)[0]
-    got = dc._judge([text], [Block])[0]
-    assert got[:3] == want
+    n, found, spans = dc._judge([text], dc.Phrases([("i", dc._split(item))], 3))[0]
+    assert (n, sum(b - a for a, b in spans), found) == brute_hits([text], [("i", item)], 3)[0]
 
 
 # ------------------------------------------------------------------ 2
