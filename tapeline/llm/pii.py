@@ -4,15 +4,17 @@ Base spans come from four patterns with their checks and always stay.  Wider can
 addresses, secrets, titled names) propose further spans.  Every candidate gets votes from four labelers: strict shape (regex), gazetteer,
 context words before it, and composition.  Expectation-maximisation over the counts of vote patterns estimates how
 reliable each labeler is (two classes, votes independent given the class); its posteriors are the soft labels of a logistic span
-classifier over the votes and the kind.  A candidate is added when that classifier gives it `threshold` or more and
-it overlaps no base span.  The pattern table is bounded by kinds times 3 ** 4 rows, whatever the corpus; only it is read by the driver.
+classifier over the kind, the votes and features of the span itself: length, share of digits, letter case, and the characters beside it.  A candidate is
+added when that classifier gives it `threshold` or more and it overlaps no base span.  The pattern table is bounded by kinds times votes times feature
+classes (under 70,000 rows, whatever the corpus); only it is read by the driver.
 
 Positions are code points.  They follow from the text between the matches (split) and the matches themselves, in order.  Quantifiers are
 possessive where no character could be given back, and a match may not start inside a run that was already tried, so that
-long runs take linear time and no stack.
+long runs take linear time and no stack.  No candidate has an upper length but those that a phone or card number has by its digits.
 
-Defined results: a null text counts as an empty one, with no spans; repeated rows are treated alike; an empty table gives an empty result;
-other columns are ignored.
+Defined results: a null text counts as an empty one, with no spans; very long texts and tokens are taken whole; repeated rows are treated alike; an
+added span never overlaps a base span, while added spans of two kinds may overlap each other and then both stay; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,37 +36,48 @@ PATTERNS = {
 }
 #: Candidates beyond the base patterns, in the order in which they are tried at a place.
 WIDER = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}+){1,4}+",
-    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,200}+[0-9])(?=[0-9]{0,200}+[A-Za-z])[A-Za-z0-9]{16,200}+(?![A-Za-z0-9])",
-    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra|Don)\.? [A-Z][a-z]{1,20}+(?: [A-Z][a-z]{1,20}+)?+(?![A-Za-z])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++",
+    "secret": r"(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]{16})(?=[A-Za-z_.-]*+[0-9])(?=[0-9_.-]*+[A-Za-z])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)*+",
+    "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra|Don)\.? \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)?+(?!\p{L})",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{2,5}\)|0[0-9]{1,4})[ /-]?[0-9]{3,8}+(?:[ -][0-9]{2,6}+){0,3}+(?![0-9])",
     "card": r"(?<![0-9.+-])[0-9]{4,6}(?:[ -]?[0-9]{4,6}){2}(?:[ -]?[0-9]{1,5})?+(?![0-9])",
 }
 #: Fixed word lists of the gazetteer and context labelers.
+NAMES = (
+    "James John Robert Michael William David Richard Joseph Thomas Charles Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen "
+    "Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Moore Jackson White Harris Clark Lewis Walker Young King Wright "
+    "Hans Peter Klaus Wolfgang Jürgen Dieter Stefan Andreas Anna Maria Ursula Monika Petra Sabine Claudia Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann "
+    "Jean Pierre Michel André Philippe Alain Marie Jeanne Françoise Monique Catherine Nathalie Dupont Martin Bernard Dubois Petit Durand Leroy Moreau Simon Laurent "
+    "José Juan Antonio Manuel Francisco Luis Carlos Miguel Carmen Josefa Isabel Ana Dolores Pilar García Fernández González Rodríguez López Martínez Sánchez Pérez Gómez Díaz"
+).split()
+MAIL_HOSTS = "gmail googlemail yahoo hotmail outlook live icloud aol proton gmx web.de t-online orange wanadoo laposte free.fr telefonica terra mail example".split()
 GAZETTEER = {
-    "email": r"(?i)(gmail|yahoo|hotmail|outlook|mail|example|proton)",
-    "secret": r"^(?:AKIA|ghp_|gho_|sk|pk|xox)",
-    "name": r"\b(?:James|Mary|John|Anna|Peter|Maria|Hans|Klaus|Jean|Marie|Pierre|Jose|Juan|Carmen|Smith|Jones|Müller|Schmidt|Dupont|Martin|Garcia|Lopez)\b",
+    "email": "(?i)(?:" + "|".join(h.replace(".", r"\.") for h in MAIL_HOSTS) + ")",
+    "secret": r"^(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|github_pat_|glpat-|sk[-_]|pk[-_]|rk[-_]|xox[a-z]-|eyJ)",
+    "name": r"(?<!\p{L})(?:" + "|".join(NAMES) + r")(?!\p{L})",
     "phone": r"^\(?0(?:800|900|30|40|89|20|15|16|17)",
     "card": r"^(?:4|5[1-5]|3[47]|6011|65)",
 }
 CONTEXT = {
     "email": r"(?i)(?:mail|contact|write|reach)",
-    "secret": r"(?i)(?:token|secret|passw|pwd|api.?key|key|auth)[\"']?\s*[=:]?\s*[\"']?$",
+    "secret": r"(?i)(?:token|secret|passw(?:or[dt])?|pwd|api.?key|key|auth)[\"']?\s*[=:]?\s*[\"']?$",
     "name": r"(?i)(?:name|dear|signed|author|contact|by)\W*$",
     "phone": r"(?i)(?:tel|phone|call|mobile|fax|handy)\W*$",
     "card": r"(?i)(?:card|visa|master|amex|credit|konto|carte|tarjeta)\W*$",
 }
 
 
+_NONE = "CAST(array() AS array<struct<kind: string, start: int, end: int, hit: string, before: string, after: string>>)"
+
+
 def _placed(text: str, pattern: str, kind: str) -> str:
-    """SQL: all matches as structs (kind, start, end, hit, before), from the texts between them."""
+    """SQL: all matches as structs (kind, start, end, hit, before, after), from the texts between them."""
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     return f"""CASE WHEN regexp_like({text}, {p}) THEN aggregate(
-        arrays_zip(slice(split({text}, {p}), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0)),
-        named_struct('at', 0, 'out', CAST(array() AS array<struct<kind: string, start: int, end: int, hit: string, before: string>>)),
+        arrays_zip(slice(split({text}, {p}), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0), slice(split({text}, {p}), 2, size(regexp_extract_all({text}, {p}, 0)))),
+        named_struct('at', 0, 'out', {_NONE}),
         (a, x) -> named_struct('at', a.at + length(x['0']) + length(x['1']),
-            'out', array_append(a.out, named_struct('kind', '{kind}', 'start', a.at + length(x['0']), 'end', a.at + length(x['0']) + length(x['1']), 'hit', x['1'], 'before', right(x['0'], 30)))),
+            'out', array_append(a.out, named_struct('kind', '{kind}', 'start', a.at + length(x['0']), 'end', a.at + length(x['0']) + length(x['1']), 'hit', x['1'], 'before', right(x['0'], 30), 'after', left(x['2'], 1)))),
         a -> a.out) END"""
 
 
@@ -80,7 +93,6 @@ _VALID = {
     "card": f"CASE WHEN length({_DIGITS}) BETWEEN 16 AND 19 THEN {_luhn(_DIGITS)} ELSE false END",
     "phone": f"length({_DIGITS}) BETWEEN 8 AND 15",
 }
-_NONE = "CAST(array() AS array<struct<kind: string, start: int, end: int, hit: string, before: string>>)"
 
 
 def _q(pattern: str) -> str:
@@ -93,8 +105,8 @@ def _by_kind(cases: dict[str, str], rest: str) -> str:
 
 _SHAPE = {
     "email": r"^[A-Za-z][A-Za-z0-9._-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+ ?[\[(]dot[\])] ?[A-Za-z]{2,}$",
-    "secret": r"^(?:[0-9a-f]{16,}|[A-Za-z0-9]{24,})$",
-    "name": r"\.? [A-Z][a-z]+ [A-Z][a-z]+$",
+    "secret": r"^(?:[0-9a-f]{16,}|[A-Za-z0-9]{24,}|[A-Za-z0-9_.-]*[A-Za-z0-9]{16,}[A-Za-z0-9_.-]*|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+)$",
+    "name": r"\.? \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+$",
     "phone": r"^(?:\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|0[0-9]{2,4}[ /-][0-9 -]{5,})$",
     "card": r"^[0-9]{4}(?:[ -][0-9]{4}){3}$",
 }
@@ -106,8 +118,18 @@ VOTES = {
 }
 
 
+#: Classes of the span itself, as small numbers.
+FEATURES = {
+    "size": "CASE WHEN length(x.hit) < 12 THEN 0 WHEN length(x.hit) < 20 THEN 1 WHEN length(x.hit) < 40 THEN 2 ELSE 3 END",
+    "digits": "least(3, (4 * length(regexp_replace(x.hit, '[^0-9]', ''))) div length(x.hit))",
+    "letters": "IF(x.hit RLIKE '[A-Z]', IF(x.hit RLIKE '[a-z]', 2, 1), 0)",
+    "left": "CASE WHEN x.before = '' OR x.before RLIKE '[ \\\\n]$' THEN 0 WHEN x.before RLIKE '[=:]$' THEN 1 WHEN x.before RLIKE '[\"\\'(<\\\\[]$' THEN 2 ELSE 3 END",
+    "right": "CASE WHEN x.after = '' OR x.after RLIKE '[ \\\\n.,;]' THEN 0 WHEN x.after RLIKE '[\"\\')>\\\\]]' THEN 1 ELSE 2 END",
+}
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base (array of kind, start, end) and wide (array of kind, start, end and the four votes); one pass over the texts, no shuffle."""
+    """doc_id, base (array of kind, start, end) and wide (array of kind, start, end, the four votes and the features); one pass over the texts, no shuffle."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     for kind in KINDS:
         guard = {"email": "contains(text, '@') AND ", "phone": "contains(text, '+') AND "}.get(kind, "")
@@ -118,8 +140,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         df = df.withColumn(f"_wide_{kind}", F.expr(_placed("text", pattern, kind)))
     wide = "concat(" + ", ".join(f"coalesce(_wide_{k}, {_NONE})" for k in WIDER) + ")"
     free = f"filter({wide}, x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))"
-    votes = ", ".join(f"'{n}', {v}" for n, v in VOTES.items())
-    return df.select("doc_id", "base", F.expr(f"transform({free}, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, {votes}))").alias("wide"))
+    more = ", ".join(f"'{n}', CAST({v} AS INT)" for n, v in {**VOTES, **FEATURES}.items())
+    return df.select("doc_id", "base", F.expr(f"transform({free}, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, {more}))").alias("wide"))
 
 
 def em(counts: dict[tuple, int], rounds: int = 50) -> dict[tuple, float]:
@@ -150,29 +172,36 @@ def em(counts: dict[tuple, int], rounds: int = 50) -> dict[tuple, float]:
 
 
 def span_classifier(counts: dict[tuple, int], post: dict[tuple, float], rounds: int = 400, ridge: float = 0.01) -> dict[tuple, float]:
-    """Weights of a logistic model over indicators (kind and votes), fitted to the soft labels by gradient steps; one weight per pattern count."""
-    names = {("kind", k[0]) for k in counts} | {(j, v) for k in counts for j, v in enumerate(k[1:]) if v}
-    w = dict.fromkeys(sorted(names, key=str), 0.0)
-    total = sum(counts.values()) or 1
-    feats = {k: [("kind", k[0]), *((j, v) for j, v in enumerate(k[1:]) if v)] for k in counts}
+    """Weights of a logistic model over indicators (kind, votes, features), fitted to the soft labels by gradient steps, each pattern by its count.
+
+    counts: by (kind, votes..., features...); post: by (kind, votes...)."""
+    import numpy as np
+
+    columns = ["kind", *VOTES, *FEATURES]
+    names = sorted({(c, v) for k in counts for c, v in zip(columns, k, strict=True) if c not in VOTES or v}, key=str)
+    at = {f: i for i, f in enumerate(names)}
+    x = np.zeros((len(counts), len(names)))
+    for row, k in enumerate(counts):
+        x[row, [at[f] for f in zip(columns, k, strict=True) if f in at]] = 1
+    y = np.array([post[k[: 1 + len(VOTES)]] for k in counts])
+    share = np.array(list(counts.values()), float) / (sum(counts.values()) or 1)
+    w = np.zeros(len(names))
     for _ in range(rounds):
-        grad = {f: -ridge * x for f, x in w.items()}
-        for k, m in counts.items():
-            p = 1 / (1 + math.exp(-max(-50.0, min(50.0, sum(w[f] for f in feats[k])))))
-            for f in feats[k]:
-                grad[f] += m / total * (post[k] - p)
-        for f in w:
-            w[f] += 2.0 * grad[f]
-    return w
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        w += x.T @ (share * (y - p)) - ridge * w
+    return dict(zip(names, w.tolist(), strict=True))
 
 
 def find_pii(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     """doc_id, base and added: arrays of (kind, start, end)."""
     found = saved(candidates(docs), "candidates")
-    x = found.select(F.explode("wide").alias("x")).select("x.kind", *(f"x.{v}" for v in VOTES))
-    counts = {(r["kind"], *(r[v] for v in VOTES)): r["count"] for r in x.groupBy("kind", *VOTES).count().collect()}  # at most kinds * 81 rows
-    w = span_classifier(counts, em(counts))
-    logit = " + ".join(["0.0D", *(f"IF(x.kind = '{f[1]}', {v!r}D, 0.0D)" if f[0] == "kind" else f"IF(x.{list(VOTES)[f[0]]} = {f[1]}, {v!r}D, 0.0D)" for f, v in w.items())])
+    x = found.select(F.explode("wide").alias("x")).select("x.kind", *(f"x.{v}" for v in (*VOTES, *FEATURES)))
+    counts = {tuple(r)[:-1]: r["count"] for r in x.groupBy("kind", *VOTES, *FEATURES).count().orderBy("kind", *VOTES, *FEATURES).collect()}  # bounded, see above
+    votes: dict[tuple, int] = {}
+    for k, m in counts.items():
+        votes[k[: 1 + len(VOTES)]] = votes.get(k[: 1 + len(VOTES)], 0) + m
+    w = span_classifier(counts, em(votes))
+    logit = " + ".join(["0.0D", *(f"IF(x.{c} = {repr(v)}, {weight!r}D, 0.0D)" for (c, v), weight in w.items())])
     cut = math.log(threshold / (1 - threshold))
     added = F.expr(f"transform(filter(wide, x -> {logit} >= {cut!r}D), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))")
     return found.select("doc_id", "base", added.alias("added"))
@@ -187,4 +216,4 @@ def _written(spans: str) -> str:
 def op6_pii(spark, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"CAST(size(filter(base, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.expr(_written("base")).cast("binary"), 256).alias("base_sha256"), F.expr(_written("concat(base, added)")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.expr(_written("base")).cast("binary"), 256).alias("base_sha256"), F.expr(_written("concat(base, added)")).alias("spans"), F.expr("CAST(size(base) + size(added) AS BIGINT)").alias("n_spans"))

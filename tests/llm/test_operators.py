@@ -371,11 +371,38 @@ def test_pii(spark, docs, none):
 
 
 def test_em_finds_the_reliable_labeler():
-    counts = {("k", 1, 1, 1): 100, ("k", -1, -1, 1): 100, ("k", 1, 1, -1): 90, ("k", -1, -1, -1): 110}
+    counts = {("secret", 1, 1, 1, 0): 100, ("secret", -1, -1, 1, 0): 100, ("secret", 1, 1, -1, 0): 90, ("secret", -1, -1, -1, 0): 110}
     post = pii.em(counts)
-    assert min(post["k", 1, 1, 1], post["k", 1, 1, -1]) > 0.9 and max(post["k", -1, -1, 1], post["k", -1, -1, -1]) < 0.1
-    w = pii.span_classifier(counts, post)
-    assert w[0, 1] > 0 > w[0, -1]
+    assert min(post["secret", 1, 1, 1, 0], post["secret", 1, 1, -1, 0]) > 0.9 and max(post["secret", -1, -1, 1, 0], post["secret", -1, -1, -1, 0]) < 0.1
+    features = (2, 1, 2, 1, 0)
+    w = pii.span_classifier({k + features: n for k, n in counts.items()}, post)
+    assert w["shape", 1] > 0 > w["shape", -1] and ("left", 1) in w
+
+
+def test_added_spans(spark):
+    """Which wider candidates are added and which are not, by what was planted."""
+    rng = random.Random(9)
+    token = lambda n, chars="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choices(chars, k=n - 2)) + "7q"
+    rows, want, never = [], {}, {}
+
+    def put(text, mark, kind, yes=True):
+        i = len(rows)
+        rows.append((i, text))
+        start = text.index(mark)
+        (want if yes else never)[i] = f"{kind}:{start}:{start + len(mark)}"
+
+    for _ in range(60):
+        put(f"set api_key={(t := token(rng.choice((24, 40, 300, 5000))))} in the file", t, "secret")
+        put(f'token: "{(t := "ghp_" + token(36))}" leaked', t, "secret")
+        put(f"password={(t := token(20) + '-' + token(22) + '_' + token(9))}; done", t, "secret")
+        put(f"she met {(t := 'Dr. ' + rng.choice(pii.NAMES) + ' ' + rng.choice(pii.NAMES))} there, name", t, "name")
+        put(f"see covid-19-vaccination-rates-{rng.choice(['north', 'south'])} and more", "covid-19-vaccination-rates", "secret", False)
+        put(f"part no {(t := 'section-' + str(rng.randint(1, 9)) + '-of-the-manual')} says", t, "secret", False)
+    rows += [(len(rows), None), (len(rows) + 1, "")]
+    got = {r.doc_id: set(r.spans.split(",")) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.F.expr(pii._written("added")).alias("spans")).collect()}
+    assert all(x in got[i] for i, x in want.items() if x.startswith("secret")), [(rows[i], got[i]) for i, x in want.items() if x not in got[i]][:3]
+    assert all(x in got[i] for i, x in want.items()), [(rows[i], got[i]) for i, x in want.items() if x not in got[i]][:3]
+    assert not any(any(y.startswith("secret") for y in got[i]) for i in never), [(rows[i], got[i]) for i in never if got[i] != {""}][:3]
 
 
 # ------------------------------------------------------------------ 7
