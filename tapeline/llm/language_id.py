@@ -8,11 +8,12 @@ Training reads documents whose crc32(doc_id) mod 4 is not 2, about `train_docs`
 Their words are counted in Spark by (language, word); each round sums expected counts in Spark, and the driver gets one row per language and piece
 of the vocabulary.  Scoring is one pass over all whole texts without a shuffle; words that come again are looked up.
 
-Words are runs of letters, lower-cased, and stretches of over 32 letters are cut there (a double holds their product).  A letter that is no
-piece has a small fixed probability in every language.
+Words are runs of letters (`str.isalpha`: no digits, number signs or marks), lower-cased, of any length; the passes are rescaled every few letters, so
+that no product leaves the range of a double.  A letter that is no piece has a small fixed probability in every language.
 
-Defined results: null texts and texts without a letter are `und` with score 0; equal scores go to the first language by name; null languages
-do not train; without any training row all is `und`; repeated rows are alike; extra columns are ignored.
+Defined results: null texts and texts without a letter are `und` with score 0; very long texts and words are taken whole; equal scores go to the first
+language by name; null languages do not train; without any training row all is `und`; repeated rows are alike; an empty table gives an empty result;
+extra columns are ignored, whatever their names.  The vocabulary file must be at the path given on the driver; its pieces travel from there.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-_LETTERS = re.compile(r"[^\W\d_]{1,32}")
+_LETTERS = re.compile(r"[^\W\d_]+")  # letters, and the number signs that `_words` takes out
+_STEP = 16  # letters between two rescalings
 _BASE = np.uint64(0x100000001B3)
 _UNKNOWN = 1e-8
 _MARK = "▁"
@@ -41,14 +43,14 @@ def pieces_of(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return sorted({p.lower() for p in plain if re.fullmatch(rf"{_MARK}?[^\W\d_]*", p) and p and len(p) <= 17})
+    return sorted({p.lower() for p in plain if p and (p == _MARK or p.removeprefix(_MARK).isalpha())})
 
 
-def _hashes(codes: np.ndarray) -> list[np.ndarray]:
-    """Prefix hashes of the rows of a matrix of code points."""
-    out = [np.zeros(len(codes), np.uint64)]
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    """Row k: the hashes of the first k letters of the words in the rows of a matrix of code points."""
+    out = np.zeros((codes.shape[1] + 1, len(codes)), np.uint64)
     for k in range(codes.shape[1]):
-        out.append(out[-1] * _BASE + codes[:, k].astype(np.uint64) + np.uint64(1))
+        out[k + 1] = out[k] * _BASE + codes[:, k].astype(np.uint64) + np.uint64(1)
     return out
 
 
@@ -64,54 +66,93 @@ class Pieces:
         self.row = np.argsort(h)
         self.hash = h[self.row]
         self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
+        self.power = [np.uint64(pow(int(_BASE), k, 1 << 64)) for k in range(self.longest + 1)]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Row of each hash, -1 where no piece has it."""
         at = np.minimum(np.searchsorted(self.hash, h), max(self.n - 1, 0))
         return np.where(self.hash[at] == h, self.row[at], -1) if self.n else np.full(len(h), -1)
 
-    def edges(self, words: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """For words of one length: (from, to, words that have a piece there, the piece; -1: an unknown letter)."""
+    def edges(self, words: list[str], *, back: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For words of one length: (from, to, words that have a piece there, the piece; -1: an unknown letter), `to` rising, or falling with back."""
         n = len(words[0])
-        pre, out = _hashes(_codes(words, n)), []
-        power = [np.uint64(pow(int(_BASE), k, 1 << 64)) for k in range(n + 1)]
-        for j in range(1, n + 1):
+        pre = _hashes(_codes(words, n))
+        every = np.arange(len(words))
+        for j in range(n, 0, -1) if back else range(1, n + 1):
             for i in range(max(0, j - self.longest), j):
-                piece = self.find(pre[j] - pre[i] * power[j - i])
-                who = np.arange(len(words)) if i == j - 1 else np.flatnonzero(piece >= 0)
+                piece = self.find(pre[j] - pre[i] * self.power[j - i])
+                who = every if i == j - 1 else np.flatnonzero(piece >= 0)
                 if len(who):
-                    out.append((i, j, who, piece[who]))
-        return out
+                    yield i, j, who, piece[who]
 
 
-def forward(edges: list, n: int, m: int, theta: np.ndarray) -> list[np.ndarray]:
-    """alpha[j]: words x languages, the summed probability of all ways to cut the first j letters. theta's last row is the unknown letter's."""
-    alpha = [np.zeros((m, theta.shape[1])) for _ in range(n + 1)]
-    alpha[0][:] = 1
+def log_total(edges: Iterator, n: int, m: int, theta: np.ndarray, longest: int) -> np.ndarray:
+    """words x languages: log of the summed probability of all ways to cut the n letters. theta's last row is the unknown letter's."""
+    alpha: dict[int, np.ndarray] = {0: np.ones((m, theta.shape[1]))}
+    off = np.zeros((m, theta.shape[1]))
     for i, j, who, piece in edges:
+        if j not in alpha:
+            if j > _STEP and j % _STEP == 1:
+                off += np.log(alpha[j - 1])
+                alpha = {k: alpha[k] / alpha[j - 1] for k in range(max(0, j - longest), j)}
+            alpha[j] = np.zeros_like(off)
         alpha[j][who] += alpha[i][who] * theta[piece]
-    return alpha
+    return np.log(alpha[n]) + off
+
+
+def expected_counts(pieces: Pieces, words: list[str], weight: np.ndarray, own: np.ndarray, theta: np.ndarray, total: np.ndarray) -> None:
+    """Add to total (pieces x languages) how often each piece is expected in the words, each by its weight, in the language `own`."""
+    n, m = len(words[0]), len(words)
+    alpha, beta = np.zeros((n + 1, m)), np.zeros((n + 1, m))
+    up, down = np.zeros((n + 1, m)), np.zeros((n + 1, m))  # logs of what the rows were divided by
+    alpha[0], beta[n] = 1, 1
+    at = 0
+    for i, j, who, piece in pieces.edges(words):
+        if j != at:
+            if j > _STEP and j % _STEP == 1:
+                k, f = max(0, j - pieces.longest), alpha[j - 1].copy()
+                alpha[k:j] /= f
+                up[k:j] += np.log(f)
+            at, up[j] = j, up[j - 1]
+        alpha[j, who] += alpha[i, who] * theta[piece, own[who]]
+    whole = np.log(alpha[n]) + up[n]
+    at = 0
+    for i, j, who, piece in pieces.edges(words, back=True):
+        if j != at:
+            k = max(0, j - pieces.longest)
+            if j < n and (n - j) % _STEP == 0:
+                f = beta[j].copy()
+                beta[k : j + 1] /= f
+                down[k : j + 1] += np.log(f)
+            at, down[k] = j, down[j]
+        step = theta[piece, own[who]] * beta[j, who]
+        beta[i, who] += step
+        np.add.at(total, (piece, own[who]), alpha[i, who] * step * np.exp(up[i, who] + down[j, who] - whole[who]) * weight[who])
 
 
 def by_length(words: list[str]) -> Iterator[tuple[list[str], list[int]]]:
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         groups.setdefault(len(w), []).append(k)
-    for at in groups.values():
-        for s in range(0, len(at), 4000):
-            yield [words[k] for k in at[s : s + 4000]], at[s : s + 4000]
+    for n, at in groups.items():
+        size = max(1, min(4000, 500_000 // n))
+        for s in range(0, len(at), size):
+            yield [words[k] for k in at[s : s + size]], at[s : s + size]
 
 
 def word_logs(words: list[str], pieces: Pieces, theta: np.ndarray) -> np.ndarray:
     """Words x languages: log of the summed probability."""
     out = np.zeros((len(words), theta.shape[1]))
     for group, at in by_length(words):
-        out[at] = np.log(forward(pieces.edges(group), len(group[0]), len(group), theta)[-1])
+        out[at] = log_total(pieces.edges(group), len(group[0]), len(group), theta, pieces.longest)
     return out
 
 
 def _words(text: str | None) -> list[str]:
-    return [_MARK + w for w in _LETTERS.findall(text.lower())] if text else []
+    found = _LETTERS.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, found)):
+        found = [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
+    return [_MARK + w for w in found]
 
 
 def train(docs: DataFrame, pieces: list[str], *, train_docs: int, rounds: int) -> tuple[list[str], np.ndarray] | None:
@@ -144,18 +185,7 @@ def train(docs: DataFrame, pieces: list[str], *, train_docs: int, rounds: int) -
             for batch in batches:
                 words, weight, lang = batch.column(1).to_pylist(), batch.column(2).to_numpy(), np.array([where[x] for x in batch.column(0).to_pylist()], np.int64)
                 for group, at in by_length(words):
-                    m, n, own = len(group), len(group[0]), lang[at]
-                    edges = known.edges(group)
-                    th = [theta[piece, own[who]] for _, _, who, piece in edges]
-                    alpha, beta = np.zeros((n + 1, m)), np.zeros((n + 1, m))
-                    alpha[0], beta[n] = 1, 1
-                    for (i, j, who, _), t in zip(edges, th, strict=True):
-                        alpha[j, who] += alpha[i, who] * t
-                    for (i, j, who, _), t in zip(reversed(edges), reversed(th), strict=True):
-                        beta[i, who] += beta[j, who] * t
-                    scale = weight[at] / alpha[n]
-                    for (i, j, who, piece), t in zip(edges, th, strict=True):
-                        np.add.at(total, (piece, own[who]), alpha[i, who] * t * beta[j, who] * scale[who])
+                    expected_counts(known, group, weight[at], lang[at], theta, total)
             p, k = np.nonzero(total[:-1] > 0)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(total[p, k])], ["p", "k", "c"])
 
@@ -177,16 +207,17 @@ def identify(docs: DataFrame, *, vocabulary: str = VOCABULARY, train_docs: int =
         known, fitted = shared.value
         langs, theta = fitted or ([], None)
         cache: dict[str, int] = {}
-        logs = np.zeros((0, len(langs)))
+        logs, letters = np.zeros((0, len(langs))), 0
         for whole in batches:
             for s in range(0, whole.num_rows, 500):
                 batch = whole.slice(s, 500)
                 names, best = [], []
                 texts = [_words(t) if langs else [] for t in batch.column(2).to_pylist()]
-                if len(cache) > remembered:
-                    cache, logs = {}, np.zeros((0, len(langs)))
+                if len(cache) > remembered or letters > 20 * remembered:
+                    cache, logs, letters = {}, np.zeros((0, len(langs))), 0
                 fresh = list(dict.fromkeys(w for ws in texts for w in ws if w not in cache))
                 if fresh:
+                    letters += sum(map(len, fresh))
                     cache.update(zip(fresh, range(len(cache), len(cache) + len(fresh)), strict=True))
                     logs = np.vstack([logs, word_logs(fresh, known, theta)])
                 for ws in texts:

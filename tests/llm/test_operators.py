@@ -508,10 +508,10 @@ def test_languages(spark, none):
     rng = random.Random(9)
     parts = {"en": ["the", "tion", "ing", "wh", "and"], "de": ["sch", "ung", "keit", "der", "ü"], "fr": ["eau", "tion", "é", "ou", "le"]}
     rows = [(i, " ".join("".join(rng.choices(parts[k], k=rng.randint(1, 4))) for _ in range(30)) + ".", k) for i in range(600) for k in [rng.choice(list(parts))]]
-    rows += [(9000, None, "en"), (9001, "", "en"), (9002, "12 34 !", "de"), (9003, "日本", None), (9004, "a" * 5000, "en"), rows[0]]
+    rows += [(9000, None, "en"), (9001, "", "en"), (9002, "12 34 !", "de"), (9003, "日本", None), (9004, "a" * 5000, "en"), (9005, "² ½ Ⅻ ٣", "en"), rows[0]]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, score string")
     got = {r.doc_id: r for r in language_id.identify(df, train_docs=100).collect()}
-    assert [got[k].lang_pred for k in (9000, 9001, 9002)] == ["und"] * 3 and got[9000].score == 0
+    assert [got[k].lang_pred for k in (9000, 9001, 9002, 9005)] == ["und"] * 4 and got[9004].lang_pred != "und" and got[9000].score == 0
     held = [r for r in rows[:600] if got[r[0]].held_out]
     assert all(got[r[0]].held_out == (zlib.crc32(str(r[0]).encode()) % 4 == 2) for r in rows)
     assert sum(got[r[0]].lang_pred == r[2] for r in held) / len(held) > 0.97
@@ -528,3 +528,61 @@ def test_forward_sums_all_segmentations():
     want = p["▁"] * (p["a"] * p["b"] + p["ab"]) + p["▁a"] * p["b"]
     assert np.exp(language_id.word_logs(["▁ab"], known, theta))[0, 0] == pytest.approx(want)
     assert np.exp(language_id.word_logs(["▁z"], known, theta))[0, 0] == pytest.approx(p["▁"] * 1e-8)
+
+
+def cuts(word, pieces, longest=16):
+    """All ways to cut a word into pieces; a letter that is no piece is None."""
+    if not word:
+        return [[]]
+    out = [[word[:1] if word[:1] in pieces else None] + rest for rest in cuts(word[1:], pieces)]
+    return out + [[word[:k]] + rest for k in range(2, min(longest, len(word)) + 1) if word[:k] in pieces for rest in cuts(word[k:], pieces)]
+
+
+def test_languages_against_all_cuts(spark, monkeypatch):
+    """Training and scores by enumeration of every segmentation."""
+    import math
+
+    pieces = sorted(["a", "b", "c", "ab", "bc", "abc", "▁", "▁a", "▁ab", "ca"])
+    monkeypatch.setattr(language_id, "pieces_of", lambda path: pieces)
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices("abcz" if i % 2 else "aabc", k=rng.randint(1, 6))) for _ in range(6)) + " 1²", ["x", "y"][i % 2]) for i in range(60)]
+    rows += [(60, "Abc, ABC", None), (61, "cab½bac", "x")]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    words = {i: ["▁" + w for w in re.findall("[a-z]+", t.lower())] for i, t, _ in rows}
+    theta = {k: dict.fromkeys(pieces, 1 / (len(pieces) + 1)) | {None: 1e-8} for k in "xy"}
+    for _ in range(2):
+        new = {k: dict.fromkeys(pieces, 0.05) for k in "xy"}
+        for i, _, lang in rows:
+            if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+                for w in words[i]:
+                    ways = [(math.prod(theta[lang][p] for p in c), c) for c in cuts(w, pieces)]
+                    for p, c in ways:
+                        for x in c:
+                            if x is not None:
+                                new[lang][x] += p / sum(q for q, _ in ways)
+        theta = {k: {p: v / sum(new[k].values()) * (1 - 1e-8) for p, v in new[k].items()} | {None: 1e-8} for k in "xy"}
+    for i, _, _ in rows:
+        log = {k: sum(math.log(sum(math.prod(theta[k][p] for p in c) for c in cuts(w, pieces))) for w in words[i]) for k in "xy"}
+        best = max(log, key=log.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(1 / sum(math.exp(v - log[best]) for v in log.values()))
+
+
+def test_long_words_do_not_underflow():
+    import numpy as np
+
+    pieces = ["a", "ab", "b", "▁"]
+    known = language_id.Pieces(pieces)
+    theta = np.array([[0.3, 0.1], [0.2, 0.3], [0.2, 0.2], [0.1, 0.1], [1e-8, 1e-8]])
+    for word in ("▁" + "ab" * 9, "▁" + "z" * 30, "▁" + "abz" * 2000):
+        logs = []
+        for k in (0, 1):
+            a, off, prob = [1.0], 0.0, dict(zip(pieces, theta[:-1, k], strict=True))
+            for j in range(1, len(word) + 1):
+                v = a[-1] * prob.get(word[j - 1], 1e-8) + (a[-2] * prob.get(word[j - 2 : j], 0.0) if j > 1 else 0.0)
+                off += np.log(v)
+                a = [a[-1] / v, 1.0]
+            logs.append(off)
+        assert language_id.word_logs([word, word], known, theta)[1] == pytest.approx(logs)
+        total, one = np.zeros(theta.shape), np.array([1.0])
+        language_id.expected_counts(known, [word], one, np.array([0]), theta, total)
+        assert sum(total[known_row, 0] * len(p) for known_row, p in enumerate([*pieces, "z"])) == pytest.approx(len(word))
