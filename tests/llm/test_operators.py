@@ -11,6 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tapeline.llm import common
 from tapeline.llm import decontaminate as dc
 from tapeline.llm import language_id, line_dedup, mixing, neardup, pii, quality_model, quality_rules, sharding, token_counts
 
@@ -48,6 +49,17 @@ def none(docs):
     return docs.limit(0)
 
 
+def test_bitmap_passes_all_ids_and_few_others(spark, monkeypatch):
+    df = spark.range(20_000).toDF("doc_id")
+    for few, most in ((10, 28), (3, 5)):  # five bits are all set: everything passes
+        monkeypatch.setattr(common, "FEWEST_BITS", few)
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        marks = common.bitmap(df.where("doc_id % 7 = 0"), "doc_id")
+        hit, rest = (common.maybe_among(df, df["doc_id"], marks, among=a) for a in (True, False))
+        assert hit.count() + rest.count() == 20_000 and rest.where("doc_id % 7 = 0").count() == 0
+        assert hit.count() < 5000 if most == 28 else hit.count() == 20_000
+
+
 # ------------------------------------------------------------------ 1
 
 
@@ -426,6 +438,14 @@ def test_quality_rules(docs, none):
     assert quality_rules.judge_quality(none).count() == 0
 
 
+def test_quality_filter_stands_above_its_arrays(spark):
+    df = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, _w string")
+    plan = quality_rules.drop_low_quality(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter (isnotnull(kept") < plan.index("sort_array")
+    judged = quality_rules.judge_quality(df)
+    assert judged.columns[:3] == ["doc_id", "text", "_w"] and judged.first()["_w"] == "x"
+
+
 def test_line_rules(spark):
     prose = " ".join(f"Sentence number {i} has word{i}, thing{i} and more{i}." for i in range(12))  # no three words come twice
     rows = [(1, prose + "\nHome | About | Contact | Login\nRead more"), (2, "\n".join(["a b c d e f g h i j k"] * 3 + [f"nav {i} | x | y | z" for i in range(30)]) + "\nok then."), (3, "###" * 5 + " hi there")]
