@@ -101,7 +101,7 @@ def phrase_blocks(benchmark: DataFrame, window: int, block_words: int) -> DataFr
     pieces = saved(benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(lambda b: _pieces(b, window, max(block_words // 4, 2 * window)), "item string, words binary"), "pieces")
     total = pieces.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-total // (6 * block_words)))  # a word and its space have about six bytes; a part of more words makes more blocks
-    made = pieces.repartition(parts, F.xxhash64("item", "words")).mapInArrow(lambda b: _tables(b, window, block_words), "phrases binary")
+    made = pieces.repartition(parts).mapInArrow(lambda b: _tables(b, window, block_words), "phrases binary")
     out = saved(made.select(F.monotonically_increasing_id().alias("no"), "phrases"), "blocks")
     spent(pieces)
     return out
