@@ -62,9 +62,15 @@ _CELL = 32768  # bits of one row of the bitmap
 def bitmap(ids: DataFrame, column: str) -> tuple[DataFrame, int]:
     """The hashes of the ids as a table of bits, and its number of bits: about sixteen for each id, MOST_BITS at most. Ids are dealt by cell first, so a task makes only its own cells."""
     bits = 1 << min(MOST_BITS, max(FEWEST_BITS, (16 * ids.count()).bit_length()))
-    place = F.pmod(F.xxhash64(column, F.lit(77)), F.lit(bits))
-    rows = ids.select(F.floor(place / _CELL).cast("long").alias("_cell"), (place % _CELL).alias("_bit"))
-    return rows.repartition("_cell").groupBy("_cell").agg(F.bitmap_construct_agg("_bit").alias("_bits")), bits
+    rows = ids.select(_place(F.col(column), bits).alias("_p")).select(F.shiftright("_p", 15).alias("_cell"), F.col("_p").bitwiseAND(_CELL - 1).alias("_bit"))
+    cells = rows.repartition("_cell").groupBy("_cell").agg(F.bitmap_construct_agg("_bit").alias("_b"))
+    # as numbers of 32 bits, which are cheap to look up
+    whole = f"transform(sequence(0, {_CELL // 32 - 1}), i -> CAST(conv(hex(substring(_b, 4 * i + 1, 4)), 16, 10) AS BIGINT))"
+    return cells.select("_cell", F.expr(f"transform({whole}, v -> CAST(IF(v >= 2147483648, v - 4294967296, v) AS INT))").alias("_bits")), bits
+
+
+def _place(column: Column, bits: int) -> Column:
+    return F.xxhash64(column, F.lit(77)).bitwiseAND(F.lit(bits - 1).cast("long"))
 
 
 def maybe_among(df: DataFrame, column: Column, marks: tuple[DataFrame, int], *, among: bool = True) -> DataFrame:
@@ -72,11 +78,9 @@ def maybe_among(df: DataFrame, column: Column, marks: tuple[DataFrame, int], *,
 
     It only spares an exact join rows that it cannot need: a full bitmap lets all rows pass."""
     rows, bits = marks
-    place = F.pmod(F.xxhash64(column, F.lit(77)), F.lit(bits))
-    bit = F.expr("CAST(conv(hex(substring(_bits, CAST(_place % 32768 AS INT) div 8 + 1, 1)), 16, 10) AS INT) & shiftleft(1, CAST(_place % 8 AS INT))")
-    own = df.withColumn("_place", place)
-    kind = "left_semi" if among else "left_anti"
-    return own.join(F.broadcast(rows), (F.floor(F.col("_place") / _CELL).cast("long") == F.col("_cell")) & (bit != 0), kind).drop("_place")
+    own = df.withColumn("_place", _place(column, bits))
+    marked = F.expr("(shiftright(_bits[CAST(shiftright(_place, 5) & 1023 AS INT)], CAST(24 - (_place & 24) + (_place & 7) AS INT)) & 1) = 1")  # bytes are in order, bits in a byte from the lowest
+    return own.join(F.broadcast(rows), (F.shiftright("_place", 15) == F.col("_cell")) & marked, "left_semi" if among else "left_anti").drop("_place")
 
 
 def lowered(text):

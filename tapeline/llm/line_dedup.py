@@ -157,14 +157,15 @@ def line_classes(docs: DataFrame, *, distance: int = 2, min_chars: int | None =
     distinct = saved(distinct, "lines")
     long = distinct.where(F.length("line") >= max(min_chars or 0, distance + 1)).select("line", "doc", "pos", "sig")
     kind = "key long, doc long, pos int, sig long, own boolean"
-    index = long.mapInArrow(lambda b: _cut(b, distance, False), kind).drop("own").toDF("key", "xd", "xp", "xs")
+    every = saved(long.mapInArrow(lambda b: _cut(b, distance, False), kind).drop("own").toDF("key", "xd", "xp", "xs"), "all-segments")
     # keys of the index, and as other numbers those that several lines have: what a line's own segment must find
-    counts = saved(index.groupBy("key").agg(F.count("*").cast("int").alias("n")), "segment-keys")
+    counts = saved(every.groupBy("key").agg(F.count("*").cast("int").alias("n")), "segment-keys")
     with_others = F.xxhash64("key", F.lit("several"))
     marks = bitmap(counts.select("key").union(counts.where("n > 1").select(with_others)), "key")
     probe = maybe_among(long.mapInArrow(lambda b: _cut(b, distance, True), kind), F.when(F.col("own"), with_others).otherwise(F.col("key")), marks)
     probe = saved(probe.select("key", F.col("doc").alias("yd"), F.col("pos").alias("yp"), F.col("sig").alias("ys")), "probes")
-    index = saved(maybe_among(index, F.col("key"), bitmap(probe.select("key").distinct(), "key")), "segments")
+    index = saved(maybe_among(every, F.col("key"), bitmap(probe.select("key").distinct(), "key")), "segments")
+    spent(every)
     often = counts.where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("s"))
     near_bits = (F.bit_count(F.col("xs").bitwiseXOR(F.col("ys"))) <= 4 * distance) & ((F.col("xd") != F.col("yd")) | (F.col("xp") != F.col("yp")))
     if often.isEmpty():
