@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import bitmap, maybe_among, saved, spent, table
 from .neardup import components
 
+_PLACES = 1 << 31  # more lines than an array of them can have
 TRIM = " \t\n\x0b\x0c\r"
 
 
@@ -152,8 +153,10 @@ def line_classes(docs: DataFrame, *, distance: int = 2, min_chars: int | None =
         raise ValueError("distance must be from 0 to 31: the verification's band has 64 diagonals")
     trimmed = F.trim(F.col("line"), F.lit(TRIM))
     lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc", "pos", trimmed.alias("line")).where("line <> ''")
-    distinct = lines.groupBy("line").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n"))
-    distinct = distinct.select("line", "first.doc", "first.pos", "n").mapInArrow(_signed, "line string, doc long, pos int, n long, sig long")
+    place = F.col("doc").cast("decimal(38,0)") * F.lit(_PLACES).cast("decimal(18,0)") + F.col("pos")  # doc and pos as one number, which a hash aggregation can hold
+    distinct = lines.groupBy("line").agg(F.min(place.cast("decimal(38,0)")).alias("first"), F.count("*").alias("n"))
+    doc = F.floor(F.col("first") / F.lit(_PLACES).cast("decimal(18,0)")).cast("long")
+    distinct = distinct.select("line", doc.alias("doc"), (F.col("first") - doc.cast("decimal(38,0)") * F.lit(_PLACES).cast("decimal(18,0)")).cast("int").alias("pos"), "n").mapInArrow(_signed, "line string, doc long, pos int, n long, sig long")
     distinct = saved(distinct, "lines")
     long = distinct.where(F.length("line") >= max(min_chars or 0, distance + 1)).select("line", "doc", "pos", "sig")
     kind = "key long, doc long, pos int, sig long, own boolean"
@@ -178,24 +181,30 @@ def line_classes(docs: DataFrame, *, distance: int = 2, min_chars: int | None =
     pairs = saved(met.where(near_bits).select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct(), "line-pairs")
     spent(counts, probe, index)
     distinct = distinct.select("line", "n", F.struct("doc", "pos").alias("first"))
-    text = distinct.select("first", "line")
+    # only lines of a pair are fetched and joined any further
+    members = saved(pairs.select(F.col("x").alias("first")).union(pairs.select("y")).distinct(), "line-members")
+    marks = bitmap(members, "first")
+    some = saved(maybe_among(distinct, F.col("first"), marks), "lines-of-pairs")
+    text = some.select("first", "line")
     both = pairs.join(text.toDF("x", "a"), "x").join(text.toDF("y", "b"), "y").select("x", "y", "a", "b")
     node = "struct<doc: bigint, pos: int>"
     links = saved(both.mapInArrow(lambda b: _near(b, distance), f"x {node}, y {node}"), "line-links")
     labels = components(links)
     spent(pairs)
     degree = links.select(F.col("x").alias("first")).union(links.select("y")).groupBy("first").agg(F.count("*").alias("n_links"))
-    return distinct.join(labels.withColumnRenamed("node", "first"), "first", "left").join(degree, "first", "left").select("line", "n", "first", F.coalesce("label", "first").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = some.join(labels.withColumnRenamed("node", "first"), "first", "left").join(degree, "first", "left").select("line", "n", "first", F.coalesce("label", "first").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return linked.union(maybe_among(distinct, F.col("first"), marks, among=False).select("line", "n", "first", F.col("first").alias("class"), F.lit(0).cast("long").alias("n_links")))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, n_lines (not blank), n_removed, class_id (smallest doc_id that its lines' classes begin in), n_links (of its lines to other lines), removed (line numbers taken out)."""
-    classes = line_classes(docs, **options).where("n > 1 OR n_links > 0").select("line", "class", "n_links")
+    classes = saved(line_classes(docs, **options).where("n > 1 OR n_links > 0").select(F.md5(F.col("line").cast("binary")).alias("h"), "class", "n_links", F.xxhash64("line").alias("_x")), "line-classes")
     trimmed = F.trim(F.col("line"), F.lit(TRIM))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # only lines of classes with several occurrences travel; their hash stands for the text until both sides meet
-    occ = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", F.md5(trimmed.cast("binary")).alias("h"))
-    hit = occ.join(classes.select(F.md5(F.col("line").cast("binary")).alias("h"), "class", "n_links"), "h")
+    occ = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", trimmed.alias("line"))
+    occ = maybe_among(occ, F.xxhash64("line"), bitmap(classes, "_x")).select("doc_id", "pos", F.md5(F.col("line").cast("binary")).alias("h"))
+    hit = occ.join(classes.drop("_x"), "h")
     per = hit.groupBy("doc_id").agg(F.min("class.doc").alias("class_id"), F.sum("n_links").alias("n_links"), F.sort_array(F.collect_set(F.when((F.col("class.doc") != F.col("doc_id")) | (F.col("class.pos") != F.col("pos")), F.col("pos")))).alias("removed"))
     n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x, F.lit(TRIM)) != ""))
     out = docs.select("doc_id", n_lines.cast("long").alias("n_lines")).join(per, "doc_id", "left")
