@@ -64,6 +64,18 @@ def t_two_sided(t: Column, df: Column) -> Column:
     return beta_inc(v / 2, F.lit(0.5), v / (v + t * t))
 
 
+def t_quantile(p: Column, df: Column) -> Column:
+    """The value that a t variable stays below with chance p (0.5 or more), by bisection."""
+    low_high = F.struct(F.lit(0.0).alias("a"), F.lit(1000.0).alias("b"))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = (s["a"] + s["b"]) / 2
+        high = t_two_sided(mid, df) / 2 > 1 - p
+        return F.struct(F.when(high, mid).otherwise(s["a"]).alias("a"), F.when(high, s["b"]).otherwise(mid).alias("b"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(50)), low_high, step, lambda s: (s["a"] + s["b"]) / 2)
+
+
 def binomial_at_least(k: Column, n: Column) -> Column:
     """Chance of k or more of n even coin tosses."""
     k, n = k.cast("double"), n.cast("double")

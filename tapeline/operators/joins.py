@@ -49,6 +49,26 @@ def nearest(left: DataFrame, right: DataFrame, *, keys: dict[str, str], left_tim
     return out.select(*left.columns, best.alias("nearest"))
 
 
+def filled_from(left: DataFrame, companion: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Left with its missing values of `columns` taken from the companion table's row of the same key."""
+    other = companion.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in columns])
+    return left.join(other, key, "left").select(*[F.coalesce(c, f"_{c}").alias(c) if c in columns else F.col(c) for c in left.columns])
+
+
+def aligned(first: DataFrame, others: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Inner joins of tables by their own keys; only rows that all of them have stay."""
+    for df, keys in others:
+        first = first.join(df, keys)
+    return first
+
+
+def in_every_window(scores: DataFrame) -> DataFrame:
+    """Scores (window, combo, score) of the combos that every window has."""
+    n = scores.agg(F.countDistinct("window").alias("_n"))  # one row
+    whole = scores.groupBy("combo").agg(F.countDistinct("window").alias("_k")).join(F.broadcast(n), F.col("_k") == F.col("_n")).select("combo")
+    return scores.join(whole, "combo", "left_semi")
+
+
 def open_positions(trades: DataFrame, times: DataFrame, *, key: str, time: str) -> DataFrame:
     """How many trades are open (entry <= t < exit) at each time of `times` (key, time): a running sum of entries less exits, without a range join."""
     ins = trades.select(key, F.col("entry_time").alias("_t"), F.lit(1).alias("_d"), F.lit(0).alias("_o"))

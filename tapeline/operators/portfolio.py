@@ -54,6 +54,23 @@ def equity_line(trades: DataFrame, by: str = "strategy") -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("trades"), rounded(F.regr_slope("equity", "n"), 6).alias("slope"), rounded(F.regr_r2("equity", "n")).alias("fit"), rounded(ratio(F.sum("r_multiple"), F.max("drawdown"))).alias("recovery_factor"))
 
 
+def derived_r(trades: DataFrame) -> DataFrame:
+    """R by the distance of the stop `sl` from the entry, and percent gained, both by direction."""
+    move = F.col("exit_price") - F.col("entry_price")
+    signed = F.when(F.col("direction") == "LONG", move).otherwise(-move)
+    return trades.withColumns({"r": F.try_divide(signed, F.abs(F.col("entry_price") - F.col("sl"))), "pnl_pct": signed / F.col("entry_price") * 100})
+
+
+def long_short(trades: DataFrame, held: str) -> DataFrame:
+    """By strategy and direction the mean R, trades held over five times the median of all, the longest losing streak, and mean win over mean loss."""
+    pnl = F.col("pnl_usd")
+    median = trades.agg(F.percentile(held, F.lit(0.5)).alias("_median"))  # one row
+    w = Window.partitionBy("strategy", "direction").orderBy("entry_time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = trades.join(F.broadcast(median)).withColumn("_run", F.sum((pnl > 0).cast("long")).over(w))
+    df = df.withColumn("_streak", F.when(pnl > 0, 0).otherwise(F.count(F.when(pnl <= 0, 1)).over(Window.partitionBy("strategy", "direction", "_run"))))
+    return df.groupBy("strategy", "direction").agg(F.count("*").alias("n"), rounded(F.avg("r_multiple")).alias("mean_r"), F.sum((F.col(held) > 5 * F.col("_median")).cast("long")).alias("long_holds"), F.max("_streak").cast("long").alias("losing_streak"), rounded(F.abs(F.try_divide(F.avg(F.when(pnl > 0, pnl)), F.avg(F.when(pnl < 0, pnl))))).alias("asymmetry"))
+
+
 def splits(groups: int, tests: int, purge: int) -> list[tuple[list[int], list[int]]]:
     """T-6: train and test groups of combinatorial purged cross-validation; groups within `purge` of a test group train in none. A small list."""
     from itertools import combinations

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import normal_cdf
 from ..functions.metrics import ratio, rounded, won
 
 
@@ -172,7 +173,7 @@ def risk_ratios(daily: DataFrame, by: str = "strategy") -> DataFrame:
 
 
 def deflated_sharpe(trades: DataFrame, *, by: str = "strategy", trials: int = 100) -> DataFrame:
-    """T-5: the Sharpe ratio against what the best of `trials` would show by chance."""
+    """T-5: the Sharpe ratio against what the best of `trials` would show by chance, with its p-value and verdict."""
     import math
 
     log = math.log(trials)
@@ -181,18 +182,18 @@ def deflated_sharpe(trades: DataFrame, *, by: str = "strategy", trials: int = 10
     df = trades.groupBy(by).agg(F.count("*").alias("n"), ratio(F.avg(r), F.stddev_samp(r)).alias("sr"), F.skewness(r).alias("skew"), (F.kurtosis(r) + 3).alias("kurt"))
     sr = F.col("sr")
     var = (1 + 0.5 * sr * sr - F.col("skew") * sr + (F.col("kurt") - 3) / 4 * sr * sr) / (F.col("n") - 1)
-    return df.select(by, "n", rounded(sr).alias("sharpe"), rounded((sr - best) / F.sqrt(var), 3).alias("statistic"))
+    stat = (sr - best) / F.sqrt(var)
+    p = normal_cdf(-stat)
+    return df.select(by, "n", rounded(sr).alias("sharpe"), rounded(stat, 3).alias("statistic"), rounded(p, 6).alias("p_value"), (p < 0.05).alias("significant"))
 
 
 def classifier_report(scored: DataFrame, bins: int = 10) -> DataFrame:
-    """Q: accuracy, Brier score, calibration error and exact ROC area by rank sum. scored: predicted_prob, won (0/1)."""
+    """Q1: accuracy, Brier score, calibration error and exact ROC area. scored: predicted_prob, won (0/1)."""
+    from .filters import areas
+
     p, y = F.col("predicted_prob"), F.col("won").cast("double")
     n = F.count("*")
-    tied = scored.groupBy("predicted_prob").agg(F.count("*").alias("k"), F.sum(y).alias("pos"))
-    w = Window.orderBy("predicted_prob").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("k").over(w), F.lit(0)) + (F.col("k") + 1) / 2
-    auc = tied.withColumn("rank", rank).agg(F.sum(F.col("rank") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum("k").alias("n"))
-    auc = auc.select(rounded(ratio(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p")))).alias("roc_auc"))
+    auc = areas(scored.select("predicted_prob", F.when(F.col("won") == 1, "win").otherwise("loss").alias("actual_outcome"))).select("roc_auc")
     base = scored.agg(n.alias("n"), rounded(F.avg(((p >= 0.5).cast("int") == F.col("won")).cast("double"))).alias("accuracy"), rounded(F.avg(F.pow(p - y, 2))).alias("brier_score"))
     cells = scored.groupBy(F.least(F.floor(p * bins), F.lit(bins - 1)).alias("b")).agg(n.alias("k"), F.abs(F.avg(p) - F.avg(y)).alias("gap"))
     ece = cells.agg(rounded(ratio(F.sum(F.col("k") * F.col("gap")), F.sum("k"))).alias("expected_calibration_error"))

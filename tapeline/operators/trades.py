@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import binomial_at_least, t_quantile, t_two_sided
 from ..functions.metrics import profit_factor, ratio, rounded, share, wilson, won
 
 R, PNL = F.col, F.col
@@ -63,18 +64,21 @@ def drawdown(trades: DataFrame, *by: str, value: str = "r_multiple", time: str =
 
 
 def summary(trades: DataFrame) -> DataFrame:
-    """A5: by strategy, symbol and source, with the order-dependent maximum drawdown in PnL."""
+    """A5: by strategy, symbol and source, with the maximum drawdown in PnL over time (its peak begins at the first trade). Without a loss the profit factor is infinite, or 0 without a gain."""
     by = ("strategy", "symbol", "source")
+    w = Window.partitionBy(*by).orderBy("entry_time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = trades.withColumn("_equity", F.sum("pnl_usd").over(w))
     return (
-        drawdown(trades, *by, value="pnl_usd")
+        df.withColumn("_own_drawdown", F.max("_equity").over(w) - F.col("_equity"))
         .groupBy(*by)
         .agg(
             F.count("*").alias("trades"),
             rounded(100 * share(F.col("pnl_usd") > 0), 2).alias("win_rate"),
             rounded(F.sum("pnl_usd"), 2).alias("pnl"),
+            rounded(F.sum("r_multiple")).alias("total_r"),
             rounded(F.avg("r_multiple")).alias("avg_r"),
-            rounded(profit_factor(F.col("pnl_usd"))).alias("profit_factor"),
-            rounded(F.max("drawdown"), 2).alias("max_dd"),
+            rounded(F.coalesce(profit_factor(F.col("pnl_usd")), F.when(F.max("pnl_usd") > 0, float("inf")).otherwise(0.0))).alias("profit_factor"),
+            rounded(F.max("_own_drawdown"), 2).alias("max_dd"),
         )
     )
 
@@ -182,15 +186,30 @@ def position_size(trades: DataFrame, nav: float, risk: float, cap: float) -> Dat
 
 
 def significance(trades: DataFrame, *by: str) -> DataFrame:
-    """T-1: Wilson interval, t statistic, Sharpe, smallest sample and lag-1 autocorrelation of wins; from 5 trades on."""
+    """T-1: Wilson interval, binomial and t tests, interval of mean R, Sharpe, profit factor, drawdown, expectancy, smallest sample, and lag-1 correlation of gains (from 11 trades on); from 5 trades on."""
     w = Window.partitionBy(*by).orderBy("entry_time")
-    r = F.col("r_multiple")
-    df = trades.withColumn("_w", won().cast("double")).withColumn("_lag", F.lag("_w").over(w))
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_w").alias("wr"), F.avg(r).alias("mean_r"), F.stddev_samp(r).alias("sd"), F.corr("_w", "_lag").alias("autocorr")).where("n >= 5")
+    r, up = F.col("r_multiple"), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = trades.withColumn("_w", won().cast("double")).withColumn("_g", (r > 0).cast("double")).withColumn("_lag", F.lag("_g").over(w)).withColumn("_e", F.sum(r).over(up))
+    df = df.withColumn("_dd", F.max("_e").over(up) - F.col("_e"))
+    gain, loss = F.coalesce(F.avg(F.when(r > 0, r)), F.lit(0.0)), F.coalesce(F.avg(F.when(r <= 0, r)), F.lit(0.0))
+    out = df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg("_w").alias("wr"), F.sum("_w").alias("wins"), F.avg(r).alias("mean_r"), F.stddev_samp(r).alias("sd"), F.corr(F.when(F.col("_lag").isNotNull(), F.col("_g")), "_lag").alias("autocorr"),
+        profit_factor(r).alias("pf"), F.max("_dd").alias("max_dd"), gain.alias("gain"), loss.alias("loss"),
+    ).where("n >= 5")
     low, high = wilson(F.col("wr"), F.col("n").cast("double"))
     sr = F.try_divide(F.col("mean_r"), F.col("sd"))
-    need = F.coalesce(F.ceil(F.pow(F.try_divide(F.lit(2.8), F.abs(sr)), 2)), F.lit(999)).cast("long")
-    return out.select(*by, "n", rounded(F.col("wr")).alias("win_rate"), rounded(low).alias("wilson_low"), rounded(high).alias("wilson_high"), rounded(sr).alias("sharpe"), rounded(sr * F.sqrt("n")).alias("t_stat"), need.alias("min_n"), rounded(F.col("autocorr")).alias("win_autocorr"))
+    out = out.withColumns({"_t": sr * F.sqrt("n"), "_v": F.col("n") - 1})
+    t, df_ = F.col("_t"), F.col("_v")
+    p = t_two_sided(t, df_) / 2
+    margin = t_quantile(F.lit(0.975), df_) * F.col("sd") / F.sqrt("n")
+    need = F.when((F.col("sd") > 0) & (F.col("mean_r") != 0), F.ceil(F.pow(F.try_divide(F.lit(2.8), F.abs(sr)), 2))).otherwise(999).cast("long")
+    binomial = binomial_at_least(F.col("wins"), F.col("n"))
+    return out.select(
+        *by, "n", rounded(F.col("wr")).alias("win_rate"), rounded(low).alias("wilson_low"), rounded(high).alias("wilson_high"), rounded(binomial, 6).alias("binomial_p"), (binomial < 0.05).alias("win_rate_significant"),
+        rounded(F.col("mean_r")).alias("mean_r"), rounded(F.col("mean_r") - margin).alias("mean_r_low"), rounded(F.col("mean_r") + margin).alias("mean_r_high"), rounded(sr).alias("sharpe"), rounded(t).alias("t_stat"), rounded(p, 6).alias("t_p"),
+        ((p < 0.05) & (F.col("mean_r") > 0)).alias("mean_r_significant"), rounded(F.coalesce("pf", F.lit(float("inf")))).alias("profit_factor"), rounded(F.col("max_dd")).alias("max_drawdown"),
+        rounded(F.col("wr") * F.col("gain") + (1 - F.col("wr")) * F.col("loss")).alias("expectancy"), need.alias("min_n"), rounded(F.when(F.col("n") > 10, F.col("autocorr"))).alias("gain_autocorr"), F.when(F.col("n") > 10, F.abs("autocorr") < 0.2).alias("independent"),
+    )
 
 
 def streaks(trades: DataFrame, *by: str) -> DataFrame:
@@ -212,16 +231,16 @@ def episodes(trades: DataFrame, *by: str, depth: float = 0.5) -> DataFrame:
     return out.where((F.col("depth") >= depth) & (F.col("trades") > 0)).select(*by, rounded(F.col("depth")).alias("depth"), "begins", "trough", "recovers", "trades")
 
 
-def rolling_drawdown(trades: DataFrame, *by: str, sizes: tuple[int, ...] = (10, 20, 50)) -> DataFrame:
-    """Quantiles of the largest drop of the equity within each full window of the last `size` trades."""
-    w = Window.partitionBy(*by).orderBy("entry_time")
+def rolling_drawdown(trades: DataFrame, *by: str, time: str = "entry_time", sizes: tuple[int, ...] = (10, 20, 50), digits: int = 4) -> DataFrame:
+    """Quantiles of the largest drop of the equity within each full window of the last `size` trades; its peak begins at the first of them."""
+    w = Window.partitionBy(*by).orderBy(time)
     df = trades
     for n in sizes:
         frame = w.rowsBetween(-(n - 1), 0)
-        fold = F.aggregate(F.collect_list("r_multiple").over(frame), F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("p"), F.lit(0.0).alias("d")), lambda a, x: F.struct((a.e + x).alias("e"), F.greatest(a.p, a.e + x).alias("p"), F.greatest(a.d, F.greatest(a.p, a.e + x) - a.e - x).alias("d")), lambda a: a.d)
+        fold = F.aggregate(F.collect_list("r_multiple").over(frame), F.struct(F.lit(0.0).alias("e"), F.lit(float("-inf")).alias("p"), F.lit(0.0).alias("d")), lambda a, x: F.struct((a.e + x).alias("e"), F.greatest(a.p, a.e + x).alias("p"), F.greatest(a.d, F.greatest(a.p, a.e + x) - a.e - x).alias("d")), lambda a: a.d)
         df = df.withColumn(f"_d{n}", F.when(F.count("*").over(frame) >= n, fold))
     out = None
     for n in sizes:
-        one = df.groupBy(*by).agg(F.percentile(f"_d{n}", F.array(F.lit(0.75), F.lit(0.9), F.lit(0.95))).alias("q"), F.max(f"_d{n}").alias("m")).select(*by, F.lit(n).alias("window"), *[rounded(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((75, 90, 95))], rounded(F.col("m")).alias("max_dd"))
+        one = df.groupBy(*by).agg(F.percentile(f"_d{n}", F.array(F.lit(0.75), F.lit(0.9), F.lit(0.95))).alias("q"), F.max(f"_d{n}").alias("m")).select(*by, F.lit(n).alias("window"), *[rounded(F.col("q")[i], digits).alias(f"p{p}") for i, p in enumerate((75, 90, 95))], rounded(F.col("m"), digits).alias("max_dd"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -54,12 +54,15 @@ def t6_overfit_probability(spark, d):
     return p.overfit_probability(s.dropna())
 
 
-@query(" SELECT trade_id, direction, round(CASE WHEN direction = 'LONG' THEN exit_price - entry_price ELSE entry_price - exit_price END / nullif(abs(mae), 0) + 1.37E-7, 4) + 0.0E0 AS r, round(CASE WHEN direction = 'LONG' THEN 1 ELSE -1 END * (exit_price - entry_price) / entry_price * 100 + 1.37E-7, 4) + 0.0E0 AS pnl_pct FROM (SELECT *, entry_price + pnl_usd / 10 AS exit_price FROM trades)")
+_SL = "entry_price * (1 - CASE WHEN direction = 'LONG' THEN 1 ELSE -1 END * mae / 100)"
+
+
+@query(f""" SELECT trade_id, direction, round(CASE WHEN direction = 'LONG' THEN exit_price - entry_price ELSE entry_price - exit_price END / nullif(abs(entry_price - sl), 0) + 1.37E-7, 4) + 0.0E0 AS r,
+ round(CASE WHEN direction = 'LONG' THEN 1 ELSE -1 END * (exit_price - entry_price) / entry_price * 100 + 1.37E-7, 4) + 0.0E0 AS pnl_pct FROM (SELECT *, entry_price + pnl_usd / 10 AS exit_price, {_SL} AS sl FROM trades)""")
 def p17_derived_r(spark, d):
-    df = trades(spark, d).withColumn("exit_price", F.col("entry_price") + F.col("pnl_usd") / 10)
-    move = F.col("exit_price") - F.col("entry_price")
-    signed = F.when(F.col("direction") == "LONG", move).otherwise(-move)
-    return df.select("trade_id", "direction", rounded(F.try_divide(signed, F.abs("mae"))).alias("r"), rounded(signed / F.col("entry_price") * 100).alias("pnl_pct"))
+    """The stop lies `mae` percent beyond the entry, as in p19."""
+    df = trades(spark, d).withColumn("exit_price", F.col("entry_price") + F.col("pnl_usd") / 10).withColumn("sl", F.expr(_SL))
+    return p.derived_r(df).select("trade_id", "direction", rounded(F.col("r")).alias("r"), rounded(F.col("pnl_pct")).alias("pnl_pct"))
 
 
 @query(" SELECT trade_id, coalesce(CASE direction WHEN 'LONG' THEN 'Long' WHEN 'SHORT' THEN 'Short' END, 'Unknown') AS side, coalesce(CASE regime WHEN 'trending_up' THEN 'Up' WHEN 'trending_down' THEN 'Down' WHEN 'ranging' THEN 'Range' END, 'Unknown') AS market FROM trades")
@@ -96,10 +99,12 @@ def u1_union(spark, d):
     return live.unionByName(t.where("source <> 'Live' AND pnl_usd > 0").select(F.lit("test").alias("kind"), "trade_id", "r_multiple"))
 
 
-@query(" SELECT strategy, direction, count(*) AS n, round(avg(r_multiple) + 1.37E-7, 4) + 0.0E0 AS mean_r, CAST(sum(CASE WHEN bars_held > 5 * 2 THEN 1 ELSE 0 END) AS BIGINT) AS long_holds, round(avg(CASE WHEN r_multiple > 0 THEN r_multiple END) / nullif(abs(avg(CASE WHEN r_multiple < 0 THEN r_multiple END)), 0) + 1.37E-7, 4) AS asymmetry FROM trades GROUP BY strategy, direction")
+@query(""", h AS (SELECT *, 1 + pow(bars_held, 3) / 100 AS held FROM trades), m AS (SELECT quantile_cont(held, 0.5) AS median FROM h),
+ o AS (SELECT *, sum(CASE WHEN pnl_usd > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY strategy, direction ORDER BY entry_time) AS run FROM h), u AS (SELECT *, CASE WHEN pnl_usd > 0 THEN 0 ELSE count(CASE WHEN pnl_usd <= 0 THEN 1 END) OVER (PARTITION BY strategy, direction, run) END AS streak FROM o)
+SELECT strategy, direction, count(*) AS n, round(avg(r_multiple) + 1.37E-7, 4) + 0.0E0 AS mean_r, CAST(sum(CASE WHEN held > 5 * median THEN 1 ELSE 0 END) AS BIGINT) AS long_holds, max(streak) AS losing_streak,
+ round(abs(avg(CASE WHEN pnl_usd > 0 THEN pnl_usd END) / nullif(avg(CASE WHEN pnl_usd < 0 THEN pnl_usd END), 0)) + 1.37E-7, 4) AS asymmetry FROM u, m GROUP BY strategy, direction""")
 def a22_long_short(spark, d):
-    r = F.col("r_multiple")
-    return trades(spark, d).groupBy("strategy", "direction").agg(F.count("*").alias("n"), rounded(F.avg(r)).alias("mean_r"), F.sum((F.col("bars_held") > 10).cast("long")).alias("long_holds"), rounded(F.try_divide(F.avg(F.when(r > 0, r)), F.abs(F.avg(F.when(r < 0, r))))).alias("asymmetry"))
+    return p.long_short(trades(spark, d).withColumn("held", 1 + F.pow("bars_held", F.lit(3)) / 100), "held")
 
 
 @query(_D + ", m AS (SELECT strategy, stddev_pop(r) / nullif(abs(avg(r)), 0) AS cv FROM d GROUP BY strategy), k AS (SELECT strategy, regime, count(*) AS n FROM trades GROUP BY ALL), t AS (SELECT strategy, max(n) / sum(n) AS share FROM k GROUP BY strategy) SELECT m.strategy, round(cv + 1.37E-7, 3) AS cv, round(share + 1.37E-7, 4) AS mode_share FROM m JOIN t ON t.strategy = m.strategy")

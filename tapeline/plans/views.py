@@ -33,6 +33,12 @@ FROM events"""
 WITH = f"WITH bars AS ({BARS_SQL}), trades AS ({TRADES_SQL})"
 
 
+def normal_sql(x: str) -> str:
+    """DuckDB: the standard normal distribution function of a column, by its power series."""
+    terms = f"list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(abs({x})) - lgamma(2 * k + 2) + k * ln(2.0E0) + lgamma(k + 1))))"
+    return f"(CASE WHEN {x} > 8 THEN 1.0E0 WHEN {x} < -8 THEN 0.0E0 WHEN {x} = 0 THEN 0.5E0 ELSE 0.5E0 + sign({x}) * exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {terms} END)"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
