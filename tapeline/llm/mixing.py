@@ -7,13 +7,14 @@ threshold comes from sums by source and hash bucket: the first `coarse` hex digi
 that bucket is summed again by `fine` further digits.  Nothing is sorted by document; the thresholds of the same
 hash are nested, so a smaller budget takes a subset.  The extra words miss the budget by at most half a fine bucket.
 
-Defined results: a null text has size 0; a null source is a source of its own, sorted last; the hash is of doc_id, so repeated rows are
-taken alike; an empty table gives an empty result; sources of size 0 have target 0; other columns are kept by `mixed` and ignored otherwise.
+Defined results: a null text has size 0; very long texts are taken whole; a null source is a source of its own, sorted last; the hash is of doc_id and
+text, so repeated rows are taken alike, while different texts of one doc_id (or of none) are not; an empty table gives an empty result; sources of
+size 0 have target 0; other columns are kept by `mixed` and ignored otherwise, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import n_words, saved, table
@@ -52,6 +53,10 @@ def mixing_plan(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most:
     return saved(out.select(F.col("source").alias("_source"), "source_size", "target", "times", F.coalesce("high", F.lit(16**coarse)).alias("high"), F.coalesce("low", F.lit(16**fine)).alias("low")), "plan")
 
 
+def _hash() -> Column:
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).cast("binary"))
+
+
 def _taken(docs: DataFrame, slim: DataFrame, coarse: int = 3, fine: int = 5, **options) -> DataFrame:
     """docs (with _src, _hash), its source's plan, and n_taken, the times the mix takes the row. slim: _src, _size, _hash of all rows."""
     plan = mixing_plan(slim.select(F.col("_src").alias("source"), F.col("_size").alias("size"), F.col("_hash").alias("hash")), coarse=coarse, fine=fine, **options)
@@ -62,13 +67,13 @@ def _taken(docs: DataFrame, slim: DataFrame, coarse: int = 3, fine: int = 5, **o
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted)."""
-    slim = saved(docs.select("doc_id", F.col("source").alias("_src"), n_words(F.col("text")).alias("_size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_hash")), "sizes")
+    slim = saved(docs.select("doc_id", F.col("source").alias("_src"), n_words(F.col("text")).alias("_size"), _hash().alias("_hash")), "sizes")
     return _taken(slim, slim, **options).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("n_taken") * F.col("_size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs, each row as often as it is taken."""
-    mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    mark = _hash()
     slim = saved(docs.select(F.col("source").alias("_src"), n_words(F.col("text")).alias("_size"), mark.alias("_hash")), "sizes")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_src"), mark.alias("_hash"))
     taken = _taken(rows, slim, **options).where("n_taken > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_taken"))))
@@ -80,7 +85,7 @@ def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE_OP9 = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 8) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS w FROM d GROUP BY source),
 a AS (SELECT *, 3 * n AS cap, CAST(sum(n) OVER () AS BIGINT) - CAST(coalesce(sum(3 * n) OVER (ORDER BY n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest,
   CAST(sum(w) OVER (ORDER BY n / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS ws FROM s),

@@ -7,8 +7,9 @@ score bins of labelled rows that the ridge has not seen.  All labelled rows are
 
 Labels are read only from rows whose crc32(doc_id) mod 5 is not 0: of these 1 to 3 train, 4 calibrates.  A score is a function of the text alone.
 
-Defined results: null and empty texts have statistics of zero and get their score like any other; a doc_id with several labels takes their
-mean; null labels are left out; without any label every score is 0.5; repeated rows score alike; extra columns are ignored.
+Defined results: null and empty texts have statistics of zero and get their score like any other; very long texts are measured whole; a doc_id with
+several labels takes their mean; null labels are left out; equal scores of the ridge get one calibrated score; without any label every score is 0.5;
+repeated rows score alike; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -106,11 +107,14 @@ def fit(measured: DataFrame, labels: DataFrame, *, features: int = 256, gamma: f
     model = Fourier(np.array([r["m"] for r in s]), np.array([max(r["s"], 1e-3) for r in s]), features, gamma, seed)
 
     def sums(batches):
-        a = np.zeros((features, features + 1))
+        a = None
         for batch in batches:
             if batch.num_rows:
                 z = model(_matrix(batch.column(0)))
-                a += z.T @ np.column_stack([z, batch.column(1).to_numpy(zero_copy_only=False)])
+                own = z.T @ np.column_stack([z, batch.column(1).to_numpy(zero_copy_only=False)])
+                a = own if a is None else a + own
+        if a is None:  # a partition without labelled rows sends nothing
+            return
         yield pa.RecordBatch.from_arrays([pa.array(range(features), pa.int32()), pa.array(list(a), pa.list_(pa.float64()))], ["i", "row"])
 
     def added(batches):

@@ -6,8 +6,9 @@ its bytes and rows; a prefix sum over those totals (one row per partition) gives
 the partitions give each row its global start, and the shard is start * shards / total.  Only keys and sizes are shuffled.
 A shard misses its target by at most the size of one row.
 
-Defined results: a null text has size 1 and checksum 0; null doc_ids sort first; rows alike in all keys are interchangeable, so reruns
-agree; an empty table gives an empty result; other columns are ignored.
+Defined results: a null text has size 1 and checksum 0; very long texts are taken whole, so the shard around one may miss its target by its size; null
+doc_ids sort first; rows alike in all keys (ties, repeated rows) are interchangeable, so reruns agree; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ piece costs the lowest score less 10 and counts as its UTF-8 bytes (byte fallbac
 mark; since pieces hold the mark only at their start, words can be cut one by one and words that come again are looked up (at most
 `remembered` of them per task; then the memory begins anew, which changes no result).
 
-Defined results: null, empty and blank texts have 0 words, 0 tokens, score 0; repeated rows are alike; other columns are ignored.
+Defined results: null, empty and blank texts have 0 words, 0 tokens, score 0; very long texts and words are taken whole; repeated rows are alike; an
+empty table gives an empty result; other columns are ignored, whatever their names.  The vocabulary file must be at the path given on the driver.
 """
 
 from __future__ import annotations

@@ -340,6 +340,13 @@ def test_shards(docs, none):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     want = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in rows)
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    order = sorted(((hashlib.md5((r.text or "").encode()).hexdigest(), -1 if r.doc_id is None else r.doc_id, len((r.text or "").encode()) + 1, r.doc_id) for r in rows), key=lambda r: r[:3])
+    start, slots, placed = 0, Counter(), []
+    for _, _, size, doc_id in order:
+        shard = start * 4 // total
+        placed.append((doc_id, size, shard, slots[shard]))
+        start, slots[shard] = start + size, slots[shard] + 1
+    assert Counter(placed) == Counter((r.doc_id, r.size, r.shard, r.slot) for r in got)
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, sharding.shard_by_bytes(docs, shards=4).collect()), key=str)
     assert sharding.shard_by_bytes(none).count() == 0
 
@@ -478,6 +485,32 @@ def test_quality_model(spark, none):
     assert quality_model.score_quality(none, lab, features=16).count() == 0
 
 
+def test_quality_scores_against_plain_arithmetic(spark):
+    """The same scores from one matrix of all labelled rows, a plain solve and the minimax form of isotonic regression."""
+    import numpy as np
+
+    rng = random.Random(16)
+    rows = [(i, " ".join("".join(rng.choices("abcdeXYZ.!", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 60)))) for i in range(400)] + [(400, None)]
+    labels = {i: int(rng.random() < 0.5 + 0.4 * ("X" not in t)) for i, t in rows[:300]}
+    got = {r.doc_id: r.score for r in quality_model.score_quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), features=32).collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+    x = {i: quality_model.statistics(t) for i, t in rows}
+    fit, cal = [i for i in labels if fold[i] in (1, 2, 3)], [i for i in labels if fold[i] == 4]
+    a = np.array([x[i] for i in fit])
+    model = quality_model.Fourier(a.mean(axis=0), np.maximum(a.std(axis=0), 1e-3), 32, 0.03, 7)
+    z = model(a)
+    w = np.linalg.solve(z.T @ z + np.eye(32), z.T @ np.array([labels[i] for i in fit], float))
+    at = np.clip((model(np.array([x[i] for i in cal])) @ w + 0.5) / 2 * 200, 0, 199).astype(int)
+    bins = sorted(set(at.tolist()))
+    n = [sum(at == b) + 1 for b in bins]
+    y = [(sum(labels[i] for i, k in zip(cal, at, strict=True) if k == b) + 0.5) / m for b, m in zip(bins, n, strict=True)]
+    mean = lambda i, j: sum(v * m for v, m in zip(y[i : j + 1], n[i : j + 1], strict=True)) / sum(n[i : j + 1])
+    level = [max(min(mean(i, j) for j in range(k, len(y))) for i in range(k + 1)) for k in range(len(y))]
+    for i in x:
+        want = float(np.clip(np.interp((model(x[i][None]) @ w)[0], [(b + 0.5) / 200 * 2 - 0.5 for b in bins], level), 0, 1))
+        assert got[i] == pytest.approx(want, abs=1e-6)
+
+
 def test_pool_adjacent():
     assert quality_model.pool_adjacent([1, 3, 2, 2, 5], [1, 1, 1, 1, 1]) == pytest.approx([1, 7 / 3, 7 / 3, 7 / 3, 5])
 
