@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,31 +116,39 @@ def parities(lines: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `rows` lines and, but for single longer lines, about `size` bytes of them."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            most = size + (int(ends[at - 1]) if at else 0)
+            upto = min(at + rows, max(at + 1, int(np.searchsorted(ends, most, "right"))))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parities(batch.column(0).to_pylist()))], ["line", "doc", "pos", "n", "sig"])
+    for batch in _slices(batches):
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parities(batch.column(0).to_pylist()))], ["line", "doc", "pos", "n", "sig"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], k: int, probing: bool) -> Iterator[pa.RecordBatch]:
     """Index or probe rows (key, doc, pos, sig, own) of distinct lines."""
     plan: dict[int, list] = {}
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
-            keys, own, times = [], [], np.zeros(batch.num_rows, np.int64)
-            for row, line in enumerate(batch.column(0).to_pylist()):
-                n = len(line)
-                if n not in plan:
-                    if len(plan) > 5000:
-                        plan.clear()
-                    plan[n] = probes(n, k) if probing else [(n, i, p, s, True) for i, (p, s) in enumerate(segments(n, k))]
-                keys += [xxhash.xxh3_64_intdigest(line[p : p + s].encode("utf-8", "surrogatepass"), m * (k + 1) + i) for m, i, p, s, _ in plan[n]]
-                own += [x[4] for x in plan[n]]
-                times[row] = len(plan[n])
-            again = pa.array(np.repeat(np.arange(batch.num_rows), times))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), *(batch.column(c).take(again) for c in (1, 2, 3)), pa.array(own, pa.bool_())], ["key", "doc", "pos", "sig", "own"])
+    for batch in _slices(batches):
+        keys, own, times = [], [], np.zeros(batch.num_rows, np.int64)
+        for row, line in enumerate(batch.column(0).to_pylist()):
+            n = len(line)
+            if n not in plan:
+                if len(plan) > 5000:
+                    plan.clear()
+                plan[n] = probes(n, k) if probing else [(n, i, p, s, True) for i, (p, s) in enumerate(segments(n, k))]
+            keys += [xxhash.xxh3_64_intdigest(line[p : p + s].encode("utf-8", "surrogatepass"), m * (k + 1) + i) for m, i, p, s, _ in plan[n]]
+            own += [x[4] for x in plan[n]]
+            times[row] = len(plan[n])
+        again = pa.array(np.repeat(np.arange(batch.num_rows), times))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), *(batch.column(c).take(again) for c in (1, 2, 3)), pa.array(own, pa.bool_())], ["key", "doc", "pos", "sig", "own"])
 
 
 def _near(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
