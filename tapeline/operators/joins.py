@@ -118,6 +118,8 @@ def match_one_to_one(live: DataFrame, shadow: DataFrame, *, keys: list[str], mos
 
     live and shadow: keys, id, bar (int). Returns keys, live_id, shadow_id, kind (matched, missed, phantom). Rows further than `most` bars from any
     other never meet, so each key is first cut at such gaps; a task gets one stretch without a gap."""
+    import bisect
+
     import pandas as pd
 
     both = live.select(*keys, F.lit("live").alias("side"), "id", "bar").union(shadow.select(*keys, F.lit("shadow").alias("side"), "id", "bar"))
@@ -127,14 +129,16 @@ def match_one_to_one(live: DataFrame, shadow: DataFrame, *, keys: list[str], mos
 
     def greedy(pdf):
         one, two = pdf[pdf.side == "live"].sort_values(["bar", "id"]), pdf[pdf.side == "shadow"].sort_values(["bar", "id"])
-        free = list(zip(two["bar"], two["id"], strict=True))
+        free = list(zip(two["bar"], two["id"], strict=True))  # sorted, so the nearest are found by bisection
         rows = []
         for bar, id_ in zip(one["bar"], one["id"], strict=True):
-            near = [(abs(b - bar), b, i) for b, i in free if abs(b - bar) <= most]
-            best = min(near) if near else None
-            if best:
-                free.remove((best[1], best[2]))
-            rows.append((id_, best[2] if best else None, "matched" if best else "missed"))
+            at = bisect.bisect_left(free, (bar,))
+            near = [at] if at < len(free) else []
+            if at:
+                near.append(bisect.bisect_left(free, (free[at - 1][0],)))  # of the bar before the first row
+            near = [(abs(free[i][0] - bar), free[i][0], i) for i in near if abs(free[i][0] - bar) <= most]
+            best = free.pop(min(near)[2]) if near else None
+            rows.append((id_, best[1] if best else None, "matched" if best else "missed"))
         rows += [(None, i, "phantom") for _, i in free]
         out = pd.DataFrame(rows, columns=["live_id", "shadow_id", "kind"])
         for n, k in enumerate(keys):

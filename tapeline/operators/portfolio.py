@@ -37,10 +37,14 @@ def allocation(daily: DataFrame, by: str = "strategy", risk: float = 0.01) -> Da
     return s.select(by, rounded(1 / F.count("*").over(w)).alias("equal"), rounded(F.coalesce(ratio(F.col("iv"), F.sum("iv").over(w)), 1 / F.count("*").over(w))).alias("inverse_vol"), rounded(F.coalesce(ratio(F.col("k"), F.sum("k").over(w)), 1 / F.count("*").over(w))).alias("kelly"))
 
 
-def combined(daily: DataFrame, weights: dict[str, float], by: str = "strategy") -> DataFrame:
-    """T-8: the weighted curve over the days that any of them has, with its peak and drawdown. One row per day, so one window."""
-    weight = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))])
-    day = daily.where(F.col(by).isin(list(weights))).groupBy("day").agg(F.sum(F.col("r") * weight[F.col(by)]).alias("r"))
+def combined(daily: DataFrame, weights: dict[str, float] | None = None, by: str = "strategy") -> DataFrame:
+    """T-8: the weighted curve over the days that any of its labels has, with its peak and drawdown; without weights all labels of the data alike. One row per day, so one window."""
+    if weights is None:
+        n = daily.agg(F.countDistinct(by).alias("_n"))  # one row
+        day = daily.join(F.broadcast(n)).groupBy("day").agg(F.sum(F.col("r") / F.col("_n")).alias("r"))
+    else:
+        weight = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))])
+        day = daily.where(F.col(by).isin(list(weights))).groupBy("day").agg(F.sum(F.col("r") * weight[F.col(by)]).alias("r"))
     w = Window.partitionBy(F.lit(1)).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = day.withColumn("equity", F.sum("r").over(w))
     return df.withColumn("drawdown", F.greatest(F.max("equity").over(w), F.lit(0.0)) - F.col("equity"))

@@ -167,11 +167,11 @@ def gap_fills(bars: DataFrame) -> DataFrame:
 
 
 def gaps_by_timeframe(bars: DataFrame, hours: tuple[int, ...] = (4, 24)) -> DataFrame:
-    """The open imbalances of the bars resampled to longer timeframes, tagged `htf`."""
+    """The imbalances of the bars resampled to longer timeframes, tagged `htf`; is_open: no later bar of it has filled one."""
     out = None
     for n in hours:
         one = resample(bars, "day" if n == 24 else "hour", n).withColumn("timeframe", F.lit(f"{n}h"))
-        one = open_gaps(one).select("symbol", F.col("timeframe").alias("htf"), F.col("bar_ts").cast("timestamp_ntz").alias("bar_ts"), "kind", "bottom", "top")
+        one = gap_fills(one).select("symbol", F.col("timeframe").alias("htf"), F.col("bar_ts").cast("timestamp_ntz").alias("bar_ts"), "kind", "bottom", "top", (~F.col("filled")).alias("is_open"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -56,11 +56,20 @@ def performance(trades: DataFrame, *by: str) -> DataFrame:
 
 
 def drawdown(trades: DataFrame, *by: str, value: str = "r_multiple", time: str = "entry_time") -> DataFrame:
-    """Equity, peak (never below 0) and drawdown after each trade."""
-    w = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = trades.withColumn("equity", F.sum(value).over(w))
-    df = df.withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(0.0)))
-    return df.withColumn("drawdown", F.col("peak") - F.col("equity"))
+    """Equity, peak (never below 0) and drawdown after each trade.
+
+    Running sums go over the trades of one key and day; what the days before leave (sum and peak) comes from one row per day, so a hot key is spread over its days."""
+    day = [*by, "_day"]
+    df = trades.withColumn("_day", F.to_date(time))
+    inside = Window.partitionBy(*day).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("_own", F.sum(value).over(inside))
+    days = df.groupBy(*day).agg(F.sum(value).alias("_total"), F.max("_own").alias("_top"))
+    before = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0.0)))
+    days = days.withColumn("_peak", F.greatest(F.max(F.col("_before") + F.col("_top")).over(before), F.lit(0.0))).select(*day, "_before", "_peak")
+    df = df.join(days, day).withColumn("equity", F.col("_before") + F.col("_own"))
+    df = df.withColumn("peak", F.greatest(F.max("equity").over(inside), F.col("_peak")))
+    return df.withColumn("drawdown", F.col("peak") - F.col("equity")).select(*trades.columns, "equity", "peak", "drawdown")
 
 
 def summary(trades: DataFrame) -> DataFrame:

@@ -31,6 +31,14 @@ def w27_best_label(spark, d):
     return p.best_label(p.forward_sums(p.calendar(joins.daily_r(trades(spark, d))), 5))
 
 
+@query(_D + """, c AS (SELECT day, sum(r / (SELECT count(DISTINCT strategy) FROM d)) AS r FROM d GROUP BY day), e AS (SELECT *, sum(r) OVER (ORDER BY day) AS equity FROM c)
+SELECT day, round(r + 1.37E-7, 4) + 0.0E0 AS r, round(equity + 1.37E-7, 4) + 0.0E0 AS equity, round(greatest(max(equity) OVER (ORDER BY day), 0) - equity + 1.37E-7, 4) + 0.0E0 AS drawdown FROM e""")
+def t8_equal_portfolio(spark, d):
+    """All labels of the data; t8_portfolio has given weights."""
+    df = p.combined(joins.daily_r(trades(spark, d)))
+    return df.select("day", *[rounded(F.col(c)).alias(c) for c in ("r", "equity", "drawdown")])
+
+
 @query(_D + ", s AS (SELECT strategy, avg(r * 0.01E0) AS m, stddev_samp(r * 0.01E0) AS sd FROM d GROUP BY strategy), w AS (SELECT *, 1 / sd AS iv, greatest(m / (sd * sd), 0) AS k FROM s) SELECT strategy, round(1.0E0 / count(*) OVER () + 1.37E-7, 4) AS equal, round(iv / sum(iv) OVER () + 1.37E-7, 4) AS inverse_vol, round(coalesce(k / nullif(sum(k) OVER (), 0), 1.0E0 / count(*) OVER ()) + 1.37E-7, 4) AS kelly FROM w")
 def t7_allocation(spark, d):
     return p.allocation(joins.daily_r(trades(spark, d)))

@@ -216,12 +216,13 @@ _HTF = "SELECT symbol, '{tag}' AS htf, {bucket} AS bar_ts, min_by(open, bar_ts)
 _OH = "PARTITION BY symbol, htf ORDER BY bar_ts"
 
 
-@query(f""", hb AS ({_HTF.format(tag="4h", bucket="time_bucket(INTERVAL '4 hours', bar_ts, TIMESTAMP '1970-01-01')")} UNION ALL {_HTF.format(tag="24h", bucket="date_trunc('day', bar_ts)")}),
+@query(", hb AS (" + " UNION ALL ".join(_HTF.format(tag=f"{n}h", bucket=f"time_bucket(INTERVAL '{n} hours', bar_ts, TIMESTAMP '1970-01-01')") for n in (2, 4)) + f"""),
 x AS (SELECT *, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, lag(close) OVER w AS m, min(low) OVER f AS ll, max(high) OVER f AS lh FROM hb WINDOW w AS ({_OH}), f AS ({_OH} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 g AS (SELECT *, CASE WHEN low > h2 AND (low - h2) / nullif(m, 0) >= 0.001 THEN 'bullish' WHEN high < l2 AND (l2 - high) / nullif(m, 0) >= 0.001 THEN 'bearish' END AS kind FROM x)
-SELECT symbol, htf, CAST(bar_ts AS TIMESTAMP) AS bar_ts, kind, CASE kind WHEN 'bullish' THEN h2 ELSE high END AS bottom, CASE kind WHEN 'bullish' THEN low ELSE l2 END AS top FROM g WHERE kind = 'bullish' AND (ll IS NULL OR ll > h2) OR kind = 'bearish' AND (lh IS NULL OR lh < l2)""")
+SELECT symbol, htf, CAST(bar_ts AS TIMESTAMP) AS bar_ts, kind, CASE kind WHEN 'bullish' THEN h2 ELSE high END AS bottom, CASE kind WHEN 'bullish' THEN low ELSE l2 END AS top,
+ CASE kind WHEN 'bullish' THEN ll IS NULL OR ll > h2 ELSE lh IS NULL OR lh < l2 END AS is_open FROM g WHERE kind IS NOT NULL""")
 def p8_gaps_by_timeframe(spark, d):
-    return s.gaps_by_timeframe(bars(spark, d))
+    return s.gaps_by_timeframe(bars(spark, d), (2, 4))
 
 
 def _last(n: int) -> str:

@@ -228,9 +228,10 @@ def j13_all_pair_correlations(spark, d):
     return joins.pair_correlations(joins.overlap_long(joins.daily_r(trades(spark, d)), outer=False))
 
 
-@query(", h AS (SELECT DISTINCT strategy, outcome FROM trades WHERE r_multiple > 1), s AS (SELECT DISTINCT strategy FROM h), o AS (SELECT DISTINCT outcome FROM h) SELECT strategy, outcome FROM s, o EXCEPT SELECT strategy, outcome FROM h")
+@query(""", h AS (SELECT DISTINCT strategy, CAST(CAST(entry_time AS DATE) AS VARCHAR) AS day FROM trades WHERE r_multiple > 2), g AS (SELECT a.strategy, b.day FROM (SELECT DISTINCT strategy FROM h) a, (SELECT DISTINCT day FROM h) b)
+SELECT strategy, day FROM g WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.strategy = g.strategy AND h.day = g.day)""")
 def j14_missing_pairs(spark, d):
-    return joins.missing_pairs(trades(spark, d).where("r_multiple > 1"), "strategy", "outcome")
+    return joins.missing_pairs(trades(spark, d).where("r_multiple > 2").withColumn("day", F.to_date("entry_time").cast("string")), "strategy", "day")
 
 
 @query(" SELECT b.symbol AS strategy, b.bar_ts, (SELECT count(*) FROM trades t WHERE t.strategy = b.symbol AND t.entry_time <= b.bar_ts AND t.exit_time > b.bar_ts) AS open_trades FROM bars b")

@@ -1,4 +1,4 @@
-"""Writers: tables partitioned by their pruning columns; upserts write a new version beside the old one and then switch."""
+"""Writers: tables partitioned by their pruning columns; upserts write the touched partitions beside the table and then overwrite them."""
 
 from __future__ import annotations
 
@@ -9,19 +9,32 @@ BAR_KEY = ("symbol", "timeframe", "bar_ts")
 
 
 def _fs(spark: SparkSession, path: str):
+    """The file system of a path, by which whole folders are renamed: Spark's own writers have no rename."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm.org.apache.hadoop.fs.Path
 
 
+def _recovered(spark: SparkSession, path: str):
+    """As _fs, after finishing a `replace` that stopped between its two renames: the new table if it is whole, else the old one."""
+    fs, p, new = _fs(spark, path)
+    side, old = new(path.rstrip("/") + ".next"), new(path.rstrip("/") + ".old")
+    if not fs.exists(p):
+        if fs.exists(old) and fs.exists(new(side, "_SUCCESS")):
+            fs.rename(side, p)
+        elif fs.exists(old):
+            fs.rename(old, p)
+    return fs, p, new
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p, _ = _fs(spark, path)
+    fs, p, _ = _recovered(spark, path)
     return fs.exists(p)
 
 
 def replace(df: DataFrame, path: str, *by: str) -> None:
-    """Write beside, then rename: readers see the old or the new table, and df may read from path."""
-    fs, p, new = _fs(df.sparkSession, path)
+    """Write beside, then rename twice; df may read from path. A reader between the renames finds no table; a job that stops there is finished by the next call of this module."""
+    fs, p, new = _recovered(df.sparkSession, path)
     side, old = new(path.rstrip("/") + ".next"), new(path.rstrip("/") + ".old")
     fs.delete(side, True)
     df.write.partitionBy(*by).parquet(str(side))
@@ -42,17 +55,19 @@ def merged(old: DataFrame | None, new: DataFrame, keys: tuple[str, ...], order:
     return new if old is None else old.join(new, list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def upsert(new: DataFrame, path: str, keys: tuple[str, ...] = BAR_KEY, *, by: tuple[str, ...] = ("symbol", "timeframe"), order: str | None = None) -> None:
-    """K3-K5: only the partitions that `new` touches are read and written again."""
+def upsert(new: DataFrame, path: str, keys: tuple[str, ...] = BAR_KEY, *, by: tuple[str, ...] = ("symbol", "timeframe"), order: str | None = None, drop: tuple[str, ...] = ()) -> None:
+    """K3-K5: only the partitions that `new` touches are read and written again, each as a whole; after a failure some may be old, and the same call again mends that.
+
+    order: of new rows with one key the last by it stays; drop: columns that are not stored."""
     spark = new.sparkSession
     if not exists(spark, path):
-        merged(None, new, keys, order).write.partitionBy(*by).parquet(path)
+        merged(None, new, keys, order).drop(*drop).write.partitionBy(*by).parquet(path)
         return
     old = spark.read.parquet(path)
     touched = new.select(*by).distinct()
-    both = merged(old.join(F.broadcast(touched), list(by), "left_semi") if by else old, new, keys, order)
+    both = merged(old.join(touched, list(by), "left_semi") if by else old, new, keys, order).drop(*drop)
     fs, _, new_path = _fs(spark, path)
-    side = path.rstrip("/") + ".next"
+    side = path.rstrip("/") + ".upsert"
     fs.delete(new_path(side), True)
     both.write.partitionBy(*by).parquet(side)
     spark.read.parquet(side).write.option("partitionOverwriteMode", "dynamic").partitionBy(*by).mode("overwrite").parquet(path)

@@ -19,10 +19,15 @@ def ticks_to_bars(ticks: DataFrame, *, width: str = "15 minutes", late: str = "1
     return out.select("symbol", F.lit(width).alias("timeframe"), F.col("window.start").alias("bar_ts"), "open", "high", "low", "close", "volume")
 
 
-def ingest(bars: DataFrame, path: str, checkpoint: str, *, late: str = "1 hour", trigger: dict | None = None):
-    """K5: repeated candles are dropped within the watermark, the rest upserted by micro-batch; a batch that runs twice changes nothing."""
-    once = bars.withWatermark("bar_ts", late).dropDuplicatesWithinWatermark(["symbol", "timeframe", "bar_ts"])
-    return once.writeStream.foreachBatch(lambda df, _: None if df.isEmpty() else sinks.upsert(df, path)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).start()
+def ingest(bars: DataFrame, path: str, checkpoint: str, *, arrival: str | None = None, trigger: dict | None = None):
+    """K5: candles upserted by micro-batch. A candle that is sent again replaces the one before it, within a batch by `arrival` (a column that orders them and is
+    not stored; without it rows of one candle in one batch must be alike). A batch that runs twice changes nothing."""
+
+    def write(df: DataFrame, _: int) -> None:
+        if not df.isEmpty():
+            sinks.upsert(df, path, order=arrival, drop=(arrival,) if arrival else ())
+
+    return bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).start()
 
 
 STATE = "recent array<double>, streak int, equity double, peak double, cooldown int"
@@ -36,7 +41,8 @@ def drawdown_guard(trades: DataFrame, *, window: int = 20, limit: float = 5.0, l
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent, streak, equity, peak, rest = state.get if state.exists else ([], 0, 0.0, 0.0, 0)
         recent, rows = list(recent), []
-        for pdf in batches:
+        pdf = pd.concat(list(batches))  # a key's trades of one micro-batch, which come in several chunks
+        if len(pdf):
             for ts, r in pdf.sort_values("ts")[["ts", "r_multiple"]].itertuples(index=False):
                 recent = [*recent, float(r)][-window:]
                 streak = streak + 1 if r <= 0 else 0

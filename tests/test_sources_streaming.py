@@ -48,10 +48,29 @@ def test_klines_page(spark):
 def test_stream_ingest_equals_batch(spark, tmp_path):
     source, path = f"{tmp_path}/in", f"{tmp_path}/out"
     df = bars(spark, [1.0, 2.0, 3.0]).withColumn("bar_ts", F.col("bar_ts").cast("timestamp"))
-    df.union(df).repartition(2).write.parquet(source)
-    q = candles.ingest(spark.readStream.schema(df.schema).parquet(source), path, f"{tmp_path}/check", trigger={"availableNow": True})
-    q.awaitTermination(120)
-    assert sorted(r.close for r in spark.read.parquet(path).collect()) == [1.0, 2.0, 3.0]
+    again = df.withColumn("seq", F.lit(1)).union(df.where("close = 2").withColumn("close", F.lit(9.0)).withColumn("seq", F.lit(2)))
+    again.repartition(2).write.parquet(source)
+
+    def run():
+        candles.ingest(spark.readStream.schema(again.schema).parquet(source), path, f"{tmp_path}/check", arrival="seq", trigger={"availableNow": True}).awaitTermination(120)
+        return sorted(r.close for r in spark.read.parquet(path).collect())
+
+    assert run() == [1.0, 3.0, 9.0]  # the correction replaces the candle
+    df.where("close = 3").withColumn("close", F.lit(7.0)).withColumn("seq", F.lit(1)).write.mode("append").parquet(source)
+    assert run() == [1.0, 7.0, 9.0] and "seq" not in spark.read.parquet(path).columns
+
+
+def test_replace_is_finished_after_a_stop(spark, tmp_path):
+    import os
+
+    path = f"{tmp_path}/bars"
+    bars(spark, [1.0]).write.partitionBy("symbol", "timeframe").parquet(path)
+    os.rename(path, f"{path}.old")
+    assert sinks.exists(spark, path) and tables.read_bars(spark, path).count() == 1
+    os.rename(path, f"{path}.old")
+    bars(spark, [5.0, 6.0]).write.partitionBy("symbol", "timeframe").parquet(f"{path}.next")
+    sinks.replace(bars(spark, [2.0, 3.0, 4.0]), path, "symbol", "timeframe")
+    assert tables.read_bars(spark, path).count() == 3 and os.listdir(tmp_path) == ["bars"]
 
 
 def test_drawdown_guard(spark, tmp_path):
