@@ -58,6 +58,41 @@ def equity_line(trades: DataFrame, by: str = "strategy") -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("trades"), rounded(F.regr_slope("equity", "n"), 6).alias("slope"), rounded(F.regr_r2("equity", "n")).alias("fit"), rounded(ratio(F.sum("r_multiple"), F.max("drawdown"))).alias("recovery_factor"))
 
 
+def growth_curve(trades: DataFrame, by: str = "strategy", fractions: int = 50, most: float = 0.5) -> DataFrame:
+    """T-14: mean log growth for each risked fraction (most / fractions, ..., most); null where one trade would lose everything."""
+    f = F.explode(F.transform(F.sequence(F.lit(1), F.lit(fractions)), lambda i: i * most / fractions)).alias("f")
+    left = 1 + F.col("f") * F.col("r_multiple")
+    return trades.select(by, "r_multiple", f).groupBy(by, "f").agg(F.when(F.min(left) > 0, F.avg(F.when(left > 0, F.ln(left)))).alias("growth"))
+
+
+def growth_limits(trades: DataFrame, by: str = "strategy") -> DataFrame:
+    """T-14: the fraction of best growth, that growth, whether it is above 0, the first fraction after it at which growth is not, and the plain Kelly share (0 without a win or a loss)."""
+    curve = growth_curve(trades, by)
+    w = Window.partitionBy(by).orderBy("f")
+    curve = curve.withColumn("_up", F.coalesce(F.col("growth") > 0, F.lit(False))).withColumn("_falls", ~F.col("_up") & F.coalesce(F.lag("_up").over(w), F.lit(False)))
+    best = curve.groupBy(by).agg(F.max(F.struct("growth", (-F.col("f")).alias("m"))).alias("t"), F.min(F.when(F.col("_falls"), F.col("f"))).alias("critical"))
+    r = F.col("r_multiple")
+    kelly = trades.groupBy(by).agg(F.avg(F.when(r > 0, r)).alias("gain"), F.avg(F.when(r < 0, -r)).alias("loss"), F.avg((r > 0).cast("double")).alias("wr"))
+    share = F.when(F.col("gain").isNotNull() & F.col("loss").isNotNull(), F.col("wr") - (1 - F.col("wr")) / (F.col("gain") / F.col("loss"))).otherwise(0.0)
+    return best.join(kelly, by).select(by, rounded(-F.col("t.m")).alias("optimal_f"), rounded(F.col("t.growth"), 8).alias("max_growth"), (F.col("t.growth") > 0).alias("ergodic"), rounded(F.col("critical")).alias("critical_f"), rounded(share, 6).alias("kelly"))
+
+
+def robustness(trades: DataFrame, by: str = "strategy", asset: str = "symbol") -> DataFrame:
+    """T-19: score of a strategy over its assets: 0.30 consistency of mean R (variation 0.15 is 100, 1 is 0), 0.25 share of assets that gain, 0.20 share that gain
+    significantly, 0.15 share that agree on the best regime, 0.10 overfit (50, as trades carry no in-sample score); with its grade."""
+    from .trades import significance
+
+    per = significance(trades, by, asset)
+    regimes = trades.groupBy(by, asset, "regime").agg(F.avg("r_multiple").alias("m")).groupBy(by, asset).agg(F.max(F.struct("m", "regime"))["regime"].alias("best"))
+    agree = regimes.groupBy(by, "best").count().groupBy(by).agg((F.max("count") / F.sum("count") * 100).alias("regime_score"))
+    cv = F.stddev_pop("mean_r") / F.abs(F.avg("mean_r"))
+    out = per.groupBy(by).agg(F.count("*").alias("assets"), cv.alias("cv"), (F.avg((F.col("mean_r") > 0).cast("double")) * 100).alias("profit_score"), (F.avg(F.col("mean_r_significant").cast("double")) * 100).alias("significance_score")).join(agree, by)
+    consistency = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - F.col("cv")) / 0.85 * 100))
+    total = 0.30 * consistency + 0.25 * F.col("profit_score") + 0.20 * F.col("significance_score") + 0.15 * F.col("regime_score") + 5.0
+    grade = F.when(total >= 80, "A").when(total >= 65, "B").when(total >= 50, "C").when(total >= 35, "D").otherwise("F")
+    return out.select(by, "assets", rounded(consistency, 2).alias("consistency"), rounded(F.col("profit_score"), 2).alias("profitability"), rounded(F.col("significance_score"), 2).alias("significance"), rounded(F.col("regime_score"), 2).alias("regime_stability"), rounded(total, 2).alias("score"), grade.alias("grade"))
+
+
 def derived_r(trades: DataFrame) -> DataFrame:
     """R by the distance of the stop `sl` from the entry, and percent gained, both by direction."""
     move = F.col("exit_price") - F.col("entry_price")

@@ -44,7 +44,7 @@ def numbered(df: DataFrame) -> DataFrame:
     return df if "bar_no" in df.columns else df.withColumn("bar_no", F.row_number().over(ordered()))
 
 
-def ewm(df: DataFrame, columns: dict[str, tuple], *, block: int = 4096) -> DataFrame:
+def ewm(df: DataFrame, columns: dict[str, tuple], *, block: int = 512) -> DataFrame:
     """y0 = x0, y = (1 - a) y + a x for each new column: (input, a[, the bar number of x0]); before that bar y is 0. Adds `bar_no` (from 1).
 
     The bars of a series are numbered by one window; the recurrences themselves run in blocks of `block` rows that carry all their columns, so nothing
@@ -66,6 +66,12 @@ def ewm(df: DataFrame, columns: dict[str, tuple], *, block: int = 4096) -> DataF
     return rows.select(*KEYS, *[F.col("_r").getField(c).alias(c) for c in ("bar_no", *rest)], *made)
 
 
+def ewm_adjusted(df: DataFrame, columns: dict[str, tuple[str, float]]) -> DataFrame:
+    """Means whose weights (1 - a) ** age add up to their own sum from the first bar on: (input, a) for each new column."""
+    out = ewm(df, {name: (c, a, 0) for name, (c, a) in columns.items()})
+    return out.withColumns({name: F.col(name) / (1 - F.pow(F.lit(1 - a), F.col("bar_no"))) for name, (_, a) in columns.items()})
+
+
 def indicators(bars: DataFrame) -> DataFrame:
     """True range, ATR, EMAs, RSI and ADX (Wilder smoothing with 1/14, null before 14 bars)."""
     w, wilder = ordered(), 1 / 14

@@ -253,3 +253,36 @@ def rolling_drawdown(trades: DataFrame, *by: str, time: str = "entry_time", size
         one = df.groupBy(*by).agg(F.percentile(f"_d{n}", F.array(F.lit(0.75), F.lit(0.9), F.lit(0.95))).alias("q"), F.max(f"_d{n}").alias("m")).select(*by, F.lit(n).alias("window"), *[rounded(F.col("q")[i], digits).alias(f"p{p}") for i, p in enumerate((75, 90, 95))], rounded(F.col("m"), digits).alias("max_dd"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """Column names in lower case, without blanks at the ends."""
+    return df.toDF(*[c.strip().lower() for c in df.columns])
+
+
+def without_bogus(trades: DataFrame, prefix: str = "FIXED") -> DataFrame:
+    """Trades whose id begins with the prefix of hand-made ones go; those without an id stay."""
+    return trades.where(~F.coalesce(F.col("trade_id").startswith(prefix), F.lit(False)))
+
+
+def open_fields_cleared(trades: DataFrame, columns: tuple[str, ...] = ("exit_price", "exit_time", "pnl_usd", "pnl_pct", "r_multiple")) -> DataFrame:
+    """What only a closed trade can have is null where is_open."""
+    return trades.withColumns({c: F.when(~F.col("is_open"), F.col(c)) for c in columns if c in trades.columns})
+
+
+def lot_rounded(orders: DataFrame, *, step: str = "step", tick: str = "tick") -> DataFrame:
+    """Quantity down to a whole number of steps, price to the nearest tick; a step or tick of 0 changes nothing."""
+    down = F.when(F.col(step) > 0, F.floor(F.col("quantity") / F.col(step) + 1e-9) * F.col(step)).otherwise(F.col("quantity"))
+    near = F.when(F.col(tick) > 0, F.round(F.col("price") / F.col(tick)) * F.col(tick)).otherwise(F.col("price"))
+    return orders.withColumn("quantity", down).withColumn("price", near)
+
+
+def value_histogram(trades: DataFrame, column: str, bins: int, *by: str) -> DataFrame:
+    """V4: counts in `bins` equal bins from the smallest to the largest value of each key, with the bin's ends."""
+    x = F.col(column)
+    span = trades.groupBy(*by).agg(F.min(x).alias("_a"), F.max(x).alias("_b"))
+    df = trades.join(span, list(by)) if by else trades.join(F.broadcast(span))
+    at = F.when(F.col("_b") > F.col("_a"), F.least(F.floor((x - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+    width = (F.col("_b") - F.col("_a")) / bins
+    out = df.where(x.isNotNull()).groupBy(*by, at.alias("bin"), "_a", width.alias("_w")).agg(F.count("*").alias("n"))
+    return out.select(*by, "bin", rounded(F.col("_a") + F.col("bin") * F.col("_w")).alias("low"), rounded(F.col("_a") + (F.col("bin") + 1) * F.col("_w")).alias("high"), "n")

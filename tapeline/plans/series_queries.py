@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.metrics import rounded
 from ..operators import market
 from ..operators import series as s
+from ..operators import sessions as se
 from ..operators import simulation as sim
-from .trade_queries import query
+from .trade_queries import _SESSION, query
 from .views import bars
 
 _O = "PARTITION BY symbol, timeframe ORDER BY bar_ts"
@@ -31,6 +32,13 @@ _BASE = f""" base0 AS (SELECT *, row_number() OVER w AS no, greatest(high - low,
  greatest(coalesce(close - lag(close) OVER w, 0), 0) AS gain, greatest(coalesce(lag(close) OVER w - close, 0), 0) AS loss, high - lag(high) OVER w AS up, lag(low) OVER w - low AS down FROM bars WINDOW w AS ({_O})),
 base1 AS (SELECT *, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS pdm FROM base0), base AS (SELECT *, CASE WHEN down > pdm AND down > 0 THEN down ELSE 0 END AS mdm FROM base1)"""
 _W14 = "(1.0E0 / 14)"
+
+
+@query(f", RECURSIVE_MARK {_BASE}, nu AS (SELECT symbol, no, close AS y, 1.0E0 AS d FROM base WHERE no = 1 UNION ALL SELECT b.symbol, b.no, (49.0E0 / 51) * e.y + b.close, (49.0E0 / 51) * e.d + 1 FROM nu e JOIN base b ON b.symbol = e.symbol AND b.no = e.no + 1) SELECT b.symbol, b.bar_ts, round(y / d + 1.37E-7, 4) + 0.0E0 AS ema_50 FROM base b JOIN nu USING (symbol, no)")
+def w3_adjusted_ewm(spark, d):
+    return s.ewm_adjusted(bars(spark, d), {"ema_50": ("close", 2 / 51)}).select("symbol", "bar_ts", *_r("ema_50"))
+
+
 #: ind: the bars of `base` with their indicators.
 _IND = ", RECURSIVE_MARK " + ", ".join([
     _BASE, _ewm_sql("e20", "close", "(2.0E0 / 21)"), _ewm_sql("e50", "close", "(2.0E0 / 51)"), _ewm_sql("e200", "close", "(2.0E0 / 201)"), _ewm_sql("atr0", "tr", _W14),
@@ -179,6 +187,47 @@ def w16_structure_bias(spark, d):
     return s.structure_bias(bars(spark, d)).select("symbol", "bar_ts", "structure_bias", "structure_conf")
 
 
+_ET = "CAST(extract(hour FROM timezone('America/New_York', timezone('UTC', bar_ts))) AS INT)"
+_BLOCKS = f""", se AS (SELECT *, {_SESSION} AS session FROM (SELECT *, {_ET} AS h FROM bars)), sc AS (SELECT *, CASE WHEN session IS DISTINCT FROM lag(session) OVER ({_O}) THEN 1 ELSE 0 END AS c FROM se),
+sr AS (SELECT *, sum(c) OVER ({_O}) AS run FROM sc), bl AS (SELECT symbol, timeframe, run, session, max(high) AS high, min(low) AS low, min(bar_ts) AS begins, max(bar_ts) AS ends FROM sr WHERE session <> 'Off-Hours' GROUP BY ALL)"""
+
+
+@query(_BLOCKS + " SELECT symbol, timeframe, session, high, low, begins, ends FROM bl")
+def w18_session_blocks(spark, d):
+    return se.session_blocks(bars(spark, d))
+
+
+def _levels_sql(source: str, name: str, first: int, last: int, sessions: int) -> str:
+    """CTEs {name}3: source with {name}_high and {name}_low."""
+    return f"""{name}0 AS (SELECT *, {_ET} BETWEEN {first} AND {last - 1} AS i FROM {source}), {name}1 AS (SELECT *, sum(CASE WHEN i AND NOT coalesce(li, false) THEN 1 ELSE 0 END) OVER ({_O}) AS s FROM (SELECT *, lag(i) OVER ({_O}) AS li FROM {name}0)),
+{name}2 AS (SELECT symbol, timeframe, s, max(max(high)) OVER w AS h, min(min(low)) OVER w AS l FROM {name}1 WHERE i GROUP BY symbol, timeframe, s WINDOW w AS (PARTITION BY symbol, timeframe ORDER BY s ROWS BETWEEN {sessions - 1} PRECEDING AND CURRENT ROW)),
+{name}3 AS (SELECT a.* EXCLUDE (i, li, s), CASE WHEN NOT i THEN h END AS {name}_high, CASE WHEN NOT i THEN l END AS {name}_low FROM {name}1 a LEFT JOIN {name}2 b USING (symbol, timeframe, s))"""
+
+
+@query(", " + _levels_sql("bars", "asia", 19, 24, 3) + " SELECT symbol, bar_ts, asia_high, asia_low FROM asia3")
+def w17_session_levels(spark, d):
+    return se.session_levels(bars(spark, d), 19, 24, sessions=3, name="asia").select("symbol", "bar_ts", "asia_high", "asia_low")
+
+
+def _swept(name: str, side: str) -> str:
+    x = f"{name}_{side}"
+    hit = f"low < {x} - {x} * 0.002E0 AND close > {x} AND pl >= {x} * (1 - 0.002E0)" if side == "low" else f"high > {x} + {x} * 0.002E0 AND close < {x} AND ph <= {x} * (1 + 0.002E0)"
+    return f"WHEN {x} > 0 AND {hit} THEN {{'level': '{x}', 'price': {x}}}"
+
+
+@query(", " + ", ".join([_levels_sql("bars", "asia", 19, 24, 1), _levels_sql("asia3", "london", 2, 8, 1), _levels_sql("london3", "new_york", 8, 16, 1)]) + f""",
+p AS (SELECT *, coalesce(lag(low) OVER ({_O}), low) AS pl, coalesce(lag(high) OVER ({_O}), high) AS ph FROM new_york3), q AS (SELECT symbol, bar_ts, CASE {" ".join(_swept(n, x) for n, _, _ in se.LEVELS for x in ("low", "high"))} END AS hit FROM p)
+SELECT symbol, bar_ts, hit.level AS level, hit.price AS swept_price FROM q WHERE hit IS NOT NULL""")
+def p11_session_sweeps(spark, d):
+    return se.session_sweeps(bars(spark, d)).select("symbol", "bar_ts", "level", "swept_price")
+
+
+@query(_BLOCKS + """ SELECT symbol, session, ends, (SELECT min(bar_ts) FROM bars b WHERE b.symbol = bl.symbol AND b.bar_ts > ends AND CAST(b.bar_ts AS DATE) <= CAST(ends AS DATE) + 5 AND b.high > bl.high) AS high_swept,
+ (SELECT min(bar_ts) FROM bars b WHERE b.symbol = bl.symbol AND b.bar_ts > ends AND CAST(b.bar_ts AS DATE) <= CAST(ends AS DATE) + 5 AND b.low < bl.low) AS low_swept FROM bl""")
+def p12_first_sweeps(spark, d):
+    return se.first_sweeps(bars(spark, d)).select("symbol", "session", "ends", "high_swept", "low_swept")
+
+
 #: Bars with every fault that validation mends, made from the hour of the day.
 _MESSY = """SELECT symbol, timeframe, bar_ts, CASE WHEN hour(bar_ts) = 3 THEN NULL WHEN hour(bar_ts) = 5 THEN CAST('NaN' AS DOUBLE) ELSE open END AS open,
  CASE WHEN hour(bar_ts) = 7 THEN CAST('Infinity' AS DOUBLE) WHEN hour(bar_ts) = 8 THEN low ELSE high END AS high, low, close, CASE WHEN hour(bar_ts) = 9 THEN NULL WHEN hour(bar_ts) = 11 THEN -volume ELSE volume END AS volume, 1 AS seq FROM {bars}
