@@ -59,28 +59,40 @@ FEWEST_BITS, MOST_BITS = 20, 28
 _CELL = 32768  # bits of one row of the bitmap
 
 
-def bitmap(ids: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """The hashes of the ids as a table of bits, and its number of bits: about sixteen for each id, MOST_BITS at most. Ids are dealt by cell first, so a task makes only its own cells."""
+def bitmap(ids: DataFrame, column: str, *, several: bool = False) -> tuple[DataFrame, int]:
+    """The hashes of the ids as a table of bits, and its number of bits: about sixteen for each id, MOST_BITS at most. Ids are dealt by cell first, so a task makes only its own cells.
+
+    several: ids may repeat; `_several` has the bits that more than one row has set, and `_top` the most rows of one bit in a cell."""
     bits = 1 << min(MOST_BITS, max(FEWEST_BITS, (16 * ids.count()).bit_length()))
-    rows = ids.select(_place(F.col(column), bits).alias("_p")).select(F.shiftright("_p", 15).alias("_cell"), F.col("_p").bitwiseAND(_CELL - 1).alias("_bit"))
-    cells = rows.repartition("_cell").groupBy("_cell").agg(F.bitmap_construct_agg("_bit").alias("_b"))
-    # as numbers of 32 bits, which are cheap to look up
-    whole = f"transform(sequence(0, {_CELL // 32 - 1}), i -> CAST(conv(hex(substring(_b, 4 * i + 1, 4)), 16, 10) AS BIGINT))"
-    return cells.select("_cell", F.expr(f"transform({whole}, v -> CAST(IF(v >= 2147483648, v - 4294967296, v) AS INT))").alias("_bits")), bits
+    rows = ids.select(_place(F.col(column), bits).alias("_p")).select(F.shiftright("_p", 15).alias("_cell"), F.col("_p").bitwiseAND(_CELL - 1).alias("_bit")).repartition("_cell")
+    if not several:
+        return rows.groupBy("_cell").agg(F.bitmap_construct_agg("_bit").alias("_b")).select("_cell", _numbers("_b").alias("_bits")), bits
+    rows = rows.groupBy("_cell", "_bit").agg(F.count("*").alias("_n"))
+    cells = rows.groupBy("_cell").agg(F.bitmap_construct_agg("_bit").alias("_b"), F.bitmap_construct_agg(F.when(F.col("_n") > 1, F.col("_bit"))).alias("_c"), F.max("_n").alias("_top"))
+    return cells.select("_cell", _numbers("_b").alias("_bits"), _numbers("_c").alias("_several"), "_top"), bits
+
+
+def _numbers(column: str) -> Column:
+    """A bitmap's bytes as numbers of 32 bits, which are cheap to look up."""
+    whole = f"transform(sequence(0, {_CELL // 32 - 1}), i -> CAST(conv(hex(substring({column}, 4 * i + 1, 4)), 16, 10) AS BIGINT))"
+    return F.expr(f"transform({whole}, v -> CAST(IF(v >= 2147483648, v - 4294967296, v) AS INT))")
 
 
 def _place(column: Column, bits: int) -> Column:
     return F.xxhash64(column, F.lit(77)).bitwiseAND(F.lit(bits - 1).cast("long"))
 
 
-def maybe_among(df: DataFrame, column: Column, marks: tuple[DataFrame, int], *, among: bool = True) -> DataFrame:
-    """The rows of df whose column may be one of the ids of `marks` (or, among=False, is none of them). Nothing but the bitmap of bounded size moves.
+def maybe_among(df: DataFrame, column: Column, marks: tuple[DataFrame, int], *, among: bool = True, several: Column | None = None) -> DataFrame:
+    """The rows of df whose column may be one of the ids of `marks` (or, among=False, is none of them); where `several` holds, one of those that stand there twice.
 
-    It only spares an exact join rows that it cannot need: a full bitmap lets all rows pass."""
+    Nothing but the bitmap of bounded size moves.  It only spares an exact join rows that it cannot need: a full bitmap lets all rows pass."""
     rows, bits = marks
     own = df.withColumn("_place", _place(column, bits))
-    marked = F.expr("(shiftright(_bits[CAST(shiftright(_place, 5) & 1023 AS INT)], CAST(24 - (_place & 24) + (_place & 7) AS INT)) & 1) = 1")  # bytes are in order, bits in a byte from the lowest
-    return own.join(F.broadcast(rows), (F.shiftright("_place", 15) == F.col("_cell")) & marked, "left_semi" if among else "left_anti").drop("_place")
+    word = lambda c: F.expr(f"{c}[CAST(shiftright(_place, 5) & 1023 AS INT)]")
+    found = word("_bits") if several is None else F.when(several, word("_several")).otherwise(word("_bits"))
+    bit = F.expr("shiftleft(1, CAST(24 - (_place & 24) + (_place & 7) AS INT))")  # bytes are in order, bits in a byte from the lowest
+    hit = found.bitwiseAND(bit) != 0
+    return own.join(F.broadcast(rows), (F.shiftright("_place", 15) == F.col("_cell")) & hit, "left_semi" if among else "left_anti").drop("_place")
 
 
 def lowered(text):

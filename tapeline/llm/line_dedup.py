@@ -170,17 +170,17 @@ def line_classes(docs: DataFrame, *, distance: int = 2, min_chars: int | None =
     long = distinct.where(F.length("line") >= max(min_chars or 0, distance + 1)).select("line", "doc", "pos", "sig")
     kind = "key long, doc long, pos int, sig long, own boolean"
     every = saved(long.mapInArrow(lambda b: _cut(b, distance, False), kind).drop("own").toDF("key", "xd", "xp", "xs"), "all-segments")
-    # keys of the index, and as other numbers those that several lines have: what a line's own segment must find
-    counts = saved(every.groupBy("key").agg(F.count("*").cast("int").alias("n")), "segment-keys")
-    with_others = F.xxhash64("key", F.lit("several"))
-    marks = bitmap(counts.select("key").union(counts.where("n > 1").select(with_others)), "key")
-    probe = maybe_among(long.mapInArrow(lambda b: _cut(b, distance, True), kind), F.when(F.col("own"), with_others).otherwise(F.col("key")), marks)
+    # a probe must find its key in the index, and a line's own segment must find one that several lines have
+    rows, bits = bitmap(every, "key", several=True)
+    marks = saved(rows, "segment-marks")
+    probe = maybe_among(long.mapInArrow(lambda b: _cut(b, distance, True), kind), F.col("key"), (marks, bits), several=F.col("own"))
     probe = saved(probe.select("key", F.col("doc").alias("yd"), F.col("pos").alias("yp"), F.col("sig").alias("ys")), "probes")
-    index = saved(maybe_among(every, F.col("key"), bitmap(probe.select("key").distinct(), "key")), "segments")
-    spent(every)
-    often = counts.where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("s"))
+    index = saved(maybe_among(every, F.col("key"), bitmap(probe, "key")), "segments")
+    crowded = not marks.where(F.col("_top") > hot).isEmpty()
+    often = saved(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("s")), "hot-segments") if crowded else None
+    spent(every, marks)
     near_bits = (F.bit_count(F.col("xs").bitwiseXOR(F.col("ys"))) <= 4 * distance) & ((F.col("xd") != F.col("yd")) | (F.col("xp") != F.col("yp")))
-    if often.isEmpty():
+    if often is None:
         met = probe.join(index, "key")
     else:
         parts = probe.join(often, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1))).drop("s")
@@ -188,7 +188,7 @@ def line_classes(docs: DataFrame, *, distance: int = 2, min_chars: int | None =
         met = parts.join(dealt, ["key", "part"])
     x, y = F.struct(F.col("xd").alias("doc"), F.col("xp").alias("pos")), F.struct(F.col("yd").alias("doc"), F.col("yp").alias("pos"))
     pairs = saved(met.where(near_bits).select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct(), "line-pairs")
-    spent(counts, probe, index)
+    spent(probe, index, often)
     distinct = distinct.select("line", "n", F.struct("doc", "pos").alias("first"))
     # only lines of a pair are fetched and joined any further
     members = saved(pairs.select(F.col("x").alias("first")).union(pairs.select("y")).distinct(), "line-members")
