@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, maybe_among, saved, spent, table
@@ -156,11 +156,19 @@ def _near(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield batch.select([0, 1]).filter(pa.array([within(a, b, k) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_()))
 
 
+def _trimmed(line: Column) -> Column:
+    """The line without ASCII white space at its ends. Most lines have none, and Spark's trim lays out every letter, so it is only called where an end asks for it."""
+    ends = F.lit(False)
+    for c in TRIM:
+        ends = ends | line.startswith(c) | line.endswith(c)
+    return F.when(ends, F.trim(line, F.lit(TRIM))).otherwise(line)
+
+
 def line_classes(docs: DataFrame, *, distance: int = 2, min_chars: int | None = None, hot: int = 4096) -> DataFrame:
     """A row per distinct line: line, n (occurrences), first and class (both struct(doc, pos): first occurrence of the line, of its class), n_links (to other lines)."""
     if not 0 <= distance <= 31:
         raise ValueError("distance must be from 0 to 31: the verification's band has 64 diagonals")
-    trimmed = F.trim(F.col("line"), F.lit(TRIM))
+    trimmed = _trimmed(F.col("line"))
     lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc", "pos", trimmed.alias("line")).where("line <> ''")
     place = F.col("doc").cast("decimal(38,0)") * F.lit(_PLACES).cast("decimal(18,0)") + F.col("pos")  # doc and pos as one number, which a hash aggregation can hold
     distinct = lines.groupBy("line").agg(F.min(place.cast("decimal(38,0)")).alias("first"), F.count("*").alias("n"))
@@ -208,14 +216,14 @@ def line_classes(docs: DataFrame, *, distance: int = 2, min_chars: int | None =
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, n_lines (not blank), n_removed, class_id (smallest doc_id that its lines' classes begin in), n_links (of its lines to other lines), removed (line numbers taken out)."""
     classes = saved(line_classes(docs, **options).where("n > 1 OR n_links > 0").select(F.md5(F.col("line").cast("binary")).alias("h"), "class", "n_links", F.xxhash64("line").alias("_x")), "line-classes")
-    trimmed = F.trim(F.col("line"), F.lit(TRIM))
+    trimmed = _trimmed(F.col("line"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # only lines of classes with several occurrences travel; their hash stands for the text until both sides meet
     occ = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", trimmed.alias("line"))
     occ = maybe_among(occ, F.xxhash64("line"), bitmap(classes, "_x")).select("doc_id", "pos", F.md5(F.col("line").cast("binary")).alias("h"))
     hit = occ.join(classes.drop("_x"), "h")
     per = hit.groupBy("doc_id").agg(F.min("class.doc").alias("class_id"), F.sum("n_links").alias("n_links"), F.sort_array(F.collect_set(F.when((F.col("class.doc") != F.col("doc_id")) | (F.col("class.pos") != F.col("pos")), F.col("pos")))).alias("removed"))
-    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x, F.lit(TRIM)) != ""))
+    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: _trimmed(x) != ""))
     out = docs.select("doc_id", n_lines.cast("long").alias("n_lines")).join(per, "doc_id", "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("removed", F.expr("CAST(array() AS array<int>)")).alias("removed"))
 
