@@ -84,3 +84,15 @@ def shadow_aggregates(matched: DataFrame) -> DataFrame:
     pct = lambda c: (F.col(f"live_{c}") - F.col(f"shadow_{c}")) / F.col(f"shadow_{c}") * 100
     gap = F.col("live_r") - F.col("shadow_r")
     return matched.agg(F.count("*").alias("n"), rounded(F.avg(pct("entry")), 6).alias("mean_entry_gap_pct"), rounded(F.avg(pct("exit")), 6).alias("mean_exit_gap_pct"), rounded(F.avg(gap)).alias("mean_r_gap"), rounded(F.sum(gap)).alias("total_drag_r"), rounded(share(F.col("live_outcome") == F.col("shadow_outcome"))).alias("outcome_agreement"))
+
+
+def calendar_pivot(trades: DataFrame, by: str = "strategy", time: str = "exit_time") -> DataFrame:
+    """A10: total R by key and year, a column for each month (null without a trade) and one for the year."""
+    month, r = F.month(time), F.col("r_multiple")
+    return trades.groupBy(by, F.year(time).alias("year")).agg(*[rounded(F.sum(F.when(month == m, r))).alias(f"m{m:02d}") for m in range(1, 13)], rounded(F.sum(r)).alias("total"))
+
+
+def label_shares(trades: DataFrame, labels: DataFrame, time: str = "exit_time") -> DataFrame:
+    """How a day's label is spread over the regimes of its trades: share of each label within a regime. labels: day, label."""
+    per = trades.select("regime", F.to_date(time).cast("string").alias("day")).join(labels.where("label IS NOT NULL"), "day").groupBy("regime", "label").agg(F.count("*").alias("n"))
+    return per.withColumn("share", rounded(F.col("n") / F.sum("n").over(Window.partitionBy("regime"))))

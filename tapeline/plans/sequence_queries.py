@@ -189,3 +189,14 @@ SELECT "window", s.combo, round(score + 1.37E-7, 4) + 0.0E0 AS score FROM s JOIN
 def j12_whole_score_matrix(spark, d):
     scores = trades(spark, d).where("pnl_usd > -30").groupBy(F.to_date("exit_time").cast("string").alias("window"), F.concat_ws("|", "strategy", "symbol", "regime").alias("combo")).agg(F.avg("r_multiple").alias("score"))
     return joins.in_every_window(scores).withColumn("score", rounded(F.col("score")))
+
+
+@query(" SELECT strategy, CAST(year(exit_time) AS INT) AS year, " + ", ".join(f"round(sum(CASE WHEN month(exit_time) = {m} THEN r_multiple END) + 1.37E-7, 4) + 0.0E0 AS m{m:02d}" for m in range(1, 13)) + ", round(sum(r_multiple) + 1.37E-7, 4) + 0.0E0 AS total FROM trades GROUP BY strategy, year(exit_time)")
+def a10_calendar_pivot(spark, d):
+    return t.calendar_pivot(trades(spark, d))
+
+
+@query(_DAILY + ", j AS (SELECT regime, label, count(*) AS n FROM trades t JOIN l ON l.day = CAST(CAST(t.exit_time AS DATE) AS VARCHAR) GROUP BY ALL) SELECT regime, label, n, round(n / sum(n) OVER (PARTITION BY regime) + 1.37E-7, 4) AS share FROM j")
+def a26_label_shares(spark, d):
+    forward = p.forward_sums(joins.daily_r(trades(spark, d)), 5).where("forward_r IS NOT NULL").select("strategy", "day", "forward_r")
+    return t.label_shares(trades(spark, d), p.best_label(forward).select("day", "label"))

@@ -1,9 +1,11 @@
 """A Python data source for exchange candles: pages by last open time, one partition per symbol and time slice.
 
-`provider` names a function registered here that returns the candles of a slice; the network ones are left to the user, `memory` serves tests."""
+`provider` names the function that returns the candles of a slice, as `module:function` (imported where the source is planned and read) or a name
+registered in PROVIDERS of that process; the network ones are left to the user."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -12,6 +14,13 @@ Fetch = Callable[[str, str, int, int, int], list[tuple]]
 PROVIDERS: dict[str, Fetch] = {}
 
 
+def provider(name: str) -> Fetch:
+    if name in PROVIDERS:
+        return PROVIDERS[name]
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 class Slice(InputPartition):
     def __init__(self, symbol: str, start: int, end: int):
         self.symbol, self.start, self.end = symbol, start, end
@@ -50,4 +59,4 @@ class KlineSource(DataSource):
         return "symbol string, timeframe string, bar_ts timestamp_ntz, open double, high double, low double, close double, volume double"
 
     def reader(self, schema) -> KlineReader:
-        return KlineReader(self.options, PROVIDERS[self.options.get("provider", "memory")])
+        return KlineReader(self.options, provider(self.options["provider"]))

@@ -18,18 +18,25 @@ def plain_symbol(symbol: Column) -> Column:
     return F.regexp_replace(symbol, "-USD$", "")
 
 
-def read_bars(spark: SparkSession, path: str, *, symbol: str | None = None, timeframe: str | None = None, start: str | None = None, end: str | None = None, indicators: bool = False) -> DataFrame:
-    """Filters on symbol, timeframe and time reach the scan (and prune partitions)."""
+def read_bars(spark: SparkSession, path: str, *, symbol: str | None = None, timeframe: str | None = None, start: str | None = None, end: str | None = None, indicators: bool = False, required: bool = False) -> DataFrame:
+    """Filters on symbol, timeframe and time reach the scan (and prune partitions). A symbol may be given with its -USD ending or without; required: no rows are an error."""
+    if timeframe is not None and timeframe not in TIMEFRAMES:
+        raise ValueError(f"unknown timeframe {timeframe}; known are {', '.join(TIMEFRAMES)}")
     df = spark.read.parquet(path)
-    for column, value in (("symbol", symbol), ("timeframe", timeframe)):
-        if value is not None:
-            df = df.where(F.col(column) == value)
+    if symbol is not None:
+        plain = symbol.removesuffix("-USD")
+        df = df.where(F.col("symbol").isin(plain, f"{plain}-USD")).withColumn("symbol", plain_symbol(F.col("symbol")))
+    if timeframe is not None:
+        df = df.where(F.col("timeframe") == timeframe)
     if start:
         df = df.where(F.col("bar_ts") >= F.lit(start).cast("timestamp_ntz"))
     if end:
         df = df.where(F.col("bar_ts") <= F.lit(end).cast("timestamp_ntz"))
     base = ["symbol", "timeframe", "bar_ts", "open", "high", "low", "close", "volume"]
-    return df.select(*base, *[c for c in INDICATORS if indicators and c in df.columns])
+    df = df.select(*base, *[c for c in INDICATORS if indicators and c in df.columns])
+    if required and df.isEmpty():
+        raise ValueError(f"no bars of {symbol} {timeframe} in {path}")
+    return df
 
 
 def latest(bars: DataFrame, n: int) -> DataFrame:
@@ -54,6 +61,13 @@ def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("changed"))
 
 
+def named_results(results: DataFrame) -> DataFrame:
+    """Results with strategy, symbol and timeframe from a file name like strategy_symbol_timeframe.json; null where it has another form."""
+    form = r"^(.+)_([^_]+)_([^_]+)\.json$"
+    part = lambda i: F.when(F.col("file").rlike(form), F.regexp_extract("file", form, i))
+    return results.withColumns({"strategy": part(1), "symbol": part(2), "timeframe": part(3)})
+
+
 def latest_result(results: DataFrame, *keys: str, time: str = "changed") -> DataFrame:
     """The newest document of each key."""
     w = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc("file"))
