@@ -87,12 +87,14 @@ def maybe_among(df: DataFrame, column: Column, marks: tuple[DataFrame, int], *,
 
     Nothing but the bitmap of bounded size moves.  It only spares an exact join rows that it cannot need: a full bitmap lets all rows pass."""
     rows, bits = marks
-    own = df.withColumn("_place", _place(column, bits))
-    word = lambda c: F.expr(f"{c}[CAST(shiftright(_place, 5) & 1023 AS INT)]")
+    own = uuid.uuid4().hex  # names that no column of df has
+    rows, place = rows.withColumnsRenamed({c: f"{c}_{own}" for c in rows.columns}), f"_place_{own}"
+    df = df.withColumn(place, _place(column, bits))
+    word = lambda c: F.expr(f"{c}_{own}[CAST(shiftright({place}, 5) & 1023 AS INT)]")
     found = word("_bits") if several is None else F.when(several, word("_several")).otherwise(word("_bits"))
-    bit = F.expr("shiftleft(1, CAST(24 - (_place & 24) + (_place & 7) AS INT))")  # bytes are in order, bits in a byte from the lowest
+    bit = F.expr(f"shiftleft(1, CAST(24 - ({place} & 24) + ({place} & 7) AS INT))")  # bytes are in order, bits in a byte from the lowest
     hit = found.bitwiseAND(bit) != 0
-    return own.join(F.broadcast(rows), (F.shiftright("_place", 15) == F.col("_cell")) & hit, "left_semi" if among else "left_anti").drop("_place")
+    return df.join(F.broadcast(rows), (F.shiftright(place, 15) == F.col(f"_cell_{own}")) & hit, "left_semi" if among else "left_anti").drop(place)
 
 
 def lowered(text):
