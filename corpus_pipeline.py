@@ -1,7 +1,13 @@
-"""Five stages that turn raw documents into sharded training data; each works on all that the stage before it kept."""
+"""Five stages that turn raw documents into sharded training data; each works on all that the stage before it kept.
+
+Defined results: rows with a null text go with the quality rules (no words), as do empty ones; very long texts are taken whole; rows that repeat a doc_id stay
+once, those without one by their text; ties between copies go to the smallest doc_id; an empty table gives an empty result; every stage but the last
+returns the columns of its input, extra ones included, whatever their names."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,18 +30,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = saved(found.where("NOT kept").select("doc_id").distinct(), "gone")
     marks = bitmap(gone, "doc_id")
     left = maybe_among(docs, F.col("doc_id"), marks, among=False).union(maybe_among(docs, F.col("doc_id"), marks).join(gone, "doc_id", "left_anti").select(*docs.columns))
-    twice = saved(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "repeated")
+    name = f"again_{uuid.uuid4().hex}"  # a name that no column of docs has
+    twice = saved(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name)), "repeated")
     spent(found)
     if twice.isEmpty():
         return left
-    marks = bitmap(twice, "_again")
+    marks = bitmap(twice, name)
     again = maybe_among(left, F.col("doc_id"), marks)
-    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    same = F.col("doc_id").eqNullSafe(F.col(name))
     mark = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     order = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    first = again.join(twice, same, "left_semi").groupBy(F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), mark).alias("_mark")).agg(F.min_by(F.struct(*docs.columns), F.struct(mark, *order)).alias("_row"))
-    once = again.join(twice, same, "left_anti")
-    return maybe_among(left, F.col("doc_id"), marks, among=False).union(once).union(first.select("_row.*"))
+    rows = again.join(twice, same, "left_semi").select(F.col("doc_id").alias("id"), mark.alias("mark"), F.struct(*docs.columns).alias("row"))
+    rows = rows.groupBy("id", F.when(F.col("id").isNull(), F.col("mark")).alias("text")).agg(F.min_by("row", F.struct("mark", *[F.col("row").getField(c) for c in order])).alias("row"))
+    first = rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return maybe_among(left, F.col("doc_id"), marks, among=False).union(again.join(twice, same, "left_anti")).union(first)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
