@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .trades import running
+
 
 def asof(left: DataFrame, right: DataFrame, *, keys: dict[str, str], left_time: str, right_time: str, columns: list[str]) -> DataFrame:
     """To each left row the latest right row of its key at or before its time.
@@ -74,9 +76,8 @@ def open_positions(trades: DataFrame, times: DataFrame, *, key: str, time: str)
     ins = trades.select(key, F.col("entry_time").alias("_t"), F.lit(1).alias("_d"), F.lit(0).alias("_o"))
     outs = trades.select(key, F.col("exit_time").alias("_t"), F.lit(-1).alias("_d"), F.lit(0).alias("_o"))
     asks = times.select(key, F.col(time).alias("_t"), F.lit(0).alias("_d"), F.lit(1).alias("_o"))
-    w = Window.partitionBy(key).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # same moment: all entries and exits come before the question
-    return ins.union(outs).union(asks).withColumn("open_trades", F.sum("_d").over(w)).where("_o = 1").select(key, F.col("_t").alias(time), "open_trades")
+    return running(ins.union(outs).union(asks), [key], ["_t", "_o"], F.col("_d"), "open_trades").where("_o = 1").select(key, F.col("_t").alias(time), "open_trades")
 
 
 def daily_r(trades: DataFrame, by: str = "strategy") -> DataFrame:

@@ -52,9 +52,9 @@ def combined(daily: DataFrame, weights: dict[str, float] | None = None, by: str
 
 def equity_line(trades: DataFrame, by: str = "strategy") -> DataFrame:
     """Slope and fit of the equity against the trade number, and gain over worst drawdown."""
-    from .trades import drawdown
+    from .trades import drawdown, running
 
-    df = drawdown(trades, by).withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("entry_time")))
+    df = running(drawdown(trades, by), [by], ["entry_time"], F.lit(1), "n")
     return df.groupBy(by).agg(F.count("*").alias("trades"), rounded(F.regr_slope("equity", "n"), 6).alias("slope"), rounded(F.regr_r2("equity", "n")).alias("fit"), rounded(ratio(F.sum("r_multiple"), F.max("drawdown"))).alias("recovery_factor"))
 
 

@@ -55,6 +55,16 @@ def performance(trades: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def running(df: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """df with `name`, the sum of value up to each row along `order` within `by`. Sums run inside a day of order's first column and start from one carried row per day, so a hot key is spread over its days."""
+    day = [*by, "_rday"]
+    df = df.withColumn("_rday", F.to_date(order[0])).withColumn("_rv", value)
+    before = Window.partitionBy(*by).orderBy("_rday").rowsBetween(Window.unboundedPreceding, -1)
+    days = df.groupBy(*day).agg(F.sum("_rv").alias("_rt")).select(*day, F.coalesce(F.sum("_rt").over(before), F.lit(0)).alias("_rb"))
+    inside = Window.partitionBy(*day).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.join(days, day).withColumn(name, F.col("_rb") + F.sum("_rv").over(inside)).drop("_rday", "_rv", "_rb")
+
+
 def drawdown(trades: DataFrame, *by: str, value: str = "r_multiple", time: str = "entry_time") -> DataFrame:
     """Equity, peak (never below 0) and drawdown after each trade.
 
@@ -223,16 +233,14 @@ def significance(trades: DataFrame, *by: str) -> DataFrame:
 
 def streaks(trades: DataFrame, *by: str) -> DataFrame:
     """Runs of losses (r <= 0) with their length and R, the open one included."""
-    w = Window.partitionBy(*by).orderBy("entry_time")
     df = trades.withColumn("_loss", F.col("r_multiple") <= 0)
-    df = df.withColumn("run", F.sum(F.when(F.col("_loss"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    df = running(df, list(by), ["entry_time"], F.when(F.col("_loss"), 0).otherwise(1), "run")
     return df.where("_loss").groupBy(*by, "run").agg(F.min("entry_time").alias("begins"), F.count("*").alias("length"), rounded(F.sum("r_multiple")).alias("lost_r")).drop("run")
 
 
 def episodes(trades: DataFrame, *by: str, depth: float = 0.5) -> DataFrame:
     """Drawdown episodes from a peak to its recovery, at least `depth` deep; an open one has no end."""
-    w = Window.partitionBy(*by).orderBy("entry_time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = drawdown(trades, *by).withColumn("_at", F.sum((F.col("drawdown") <= 1e-9).cast("long")).over(w))
+    df = running(drawdown(trades, *by), list(by), ["entry_time"], (F.col("drawdown") <= 1e-9).cast("long"), "_at")
     df = df.withColumn("_under", F.col("drawdown") > 1e-9)
     ends = Window.partitionBy(*by).orderBy("_at")
     out = df.groupBy(*by, "_at").agg(F.max("drawdown").alias("depth"), F.min(F.when(F.col("_under"), F.col("entry_time"))).alias("begins"), F.max_by("entry_time", "drawdown").alias("trough"), F.sum(F.col("_under").cast("long")).alias("trades"), F.min("entry_time").alias("_t"))
