@@ -22,7 +22,8 @@ def _right() -> Column:
 def filter_counts(predictions: DataFrame) -> DataFrame:
     """Q2: predictions logged, blocked, passed and with a known outcome."""
     n, blocked, known = F.count("*"), F.sum(F.col("was_filtered").cast("long")), F.count("actual_outcome")
-    return predictions.agg(n.alias("logged"), blocked.alias("blocked"), (n - blocked).alias("passed"), known.alias("reconciled"), rounded(ratio(known, n)).alias("reconciled_share"))
+    return predictions.agg(n.alias("logged"), blocked.alias("blocked"), (n - blocked).alias("passed"), known.alias("reconciled"), rounded(ratio(known,
+        n)).alias("reconciled_share"))
 
 
 def filter_quality(known: DataFrame, *by: str) -> DataFrame:
@@ -33,18 +34,22 @@ def filter_quality(known: DataFrame, *by: str) -> DataFrame:
     def total(cond: Column, c: str) -> Column:
         return F.coalesce(F.sum(F.when(cond, F.abs(c))), F.lit(0.0))
 
-    money, money_missed, r, r_missed = total(lost & (F.col("pnl_usd") < 0), "pnl_usd"), total(missed & (F.col("pnl_usd") > 0), "pnl_usd"), total(lost & (F.col("r_multiple") < 0), "r_multiple"), total(missed & (F.col("r_multiple") > 0), "r_multiple")
+    money, money_missed, r, r_missed = total(lost & (F.col("pnl_usd") < 0), "pnl_usd"), total(missed & (F.col("pnl_usd") > 0),
+        "pnl_usd"), total(lost & (F.col("r_multiple") < 0), "r_multiple"), total(missed & (F.col("r_multiple") > 0), "r_multiple")
     return known.groupBy(*by).agg(
-        F.count("*").alias("n"), rounded(F.avg(_right().cast("double"))).alias("accuracy"), rounded(F.coalesce(ratio(F.sum(lost.cast("long")), blocked), F.lit(0.0))).alias("precision"),
+        F.count("*").alias("n"), rounded(F.avg(_right().cast("double"))).alias("accuracy"), rounded(F.coalesce(ratio(F.sum(lost.cast("long")), blocked),
+            F.lit(0.0))).alias("precision"),
         rounded(F.coalesce(ratio(F.sum(lost.cast("long")), F.sum((~_won()).cast("long"))), F.lit(0.0))).alias("recall"), rounded(F.avg(F.pow(p - y, 2))).alias("brier_score"),
-        rounded(money, 2).alias("saved_usd"), rounded(money_missed, 2).alias("missed_usd"), rounded(money - money_missed, 2).alias("net_usd"), rounded(r).alias("saved_r"), rounded(r_missed).alias("missed_r"), rounded(r - r_missed).alias("net_r"),
+        rounded(money, 2).alias("saved_usd"), rounded(money_missed, 2).alias("missed_usd"), rounded(money - money_missed,
+            2).alias("net_usd"), rounded(r).alias("saved_r"), rounded(r_missed).alias("missed_r"), rounded(r - r_missed).alias("net_r"),
     )
 
 
 def calibration(known: DataFrame, bins: int = 10) -> DataFrame:
     """Q4: per bin of chances their number, mean chance and share of wins; empty bins have 0 and nulls."""
     at = F.least(F.floor(F.col("predicted_prob") * bins), F.lit(bins - 1)).cast("int")
-    cells = known.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), rounded(F.avg("predicted_prob")).alias("mean_prob"), rounded(F.avg(_won().cast("double"))).alias("win_rate"))
+    cells = known.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), rounded(F.avg("predicted_prob")).alias("mean_prob"),
+        rounded(F.avg(_won().cast("double"))).alias("win_rate"))
     return known.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(cells, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -63,7 +68,8 @@ def roc_points(known: DataFrame) -> DataFrame:
     per = known.groupBy("predicted_prob").agg(F.sum(_won().cast("long")).alias("pos"), F.sum((~_won()).cast("long")).alias("neg"))
     all_ = per.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     df = _prefix(per, ["pos", "neg"]).join(F.broadcast(all_))  # one row
-    return df.select("predicted_prob", "pos", "neg", ratio(F.col("c_pos"), F.col("_p")).alias("tpr"), ratio(F.col("c_neg"), F.col("_n")).alias("fpr"), ratio(F.col("c_pos"), F.col("c_pos") + F.col("c_neg")).alias("precision"), "c_pos", "c_neg", "_p", "_n")
+    return df.select("predicted_prob", "pos", "neg", ratio(F.col("c_pos"), F.col("_p")).alias("tpr"), ratio(F.col("c_neg"), F.col("_n")).alias("fpr"),
+        ratio(F.col("c_pos"), F.col("c_pos") + F.col("c_neg")).alias("precision"), "c_pos", "c_neg", "_p", "_n")
 
 
 def areas(known: DataFrame) -> DataFrame:
@@ -82,7 +88,8 @@ def histogram(known: DataFrame, bins: int = 20) -> DataFrame:
 
 def modal_threshold(known: DataFrame) -> DataFrame:
     """Q7: the threshold that most rows have; of equally frequent ones the smallest."""
-    return known.groupBy("threshold").count().agg(F.max(F.struct("count", (-F.col("threshold")).alias("t"))).alias("m")).select((-F.col("m.t")).alias("threshold"), F.col("m.count").alias("n"))
+    return known.groupBy("threshold").count().agg(F.max(F.struct("count", (-F.col("threshold")).alias("t"))).alias("m")).select((-F.col("m.t")).alias("threshold"),
+        F.col("m.count").alias("n"))
 
 
 def rolling_accuracy(known: DataFrame, *, by: str = "strategy", time: str = "prediction_ts", window: int = 30) -> DataFrame:
@@ -104,4 +111,5 @@ def drift(known: DataFrame, *, by: str = "strategy", time: str = "prediction_ts"
 def verdict(known: DataFrame) -> DataFrame:
     """Q8: whether the filter gives an edge: 30 rows, an accuracy of 0.55 and a positive net value."""
     q = filter_quality(known)
-    return q.select("n", "accuracy", "net_usd", "net_r", F.when(F.col("n") < 30, "insufficient").when((F.col("accuracy") >= 0.55) & (F.col("net_usd") > 0), "edge").otherwise("no edge").alias("verdict"))
+    return q.select("n", "accuracy", "net_usd", "net_r", F.when(F.col("n") < 30, "insufficient").when((F.col("accuracy") >= 0.55) & (F.col("net_usd") > 0),
+        "edge").otherwise("no edge").alias("verdict"))

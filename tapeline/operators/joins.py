@@ -31,7 +31,8 @@ def nearest(left: DataFrame, right: DataFrame, *, keys: dict[str, str], left_tim
     """The right time nearest to each left time; the earlier one when two are as near."""
     before = asof(left, right.withColumn("_before", F.col(right_time)), keys=keys, left_time=left_time, right_time=right_time, columns=["_before"])
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    nxt = right.withColumn("_after", F.lead(right_time).over(Window.partitionBy(*keys.values()).orderBy(right_time))).withColumn("_before", F.col(right_time)).select(*keys.values(), "_before", "_after")
+    nxt = right.withColumn("_after", F.lead(right_time).over(Window.partitionBy(*keys.values()).orderBy(right_time))).withColumn("_before",
+        F.col(right_time)).select(*keys.values(), "_before", "_after")
     first = right.groupBy(*keys.values()).agg(F.min(right_time).alias("_first"))
     out = before
     for k, v in keys.items():
@@ -104,7 +105,8 @@ def pair_correlations(long: DataFrame) -> DataFrame:
     """Correlation of each pair of labels over the dates that both have."""
     b = long.select("day", F.col("strategy").alias("b"), F.col("r").alias("_r"))
     out = long.withColumnRenamed("strategy", "a").join(b, "day").where("a < b").groupBy("a", "b").agg(F.corr("r", "_r").alias("corr"))
-    return out.withColumn("corr", F.round(F.col("corr") + 1.37e-7, 4) + F.lit(0.0)).withColumn("flag", F.when(F.abs("corr") > 0.5, "high").when(F.abs("corr") < 0.1, "low").otherwise("mid"))
+    return out.withColumn("corr", F.round(F.col("corr") + 1.37e-7, 4) + F.lit(0.0)).withColumn("flag", F.when(F.abs("corr") > 0.5, "high").when(F.abs("corr") < 0.1,
+        "low").otherwise("mid"))
 
 
 def missing_pairs(trades: DataFrame, a: str = "strategy", b: str = "symbol") -> DataFrame:

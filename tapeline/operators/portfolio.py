@@ -32,13 +32,16 @@ def allocation(daily: DataFrame, by: str = "strategy", risk: float = 0.01) -> Da
     """T-7: equal, inverse-volatility and Kelly weights (no negative ones), each summing to 1."""
     x = F.col("r") * risk
     s = daily.groupBy(by).agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("sd"))
-    s = s.withColumn("iv", F.coalesce(F.try_divide(F.lit(1.0), "sd"), F.lit(0.0))).withColumn("k", F.greatest(F.coalesce(F.try_divide("m", F.col("sd") * F.col("sd")), F.lit(0.0)), F.lit(0.0)))
+    s = s.withColumn("iv", F.coalesce(F.try_divide(F.lit(1.0), "sd"), F.lit(0.0))).withColumn("k", F.greatest(F.coalesce(F.try_divide("m",
+        F.col("sd") * F.col("sd")), F.lit(0.0)), F.lit(0.0)))
     w = Window.partitionBy(F.lit(1))  # one row per strategy
-    return s.select(by, rounded(1 / F.count("*").over(w)).alias("equal"), rounded(F.coalesce(ratio(F.col("iv"), F.sum("iv").over(w)), 1 / F.count("*").over(w))).alias("inverse_vol"), rounded(F.coalesce(ratio(F.col("k"), F.sum("k").over(w)), 1 / F.count("*").over(w))).alias("kelly"))
+    return s.select(by, rounded(1 / F.count("*").over(w)).alias("equal"), rounded(F.coalesce(ratio(F.col("iv"), F.sum("iv").over(w)),
+        1 / F.count("*").over(w))).alias("inverse_vol"), rounded(F.coalesce(ratio(F.col("k"), F.sum("k").over(w)), 1 / F.count("*").over(w))).alias("kelly"))
 
 
 def combined(daily: DataFrame, weights: dict[str, float] | None = None, by: str = "strategy") -> DataFrame:
-    """T-8: the weighted curve over the days that any of its labels has, with its peak and drawdown; without weights all labels of the data alike. One row per day, so one window."""
+    """T-8: the weighted curve over the days that any of its labels has, with its peak and drawdown; without weights all labels of the data alike. One row per day,
+ so one window."""
     if weights is None:
         n = daily.agg(F.countDistinct(by).alias("_n"))  # one row
         day = daily.join(F.broadcast(n)).groupBy("day").agg(F.sum(F.col("r") / F.col("_n")).alias("r"))
@@ -55,7 +58,8 @@ def equity_line(trades: DataFrame, by: str = "strategy") -> DataFrame:
     from .trades import drawdown, running
 
     df = running(drawdown(trades, by), [by], ["entry_time"], F.lit(1), "n")
-    return df.groupBy(by).agg(F.count("*").alias("trades"), rounded(F.regr_slope("equity", "n"), 6).alias("slope"), rounded(F.regr_r2("equity", "n")).alias("fit"), rounded(ratio(F.sum("r_multiple"), F.max("drawdown"))).alias("recovery_factor"))
+    return df.groupBy(by).agg(F.count("*").alias("trades"), rounded(F.regr_slope("equity", "n"), 6).alias("slope"), rounded(F.regr_r2("equity", "n")).alias("fit"),
+        rounded(ratio(F.sum("r_multiple"), F.max("drawdown"))).alias("recovery_factor"))
 
 
 def growth_curve(trades: DataFrame, by: str = "strategy", fractions: int = 50, most: float = 0.5) -> DataFrame:
@@ -66,7 +70,8 @@ def growth_curve(trades: DataFrame, by: str = "strategy", fractions: int = 50, m
 
 
 def growth_limits(trades: DataFrame, by: str = "strategy") -> DataFrame:
-    """T-14: the fraction of best growth, that growth, whether it is above 0, the first fraction after it at which growth is not, and the plain Kelly share (0 without a win or a loss)."""
+    """T-14: the fraction of best growth, that growth, whether it is above 0, the first fraction after it at which growth is not,
+ and the plain Kelly share (0 without a win or a loss)."""
     curve = growth_curve(trades, by)
     w = Window.partitionBy(by).orderBy("f")
     curve = curve.withColumn("_up", F.coalesce(F.col("growth") > 0, F.lit(False))).withColumn("_falls", ~F.col("_up") & F.coalesce(F.lag("_up").over(w), F.lit(False)))
@@ -74,7 +79,8 @@ def growth_limits(trades: DataFrame, by: str = "strategy") -> DataFrame:
     r = F.col("r_multiple")
     kelly = trades.groupBy(by).agg(F.avg(F.when(r > 0, r)).alias("gain"), F.avg(F.when(r < 0, -r)).alias("loss"), F.avg((r > 0).cast("double")).alias("wr"))
     share = F.when(F.col("gain").isNotNull() & F.col("loss").isNotNull(), F.col("wr") - (1 - F.col("wr")) / (F.col("gain") / F.col("loss"))).otherwise(0.0)
-    return best.join(kelly, by).select(by, rounded(-F.col("t.m")).alias("optimal_f"), rounded(F.col("t.growth"), 8).alias("max_growth"), (F.col("t.growth") > 0).alias("ergodic"), rounded(F.col("critical")).alias("critical_f"), rounded(share, 6).alias("kelly"))
+    return best.join(kelly, by).select(by, rounded(-F.col("t.m")).alias("optimal_f"), rounded(F.col("t.growth"), 8).alias("max_growth"),
+        (F.col("t.growth") > 0).alias("ergodic"), rounded(F.col("critical")).alias("critical_f"), rounded(share, 6).alias("kelly"))
 
 
 def robustness(trades: DataFrame, by: str = "strategy", asset: str = "symbol") -> DataFrame:
@@ -86,11 +92,14 @@ def robustness(trades: DataFrame, by: str = "strategy", asset: str = "symbol") -
     regimes = trades.groupBy(by, asset, "regime").agg(F.avg("r_multiple").alias("m")).groupBy(by, asset).agg(F.max(F.struct("m", "regime"))["regime"].alias("best"))
     agree = regimes.groupBy(by, "best").count().groupBy(by).agg((F.max("count") / F.sum("count") * 100).alias("regime_score"))
     cv = F.stddev_pop("mean_r") / F.abs(F.avg("mean_r"))
-    out = per.groupBy(by).agg(F.count("*").alias("assets"), cv.alias("cv"), (F.avg((F.col("mean_r") > 0).cast("double")) * 100).alias("profit_score"), (F.avg(F.col("mean_r_significant").cast("double")) * 100).alias("significance_score")).join(agree, by)
+    out = per.groupBy(by).agg(F.count("*").alias("assets"), cv.alias("cv"), (F.avg((F.col("mean_r") > 0).cast("double")) * 100).alias("profit_score"),
+        (F.avg(F.col("mean_r_significant").cast("double")) * 100).alias("significance_score")).join(agree, by)
     consistency = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - F.col("cv")) / 0.85 * 100))
     total = 0.30 * consistency + 0.25 * F.col("profit_score") + 0.20 * F.col("significance_score") + 0.15 * F.col("regime_score") + 5.0
     grade = F.when(total >= 80, "A").when(total >= 65, "B").when(total >= 50, "C").when(total >= 35, "D").otherwise("F")
-    return out.select(by, "assets", rounded(consistency, 2).alias("consistency"), rounded(F.col("profit_score"), 2).alias("profitability"), rounded(F.col("significance_score"), 2).alias("significance"), rounded(F.col("regime_score"), 2).alias("regime_stability"), rounded(total, 2).alias("score"), grade.alias("grade"))
+    return out.select(by, "assets", rounded(consistency, 2).alias("consistency"), rounded(F.col("profit_score"), 2).alias("profitability"),
+        rounded(F.col("significance_score"), 2).alias("significance"), rounded(F.col("regime_score"), 2).alias("regime_stability"), rounded(total,
+        2).alias("score"), grade.alias("grade"))
 
 
 def derived_r(trades: DataFrame) -> DataFrame:
@@ -107,7 +116,8 @@ def long_short(trades: DataFrame, held: str) -> DataFrame:
     w = Window.partitionBy("strategy", "direction").orderBy("entry_time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = trades.join(F.broadcast(median)).withColumn("_run", F.sum((pnl > 0).cast("long")).over(w))
     df = df.withColumn("_streak", F.when(pnl > 0, 0).otherwise(F.count(F.when(pnl <= 0, 1)).over(Window.partitionBy("strategy", "direction", "_run"))))
-    return df.groupBy("strategy", "direction").agg(F.count("*").alias("n"), rounded(F.avg("r_multiple")).alias("mean_r"), F.sum((F.col(held) > 5 * F.col("_median")).cast("long")).alias("long_holds"), F.max("_streak").cast("long").alias("losing_streak"), rounded(F.abs(F.try_divide(F.avg(F.when(pnl > 0, pnl)), F.avg(F.when(pnl < 0, pnl))))).alias("asymmetry"))
+    return df.groupBy("strategy", "direction").agg(F.count("*").alias("n"), rounded(F.avg("r_multiple")).alias("mean_r"),
+        F.sum((F.col(held) > 5 * F.col("_median")).cast("long")).alias("long_holds"), F.max("_streak").cast("long").alias("losing_streak"), rounded(F.abs(F.try_divide(F.avg(F.when(pnl > 0, pnl)), F.avg(F.when(pnl < 0, pnl))))).alias("asymmetry"))
 
 
 def splits(groups: int, tests: int, purge: int) -> list[tuple[list[int], list[int]]]:

@@ -26,9 +26,11 @@ def recovery(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time
     df = df.withColumn("dd", F.max("cum").over(w) - F.col("cum")).withColumn("fall", F.sum((F.col("dd") <= 0).cast("long")).over(w))
     falls = df.groupBy(by, "fall").agg(F.min("no").alias("first"), *[F.min(F.when(F.col("dd") >= t, F.col("no"))).alias(f"_{i}") for i, t in enumerate(thresholds)])
     falls = falls.withColumn("next", F.lead("first").over(Window.partitionBy(by).orderBy("fall")))
-    rows = falls.select(by, "next", F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_{i}").alias("crossed")) for i, t in enumerate(thresholds)])).alias("x")).select(by, "next", "x.*")
+    rows = falls.select(by, "next", F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_{i}").alias("crossed")) for i,
+        t in enumerate(thresholds)])).alias("x")).select(by, "next", "x.*")
     took = F.col("next") - F.col("crossed")
-    return rows.groupBy(by, "threshold").agg(F.count("crossed").alias("n"), F.count(took).alias("recovered"), rounded(ratio(F.count(took), F.count("crossed"))).alias("recovery_rate"), F.avg(took).alias("mean_trades"), F.max(took).cast("long").alias("max_trades"))
+    return rows.groupBy(by, "threshold").agg(F.count("crossed").alias("n"), F.count(took).alias("recovered"), rounded(ratio(F.count(took),
+        F.count("crossed"))).alias("recovery_rate"), F.avg(took).alias("mean_trades"), F.max(took).cast("long").alias("max_trades"))
 
 
 def loss_streaks(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time") -> DataFrame:
@@ -54,7 +56,8 @@ def calibrated_limits(trades: DataFrame, *, by: str = "strategy", time: str = "e
     streak = F.when(F.col("runs") >= 20, F.col("q")).otherwise(F.col("longest"))
     return df.select(
         by, "n", rounded(raw, 2).alias("raw_drawdown"), rounded(raw * F.when(F.col("n") >= 20, 1.1).otherwise(1.2), 1).alias("drawdown_limit"),
-        F.coalesce(F.ceil(streak) + 1, F.lit(5)).cast("long").alias("streak_limit"), F.coalesce(F.greatest(F.lit(3), F.ceil(F.col("mean_trades") * 0.5)), F.lit(5)).cast("long").alias("cooldown"),
+        F.coalesce(F.ceil(streak) + 1, F.lit(5)).cast("long").alias("streak_limit"), F.coalesce(F.greatest(F.lit(3), F.ceil(F.col("mean_trades") * 0.5)),
+            F.lit(5)).cast("long").alias("cooldown"),
         F.when(F.col("n") >= 200, "high").when(F.col("n") >= 50, "medium").otherwise("low").alias("confidence"),
     )
 
@@ -84,8 +87,10 @@ def kalman_edge(trades: DataFrame, *, by: str = "strategy", time: str = "entry_t
     The gain does not depend on the values, so it is a short recursion per key (it has settled after `settle` steps), and the filter is an affine scan."""
     df = _numbered(trades, by, time).withColumn("_d", F.col("r") - F.lag("r").over(Window.partitionBy(by).orderBy("no")))
     noise = df.groupBy(by).agg(F.count("*").alias("n"), F.var_pop("r").alias("v"), F.var_pop("_d").alias("dv"))
-    noise = noise.withColumn("q", F.greatest(F.lit(1e-6), F.coalesce(F.col("dv") / 2, F.lit(0.0)))).withColumn("rr", F.when(F.col("v") > 0, F.greatest(0.1 * F.col("v"), F.col("v") - F.col("q"))).otherwise(1e-6))
-    first = F.struct(F.when(F.col("v") > 0, F.col("v")).otherwise(1.0).alias("p"), F.array(F.struct(F.lit(1.0).alias("k"), F.when(F.col("v") > 0, F.col("v")).otherwise(1.0).alias("p"))).alias("out"))
+    noise = noise.withColumn("q", F.greatest(F.lit(1e-6), F.coalesce(F.col("dv") / 2, F.lit(0.0)))).withColumn("rr", F.when(F.col("v") > 0,
+        F.greatest(0.1 * F.col("v"), F.col("v") - F.col("q"))).otherwise(1e-6))
+    first = F.struct(F.when(F.col("v") > 0, F.col("v")).otherwise(1.0).alias("p"), F.array(F.struct(F.lit(1.0).alias("k"), F.when(F.col("v") > 0,
+        F.col("v")).otherwise(1.0).alias("p"))).alias("out"))
 
     def step(s: Column, _: Column) -> Column:
         pred = s["p"] + F.col("q")
@@ -94,7 +99,8 @@ def kalman_edge(trades: DataFrame, *, by: str = "strategy", time: str = "entry_t
 
     gains = noise.select(by, F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.col("n"), F.lit(settle)))), first, step, lambda s: s["out"]).alias("_g"))
     at = F.element_at("_g", F.least(F.col("no"), F.size("_g")))
-    df = df.select(by, time, "no", "r").join(gains, by).select(by, time, "no", at["p"].alias("_p"), F.when(F.col("no") == 1, 0.0).otherwise(1 - at["k"]).alias("_m"), F.when(F.col("no") == 1, F.col("r")).otherwise(at["k"] * F.col("r")).alias("_v"))
+    df = df.select(by, time, "no", "r").join(gains, by).select(by, time, "no", at["p"].alias("_p"), F.when(F.col("no") == 1, 0.0).otherwise(1 - at["k"]).alias("_m"),
+        F.when(F.col("no") == 1, F.col("r")).otherwise(at["k"] * F.col("r")).alias("_v"))
     out = affine_scan(df, by, "no", "_m", "_v", "edge")
     return out.select(by, time, "no", "edge", (F.col("edge") - 2 * F.sqrt("_p")).alias("low"), (F.col("edge") + 2 * F.sqrt("_p")).alias("high"))
 
@@ -104,17 +110,21 @@ def edge_trend(filtered: DataFrame, *, by: str = "strategy") -> DataFrame:
     n = F.count("*").over(Window.partitionBy(by))
     quarter = F.greatest(F.lit(1), F.floor(F.col("n") / 4))
     df = filtered.withColumn("n", n).withColumn("_q", quarter)
-    agg = df.groupBy(by).agg(F.min_by("edge", "no").alias("a"), F.max_by("edge", "no").alias("b"), F.avg((F.col("edge") > 0).cast("double")).alias("up"), F.avg(F.when(F.col("no") <= F.col("_q"), F.col("edge"))).alias("early"), F.avg(F.when(F.col("no") > F.col("n") - F.col("_q"), F.col("edge"))).alias("late"), F.stddev_pop("edge").alias("sd"))
+    agg = df.groupBy(by).agg(F.min_by("edge", "no").alias("a"), F.max_by("edge", "no").alias("b"), F.avg((F.col("edge") > 0).cast("double")).alias("up"),
+        F.avg(F.when(F.col("no") <= F.col("_q"), F.col("edge"))).alias("early"), F.avg(F.when(F.col("no") > F.col("n") - F.col("_q"),
+        F.col("edge"))).alias("late"), F.stddev_pop("edge").alias("sd"))
     least = F.when(F.col("sd") > 0, 0.1 * F.col("sd")).otherwise(1e-6)
     trend = F.when(F.col("late") - F.col("early") > least, "improving").when(F.col("early") - F.col("late") > least, "deteriorating").otherwise("stable")
-    return agg.select(by, rounded(F.col("a"), 6).alias("initial_edge"), rounded(F.col("b"), 6).alias("final_edge"), rounded(F.col("b") - F.col("a"), 6).alias("total_drift"), rounded(F.col("up")).alias("share_positive"), trend.alias("edge_trend"))
+    return agg.select(by, rounded(F.col("a"), 6).alias("initial_edge"), rounded(F.col("b"), 6).alias("final_edge"), rounded(F.col("b") - F.col("a"),
+        6).alias("total_drift"), rounded(F.col("up")).alias("share_positive"), trend.alias("edge_trend"))
 
 
 def change_points(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time") -> DataFrame:
     """Alarms of a two-sided CUSUM (allowance half a standard deviation, limit five) that starts anew after each, and the mean since the last one.
 
     The restart makes it a sequential fold over the key's values, done in the JVM with four numbers of state and the alarms."""
-    df = trades.groupBy(by).agg(F.avg("r_multiple").alias("mu"), F.stddev_samp("r_multiple").alias("s"), F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), F.col("r_multiple").alias("r")))).alias("_rs"))
+    df = trades.groupBy(by).agg(F.avg("r_multiple").alias("mu"), F.stddev_samp("r_multiple").alias("s"), F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"),
+        F.col("r_multiple").alias("r")))).alias("_rs"))
     df = df.withColumn("s", F.when(F.coalesce("s", F.lit(1.0)) < 1e-12, 1.0).otherwise(F.coalesce("s", F.lit(1.0))))
     start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.array().cast("array<int>").alias("at"))
 
@@ -122,11 +132,14 @@ def change_points(trades: DataFrame, *, by: str = "strategy", time: str = "entry
         up, down = F.greatest(F.lit(0.0), s["up"] + x["r"] - F.col("mu") - 0.5 * F.col("s")), F.greatest(F.lit(0.0), s["down"] - (x["r"] - F.col("mu") + 0.5 * F.col("s")))
         up, down = F.when(s["i"] == 0, 0.0).otherwise(up), F.when(s["i"] == 0, 0.0).otherwise(down)
         alarm = (up > 5 * F.col("s")) | (down > 5 * F.col("s"))
-        return F.struct((s["i"] + 1).alias("i"), F.when(alarm, 0.0).otherwise(up).alias("up"), F.when(alarm, 0.0).otherwise(down).alias("down"), F.when(alarm, F.array_append(s["at"], s["i"])).otherwise(s["at"]).alias("at"))
+        return F.struct((s["i"] + 1).alias("i"), F.when(alarm, 0.0).otherwise(up).alias("up"), F.when(alarm, 0.0).otherwise(down).alias("down"), F.when(alarm,
+            F.array_append(s["at"], s["i"])).otherwise(s["at"]).alias("at"))
 
-    df = df.withColumn("at", F.aggregate("_rs", start, step, lambda s: s["at"])).withColumn("begin", F.coalesce(F.element_at("at", F.when(F.size("at") > 0, -1).otherwise(None)), F.lit(0)))
+    df = df.withColumn("at", F.aggregate("_rs", start, step, lambda s: s["at"])).withColumn("begin", F.coalesce(F.element_at("at", F.when(F.size("at") > 0,
+        -1).otherwise(None)), F.lit(0)))
     mean = F.aggregate(F.slice("_rs", F.col("begin") + 1, F.size("_rs")), F.lit(0.0), lambda s, x: s + x["r"]) / (F.size("_rs") - F.col("begin"))
-    return df.select(by, F.size("at").alias("n_changes"), F.array_join(F.col("at").cast("array<string>"), ",").alias("changes"), F.col("begin").alias("current_start"), rounded(mean, 6).alias("current_mean"))
+    return df.select(by, F.size("at").alias("n_changes"), F.array_join(F.col("at").cast("array<string>"), ",").alias("changes"),
+        F.col("begin").alias("current_start"), rounded(mean, 6).alias("current_mean"))
 
 
 def convergence(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time") -> DataFrame:
@@ -135,28 +148,34 @@ def convergence(trades: DataFrame, *, by: str = "strategy", time: str = "entry_t
     df = _numbered(trades, by, time).withColumn("m", F.avg("r").over(w)).withColumn("n", F.count("*").over(Window.partitionBy(by)))
     first = F.col("no") <= F.floor(F.col("n") / 2)
     x = (F.col("no") - 1).cast("double")
-    agg = df.groupBy(by).agg(F.max("n").alias("n"), F.stddev_pop(F.when(first, F.col("m"))).alias("a"), F.stddev_pop(F.when(~first, F.col("m"))).alias("b"), F.regr_slope("m", x).alias("slope"), F.corr("m", x).alias("c"))
+    agg = df.groupBy(by).agg(F.max("n").alias("n"), F.stddev_pop(F.when(first, F.col("m"))).alias("a"), F.stddev_pop(F.when(~first, F.col("m"))).alias("b"),
+        F.regr_slope("m", x).alias("slope"), F.corr("m", x).alias("c"))
     spread = F.when((F.col("n") >= 4) & (F.col("a") > 1e-12), F.col("b") / F.when(F.col("a") > 1e-12, F.col("a"))).otherwise(1.0)
     t = F.col("c") * F.sqrt((F.col("n") - 2) / F.when(1 - F.col("c") * F.col("c") > 1e-300, 1 - F.col("c") * F.col("c")))
     p = F.coalesce(t_two_sided(t, F.col("n") - 2), F.lit(0.0))
-    return agg.select(by, "n", rounded(spread, 6).alias("convergence_ratio"), (spread < 1).alias("converging"), rounded(F.col("slope"), 8).alias("drift_slope"), rounded(t, 3).alias("drift_t"), p.alias("drift_p"), (p < 0.05).alias("drifting"))
+    return agg.select(by, "n", rounded(spread, 6).alias("convergence_ratio"), (spread < 1).alias("converging"), rounded(F.col("slope"), 8).alias("drift_slope"),
+        rounded(t, 3).alias("drift_t"), p.alias("drift_p"), (p < 0.05).alias("drifting"))
 
 
 def edge_half_life(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time", window: int = 50) -> DataFrame:
     """Half-life of the rolling mean R by regressing its changes on its value; the window is at most half of a key's trades, and five at least."""
     w = Window.partitionBy(by).orderBy("no")
-    df = _numbered(trades, by, time).withColumn("n", F.count("*").over(Window.partitionBy(by))).withColumn("_w", F.greatest(F.lit(5), F.least(F.lit(window), F.floor(F.col("n") / 2))).cast("int"))
+    df = _numbered(trades, by, time).withColumn("n", F.count("*").over(Window.partitionBy(by))).withColumn("_w", F.greatest(F.lit(5), F.least(F.lit(window),
+        F.floor(F.col("n") / 2))).cast("int"))
     full = F.avg("r").over(w.rowsBetween(-(window - 1), 0))
     few = F.slice(F.collect_list("r").over(w.rowsBetween(-(window - 1), 0)), -F.least(F.col("no"), F.col("_w")), F.least(F.col("no"), F.col("_w")))
     df = df.withColumn("e", F.when(F.col("_w") == window, full).otherwise(F.aggregate(few, F.lit(0.0), lambda s, v: s + v) / F.size(few)))
     df = df.withColumn("prev", F.lag("e").over(w)).withColumn("d", F.col("e") - F.col("prev"))
     agg = df.groupBy(by).agg(F.max("n").alias("n"), F.regr_slope("d", "prev").alias("b"), F.regr_r2("d", "prev").alias("r2"))
     back = (F.col("n") >= 10) & (F.col("b") < 0)
-    return agg.select(by, "n", rounded(F.when(back, math.log(2) / -F.when(F.col("b") < -1e-12, F.col("b"))), 1).alias("half_life"), rounded(F.when(F.col("n") >= 10, F.greatest(F.lit(0.0), -F.col("b"))), 6).alias("decay_rate"), rounded(F.when(F.col("n") >= 10, F.coalesce("r2", F.lit(0.0)))).alias("r2"), F.coalesce(back, F.lit(False)).alias("mean_reverting"))
+    return agg.select(by, "n", rounded(F.when(back, math.log(2) / -F.when(F.col("b") < -1e-12, F.col("b"))), 1).alias("half_life"), rounded(F.when(F.col("n") >= 10,
+        F.greatest(F.lit(0.0), -F.col("b"))), 6).alias("decay_rate"), rounded(F.when(F.col("n") >= 10, F.coalesce("r2",
+        F.lit(0.0)))).alias("r2"), F.coalesce(back, F.lit(False)).alias("mean_reverting"))
 
 
 def rolling_ks(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time", window: int = 50) -> DataFrame:
-    """Kolmogorov-Smirnov distance of each full window of trades from all of them, its p-value in the limit of large samples, and whether it is unstable after Bonferroni's correction."""
+    """Kolmogorov-Smirnov distance of each full window of trades from all of them, its p-value in the limit of large samples,
+ and whether it is unstable after Bonferroni's correction."""
     df = _numbered(trades, by, time).withColumn("n", F.count("*").over(Window.partitionBy(by))).withColumn("win", F.floor((F.col("no") - 1) / window).cast("int"))
     all_, own = Window.partitionBy(by).orderBy("r"), Window.partitionBy(by, "win").orderBy("r")
     df = df.withColumn("_fa", F.cume_dist().over(all_)).withColumn("_ga", (F.rank().over(all_) - 1) / F.col("n"))

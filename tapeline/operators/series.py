@@ -92,7 +92,8 @@ def indicators(bars: DataFrame) -> DataFrame:
 def resample(bars: DataFrame, unit: str, hours: int = 1) -> DataFrame:
     """Bars of `hours` hours (or a day), left labelled; empty ones are not made."""
     start = F.date_trunc("day", "bar_ts") if unit == "day" else F.timestamp_seconds(F.floor(F.unix_timestamp(F.col("bar_ts").cast("timestamp")) / (3600 * hours)) * 3600 * hours).cast("timestamp_ntz")
-    return bars.groupBy("symbol", start.alias("bar_ts")).agg(F.min_by("open", "bar_ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "bar_ts").alias("close"), F.sum("volume").alias("volume"))
+    return bars.groupBy("symbol", start.alias("bar_ts")).agg(F.min_by("open", "bar_ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "bar_ts").alias("close"), F.sum("volume").alias("volume"))
 
 
 def candle_streaks(bars: DataFrame) -> DataFrame:
@@ -119,7 +120,8 @@ def regime(df: DataFrame) -> Column:
     pct = F.when(F.col("close") != 0, F.col("atr") / F.col("close")).otherwise(F.col("atr") * float("inf"))
     own = F.when(F.col("close") > 0, F.col("atr") / F.col("close")).otherwise(0.0)
     mean = F.avg(pct).over(ordered().rowsBetween(-50, 0))
-    return F.when(F.col("bar_no") <= 50, "unknown").when(own > 1.8 * mean, "volatile").when(F.col("adx") > 30, F.when(F.col("close") > F.col("ema_50"), "trending_up").otherwise("trending_down")).otherwise("ranging")
+    return F.when(F.col("bar_no") <= 50, "unknown").when(own > 1.8 * mean, "volatile").when(F.col("adx") > 30, F.when(F.col("close") > F.col("ema_50"),
+        "trending_up").otherwise("trending_down")).otherwise("ranging")
 
 
 def simple_regime(df: DataFrame) -> Column:
@@ -134,7 +136,8 @@ def swings(bars: DataFrame, side: int = 3, *, causal: bool = True) -> DataFrame:
     full = F.count("*").over(frame) == 2 * side + 1
     df = bars.withColumn("_h", full & (F.col("high") == F.max("high").over(frame))).withColumn("_l", full & (F.col("low") == F.min("low").over(frame)))
     if causal:
-        return df.withColumn("swing_high", F.when(F.lag("_h", side).over(w), F.lag("high", side).over(w))).withColumn("swing_low", F.when(F.lag("_l", side).over(w), F.lag("low", side).over(w))).drop("_h", "_l")
+        return df.withColumn("swing_high", F.when(F.lag("_h", side).over(w), F.lag("high", side).over(w))).withColumn("swing_low", F.when(F.lag("_l", side).over(w),
+            F.lag("low", side).over(w))).drop("_h", "_l")
     return df.withColumn("swing_high", F.when(F.col("_h"), F.col("high"))).withColumn("swing_low", F.when(F.col("_l"), F.col("low"))).drop("_h", "_l")
 
 
@@ -144,7 +147,8 @@ def gaps(bars: DataFrame, least: float = 0.001) -> DataFrame:
     high2, low2, mid = F.lag("high", 2).over(w), F.lag("low", 2).over(w), F.lag("close", 1).over(w)
     bull, bear = (F.col("low") - high2) / mid, (low2 - F.col("high")) / mid
     kind = F.when((F.col("low") > high2) & (bull >= least), "bullish").when((F.col("high") < low2) & (bear >= least), "bearish")
-    df = bars.withColumn("kind", kind).withColumn("bottom", F.when(kind == "bullish", high2).when(kind == "bearish", F.col("high"))).withColumn("top", F.when(kind == "bullish", F.col("low")).when(kind == "bearish", low2))
+    df = bars.withColumn("kind", kind).withColumn("bottom", F.when(kind == "bullish", high2).when(kind == "bearish", F.col("high"))).withColumn("top",
+        F.when(kind == "bullish", F.col("low")).when(kind == "bearish", low2))
     return df.where("kind IS NOT NULL")
 
 
@@ -169,7 +173,8 @@ def gap_fills(bars: DataFrame) -> DataFrame:
     height = F.col("top") - F.col("bottom")
     reached = F.when(F.col("kind") == "bullish", F.col("top") - F.col("_low")).otherwise(F.col("_high") - F.col("bottom"))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(reached, height), F.lit(0.0))))
-    return df.withColumn("fill_share", share).withColumn("filled", share >= 1.0).withColumn("zone_low", F.col("bottom") + 0.3 * height).withColumn("zone_high", F.col("bottom") + 0.7 * height).drop("_low", "_high")
+    return df.withColumn("fill_share", share).withColumn("filled", share >= 1.0).withColumn("zone_low", F.col("bottom") + 0.3 * height).withColumn("zone_high",
+        F.col("bottom") + 0.7 * height).drop("_low", "_high")
 
 
 def gaps_by_timeframe(bars: DataFrame, hours: tuple[int, ...] = (4, 24)) -> DataFrame:
@@ -177,7 +182,8 @@ def gaps_by_timeframe(bars: DataFrame, hours: tuple[int, ...] = (4, 24)) -> Data
     out = None
     for n in hours:
         one = resample(bars, "day" if n == 24 else "hour", n).withColumn("timeframe", F.lit(f"{n}h"))
-        one = gap_fills(one).select("symbol", F.col("timeframe").alias("htf"), F.col("bar_ts").cast("timestamp_ntz").alias("bar_ts"), "kind", "bottom", "top", (~F.col("filled")).alias("is_open"))
+        one = gap_fills(one).select("symbol", F.col("timeframe").alias("htf"), F.col("bar_ts").cast("timestamp_ntz").alias("bar_ts"), "kind", "bottom", "top",
+            (~F.col("filled")).alias("is_open"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -188,7 +194,8 @@ def order_blocks(bars: DataFrame, back: int = 20) -> DataFrame:
     prior = w.rowsBetween(-back, -1)
     full = F.count("*").over(prior) == back
     df = bars.withColumn("_top", F.max("high").over(prior)).withColumn("_bottom", F.min("low").over(prior)).withColumn("_full", full)
-    df = df.withColumn("_nh", F.lead("high").over(w)).withColumn("_nl", F.lead("low").over(w)).withColumn("_ll", F.min("low").over(_later(2))).withColumn("_lh", F.max("high").over(_later(2)))
+    df = df.withColumn("_nh", F.lead("high").over(w)).withColumn("_nl", F.lead("low").over(w)).withColumn("_ll", F.min("low").over(_later(2))).withColumn("_lh",
+        F.max("high").over(_later(2)))
     bull = (F.col("close") < F.col("open")) & (F.col("_nh") > F.col("_top")) & (F.col("_ll").isNull() | (F.col("_ll") > F.col("low")))
     bear = (F.col("close") > F.col("open")) & (F.col("_nl") < F.col("_bottom")) & (F.col("_lh").isNull() | (F.col("_lh") < F.col("high")))
     return df.withColumn("kind", F.when(F.col("_full") & bull, "bullish").when(F.col("_full") & bear, "bearish")).where("kind IS NOT NULL").select(*bars.columns, "kind")
@@ -203,17 +210,20 @@ def smoothed_range(bars: DataFrame, n: int = 14) -> DataFrame:
 
 
 def sweeps(bars: DataFrame, back: int = 20, tolerance: float = 0.002, depth: float = 0.1) -> DataFrame:
-    """P10: a bar that goes beyond the extreme of bars 2 to back + 1 before it by at least `depth` smoothed ranges and closes back inside, where the bar before it had not gone beyond."""
+    """P10: a bar that goes beyond the extreme of bars 2 to back + 1 before it by at least `depth` smoothed ranges and closes back inside,
+ where the bar before it had not gone beyond."""
     prior = ordered().rowsBetween(-(back + 1), -2)
     full = F.count("*").over(prior) == back
     df = smoothed_range(bars)
-    df = df.withColumn("_h", F.when(full, F.max("high").over(prior))).withColumn("_l", F.when(full, F.min("low").over(prior))).withColumn("_ph", F.lag("high").over(ordered())).withColumn("_pl", F.lag("low").over(ordered()))
+    df = df.withColumn("_h", F.when(full, F.max("high").over(prior))).withColumn("_l", F.when(full, F.min("low").over(prior))).withColumn("_ph",
+        F.lag("high").over(ordered())).withColumn("_pl", F.lag("low").over(ordered()))
     least = depth * F.when(F.col("smma_range") > 0, F.col("smma_range")).otherwise(1.0)
     low = (F.col("low") < F.col("_l") - F.col("_l") * tolerance) & (F.col("close") > F.col("_l")) & (F.col("_pl") >= F.col("_l") * (1 - tolerance)) & (F.col("_l") - F.col("low") >= least)
     high = (F.col("high") > F.col("_h") + F.col("_h") * tolerance) & (F.col("close") < F.col("_h")) & (F.col("_ph") <= F.col("_h") * (1 + tolerance)) & (F.col("high") - F.col("_h") >= least)
     df = df.withColumn("side", F.when(low, "low").when(high, "high")).where("side IS NOT NULL")
     is_low = F.col("side") == "low"
-    return df.withColumn("level", F.when(is_low, F.col("_l")).otherwise(F.col("_h"))).withColumn("sweep_depth", F.when(is_low, F.col("_l") - F.col("low")).otherwise(F.col("high") - F.col("_h"))).select(*bars.columns, "side", "level", "sweep_depth")
+    return df.withColumn("level", F.when(is_low, F.col("_l")).otherwise(F.col("_h"))).withColumn("sweep_depth", F.when(is_low,
+        F.col("_l") - F.col("low")).otherwise(F.col("high") - F.col("_h"))).select(*bars.columns, "side", "level", "sweep_depth")
 
 
 PRICES = ("open", "high", "low", "close")
@@ -235,14 +245,16 @@ def _filled(bars: DataFrame, arrival: str | None) -> DataFrame:
 
 
 def validated(bars: DataFrame, *, arrival: str | None = None, strict: bool = False) -> DataFrame:
-    """Prices filled forward then backward, volume 0 for null and never negative, high and low widened, of the rows of one time the last kept, gaps flagged at over 3 median steps.
+    """Prices filled forward then backward, volume 0 for null and never negative, high and low widened, of the rows of one time the last kept,
+ gaps flagged at over 3 median steps.
 
     arrival: a column by which rows of one time came in (without it, the order in which Spark reads them). strict: raises where `bar_issues` counts any."""
     if strict and (found := bar_issues(bars, arrival=arrival).where("issues > 0").limit(5).collect()):  # five series to name
         raise ValueError(f"bars are not clean: {[r.asDict() for r in found]}")
     df = _filled(bars, arrival).where("NOT _again")
     df = df.withColumns({c: F.col(f"_{c}") for c in PRICES})
-    df = df.withColumn("volume", F.abs(F.coalesce(F.nanvl("volume", F.lit(0.0)), F.lit(0.0)))).withColumn("high", F.greatest("high", "open", "close")).withColumn("low", F.least("low", "open", "close"))
+    df = df.withColumn("volume", F.abs(F.coalesce(F.nanvl("volume", F.lit(0.0)), F.lit(0.0)))).withColumn("high", F.greatest("high", "open",
+        "close")).withColumn("low", F.least("low", "open", "close"))
     df = _with_gaps(df.select(*bars.columns))
     return df.drop("_step", "_median")
 
@@ -254,18 +266,21 @@ def _with_gaps(df: DataFrame) -> DataFrame:
 
 
 def bar_issues(bars: DataFrame, *, arrival: str | None = None) -> DataFrame:
-    """A row per series with what `validated` mends, and `issues`, their sum: missing and infinite prices, missing and negative volumes, highs and lows inside the body, repeated times, gaps."""
+    """A row per series with what `validated` mends, and `issues`, their sum: missing and infinite prices, missing and negative volumes,
+ highs and lows inside the body, repeated times, gaps."""
     df = _filled(bars, arrival)
     n = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("long"))
     missing = sum((F.coalesce(F.isnan(c) | F.isnull(c), F.lit(True)).cast("int") for c in PRICES), F.lit(0))
     infinite = sum((F.coalesce(F.abs(c) == float("inf"), F.lit(False)).cast("int") for c in PRICES), F.lit(0))
     counts = df.groupBy(*KEYS).agg(
         F.sum(missing).alias("missing"), F.sum(infinite).alias("infinite"), n(F.isnan("volume") | F.isnull("volume")).alias("missing_volume"), n(~F.isnan("volume") & (F.col("volume") < 0)).alias("negative_volume"),
-        n(F.col("_high") < F.greatest("_open", "_close")).alias("low_highs"), n(F.col("_low") > F.least("_open", "_close")).alias("high_lows"), n(F.col("_again")).alias("repeated"),
+        n(F.col("_high") < F.greatest("_open", "_close")).alias("low_highs"), n(F.col("_low") > F.least("_open",
+            "_close")).alias("high_lows"), n(F.col("_again")).alias("repeated"),
     )
     gaps_ = _with_gaps(df.where("NOT _again").select(*KEYS, "bar_ts")).groupBy(*KEYS).agg(n(F.col("gap")).alias("gaps"))
     out = counts.join(gaps_, list(KEYS))
-    return out.withColumn("issues", sum((F.col(c) for c in ("missing", "infinite", "missing_volume", "negative_volume", "low_highs", "high_lows", "repeated", "gaps")), F.lit(0).cast("long")))
+    return out.withColumn("issues", sum((F.col(c) for c in ("missing", "infinite", "missing_volume", "negative_volume", "low_highs", "high_lows", "repeated",
+        "gaps")), F.lit(0).cast("long")))
 
 
 def structure_bias(bars: DataFrame, side: int = 3) -> DataFrame:

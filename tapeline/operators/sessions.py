@@ -27,7 +27,8 @@ def session_blocks(bars: DataFrame) -> DataFrame:
 
 
 def session_levels(bars: DataFrame, first: int, last: int, *, sessions: int = 1, name: str = "session") -> DataFrame:
-    """Bars with the high and low of the last `sessions` whole sessions of the hours [first, last), from a session's end until the next begins; null inside one and before the first."""
+    """Bars with the high and low of the last `sessions` whole sessions of the hours [first, last),
+ from a session's end until the next begins; null inside one and before the first."""
     w, high, low = series.ordered(), f"{name}_high", f"{name}_low"
     inside = (_hour() >= first) & (_hour() < last)
     df = bars.withColumn("_in", inside)
@@ -66,4 +67,5 @@ def first_sweeps(bars: DataFrame, days: int = 5) -> DataFrame:
     later = bars.select(*series.KEYS, F.to_date("bar_ts").alias("_d"), F.col("bar_ts").alias("_t"), "high", "low")
     both = blocks.join(later, [*series.KEYS, "_d"], "left").where(F.col("_t").isNull() | (F.col("_t") > F.col("ends")) | (F.col("_d") == F.to_date("ends")))
     after = F.col("_t") > F.col("ends")
-    return both.groupBy(*series.KEYS, "session", "begins", "ends", "level_high", "level_low").agg(F.min(F.when(after & (F.col("high") > F.col("level_high")), F.col("_t"))).alias("high_swept"), F.min(F.when(after & (F.col("low") < F.col("level_low")), F.col("_t"))).alias("low_swept"))
+    return both.groupBy(*series.KEYS, "session", "begins", "ends", "level_high", "level_low").agg(F.min(F.when(after & (F.col("high") > F.col("level_high")),
+        F.col("_t"))).alias("high_swept"), F.min(F.when(after & (F.col("low") < F.col("level_low")), F.col("_t"))).alias("low_swept"))

@@ -23,7 +23,8 @@ def sweep_signals(bars: DataFrame, *, back: int = 20, tolerance: float = 0.002,
     long = F.col("side") == "low"
     s = s.withColumn("direction", F.when(long, "LONG").otherwise("SHORT")).withColumn("entry", F.col("close")).withColumn("sl", F.when(long, F.col("low")).otherwise(F.col("high")))
     risk, sign = F.abs(F.col("entry") - F.col("sl")), F.when(long, 1.0).otherwise(-1.0)
-    return s.withColumn("risk", risk).where("risk > 0").withColumn("tp1", F.col("entry") + sign * reward[0] * risk).withColumn("tp2", F.col("entry") + sign * reward[1] * risk).select(*series.KEYS, "bar_ts", "direction", "entry", "sl", "tp1", "tp2", "risk")
+    return s.withColumn("risk", risk).where("risk > 0").withColumn("tp1", F.col("entry") + sign * reward[0] * risk).withColumn("tp2",
+        F.col("entry") + sign * reward[1] * risk).select(*series.KEYS, "bar_ts", "direction", "entry", "sl", "tp1", "tp2", "risk")
 
 
 #: The longest trade of the reference in 4h bars, its signal's bar counted, and the bars of other timeframes in one of 4h.
@@ -91,7 +92,8 @@ def _walked(df: DataFrame, costs: Costs, tie_rule: str, keep: tuple[str, ...] =
     paid = F.col("entry") * (1 + sign * (costs.spread + costs.slippage))
     gross = sign * (price - paid) / F.col("risk")
     cost = (F.col("entry") * costs.commission + price * (costs.spread + costs.commission + costs.slippage)) / F.col("risk")
-    return df.select(*series.KEYS, *keep, F.col("bar_ts").alias("entry_time"), F.col("_s.at").alias("exit_time"), "direction", "entry", price.alias("exit"), outcome.alias("outcome"), (gross - cost).alias("r_multiple"), F.col("_s.n").alias("bars_held"), F.col("_s.mfe").alias("mfe"), F.col("_s.mae").alias("mae"))
+    return df.select(*series.KEYS, *keep, F.col("bar_ts").alias("entry_time"), F.col("_s.at").alias("exit_time"), "direction", "entry", price.alias("exit"),
+        outcome.alias("outcome"), (gross - cost).alias("r_multiple"), F.col("_s.n").alias("bars_held"), F.col("_s.mfe").alias("mfe"), F.col("_s.mae").alias("mae"))
 
 
 def windows(bars: DataFrame, *, train: int, test: int, step: int, embargo: int = 0, anchored: bool = False) -> DataFrame:
@@ -100,7 +102,8 @@ def windows(bars: DataFrame, *, train: int, test: int, step: int, embargo: int =
     last = F.col("bars") - train - embargo - test
     df = n.where(last >= 0).select(*series.KEYS, F.posexplode(F.sequence(F.lit(0).cast("long"), last, F.lit(step).cast("long"))).alias("window", "start"))
     begin = F.lit(0).cast("long") if anchored else F.col("start")
-    return df.select(*series.KEYS, "window", begin.alias("train_start"), (F.col("start") + train).alias("train_end"), (F.col("start") + train + embargo).alias("test_start"), (F.col("start") + train + embargo + test).alias("test_end"))
+    return df.select(*series.KEYS, "window", begin.alias("train_start"), (F.col("start") + train).alias("train_end"),
+        (F.col("start") + train + embargo).alias("test_start"), (F.col("start") + train + embargo + test).alias("test_end"))
 
 
 def walk_forward(bars: DataFrame, grid: list[dict], *, train: int, test: int, step: int, embargo: int = longest("1h"), least: int = 3) -> DataFrame:
@@ -122,6 +125,7 @@ def walk_forward(bars: DataFrame, grid: list[dict], *, train: int, test: int, st
     known = F.when(is_train, F.slice("_path", F.lit(1), F.greatest(F.col("test_start") - F.col("no") - 1, F.lit(0)).cast("int"))).otherwise(F.col("_path"))
     inside = _walked(_with_paths(numbered, inside, longest()).withColumn("_path", known), Costs(), "sl_first", ("window", "combo", "no", "train_end", "test_start"))
     r = F.col("r_multiple")
-    per = inside.groupBy(*series.KEYS, "window", "combo").agg(F.count(F.when(is_train, r)).alias("n_is"), F.avg(F.when(is_train, r)).alias("is_r"), F.count(F.when(is_test, r)).alias("n_oos"), F.avg(F.when(is_test, r)).alias("oos_r"))
+    per = inside.groupBy(*series.KEYS, "window", "combo").agg(F.count(F.when(is_train, r)).alias("n_is"), F.avg(F.when(is_train, r)).alias("is_r"),
+        F.count(F.when(is_test, r)).alias("n_oos"), F.avg(F.when(is_test, r)).alias("oos_r"))
     best = Window.partitionBy(*series.KEYS, "window").orderBy(F.desc("is_r"), "combo")
     return per.where(F.col("n_is") >= least).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")

@@ -33,7 +33,8 @@ def _replicates(trades: DataFrame, by: str, rounds: int, seed: int, draw, sums:
 
         def given():
             for g, m in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([g] * rounds, to_arrow_type(key)), pa.array(np.arange(1, rounds + 1, dtype=np.int32)), *[pa.array(v) for v in m]], names=[by, "rep", *sums])
+                yield pa.RecordBatch.from_arrays([pa.array([g] * rounds, to_arrow_type(key)), pa.array(np.arange(1, rounds + 1, dtype=np.int32)),
+                    *[pa.array(v) for v in m]], names=[by, "rep", *sums])
             held.clear()
 
         for batch in batches:
@@ -63,14 +64,16 @@ def sign_flip(trades: DataFrame, *, by: str = "strategy", rounds: int = 10_000,
         into[0] += r * (2.0 * plus - k)
 
     reps = _replicates(trades, by, rounds, seed, draw, ("s",))
-    real = trades.groupBy(by).agg(F.count("r_multiple").alias("n"), F.sum("r_multiple").alias("total"), F.avg("r_multiple").alias("mean_r"), F.stddev_samp("r_multiple").alias("sd"), F.sum(F.abs("r_multiple")).alias("size"))
+    real = trades.groupBy(by).agg(F.count("r_multiple").alias("n"), F.sum("r_multiple").alias("total"), F.avg("r_multiple").alias("mean_r"),
+        F.stddev_samp("r_multiple").alias("sd"), F.sum(F.abs("r_multiple")).alias("size"))
     near = 1e-12 * F.col("size")  # sums of the same terms in another order are equal
 
     def share(hit):
         return (F.sum(hit.cast("long")) + 1) / (rounds + 1)
 
     s, total = F.col("s"), F.col("total")
-    df = reps.join(real, by).groupBy(by).agg(*[F.first(c).alias(c) for c in ("n", "mean_r", "sd")], share(F.abs(s) >= F.abs(total) - near).alias("p_value"), share(s >= total - near).alias("p_positive"), share(s <= total + near).alias("p_negative"))
+    df = reps.join(real, by).groupBy(by).agg(*[F.first(c).alias(c) for c in ("n", "mean_r", "sd")], share(F.abs(s) >= F.abs(total) - near).alias("p_value"),
+        share(s >= total - near).alias("p_positive"), share(s <= total + near).alias("p_negative"))
     z = NormalDist().inv_cdf(1 - alpha / 2)
     flat, size = F.col("sd") < 1e-12, F.abs("mean_r")
     d = F.when(flat, F.when(size > 0, float("inf")).otherwise(0.0)).otherwise(size / F.col("sd"))
@@ -87,7 +90,9 @@ def sign_flip(trades: DataFrame, *, by: str = "strategy", rounds: int = 10_000,
     df = df.withColumn("_holm", p * (m - rank + 1)).withColumn("_bh", p * m / rank).withColumn("_bonferroni", p * m)
     before, after = up.rowsBetween(Window.unboundedPreceding, 0), up.rowsBetween(0, Window.unboundedFollowing)
     adjusted = {"bonferroni": F.col("_bonferroni"), "holm": F.max("_holm").over(before), "benjamini_hochberg": F.min("_bh").over(after)}
-    return df.select(by, rounded(F.col("mean_r")).alias("mean_r"), "p_value", "p_positive", "p_negative", rounded(F.col("d"), 6).alias("cohens_d"), rounded(F.col("power"), 6).alias("power"), *[needed(x / 100).alias(f"n_for_{x}") for x in (80, 90, 95)], *[F.least(v, F.lit(1.0)).alias(f"p_{k}") for k, v in adjusted.items()])
+    return df.select(by, rounded(F.col("mean_r")).alias("mean_r"), "p_value", "p_positive", "p_negative", rounded(F.col("d"), 6).alias("cohens_d"),
+        rounded(F.col("power"), 6).alias("power"), *[needed(x / 100).alias(f"n_for_{x}") for x in (80, 90, 95)], *[F.least(v, F.lit(1.0)).alias(f"p_{k}") for k,
+        v in adjusted.items()])
 
 
 def bootstrap(trades: DataFrame, *, by: str = "strategy", rounds: int = 10_000, seed: int = 42) -> DataFrame:
@@ -112,26 +117,32 @@ def bootstrap(trades: DataFrame, *, by: str = "strategy", rounds: int = 10_000,
     win_rate = ratio(wins, k)
     expectancy = win_rate * F.coalesce(ratio(gain, wins), F.lit(0.0)) - (1 - win_rate) * F.coalesce(ratio(loss, k - wins), F.lit(0.0))
     few = 1e-12 * (gain + F.abs(s))
-    stats = {"": ratio(s, k), "win_rate_": win_rate, "expectancy_": expectancy, "profit_factor_": F.when(loss > few, gain / F.when(loss > few, loss)).otherwise(0.0), "sharpe_": F.when(sd > 1e-9, ratio(s, k) / F.when(sd > 1e-9, sd)).otherwise(0.0)}
+    stats = {"": ratio(s, k), "win_rate_": win_rate, "expectancy_": expectancy, "profit_factor_": F.when(loss > few, gain / F.when(loss > few, loss)).otherwise(0.0),
+        "sharpe_": F.when(sd > 1e-9, ratio(s, k) / F.when(sd > 1e-9, sd)).otherwise(0.0)}
     reps = reps.where("k > 0").select(by, *[v.alias(f"_{n}") for n, v in stats.items()])
     ends = F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))
     out = reps.groupBy(by).agg(*[F.percentile(f"_{n}", ends).alias(f"q_{n}") for n in stats], F.avg((F.col("_") > 0).cast("double")).alias("p_profitable"))
-    return out.select(by, *[rounded(F.col(f"q_{n}")[i]).alias(n + x) for n in stats for i, x in enumerate(("low", "middle", "high"))], rounded(F.col("p_profitable")).alias("p_profitable"))
+    return out.select(by, *[rounded(F.col(f"q_{n}")[i]).alias(n + x) for n in stats for i, x in enumerate(("low", "middle", "high"))],
+        rounded(F.col("p_profitable")).alias("p_profitable"))
 
 
 def tail_risk(trades: DataFrame, *, by: str = "strategy") -> DataFrame:
     """T-15: normal and historical value at risk, conditional value at risk and Jarque-Bera at 95 %."""
     r = F.col("r_multiple")
-    m = trades.groupBy(by).agg(F.count("*").alias("n"), F.avg(r).alias("mu"), F.stddev_samp(r).alias("sd"), F.skewness(r).alias("skew"), F.kurtosis(r).alias("kurt"), F.percentile(r, F.lit(0.05)).alias("var_hist"))
+    m = trades.groupBy(by).agg(F.count("*").alias("n"), F.avg(r).alias("mu"), F.stddev_samp(r).alias("sd"), F.skewness(r).alias("skew"), F.kurtosis(r).alias("kurt"),
+        F.percentile(r, F.lit(0.05)).alias("var_hist"))
     tail = trades.join(m.select(by, "var_hist"), by).where(r <= F.col("var_hist")).groupBy(by).agg(F.avg(r).alias("cvar"))
     jb = F.col("n") / 6 * (F.pow("skew", 2) + F.pow("kurt", 2) / 4)
-    return m.join(tail, by).select(by, "n", rounded(F.col("mu") - 1.6448536269514722 * F.col("sd")).alias("var_normal"), rounded(F.col("var_hist")).alias("var_hist"), rounded(F.col("cvar")).alias("cvar"), rounded(F.col("skew"), 3).alias("skew"), rounded(F.col("kurt"), 3).alias("kurt"), rounded(jb, 2).alias("jarque_bera"))
+    return m.join(tail, by).select(by, "n", rounded(F.col("mu") - 1.6448536269514722 * F.col("sd")).alias("var_normal"),
+        rounded(F.col("var_hist")).alias("var_hist"), rounded(F.col("cvar")).alias("cvar"), rounded(F.col("skew"), 3).alias("skew"), rounded(F.col("kurt"),
+        3).alias("kurt"), rounded(jb, 2).alias("jarque_bera"))
 
 
 def transitions(trades: DataFrame) -> DataFrame:
     """T-16: counts and shares of regime changes from trade to trade."""
     w = Window.partitionBy("strategy").orderBy("entry_time")
-    df = trades.withColumn("to_regime", F.lead("regime").over(w)).where("to_regime IS NOT NULL").groupBy(F.col("regime").alias("from_regime"), "to_regime").agg(F.count("*").alias("n"))
+    df = trades.withColumn("to_regime", F.lead("regime").over(w)).where("to_regime IS NOT NULL").groupBy(F.col("regime").alias("from_regime"),
+        "to_regime").agg(F.count("*").alias("n"))
     return df.withColumn("share", rounded(F.col("n") / F.sum("n").over(Window.partitionBy("from_regime"))))
 
 
@@ -140,8 +151,10 @@ def autocorrelation(trades: DataFrame, *, by: str = "strategy", lags: int = 20)
     df = _keyed(trades, by)
     w, all_ = Window.partitionBy(by).orderBy("no"), Window.partitionBy(by)
     df = df.withColumn("x", F.col("r_multiple") - F.avg("r_multiple").over(all_))
-    sums = df.select(by, "x", *[F.lag("x", k).over(w).alias(f"l{k}") for k in range(1, lags + 1)]).groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("v"), *[F.sum(F.col("x") * F.col(f"l{k}")).alias(f"c{k}") for k in range(1, lags + 1)])
-    long = sums.select(by, "n", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), ratio(F.col(f"c{k}"), F.col("v")).alias("acf")) for k in range(1, lags + 1)])).alias("z")).select(by, "n", "z.lag", "z.acf")
+    sums = df.select(by, "x", *[F.lag("x", k).over(w).alias(f"l{k}") for k in range(1, lags + 1)]).groupBy(by).agg(F.count("*").alias("n"),
+        F.sum(F.col("x") * F.col("x")).alias("v"), *[F.sum(F.col("x") * F.col(f"l{k}")).alias(f"c{k}") for k in range(1, lags + 1)])
+    long = sums.select(by, "n", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), ratio(F.col(f"c{k}"), F.col("v")).alias("acf")) for k in range(1,
+        lags + 1)])).alias("z")).select(by, "n", "z.lag", "z.acf")
     q = F.col("n") * (F.col("n") + 2) * F.sum(F.pow("acf", 2) / (F.col("n") - F.col("lag"))).over(Window.partitionBy(by).orderBy("lag").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return long.select(by, "lag", rounded(F.col("acf")).alias("acf"), rounded(q, 3).alias("ljung_box"), (F.abs("acf") > 1.96 / F.sqrt("n")).alias("significant"))
 
@@ -158,7 +171,8 @@ def bayes(trades: DataFrame, *, by: str = "strategy", alpha: float = 1.0, beta:
     df = trades.groupBy(by).agg(F.count("*").alias("n"), F.sum(won().cast("long")).alias("wins"), F.avg("r_multiple").alias("m"), F.var_samp("r_multiple").alias("v"))
     a, b = alpha + F.col("wins"), beta + F.col("n") - F.col("wins")
     precision = 1 / sigma**2 + F.col("n") / F.col("v")
-    return df.select(by, "n", "wins", rounded(a / (a + b)).alias("win_mean"), rounded(F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1))), 6).alias("win_sd"), rounded((mu / sigma**2 + F.col("n") * F.col("m") / F.col("v")) / precision).alias("r_mean"), rounded(F.sqrt(1 / precision), 6).alias("r_sd"))
+    return df.select(by, "n", "wins", rounded(a / (a + b)).alias("win_mean"), rounded(F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1))), 6).alias("win_sd"),
+        rounded((mu / sigma**2 + F.col("n") * F.col("m") / F.col("v")) / precision).alias("r_mean"), rounded(F.sqrt(1 / precision), 6).alias("r_sd"))
 
 
 def risk_ratios(daily: DataFrame, by: str = "strategy") -> DataFrame:

@@ -127,7 +127,8 @@ def bucket_metrics(trades: DataFrame, bucket: Column, buckets: list | None = Non
 def hold_durations(trades: DataFrame) -> DataFrame:
     """Quantiles of the bars held by outcome, and the correlation with R."""
     q = F.percentile("bars_held", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9))))
-    df = trades.groupBy("outcome").agg(F.count("*").alias("n"), q.alias("q"), rounded(F.avg("bars_held")).alias("mean_bars"), rounded(F.corr("bars_held", "r_multiple")).alias("corr_r"))
+    df = trades.groupBy("outcome").agg(F.count("*").alias("n"), q.alias("q"), rounded(F.avg("bars_held")).alias("mean_bars"), rounded(F.corr("bars_held",
+        "r_multiple")).alias("corr_r"))
     return df.select("outcome", "n", "mean_bars", "corr_r", *[rounded(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((25, 50, 75, 90))])
 
 
@@ -149,7 +150,8 @@ def confidence_buckets(trades: DataFrame, value: str, edges: list[float]) -> Dat
     for i in range(len(edges) - 1, 0, -1):
         low = (x >= edges[0]) if i == 1 else (x > edges[i - 1])
         b = F.when(low & (x <= edges[i]), i - 1).otherwise(b)
-    return trades.withColumn("bucket", b).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"), rounded(share(won())).alias("win_rate"), rounded(F.avg("r_multiple")).alias("mean_r"))
+    return trades.withColumn("bucket", b).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"), rounded(share(won())).alias("win_rate"),
+        rounded(F.avg("r_multiple")).alias("mean_r"))
 
 
 def edge_ratios(trades: DataFrame) -> DataFrame:
@@ -176,10 +178,12 @@ def completeness(df: DataFrame) -> DataFrame:
     """Nulls and null share of every column, in one pass."""
     n = F.count("*")
     wide = df.agg(*[F.struct(n.alias("n"), F.sum(F.col(c).isNull().cast("long")).alias("nulls")).alias(c) for c in df.columns])
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)["n"].alias("n"), F.col(c)["nulls"].alias("nulls")) for c in df.columns])).alias("x")).select("x.*").withColumn("missing_share", rounded(ratio(F.col("nulls"), F.col("n"))))
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)["n"].alias("n"),
+        F.col(c)["nulls"].alias("nulls")) for c in df.columns])).alias("x")).select("x.*").withColumn("missing_share", rounded(ratio(F.col("nulls"), F.col("n"))))
 
 
-def filtered(trades: DataFrame, *, strategies: list[str] | None = None, symbols: list[str] | None = None, sources: list[str] | None = None, start: str | None = None, end: str | None = None, pnl: tuple[float, float] | None = None) -> DataFrame:
+def filtered(trades: DataFrame, *, strategies: list[str] | None = None, symbols: list[str] | None = None, sources: list[str] | None = None, start: str | None = None,
+    end: str | None = None, pnl: tuple[float, float] | None = None) -> DataFrame:
     """Any of the optional filters; dates are inclusive."""
     for column, values in (("strategy", strategies), ("symbol", symbols), ("source", sources)):
         if values is not None:
@@ -205,7 +209,8 @@ def position_size(trades: DataFrame, nav: float, risk: float, cap: float) -> Dat
 
 
 def significance(trades: DataFrame, *by: str) -> DataFrame:
-    """T-1: Wilson interval, binomial and t tests, interval of mean R, Sharpe, profit factor, drawdown, expectancy, smallest sample, and lag-1 correlation of gains (from 11 trades on); from 5 trades on."""
+    """T-1: Wilson interval, binomial and t tests, interval of mean R, Sharpe, profit factor, drawdown, expectancy, smallest sample,
+ and lag-1 correlation of gains (from 11 trades on); from 5 trades on."""
     w = Window.partitionBy(*by).orderBy("entry_time")
     r, up = F.col("r_multiple"), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = trades.withColumn("_w", won().cast("double")).withColumn("_g", (r > 0).cast("double")).withColumn("_lag", F.lag("_g").over(w)).withColumn("_e", F.sum(r).over(up))
@@ -224,10 +229,13 @@ def significance(trades: DataFrame, *by: str) -> DataFrame:
     need = F.when((F.col("sd") > 0) & (F.col("mean_r") != 0), F.ceil(F.pow(F.try_divide(F.lit(2.8), F.abs(sr)), 2))).otherwise(999).cast("long")
     binomial = binomial_at_least(F.col("wins"), F.col("n"))
     return out.select(
-        *by, "n", rounded(F.col("wr")).alias("win_rate"), rounded(low).alias("wilson_low"), rounded(high).alias("wilson_high"), rounded(binomial, 6).alias("binomial_p"), (binomial < 0.05).alias("win_rate_significant"),
+        *by, "n", rounded(F.col("wr")).alias("win_rate"), rounded(low).alias("wilson_low"), rounded(high).alias("wilson_high"), rounded(binomial,
+            6).alias("binomial_p"), (binomial < 0.05).alias("win_rate_significant"),
         rounded(F.col("mean_r")).alias("mean_r"), rounded(F.col("mean_r") - margin).alias("mean_r_low"), rounded(F.col("mean_r") + margin).alias("mean_r_high"), rounded(sr).alias("sharpe"), rounded(t).alias("t_stat"), rounded(p, 6).alias("t_p"),
-        ((p < 0.05) & (F.col("mean_r") > 0)).alias("mean_r_significant"), rounded(F.coalesce("pf", F.lit(float("inf")))).alias("profit_factor"), rounded(F.col("max_dd")).alias("max_drawdown"),
-        rounded(F.col("wr") * F.col("gain") + (1 - F.col("wr")) * F.col("loss")).alias("expectancy"), need.alias("min_n"), rounded(F.when(F.col("n") > 10, F.col("autocorr"))).alias("gain_autocorr"), F.when(F.col("n") > 10, F.abs("autocorr") < 0.2).alias("independent"),
+        ((p < 0.05) & (F.col("mean_r") > 0)).alias("mean_r_significant"), rounded(F.coalesce("pf",
+            F.lit(float("inf")))).alias("profit_factor"), rounded(F.col("max_dd")).alias("max_drawdown"),
+        rounded(F.col("wr") * F.col("gain") + (1 - F.col("wr")) * F.col("loss")).alias("expectancy"), need.alias("min_n"), rounded(F.when(F.col("n") > 10,
+            F.col("autocorr"))).alias("gain_autocorr"), F.when(F.col("n") > 10, F.abs("autocorr") < 0.2).alias("independent"),
     )
 
 
@@ -243,7 +251,8 @@ def episodes(trades: DataFrame, *by: str, depth: float = 0.5) -> DataFrame:
     df = running(drawdown(trades, *by), list(by), ["entry_time"], (F.col("drawdown") <= 1e-9).cast("long"), "_at")
     df = df.withColumn("_under", F.col("drawdown") > 1e-9)
     ends = Window.partitionBy(*by).orderBy("_at")
-    out = df.groupBy(*by, "_at").agg(F.max("drawdown").alias("depth"), F.min(F.when(F.col("_under"), F.col("entry_time"))).alias("begins"), F.max_by("entry_time", "drawdown").alias("trough"), F.sum(F.col("_under").cast("long")).alias("trades"), F.min("entry_time").alias("_t"))
+    out = df.groupBy(*by, "_at").agg(F.max("drawdown").alias("depth"), F.min(F.when(F.col("_under"), F.col("entry_time"))).alias("begins"), F.max_by("entry_time",
+        "drawdown").alias("trough"), F.sum(F.col("_under").cast("long")).alias("trades"), F.min("entry_time").alias("_t"))
     out = out.withColumn("recovers", F.lead("_t").over(ends))
     return out.where((F.col("depth") >= depth) & (F.col("trades") > 0)).select(*by, rounded(F.col("depth")).alias("depth"), "begins", "trough", "recovers", "trades")
 
@@ -254,11 +263,13 @@ def rolling_drawdown(trades: DataFrame, *by: str, time: str = "entry_time", size
     df = trades
     for n in sizes:
         frame = w.rowsBetween(-(n - 1), 0)
-        fold = F.aggregate(F.collect_list("r_multiple").over(frame), F.struct(F.lit(0.0).alias("e"), F.lit(float("-inf")).alias("p"), F.lit(0.0).alias("d")), lambda a, x: F.struct((a.e + x).alias("e"), F.greatest(a.p, a.e + x).alias("p"), F.greatest(a.d, F.greatest(a.p, a.e + x) - a.e - x).alias("d")), lambda a: a.d)
+        fold = F.aggregate(F.collect_list("r_multiple").over(frame), F.struct(F.lit(0.0).alias("e"), F.lit(float("-inf")).alias("p"), F.lit(0.0).alias("d")),
+            lambda a, x: F.struct((a.e + x).alias("e"), F.greatest(a.p, a.e + x).alias("p"), F.greatest(a.d, F.greatest(a.p, a.e + x) - a.e - x).alias("d")), lambda a: a.d)
         df = df.withColumn(f"_d{n}", F.when(F.count("*").over(frame) >= n, fold))
     out = None
     for n in sizes:
-        one = df.groupBy(*by).agg(F.percentile(f"_d{n}", F.array(F.lit(0.75), F.lit(0.9), F.lit(0.95))).alias("q"), F.max(f"_d{n}").alias("m")).select(*by, F.lit(n).alias("window"), *[rounded(F.col("q")[i], digits).alias(f"p{p}") for i, p in enumerate((75, 90, 95))], rounded(F.col("m"), digits).alias("max_dd"))
+        one = df.groupBy(*by).agg(F.percentile(f"_d{n}", F.array(F.lit(0.75), F.lit(0.9), F.lit(0.95))).alias("q"), F.max(f"_d{n}").alias("m")).select(*by,
+            F.lit(n).alias("window"), *[rounded(F.col("q")[i], digits).alias(f"p{p}") for i, p in enumerate((75, 90, 95))], rounded(F.col("m"), digits).alias("max_dd"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -12,13 +12,18 @@ from ..operators import statistics as st
 from ..operators import trades as t
 from .views import WITH, bars, events, normal_sql, trades
 
-_PERF = """count(*) AS total_trades, CAST(sum(CASE WHEN r_multiple > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CASE WHEN r_multiple <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS losses,
- round(100 * avg(CASE WHEN r_multiple > 0 THEN 1.0E0 ELSE 0 END) + 1.37E-7, 2) + 0.0E0 AS win_rate, round(sum(r_multiple) + 1.37E-7, 3) + 0.0E0 AS total_r, round(avg(r_multiple) + 1.37E-7, 4) + 0.0E0 AS avg_r,
- round(avg(CASE WHEN r_multiple > 0 THEN r_multiple END) + 1.37E-7, 4) + 0.0E0 AS avg_winner, round(avg(CASE WHEN r_multiple <= 0 THEN r_multiple END) + 1.37E-7, 4) + 0.0E0 AS avg_loser,
+_PERF = """count(*) AS total_trades, CAST(sum(CASE WHEN r_multiple > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins,
+ CAST(sum(CASE WHEN r_multiple <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS losses,
+ round(100 * avg(CASE WHEN r_multiple > 0 THEN 1.0E0 ELSE 0 END) + 1.37E-7, 2) + 0.0E0 AS win_rate, round(sum(r_multiple) + 1.37E-7, 3) + 0.0E0 AS total_r,
+ round(avg(r_multiple) + 1.37E-7, 4) + 0.0E0 AS avg_r,
+ round(avg(CASE WHEN r_multiple > 0 THEN r_multiple END) + 1.37E-7, 4) + 0.0E0 AS avg_winner, round(avg(CASE WHEN r_multiple <= 0 THEN r_multiple END) + 1.37E-7,
+ 4) + 0.0E0 AS avg_loser,
  round(sum(CASE WHEN r_multiple > 0 THEN r_multiple END) / nullif(abs(sum(CASE WHEN r_multiple < 0 THEN r_multiple END)), 0) + 1.37E-7, 4) + 0.0E0 AS profit_factor,
- round(avg(mfe) + 1.37E-7, 4) + 0.0E0 AS avg_mfe, round(avg(mae) + 1.37E-7, 4) + 0.0E0 AS avg_mae, round(avg(bars_held) + 1.37E-7, 2) + 0.0E0 AS avg_bars FROM {src} WHERE exit_time IS NOT NULL GROUP BY {by}"""
+ round(avg(mfe) + 1.37E-7, 4) + 0.0E0 AS avg_mfe, round(avg(mae) + 1.37E-7, 4) + 0.0E0 AS avg_mae, round(avg(bars_held) + 1.37E-7, 2) + 0.0E0 AS avg_bars FROM {src}
+ WHERE exit_time IS NOT NULL GROUP BY {by}"""
 _WON = "CASE WHEN outcome LIKE '%win%' THEN 1.0E0 ELSE 0 END"
-_BUCKET = f"""count(*) AS n, round(avg({_WON}) + 1.37E-7, 4) + 0.0E0 AS win_rate, round(avg(r_multiple) + 1.37E-7, 4) + 0.0E0 AS mean_r, round(sum(r_multiple) + 1.37E-7, 3) + 0.0E0 AS total_r, round(stddev_samp(r_multiple) + 1.37E-7, 4) + 0.0E0 AS std_r,
+_BUCKET = f"""count(*) AS n, round(avg({_WON}) + 1.37E-7, 4) + 0.0E0 AS win_rate, round(avg(r_multiple) + 1.37E-7, 4) + 0.0E0 AS mean_r,
+ round(sum(r_multiple) + 1.37E-7, 3) + 0.0E0 AS total_r, round(stddev_samp(r_multiple) + 1.37E-7, 4) + 0.0E0 AS std_r,
  round(avg(mfe) + 1.37E-7, 4) + 0.0E0 AS avg_mfe, round(avg(mae) + 1.37E-7, 4) + 0.0E0 AS avg_mae, round(avg(mfe) / nullif(avg(mae), 0) + 1.37E-7, 4) + 0.0E0 AS mfe_mae"""
 _SESSION = "CASE WHEN h >= 19 OR h < 3 THEN 'Asia' WHEN h < 8 THEN 'London' WHEN h < 16 THEN 'New York' ELSE 'Off-Hours' END"
 _HOUR_NY = "CAST(extract(hour FROM timezone('America/New_York', timezone('UTC', entry_time))) AS INT)"
@@ -58,9 +63,11 @@ def a4_storage_stats(spark, d):
 
 @query(""", e AS (SELECT *, sum(pnl_usd) OVER w AS equity FROM trades WINDOW w AS (PARTITION BY strategy, symbol, source ORDER BY entry_time)),
 p AS (SELECT *, max(equity) OVER (PARTITION BY strategy, symbol, source ORDER BY entry_time) - equity AS dd FROM e)
-SELECT strategy, symbol, source, count(*) AS trades, round(100 * avg(CASE WHEN pnl_usd > 0 THEN 1.0E0 ELSE 0 END) + 1.37E-7, 2) + 0.0E0 AS win_rate, round(sum(pnl_usd) + 1.37E-7, 2) + 0.0E0 AS pnl,
+SELECT strategy, symbol, source, count(*) AS trades, round(100 * avg(CASE WHEN pnl_usd > 0 THEN 1.0E0 ELSE 0 END) + 1.37E-7, 2) + 0.0E0 AS win_rate,
+ round(sum(pnl_usd) + 1.37E-7, 2) + 0.0E0 AS pnl,
  round(sum(r_multiple) + 1.37E-7, 4) + 0.0E0 AS total_r, round(avg(r_multiple) + 1.37E-7, 4) + 0.0E0 AS avg_r,
- round(coalesce(sum(CASE WHEN pnl_usd > 0 THEN pnl_usd END) / nullif(abs(sum(CASE WHEN pnl_usd < 0 THEN pnl_usd END)), 0), CASE WHEN max(pnl_usd) > 0 THEN CAST('Infinity' AS DOUBLE) ELSE 0 END) + 1.37E-7, 4) + 0.0E0 AS profit_factor,
+ round(coalesce(sum(CASE WHEN pnl_usd > 0 THEN pnl_usd END) / nullif(abs(sum(CASE WHEN pnl_usd < 0 THEN pnl_usd END)), 0),
+ CASE WHEN max(pnl_usd) > 0 THEN CAST('Infinity' AS DOUBLE) ELSE 0 END) + 1.37E-7, 4) + 0.0E0 AS profit_factor,
  round(max(dd) + 1.37E-7, 2) + 0.0E0 AS max_dd FROM p GROUP BY ALL""")
 def a5_dashboard_summary(spark, d):
     return t.summary(trades(spark, d))
@@ -68,7 +75,9 @@ def a5_dashboard_summary(spark, d):
 
 @query(f" SELECT count(*) AS trades, round(100 * avg(CASE WHEN pnl_usd > 0 THEN 1.0E0 ELSE 0 END) + 1.37E-7, 2) AS win_rate, round(sum(pnl_usd) + 1.37E-7, 1) AS pnl, round(max(r_multiple) + 1.37E-7, 4) AS best_r, round(min(r_multiple) + 1.37E-7, 4) AS worst_r, count(DISTINCT strategy) AS strategies, CAST(sum(CASE WHEN source = 'Live' THEN 1 ELSE 0 END) AS BIGINT) AS live FROM trades")
 def a6_kpis(spark, d):
-    return trades(spark, d).agg(F.count("*").alias("trades"), rounded(100 * F.avg((F.col("pnl_usd") > 0).cast("double")), 2).alias("win_rate"), rounded(F.sum("pnl_usd"), 1).alias("pnl"), rounded(F.max("r_multiple"), 4).alias("best_r"), rounded(F.min("r_multiple"), 4).alias("worst_r"), F.countDistinct("strategy").alias("strategies"), F.sum((F.col("source") == "Live").cast("long")).alias("live"))
+    return trades(spark, d).agg(F.count("*").alias("trades"), rounded(100 * F.avg((F.col("pnl_usd") > 0).cast("double")), 2).alias("win_rate"),
+        rounded(F.sum("pnl_usd"), 1).alias("pnl"), rounded(F.max("r_multiple"), 4).alias("best_r"), rounded(F.min("r_multiple"),
+        4).alias("worst_r"), F.countDistinct("strategy").alias("strategies"), F.sum((F.col("source") == "Live").cast("long")).alias("live"))
 
 
 @query(f" SELECT g.h AS bucket, coalesce(n, 0) AS n, win_rate, mean_r, total_r, std_r, avg_mfe, avg_mae, mfe_mae FROM (SELECT unnest(range(24)) AS h) g LEFT JOIN (SELECT extract(hour FROM entry_time) AS h, {_BUCKET} FROM trades GROUP BY 1) b ON b.h = g.h")
@@ -123,7 +132,8 @@ def a28_overview(spark, d):
 
 @query(" SELECT trade_id, strategy, symbol, pnl_usd FROM trades WHERE strategy IN ('click', 'purchase', 'view') AND symbol IN ('AAA', 'BBB') AND CAST(entry_time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND pnl_usd BETWEEN -20 AND 60")
 def p3_filters(spark, d):
-    return t.filtered(trades(spark, d), strategies=["click", "purchase", "view"], symbols=["AAA", "BBB"], start="2024-01-05", end="2024-01-20", pnl=(-20, 60)).select("trade_id", "strategy", "symbol", "pnl_usd")
+    return t.filtered(trades(spark, d), strategies=["click", "purchase", "view"], symbols=["AAA", "BBB"], start="2024-01-05", end="2024-01-20", pnl=(-20,
+        60)).select("trade_id", "strategy", "symbol", "pnl_usd")
 
 
 @query("".join([" SELECT * FROM (", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, CAST(coalesce(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS nulls, round(avg(CASE WHEN {c} IS NULL THEN 1.0E0 ELSE 0 END) + 1.37E-7, 4) AS missing_share FROM events" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")), ")"]))
@@ -145,16 +155,22 @@ def u2_source_priority(spark, d):
 _T_DENSITY = "list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(i * h, 2) / (n - 1), -n / 2.0E0)))"  # Simpson's rule
 
 
-@query(f""", s AS (SELECT strategy, entry_time, r_multiple AS r, CASE WHEN outcome LIKE '%win%' THEN 1.0E0 ELSE 0 END AS w, CASE WHEN r_multiple > 0 THEN 1.0E0 ELSE 0 END AS g, sum(r_multiple) OVER (PARTITION BY strategy ORDER BY entry_time) AS e FROM trades),
+@query(f""", s AS (SELECT strategy, entry_time, r_multiple AS r, CASE WHEN outcome LIKE '%win%' THEN 1.0E0 ELSE 0 END AS w,
+ CASE WHEN r_multiple > 0 THEN 1.0E0 ELSE 0 END AS g, sum(r_multiple) OVER (PARTITION BY strategy ORDER BY entry_time) AS e FROM trades),
 l AS (SELECT *, lag(g) OVER (PARTITION BY strategy ORDER BY entry_time) AS lg, max(e) OVER (PARTITION BY strategy ORDER BY entry_time) - e AS dd FROM s),
-a AS (SELECT strategy, count(*) AS n, CAST(sum(w) AS BIGINT) AS wins, avg(w) AS wr, avg(r) AS m, stddev_samp(r) AS sd, corr(CASE WHEN lg IS NOT NULL THEN g END, lg) AS ac, sum(CASE WHEN r > 0 THEN r END) / nullif(abs(sum(CASE WHEN r < 0 THEN r END)), 0) AS pf, max(dd) AS dd,
+a AS (SELECT strategy, count(*) AS n, CAST(sum(w) AS BIGINT) AS wins, avg(w) AS wr, avg(r) AS m, stddev_samp(r) AS sd, corr(CASE WHEN lg IS NOT NULL THEN g END,
+ lg) AS ac, sum(CASE WHEN r > 0 THEN r END) / nullif(abs(sum(CASE WHEN r < 0 THEN r END)), 0) AS pf, max(dd) AS dd,
  coalesce(avg(CASE WHEN r > 0 THEN r END), 0) AS gain, coalesce(avg(CASE WHEN r <= 0 THEN r END), 0) AS loss FROM l GROUP BY strategy HAVING count(*) >= 5),
-h AS (SELECT *, abs(m / sd * sqrt(n)) / 2000 AS h, list_sum(list_transform(range(wins, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) - n * ln(2.0E0)))) AS bp FROM a),
+h AS (SELECT *, abs(m / sd * sqrt(n)) / 2000 AS h, list_sum(list_transform(range(wins, n + 1),
+ lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) - n * ln(2.0E0)))) AS bp FROM a),
 p AS (SELECT *, 0.5E0 - exp(lgamma(n / 2.0E0) - lgamma((n - 1) / 2.0E0)) / sqrt((n - 1) * pi()) * h / 3 * {_T_DENSITY} AS tp FROM h)
 SELECT strategy, n, round(wr + 1.37E-7, 4) AS win_rate, round(greatest((wr + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96E0 * sqrt((wr * (1 - wr) + 3.8416 / (4 * n)) / n) / (1 + 3.8416 / n), 0) + 1.37E-7, 4) AS wilson_low,
- round(least((wr + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96E0 * sqrt((wr * (1 - wr) + 3.8416 / (4 * n)) / n) / (1 + 3.8416 / n), 1) + 1.37E-7, 4) AS wilson_high, round(bp + 1.37E-7, 6) + 0.0E0 AS binomial_p, bp < 0.05 AS win_rate_significant, round(m + 1.37E-7, 4) + 0.0E0 AS mean_r,
- round(m / nullif(sd, 0) + 1.37E-7, 4) + 0.0E0 AS sharpe, round(m / nullif(sd, 0) * sqrt(n) + 1.37E-7, 4) + 0.0E0 AS t_stat, round(tp + 1.37E-7, 6) + 0.0E0 AS t_p, tp < 0.05 AND m > 0 AS mean_r_significant, round(coalesce(pf, CAST('Infinity' AS DOUBLE)) + 1.37E-7, 4) AS profit_factor, round(dd + 1.37E-7, 4) AS max_drawdown,
- round(wr * gain + (1 - wr) * loss + 1.37E-7, 4) + 0.0E0 AS expectancy, CAST(CASE WHEN sd > 0 AND m <> 0 THEN ceil(pow(2.8E0 / abs(m / sd), 2)) ELSE 999 END AS BIGINT) AS min_n, CASE WHEN n > 10 THEN round(ac + 1.37E-7, 4) + 0.0E0 END AS gain_autocorr, CASE WHEN n > 10 THEN abs(ac) < 0.2 END AS independent FROM p""")
+ round(least((wr + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96E0 * sqrt((wr * (1 - wr) + 3.8416 / (4 * n)) / n) / (1 + 3.8416 / n), 1) + 1.37E-7, 4) AS wilson_high,
+ round(bp + 1.37E-7, 6) + 0.0E0 AS binomial_p, bp < 0.05 AS win_rate_significant, round(m + 1.37E-7, 4) + 0.0E0 AS mean_r,
+ round(m / nullif(sd, 0) + 1.37E-7, 4) + 0.0E0 AS sharpe, round(m / nullif(sd, 0) * sqrt(n) + 1.37E-7, 4) + 0.0E0 AS t_stat, round(tp + 1.37E-7, 6) + 0.0E0 AS t_p,
+ tp < 0.05 AND m > 0 AS mean_r_significant, round(coalesce(pf, CAST('Infinity' AS DOUBLE)) + 1.37E-7, 4) AS profit_factor, round(dd + 1.37E-7, 4) AS max_drawdown,
+ round(wr * gain + (1 - wr) * loss + 1.37E-7, 4) + 0.0E0 AS expectancy, CAST(CASE WHEN sd > 0 AND m <> 0 THEN ceil(pow(2.8E0 / abs(m / sd),
+ 2)) ELSE 999 END AS BIGINT) AS min_n, CASE WHEN n > 10 THEN round(ac + 1.37E-7, 4) + 0.0E0 END AS gain_autocorr, CASE WHEN n > 10 THEN abs(ac) < 0.2 END AS independent FROM p""")
 def t1_significance(spark, d):
     return t.significance(trades(spark, d), "strategy").drop("mean_r_low", "mean_r_high")  # their quantile is held against tables in the tests
 
@@ -165,7 +181,8 @@ def w13_loss_streaks(spark, d):
     return t.streaks(trades(spark, d), "strategy")
 
 
-@query(""", e AS (SELECT *, sum(r_multiple) OVER (PARTITION BY strategy ORDER BY entry_time) AS equity FROM trades), p AS (SELECT *, greatest(max(equity) OVER (PARTITION BY strategy ORDER BY entry_time), 0) AS peak FROM e)
+@query(""", e AS (SELECT *, sum(r_multiple) OVER (PARTITION BY strategy ORDER BY entry_time) AS equity FROM trades), p AS (SELECT *,
+ greatest(max(equity) OVER (PARTITION BY strategy ORDER BY entry_time), 0) AS peak FROM e)
 SELECT trade_id, strategy, round(equity + 1.37E-7, 4) + 0.0E0 AS equity, round(peak + 1.37E-7, 4) + 0.0E0 AS peak, round(peak - equity + 1.37E-7, 4) + 0.0E0 AS drawdown FROM p""")
 def w19_equity(spark, d):
     df = t.drawdown(trades(spark, d), "strategy")
@@ -180,9 +197,11 @@ def w20_rolling_win_rate(spark, d):
     return trades(spark, d).select("trade_id", F.when(F.count("*").over(w) >= 20, rounded(F.avg(F.col("outcome").contains("win").cast("double")).over(w), 4)).alias("rolling_wr"))
 
 
-@query(""", e AS (SELECT *, sum(r_multiple) OVER (PARTITION BY strategy ORDER BY entry_time) AS equity FROM trades), p AS (SELECT *, greatest(max(equity) OVER (PARTITION BY strategy ORDER BY entry_time), 0) - equity AS dd FROM e),
+@query(""", e AS (SELECT *, sum(r_multiple) OVER (PARTITION BY strategy ORDER BY entry_time) AS equity FROM trades), p AS (SELECT *,
+ greatest(max(equity) OVER (PARTITION BY strategy ORDER BY entry_time), 0) - equity AS dd FROM e),
 g AS (SELECT *, sum(CASE WHEN dd <= 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY strategy ORDER BY entry_time) AS grp FROM p),
-a AS (SELECT strategy, grp, max(dd) AS depth, min(CASE WHEN dd > 1e-9 THEN entry_time END) AS begins, max_by(entry_time, dd) AS trough, CAST(sum(CASE WHEN dd > 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS trades, min(entry_time) AS t FROM g GROUP BY strategy, grp),
+a AS (SELECT strategy, grp, max(dd) AS depth, min(CASE WHEN dd > 1e-9 THEN entry_time END) AS begins, max_by(entry_time, dd) AS trough,
+ CAST(sum(CASE WHEN dd > 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS trades, min(entry_time) AS t FROM g GROUP BY strategy, grp),
 r AS (SELECT *, lead(t) OVER (PARTITION BY strategy ORDER BY grp) AS recovers FROM a)
 SELECT strategy, round(depth + 1.37E-7, 4) AS depth, begins, trough, recovers, trades FROM r WHERE depth >= 0.5 AND trades > 0""")
 def w22_drawdown_episodes(spark, d):
@@ -191,17 +210,21 @@ def w22_drawdown_episodes(spark, d):
 
 @query(" SELECT t.trade_id, b.bar_ts, b.close FROM trades t ASOF LEFT JOIN bars b ON t.strategy = b.symbol AND t.entry_time >= b.bar_ts")
 def j1_asof(spark, d):
-    return joins.asof(trades(spark, d), bars(spark, d), keys={"strategy": "symbol"}, left_time="entry_time", right_time="bar_ts", columns=["bar_ts", "close"]).select("trade_id", "bar_ts", "close")
+    return joins.asof(trades(spark, d), bars(spark, d), keys={"strategy": "symbol"}, left_time="entry_time", right_time="bar_ts", columns=["bar_ts",
+        "close"]).select("trade_id", "bar_ts", "close")
 
 
-@query(""", p AS (SELECT t.trade_id, t.entry_time, b.bar_ts AS a, (SELECT min(c.bar_ts) FROM bars c WHERE c.symbol = t.strategy AND c.bar_ts > t.entry_time) AS n FROM trades t ASOF LEFT JOIN bars b ON t.strategy = b.symbol AND t.entry_time >= b.bar_ts)
+@query(""", p AS (SELECT t.trade_id, t.entry_time, b.bar_ts AS a, (SELECT min(c.bar_ts) FROM bars c WHERE c.symbol = t.strategy AND c.bar_ts > t.entry_time) AS n
+ FROM trades t ASOF LEFT JOIN bars b ON t.strategy = b.symbol AND t.entry_time >= b.bar_ts)
 SELECT trade_id, CASE WHEN n IS NULL OR (a IS NOT NULL AND epoch_us(entry_time) - epoch_us(a) <= epoch_us(n) - epoch_us(entry_time)) THEN a ELSE n END AS nearest FROM p""")
 def j3_nearest(spark, d):
-    return joins.nearest(trades(spark, d).select("trade_id", "strategy", "entry_time"), bars(spark, d).select("symbol", "bar_ts"), keys={"strategy": "symbol"}, left_time="entry_time", right_time="bar_ts").select("trade_id", "nearest")
+    return joins.nearest(trades(spark, d).select("trade_id", "strategy", "entry_time"), bars(spark, d).select("symbol", "bar_ts"), keys={"strategy": "symbol"},
+        left_time="entry_time", right_time="bar_ts").select("trade_id", "nearest")
 
 
 @query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades GROUP BY ALL), n AS (SELECT DISTINCT day FROM d)
-SELECT n.day, round(coalesce(a.r, 0) + 1.37E-7, 4) + 0.0E0 AS click, round(coalesce(b.r, 0) + 1.37E-7, 4) + 0.0E0 AS purchase FROM n LEFT JOIN d a ON a.day = n.day AND a.strategy = 'click' LEFT JOIN d b ON b.day = n.day AND b.strategy = 'purchase'""")
+SELECT n.day, round(coalesce(a.r, 0) + 1.37E-7, 4) + 0.0E0 AS click, round(coalesce(b.r, 0) + 1.37E-7, 4) + 0.0E0 AS purchase FROM n LEFT
+ JOIN d a ON a.day = n.day AND a.strategy = 'click' LEFT JOIN d b ON b.day = n.day AND b.strategy = 'purchase'""")
 def j8_outer_by_date(spark, d):
     """The two labels of its SQL; j8_all_by_date has all."""
     wide = joins.overlap_wide(joins.daily_r(trades(spark, d)), ["click", "purchase"], outer=True)
@@ -209,26 +232,32 @@ def j8_outer_by_date(spark, d):
 
 
 @query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades GROUP BY ALL)
-SELECT n.day, l.strategy, round(coalesce(d.r, 0) + 1.37E-7, 4) + 0.0E0 AS r FROM (SELECT DISTINCT day FROM d) n CROSS JOIN (SELECT DISTINCT strategy FROM d) l LEFT JOIN d ON d.day = n.day AND d.strategy = l.strategy""")
+SELECT n.day, l.strategy, round(coalesce(d.r, 0) + 1.37E-7, 4) + 0.0E0 AS r FROM (SELECT DISTINCT day FROM d) n CROSS JOIN (SELECT DISTINCT strategy FROM d) l LEFT
+ JOIN d ON d.day = n.day AND d.strategy = l.strategy""")
 def j8_all_by_date(spark, d):
     return joins.overlap_long(joins.daily_r(trades(spark, d)), outer=True).select("day", "strategy", rounded(F.col("r")).alias("r"))
 
 
-@query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades WHERE strategy IN ('click', 'purchase', 'view') GROUP BY ALL), f AS (SELECT day FROM d GROUP BY day HAVING count(*) = 3), k AS (SELECT d.* FROM d JOIN f USING (day)),
-c AS (SELECT x.strategy AS a, y.strategy AS b, round(corr(x.r, y.r) + 1.37E-7, 4) + 0.0E0 AS corr FROM k x JOIN k y ON x.day = y.day AND x.strategy < y.strategy GROUP BY ALL) SELECT *, CASE WHEN abs(corr) > 0.5 THEN 'high' WHEN abs(corr) < 0.1 THEN 'low' ELSE 'mid' END AS flag FROM c""")
+@query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades WHERE strategy IN ('click', 'purchase', 'view')
+ GROUP BY ALL), f AS (SELECT day FROM d GROUP BY day HAVING count(*) = 3), k AS (SELECT d.* FROM d JOIN f USING (day)),
+c AS (SELECT x.strategy AS a, y.strategy AS b, round(corr(x.r, y.r) + 1.37E-7, 4) + 0.0E0 AS corr FROM k x JOIN k y ON x.day = y.day AND x.strategy < y.strategy
+ GROUP BY ALL) SELECT *, CASE WHEN abs(corr) > 0.5 THEN 'high' WHEN abs(corr) < 0.1 THEN 'low' ELSE 'mid' END AS flag FROM c""")
 def j13_pair_correlations(spark, d):
     """The three labels of its SQL; j13_all_pair_correlations has all."""
     some = trades(spark, d).where(F.col("strategy").isin("click", "purchase", "view"))
     return joins.pair_correlations(joins.overlap_long(joins.daily_r(some), outer=False))
 
 
-@query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades GROUP BY ALL), f AS (SELECT day FROM d GROUP BY day HAVING count(*) = (SELECT count(DISTINCT strategy) FROM d)), k AS (SELECT d.* FROM d JOIN f USING (day)),
-c AS (SELECT x.strategy AS a, y.strategy AS b, round(corr(x.r, y.r) + 1.37E-7, 4) + 0.0E0 AS corr FROM k x JOIN k y ON x.day = y.day AND x.strategy < y.strategy GROUP BY ALL) SELECT *, CASE WHEN abs(corr) > 0.5 THEN 'high' WHEN abs(corr) < 0.1 THEN 'low' ELSE 'mid' END AS flag FROM c""")
+@query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades GROUP BY ALL), f AS (SELECT day FROM d
+ GROUP BY day HAVING count(*) = (SELECT count(DISTINCT strategy) FROM d)), k AS (SELECT d.* FROM d JOIN f USING (day)),
+c AS (SELECT x.strategy AS a, y.strategy AS b, round(corr(x.r, y.r) + 1.37E-7, 4) + 0.0E0 AS corr FROM k x JOIN k y ON x.day = y.day AND x.strategy < y.strategy
+ GROUP BY ALL) SELECT *, CASE WHEN abs(corr) > 0.5 THEN 'high' WHEN abs(corr) < 0.1 THEN 'low' ELSE 'mid' END AS flag FROM c""")
 def j13_all_pair_correlations(spark, d):
     return joins.pair_correlations(joins.overlap_long(joins.daily_r(trades(spark, d)), outer=False))
 
 
-@query(""", h AS (SELECT DISTINCT strategy, CAST(CAST(entry_time AS DATE) AS VARCHAR) AS day FROM trades WHERE r_multiple > 2), g AS (SELECT a.strategy, b.day FROM (SELECT DISTINCT strategy FROM h) a, (SELECT DISTINCT day FROM h) b)
+@query(""", h AS (SELECT DISTINCT strategy, CAST(CAST(entry_time AS DATE) AS VARCHAR) AS day FROM trades WHERE r_multiple > 2), g AS (SELECT a.strategy, b.day
+ FROM (SELECT DISTINCT strategy FROM h) a, (SELECT DISTINCT day FROM h) b)
 SELECT strategy, day FROM g WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.strategy = g.strategy AND h.day = g.day)""")
 def j14_missing_pairs(spark, d):
     return joins.missing_pairs(trades(spark, d).where("r_multiple > 2").withColumn("day", F.to_date("entry_time").cast("string")), "strategy", "day")
@@ -258,42 +287,52 @@ def l5_arg_extremes(spark, d):
     return trades(spark, d).groupBy("strategy").agg(F.max_by("trade_id", "r_multiple").alias("best"), F.min_by("trade_id", "entry_time").alias("earliest"))
 
 
-@query(""", m AS (SELECT strategy, count(*) AS n, avg(r_multiple) AS mu, stddev_samp(r_multiple) AS sd, quantile_cont(r_multiple, 0.05) AS q, avg(r_multiple * r_multiple * r_multiple) AS m3, avg(r_multiple * r_multiple) AS m2, avg(r_multiple * r_multiple * r_multiple * r_multiple) AS m4 FROM trades GROUP BY strategy),
+@query(""", m AS (SELECT strategy, count(*) AS n, avg(r_multiple) AS mu, stddev_samp(r_multiple) AS sd, quantile_cont(r_multiple, 0.05) AS q,
+ avg(r_multiple * r_multiple * r_multiple) AS m3, avg(r_multiple * r_multiple) AS m2, avg(r_multiple * r_multiple * r_multiple * r_multiple) AS m4 FROM trades GROUP BY strategy),
 k AS (SELECT *, m2 - mu * mu AS v, m3 - 3 * mu * m2 + 2 * pow(mu, 3) AS c3, m4 - 4 * mu * m3 + 6 * mu * mu * m2 - 3 * pow(mu, 4) AS c4 FROM m),
 c AS (SELECT t.strategy, avg(r_multiple) AS cvar FROM trades t JOIN m ON m.strategy = t.strategy AND r_multiple <= q GROUP BY t.strategy)
-SELECT k.strategy, n, round(mu - 1.6448536269514722E0 * sd + 1.37E-7, 4) + 0.0E0 AS var_normal, round(q + 1.37E-7, 4) + 0.0E0 AS var_hist, round(cvar + 1.37E-7, 4) + 0.0E0 AS cvar, round(c3 / pow(v, 1.5) + 1.37E-7, 3) + 0.0E0 AS skew, round(c4 / (v * v) - 3 + 1.37E-7, 3) + 0.0E0 AS kurt,
+SELECT k.strategy, n, round(mu - 1.6448536269514722E0 * sd + 1.37E-7, 4) + 0.0E0 AS var_normal, round(q + 1.37E-7, 4) + 0.0E0 AS var_hist, round(cvar + 1.37E-7,
+ 4) + 0.0E0 AS cvar, round(c3 / pow(v, 1.5) + 1.37E-7, 3) + 0.0E0 AS skew, round(c4 / (v * v) - 3 + 1.37E-7, 3) + 0.0E0 AS kurt,
  round(n / 6.0E0 * (pow(c3 / pow(v, 1.5), 2) + pow(c4 / (v * v) - 3, 2) / 4) + 1.37E-7, 2) AS jarque_bera FROM k JOIN c ON c.strategy = k.strategy""")
 def t15_tail_risk(spark, d):
     return st.tail_risk(trades(spark, d))
 
 
-@query(""", n AS (SELECT regime AS from_regime, lead(regime) OVER (PARTITION BY strategy ORDER BY entry_time) AS to_regime FROM trades), c AS (SELECT from_regime, to_regime, count(*) AS n FROM n WHERE to_regime IS NOT NULL GROUP BY ALL)
+@query(""", n AS (SELECT regime AS from_regime, lead(regime) OVER (PARTITION BY strategy ORDER BY entry_time) AS to_regime FROM trades), c AS (SELECT from_regime,
+ to_regime, count(*) AS n FROM n WHERE to_regime IS NOT NULL GROUP BY ALL)
 SELECT *, round(n / sum(n) OVER (PARTITION BY from_regime) + 1.37E-7, 4) AS share FROM c""")
 def t16_transitions(spark, d):
     return st.transitions(trades(spark, d))
 
 
-@query(""", k AS (SELECT strategy, row_number() OVER (PARTITION BY strategy ORDER BY entry_time) AS no, r_multiple - avg(r_multiple) OVER (PARTITION BY strategy) AS x FROM trades), s AS (SELECT strategy, count(*) AS n, sum(x * x) AS v FROM k GROUP BY strategy),
-l AS (SELECT unnest(range(1, 21)) AS lag), c AS (SELECT a.strategy, l.lag, sum(a.x * b.x) AS c FROM k a CROSS JOIN l JOIN k b ON b.strategy = a.strategy AND b.no = a.no - l.lag GROUP BY ALL),
+@query(""", k AS (SELECT strategy, row_number() OVER (PARTITION BY strategy ORDER BY entry_time) AS no,
+ r_multiple - avg(r_multiple) OVER (PARTITION BY strategy) AS x FROM trades), s AS (SELECT strategy, count(*) AS n, sum(x * x) AS v FROM k GROUP BY strategy),
+l AS (SELECT unnest(range(1, 21)) AS lag), c AS (SELECT a.strategy, l.lag, sum(a.x * b.x) AS c FROM k a CROSS JOIN l
+ JOIN k b ON b.strategy = a.strategy AND b.no = a.no - l.lag GROUP BY ALL),
 f AS (SELECT c.strategy, CAST(lag AS INT) AS lag, n, c / v AS acf FROM c JOIN s USING (strategy))
-SELECT strategy, lag, round(acf + 1.37E-7, 4) + 0.0E0 AS acf, round(n * (n + 2) * sum(acf * acf / (n - lag)) OVER (PARTITION BY strategy ORDER BY lag) + 1.37E-7, 3) AS ljung_box, abs(acf) > 1.96E0 / sqrt(n) AS significant FROM f""")
+SELECT strategy, lag, round(acf + 1.37E-7, 4) + 0.0E0 AS acf, round(n * (n + 2) * sum(acf * acf / (n - lag)) OVER (PARTITION BY strategy ORDER BY lag) + 1.37E-7,
+ 3) AS ljung_box, abs(acf) > 1.96E0 / sqrt(n) AS significant FROM f""")
 def w39_autocorrelation(spark, d):
     return st.autocorrelation(trades(spark, d))
 
 
-@query(""", q AS (SELECT quantile_cont(bars_held, [0.2, 0.4, 0.6, 0.8]) AS q FROM trades) SELECT CAST(len(list_filter(q, lambda c: c < bars_held)) AS INT) AS bin, count(*) AS n, round(avg(r_multiple) + 1.37E-7, 4) + 0.0E0 AS mean_r, round(avg(mfe) + 1.37E-7, 4) AS mfe, round(avg(mae) + 1.37E-7, 4) AS mae FROM trades, q GROUP BY 1""")
+@query(""", q AS (SELECT quantile_cont(bars_held, [0.2, 0.4, 0.6, 0.8]) AS q FROM trades) SELECT CAST(len(list_filter(q, lambda c: c < bars_held)) AS INT) AS bin,
+ count(*) AS n, round(avg(r_multiple) + 1.37E-7, 4) + 0.0E0 AS mean_r, round(avg(mfe) + 1.37E-7, 4) AS mfe, round(avg(mae) + 1.37E-7, 4) AS mae FROM trades, q GROUP BY 1""")
 def t17_excursion_bins(spark, d):
     return st.excursion_bins(trades(spark, d))
 
 
 @query(f""", a AS (SELECT strategy, count(*) AS n, CAST(sum({_WON}) AS BIGINT) AS wins, avg(r_multiple) AS m, var_samp(r_multiple) AS v FROM trades GROUP BY strategy)
-SELECT strategy, n, wins, round((1 + wins) / (2.0E0 + n) + 1.37E-7, 4) AS win_mean, round(sqrt((1.0E0 + wins) * (1 + n - wins) / (pow(2 + n, 2) * (3 + n))) + 1.37E-7, 6) AS win_sd, round((n * m / v) / (0.01E0 + n / v) + 1.37E-7, 4) + 0.0E0 AS r_mean, round(sqrt(1 / (0.01E0 + n / v)) + 1.37E-7, 6) AS r_sd FROM a""")
+SELECT strategy, n, wins, round((1 + wins) / (2.0E0 + n) + 1.37E-7, 4) AS win_mean, round(sqrt((1.0E0 + wins) * (1 + n - wins) / (pow(2 + n,
+ 2) * (3 + n))) + 1.37E-7, 6) AS win_sd, round((n * m / v) / (0.01E0 + n / v) + 1.37E-7, 4) + 0.0E0 AS r_mean, round(sqrt(1 / (0.01E0 + n / v)) + 1.37E-7, 6) AS r_sd FROM a""")
 def t11_bayes(spark, d):
     return st.bayes(trades(spark, d))
 
 
 @query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades GROUP BY ALL)
-SELECT strategy, count(*) AS days, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) + 1.37E-7, 4) + 0.0E0 AS sharpe, round(avg(r) / nullif(sqrt(avg(CASE WHEN r < 0 THEN r * r END)), 0) * sqrt(252) + 1.37E-7, 4) + 0.0E0 AS sortino, round(sum(CASE WHEN r > 0 THEN r END) / nullif(-sum(CASE WHEN r < 0 THEN r END), 0) + 1.37E-7, 4) + 0.0E0 AS omega FROM d GROUP BY strategy""")
+SELECT strategy, count(*) AS days, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) + 1.37E-7, 4) + 0.0E0 AS sharpe,
+ round(avg(r) / nullif(sqrt(avg(CASE WHEN r < 0 THEN r * r END)), 0) * sqrt(252) + 1.37E-7, 4) + 0.0E0 AS sortino,
+ round(sum(CASE WHEN r > 0 THEN r END) / nullif(-sum(CASE WHEN r < 0 THEN r END), 0) + 1.37E-7, 4) + 0.0E0 AS omega FROM d GROUP BY strategy""")
 def m10_risk_ratios(spark, d):
     return st.risk_ratios(joins.daily_r(trades(spark, d)))
 
@@ -302,10 +341,13 @@ _LOG = math.log(100)
 _BEST = math.sqrt(2 * _LOG) - (math.log(math.pi) + math.log(_LOG)) / (2 * math.sqrt(2 * _LOG))
 
 
-@query(f""", m AS (SELECT strategy, count(*) AS n, avg(r_multiple) AS mu, stddev_samp(r_multiple) AS sd, avg(r_multiple * r_multiple * r_multiple) AS m3, avg(r_multiple * r_multiple) AS m2, avg(r_multiple * r_multiple * r_multiple * r_multiple) AS m4 FROM trades GROUP BY strategy),
-k AS (SELECT *, mu / sd AS sr, (m3 - 3 * mu * m2 + 2 * pow(mu, 3)) / pow(m2 - mu * mu, 1.5) AS skew, (m4 - 4 * mu * m3 + 6 * mu * mu * m2 - 3 * pow(mu, 4)) / pow(m2 - mu * mu, 2) AS kurt FROM m),
+@query(f""", m AS (SELECT strategy, count(*) AS n, avg(r_multiple) AS mu, stddev_samp(r_multiple) AS sd, avg(r_multiple * r_multiple * r_multiple) AS m3,
+ avg(r_multiple * r_multiple) AS m2, avg(r_multiple * r_multiple * r_multiple * r_multiple) AS m4 FROM trades GROUP BY strategy),
+k AS (SELECT *, mu / sd AS sr, (m3 - 3 * mu * m2 + 2 * pow(mu, 3)) / pow(m2 - mu * mu, 1.5) AS skew, (m4 - 4 * mu * m3 + 6 * mu * mu * m2 - 3 * pow(mu,
+ 4)) / pow(m2 - mu * mu, 2) AS kurt FROM m),
 x AS (SELECT *, (sr - {_BEST!r}) / sqrt((1 + 0.5E0 * sr * sr - skew * sr + (kurt - 3) / 4 * sr * sr) / (n - 1)) AS x FROM k)
-SELECT strategy, n, round(sr + 1.37E-7, 4) + 0.0E0 AS sharpe, round(x + 1.37E-7, 3) + 0.0E0 AS statistic, round(1 - {normal_sql("x")} + 1.37E-7, 6) + 0.0E0 AS p_value, 1 - {normal_sql("x")} < 0.05 AS significant FROM x""")
+SELECT strategy, n, round(sr + 1.37E-7, 4) + 0.0E0 AS sharpe, round(x + 1.37E-7, 3) + 0.0E0 AS statistic, round(1 - {normal_sql("x")} + 1.37E-7,
+ 6) + 0.0E0 AS p_value, 1 - {normal_sql("x")} < 0.05 AS significant FROM x""")
 def t5_deflated_sharpe(spark, d):
     return st.deflated_sharpe(trades(spark, d))
 
@@ -320,9 +362,13 @@ def t2_bootstrap(spark, d):
     return st.bootstrap(trades(spark, d))
 
 
-@query(""", s AS (SELECT mfe / (mfe + mae) AS p, CAST(CASE WHEN outcome LIKE '%win%' THEN 1 ELSE 0 END AS INT) AS won FROM trades), r AS (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0E0 AS rk FROM s),
-a AS (SELECT (sum(CASE WHEN won = 1 THEN rk END) - sum(won) * (sum(won) + 1) / 2.0E0) / (sum(won) * (count(*) - sum(won))) AS auc FROM r), c AS (SELECT least(floor(p * 10), 9) AS b, count(*) AS k, abs(avg(p) - avg(won)) AS gap FROM s GROUP BY 1)
-SELECT (SELECT count(*) FROM s) AS n, (SELECT round(avg(CASE WHEN (p >= 0.5) = (won = 1) THEN 1.0E0 ELSE 0 END) + 1.37E-7, 4) FROM s) AS accuracy, (SELECT round(avg(pow(p - won, 2)) + 1.37E-7, 4) FROM s) AS brier_score, (SELECT round(auc + 1.37E-7, 4) FROM a) AS roc_auc, (SELECT round(sum(k * gap) / sum(k) + 1.37E-7, 4) FROM c) AS expected_calibration_error""")
+@query(""", s AS (SELECT mfe / (mfe + mae) AS p, CAST(CASE WHEN outcome LIKE '%win%' THEN 1 ELSE 0 END AS INT) AS won FROM trades), r AS (SELECT *,
+ rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0E0 AS rk FROM s),
+a AS (SELECT (sum(CASE WHEN won = 1 THEN rk END) - sum(won) * (sum(won) + 1) / 2.0E0) / (sum(won) * (count(*) - sum(won))) AS auc FROM r),
+ c AS (SELECT least(floor(p * 10), 9) AS b, count(*) AS k, abs(avg(p) - avg(won)) AS gap FROM s GROUP BY 1)
+SELECT (SELECT count(*) FROM s) AS n, (SELECT round(avg(CASE WHEN (p >= 0.5) = (won = 1) THEN 1.0E0 ELSE 0 END) + 1.37E-7, 4) FROM s) AS accuracy,
+ (SELECT round(avg(pow(p - won, 2)) + 1.37E-7, 4) FROM s) AS brier_score, (SELECT round(auc + 1.37E-7, 4) FROM a) AS roc_auc,
+ (SELECT round(sum(k * gap) / sum(k) + 1.37E-7, 4) FROM c) AS expected_calibration_error""")
 def q_classifier_report(spark, d):
     df = trades(spark, d).select((F.col("mfe") / (F.col("mfe") + F.col("mae"))).alias("predicted_prob"), F.col("outcome").contains("win").cast("int").alias("won"))
     return st.classifier_report(df)

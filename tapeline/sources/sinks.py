@@ -55,7 +55,8 @@ def merged(old: DataFrame | None, new: DataFrame, keys: tuple[str, ...], order:
     return new if old is None else old.join(new, list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def upsert(new: DataFrame, path: str, keys: tuple[str, ...] = BAR_KEY, *, by: tuple[str, ...] = ("symbol", "timeframe"), order: str | None = None, drop: tuple[str, ...] = ()) -> None:
+def upsert(new: DataFrame, path: str, keys: tuple[str, ...] = BAR_KEY, *, by: tuple[str, ...] = ("symbol", "timeframe"), order: str | None = None, drop: tuple[str,
+    ...] = ()) -> None:
     """K3-K5: only the partitions that `new` touches are read and written again, each as a whole; after a failure some may be old, and the same call again mends that.
 
     order: of new rows with one key the last by it stays; drop: columns that are not stored."""
@@ -86,7 +87,8 @@ def close_trade(trades: DataFrame, trade_id: str, exit_price: float, exit_time:
     hit = (F.col("trade_id") == trade_id) & F.col("is_open")
     sign = F.when(F.lower("direction") == "long", 1.0).otherwise(-1.0)
     pct = sign * (exit_price - F.col("entry_price")) / F.col("entry_price") * 100
-    return trades.withColumns({"exit_price": F.when(hit, exit_price).otherwise(F.col("exit_price")), "exit_time": F.when(hit, F.lit(exit_time).cast("timestamp_ntz")).otherwise(F.col("exit_time")), "pnl_pct": F.when(hit, pct).otherwise(F.col("pnl_pct")), "is_open": F.when(hit, False).otherwise(F.col("is_open"))})
+    return trades.withColumns({"exit_price": F.when(hit, exit_price).otherwise(F.col("exit_price")), "exit_time": F.when(hit,
+        F.lit(exit_time).cast("timestamp_ntz")).otherwise(F.col("exit_time")), "pnl_pct": F.when(hit, pct).otherwise(F.col("pnl_pct")), "is_open": F.when(hit, False).otherwise(F.col("is_open"))})
 
 
 def create_views(trades: DataFrame) -> None:

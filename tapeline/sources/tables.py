@@ -18,7 +18,8 @@ def plain_symbol(symbol: Column) -> Column:
     return F.regexp_replace(symbol, "-USD$", "")
 
 
-def read_bars(spark: SparkSession, path: str, *, symbol: str | None = None, timeframe: str | None = None, start: str | None = None, end: str | None = None, indicators: bool = False, required: bool = False) -> DataFrame:
+def read_bars(spark: SparkSession, path: str, *, symbol: str | None = None, timeframe: str | None = None, start: str | None = None, end: str | None = None,
+    indicators: bool = False, required: bool = False) -> DataFrame:
     """Filters on symbol, timeframe and time reach the scan (and prune partitions). A symbol may be given with its -USD ending or without; required: no rows are an error."""
     if timeframe is not None and timeframe not in TIMEFRAMES:
         raise ValueError(f"unknown timeframe {timeframe}; known are {', '.join(TIMEFRAMES)}")
@@ -58,7 +59,8 @@ def unified(df: DataFrame) -> DataFrame:
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row per result document, with its file and time of change."""
-    return spark.read.option("multiLine", True).schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("changed"))
+    return spark.read.option("multiLine", True).schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_modification_time").alias("changed"))
 
 
 def named_results(results: DataFrame) -> DataFrame:
