@@ -102,6 +102,35 @@ def robustness(trades: DataFrame, by: str = "strategy", asset: str = "symbol") -
         2).alias("score"), grade.alias("grade"))
 
 
+def account_ratios(values: DataFrame, *, start: float, by: str = "strategy", periods: int = 252) -> DataFrame:
+    """Calmar ratio, maximum drawdown and annual return in percent, and alpha, tracking error and information ratio against holding the asset. values: by, day, value, bench (its price)."""
+    w = Window.partitionBy(by).orderBy("day")
+    up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    peak = F.greatest(F.max("value").over(up), F.lit(float(start)))
+    diff = F.col("value") / F.lag("value").over(w) - F.col("bench") / F.lag("bench").over(w)
+    df = values.withColumn("_dd", (peak - F.col("value")) / peak).withColumn("_diff", diff)
+    agg = df.groupBy(by).agg(
+        F.count("*").alias("days"), (F.max_by("value", "day") / start - 1).alias("total"), (F.max_by("bench", "day") / F.min_by("bench", "day") - 1).alias("held"),
+        F.max("_dd").alias("dd"), F.avg("_diff").alias("m"), F.stddev_pop("_diff").alias("sd"),
+    )
+    annual, te = F.pow(1 + F.col("total"), periods / F.col("days")) - 1, F.col("sd") * periods**0.5
+    calmar = F.when(F.col("dd") > 1e-10, annual / F.when(F.col("dd") > 1e-10, F.col("dd"))).otherwise(0.0)
+    ratio_ = F.when(te > 1e-10, F.col("m") * periods / F.when(te > 1e-10, te)).otherwise(0.0)
+    return agg.select(
+        by, "days", rounded(calmar).alias("calmar"), rounded(F.col("dd") * 100, 2).alias("max_drawdown_pct"), rounded(annual * 100, 2).alias("annual_return_pct"),
+        rounded((F.col("total") - F.col("held")) * 100, 2).alias("alpha_pct"), rounded(te).alias("tracking_error"), rounded(ratio_).alias("information_ratio"),
+    )
+
+
+def spaced(df: DataFrame, by: list[str], order: str, most: int) -> DataFrame:
+    """At most `most` rows of each key at even distances along `order`, the first and the last among them; all of a key with fewer."""
+    no, n = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1, F.count("*").over(Window.partitionBy(*by))
+    df = df.withColumn("_r", no.cast("long")).withColumn("_n", n)
+    i = F.expr(f"CASE WHEN _n > 1 THEN (_r * {most - 1}L + _n - 2) div (_n - 1) ELSE 0L END")
+    hit = (F.col("_n") <= most) | (F.expr(f"({{i}} * (_n - 1)) div {most - 1}L".replace("{i}", "_i")) == F.col("_r"))
+    return df.withColumn("_i", i).where(hit).drop("_r", "_n", "_i")
+
+
 def derived_r(trades: DataFrame) -> DataFrame:
     """R by the distance of the stop `sl` from the entry, and percent gained, both by direction."""
     move = F.col("exit_price") - F.col("entry_price")

@@ -9,7 +9,7 @@ from ..functions.metrics import rounded
 from ..operators import joins
 from ..operators import portfolio as p
 from .trade_queries import query
-from .views import trades
+from .views import bars, trades
 
 _D = ", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades GROUP BY ALL)"
 _CAL = _D + """, s AS (SELECT strategy, min(CAST(day AS DATE)) AS a, max(CAST(day AS DATE)) AS b FROM d GROUP BY strategy), g AS (SELECT strategy,
@@ -212,3 +212,24 @@ def v4_r_histogram(spark, d):
     from ..operators import trades as t
 
     return t.value_histogram(trades(spark, d), "r_multiple", 40, "strategy")
+
+
+@query(_D + """, b AS (SELECT symbol, CAST(CAST(bar_ts AS DATE) AS VARCHAR) AS day, max_by(close, bar_ts) + 100 AS bench FROM bars GROUP BY ALL),
+v AS (SELECT d.strategy, d.day, 10000 + 100 * sum(r) OVER (PARTITION BY strategy ORDER BY d.day) AS value, bench FROM d JOIN b ON b.symbol = d.strategy AND b.day = d.day),
+x AS (SELECT *, greatest(max(value) OVER w, 10000) AS peak, value / lag(value) OVER w - bench / lag(bench) OVER w AS diff FROM v WINDOW w AS (PARTITION BY strategy ORDER BY day)),
+a AS (SELECT strategy, count(*) AS days, max_by(value, day) / 10000 - 1 AS total, max_by(bench, day) / min_by(bench, day) - 1 AS held, max((peak - value) / peak) AS dd, avg(diff) AS m, stddev_pop(diff) * sqrt(252) AS te FROM x GROUP BY strategy)
+SELECT strategy, days, round((pow(1 + total, 252.0E0 / days) - 1) / dd + 1.37E-7, 4) + 0.0E0 AS calmar, round(dd * 100 + 1.37E-7, 2) AS max_drawdown_pct, round((pow(1 + total, 252.0E0 / days) - 1) * 100 + 1.37E-7, 2) + 0.0E0 AS annual_return_pct,
+ round((total - held) * 100 + 1.37E-7, 2) + 0.0E0 AS alpha_pct, round(te + 1.37E-7, 4) AS tracking_error, round(m * 252 / te + 1.37E-7, 4) + 0.0E0 AS information_ratio FROM a""")
+def m10_account_ratios(spark, d):
+    """An account of 10,000 that risks 100 a trade, against holding the asset of the strategy's name (at its close and 100 more, as closes here come near 0)."""
+    w = Window.partitionBy("strategy").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bench = bars(spark, d).groupBy(F.col("symbol").alias("strategy"), F.to_date("bar_ts").cast("string").alias("day")).agg((F.max_by("close", "bar_ts") + 100).alias("bench"))
+    values = joins.daily_r(trades(spark, d)).join(bench, ["strategy", "day"]).withColumn("value", 10000 + 100 * F.sum("r").over(w))
+    return p.account_ratios(values, start=10000.0)
+
+
+@query(""", n AS (SELECT strategy, entry_time, pnl_usd, row_number() OVER (PARTITION BY strategy ORDER BY entry_time) - 1 AS r, count(*) OVER (PARTITION BY strategy) AS n FROM trades),
+i AS (SELECT DISTINCT strategy, CASE WHEN n <= 500 THEN i ELSE (i * (n - 1)) // 499 END AS r FROM (SELECT DISTINCT strategy, n FROM n), (SELECT unnest(range(500)) AS i))
+SELECT strategy, entry_time, pnl_usd FROM n JOIN i USING (strategy, r)""")
+def l6_spaced_trades(spark, d):
+    return p.spaced(trades(spark, d).select("strategy", "entry_time", "pnl_usd"), ["strategy"], "entry_time", 500)
