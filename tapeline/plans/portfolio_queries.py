@@ -9,7 +9,7 @@ from ..functions.metrics import rounded
 from ..operators import joins
 from ..operators import portfolio as p
 from .trade_queries import query
-from .views import bars, trades
+from .views import bars, events, trades
 
 _D = ", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades GROUP BY ALL)"
 _CAL = _D + """, s AS (SELECT strategy, min(CAST(day AS DATE)) AS a, max(CAST(day AS DATE)) AS b FROM d GROUP BY strategy), g AS (SELECT strategy,
@@ -233,3 +233,12 @@ i AS (SELECT DISTINCT strategy, CASE WHEN n <= 500 THEN i ELSE (i * (n - 1)) //
 SELECT strategy, entry_time, pnl_usd FROM n JOIN i USING (strategy, r)""")
 def l6_spaced_trades(spark, d):
     return p.spaced(trades(spark, d).select("strategy", "entry_time", "pnl_usd"), ["strategy"], "entry_time", 500)
+
+
+@query(""" SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{"k":' || json_extract_string(props, '$.k') || ',"type":"' || event_type || '"}' AS written FROM events""")
+def f_json_props(spark, d):
+    """A JSON column read by its schema, and fields written as JSON."""
+    from ..sources.tables import parsed_props
+
+    df = parsed_props(events(spark, d).select("event_id", "event_type", "props"), "props", "k long")
+    return df.select("event_id", "k", F.to_json(F.struct("k", F.col("event_type").alias("type"))).alias("written"))

@@ -98,3 +98,8 @@ def create_views(trades: DataFrame) -> None:
     performance(trades, "strategy", "symbol").createOrReplaceTempView("v_strategy_performance")
     performance(trades.withColumn("session", session_of(F.col("entry_time"))), "strategy", "session").createOrReplaceTempView("v_session_performance")
     monthly(trades).createOrReplaceTempView("v_monthly_performance")
+
+
+def write_results(results: DataFrame, path: str, *by: str) -> None:
+    """K8: result rows as JSON documents, one a line, in folders by their keys; the rows of a key that is written again are replaced."""
+    results.write.option("partitionOverwriteMode", "dynamic").partitionBy(*by).mode("overwrite").json(path)

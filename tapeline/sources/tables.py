@@ -84,3 +84,19 @@ def coverage(bars: DataFrame) -> DataFrame:
 def equity_rows(results: DataFrame) -> DataFrame:
     """The nested equity points of results as a flat trade table."""
     return results.select("file", F.explode("oos_equity").alias("p")).select("file", "p.*")
+
+
+def read_dvol(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of (timestamp in ms, dvol) as ts and dvol; `operators.joins.asof` brings it to bars."""
+    df = spark.read.option("multiLine", True).schema("timestamp long, dvol double").json(path)
+    return df.select(F.timestamp_millis("timestamp").cast("timestamp_ntz").alias("ts"), "dvol")
+
+
+def result_windows(results: DataFrame) -> DataFrame:
+    """V3: the nested windows of result documents as rows, with the document's file."""
+    return results.select("file", F.posexplode("windows").alias("window", "w")).select("file", "window", "w.*")
+
+
+def parsed_props(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """A JSON column as the fields of a schema; null where the text is no such document."""
+    return df.withColumn("_parsed", F.from_json(column, schema)).select(*[c for c in df.columns if c != column], "_parsed.*")

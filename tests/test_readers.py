@@ -37,6 +37,24 @@ def test_results(spark, tmp_path):
     assert {(r.strategy, r.score) for r in tables.latest_result(fixed, "strategy").collect()} == {("sfp", 2.0), ("odd", 3.0)}
 
 
+def test_dvol_and_result_documents(spark, tmp_path):
+    from tapeline.operators import joins
+
+    ms = int(T0.replace(tzinfo=dt.UTC).timestamp() * 1000)
+    (tmp_path / "dvol.json").write_text(json.dumps([{"timestamp": ms, "dvol": 50.0}, {"timestamp": ms + 3_600_000, "dvol": 60.0}]))
+    dvol = tables.read_dvol(spark, f"{tmp_path}/dvol.json").withColumn("k", F.lit(1))
+    bars = spark.createDataFrame([(1, T0 + dt.timedelta(minutes=m)) for m in (-1, 0, 59, 60, 5000)], "k int, bar_ts timestamp_ntz")
+    got = {r.bar_ts: r.dvol for r in joins.asof(bars, dvol, keys={"k": "k"}, left_time="bar_ts", right_time="ts", columns=["dvol"]).collect()}
+    assert [got[T0 + dt.timedelta(minutes=m)] for m in (-1, 0, 59, 60, 5000)] == [None, 50.0, 50.0, 60.0, 60.0]
+    rows = [("a", 1.0, [(1, 0.5), (2, 0.7)]), ("b", 2.0, [])]
+    df = spark.createDataFrame(rows, "strategy string, score double, windows array<struct<n: int, r: double>>")
+    sinks.write_results(df, f"{tmp_path}/out", "strategy")
+    sinks.write_results(df.where("strategy = 'b'").withColumn("score", F.lit(9.0)), f"{tmp_path}/out", "strategy")
+    back = spark.read.schema("strategy string, score double, windows array<struct<n: int, r: double>>").json(f"{tmp_path}/out").withColumn("file", F.col("strategy"))
+    assert {(r.strategy, r.score) for r in back.collect()} == {("a", 1.0), ("b", 9.0)}
+    assert [(r.file, r.window, r.n, r.r) for r in tables.result_windows(back).orderBy("n").collect()] == [("a", 0, 1, 0.5), ("a", 1, 2, 0.7)]
+
+
 def test_klines_through_spark(spark):
     spark.dataSource.register(klines.KlineSource)
     df = spark.read.format("klines").options(provider="tests.klines_provider:fetch", symbols="A,B", start="0", end="10000", slice="5000", page="2", timeframe="1m").load()
