@@ -89,6 +89,14 @@ def indicators(bars: DataFrame) -> DataFrame:
     return dx.select(*bars.columns, "bar_no", "tr", *spans, *[F.when(ready, F.col(c)).alias(c) for c in ("atr", "rsi", "adx")])
 
 
+def average_rank(column: str, n: int, least: int = 50) -> Column:
+    """Place of a value among the last n, ties at their average, as a share of those there are; null before `least`."""
+    w = ordered().rowsBetween(-(n - 1), 0)
+    held = F.collect_list(column).over(w)
+    below, equal = F.size(F.filter(held, lambda v: v < F.col(column))), F.size(F.filter(held, lambda v: v == F.col(column)))
+    return F.when(F.col(column).isNotNull() & (F.size(held) >= least), (below + (equal + 1) / 2) / F.size(held))
+
+
 def resample(bars: DataFrame, unit: str, hours: int = 1) -> DataFrame:
     """Bars of `hours` hours (or a day), left labelled; empty ones are not made."""
     start = F.date_trunc("day", "bar_ts") if unit == "day" else F.timestamp_seconds(F.floor(F.unix_timestamp(F.col("bar_ts").cast("timestamp")) / (3600 * hours)) * 3600 * hours).cast("timestamp_ntz")

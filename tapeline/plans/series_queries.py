@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.metrics import rounded
-from ..operators import market
+from ..operators import joins, market
 from ..operators import series as s
 from ..operators import sessions as se
 from ..operators import simulation as sim
 from .trade_queries import _SESSION, query
-from .views import bars
+from .views import bars, trades
 
 _O = "PARTITION BY symbol, timeframe ORDER BY bar_ts"
 
@@ -272,6 +272,36 @@ def p12_first_sweeps(spark, d):
     return se.first_sweeps(bars(spark, d)).select("symbol", "session", "ends", "high_swept", "low_swept")
 
 
+@query(f""", x AS (SELECT *, count(close) OVER w AS n, list(close) OVER w AS l FROM bars WINDOW w AS ({_O} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
+SELECT symbol, bar_ts, CASE WHEN n >= 50 THEN round((len(list_filter(l, lambda v: v < close)) + (len(list_filter(l, lambda v: v = close)) + 1) / 2.0E0) / n + 1.37E-7, 4) END AS rank_share FROM x""")
+def w9_average_rank(spark, d):
+    return bars(spark, d).select("symbol", "bar_ts", rounded(s.average_rank("close", 100)).alias("rank_share"))
+
+
+@query(""", RECURSIVE_MARK h4 AS (SELECT symbol, time_bucket(INTERVAL '4 hours', bar_ts, TIMESTAMP '1970-01-01') AS ts, max_by(close, bar_ts) AS close FROM bars GROUP BY 1, 2), hn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS no FROM h4),
+ he AS (SELECT symbol, no, ts, close AS y FROM hn WHERE no = 1 UNION ALL SELECT b.symbol, b.no, b.ts, (49.0E0 / 51) * e.y + (2.0E0 / 51) * b.close FROM he e JOIN hn b ON b.symbol = e.symbol AND b.no = e.no + 1)
+SELECT b.symbol, b.bar_ts, round(he.y + 1.37E-7, 4) + 0.0E0 AS htf_ema_50 FROM bars b ASOF LEFT JOIN he ON he.symbol = b.symbol AND b.bar_ts >= he.ts""")
+def j2_htf_ema(spark, d):
+    """The mean of 4-hour closes on every hourly bar, from the label of its 4-hour bar on."""
+    b = bars(spark, d)
+    long = s.ewm(s.resample(b, "hour", 4).withColumn("timeframe", F.lit("4h")), {"htf_ema_50": ("close", 2 / 51)}).select("symbol", F.col("bar_ts").alias("ts"), "htf_ema_50")
+    return joins.asof(b, long, keys={"symbol": "symbol"}, left_time="bar_ts", right_time="ts", columns=["htf_ema_50"]).select("symbol", "bar_ts", *_r("htf_ema_50"))
+
+
+@query(_IND + f""", x AS (SELECT *, CASE WHEN close <> 0 THEN atr / close ELSE atr * CAST('Infinity' AS DOUBLE) END AS pct, CASE WHEN close > 0 THEN atr / close ELSE 0 END AS own FROM ind),
+y AS (SELECT *, avg(pct) OVER ({_O} ROWS BETWEEN 50 PRECEDING AND CURRENT ROW) AS mean FROM x),
+z AS (SELECT symbol, bar_ts, CASE WHEN no <= 50 THEN 'unknown' WHEN own > 1.8E0 * mean THEN 'volatile' WHEN adx > 30 AND close > ema_50 THEN 'trending_up' WHEN adx > 30 THEN 'trending_down' ELSE 'ranging' END AS bar_regime FROM y)
+SELECT strategy, coalesce(bar_regime, 'unknown') AS bar_regime, count(*) AS n, round(avg(CASE WHEN outcome LIKE '%win%' THEN 1.0E0 ELSE 0 END) + 1.37E-7, 4) AS win_rate, round(avg(r_multiple) + 1.37E-7, 4) + 0.0E0 AS mean_r, round(sum(r_multiple) + 1.37E-7, 4) + 0.0E0 AS total_r
+FROM trades t ASOF LEFT JOIN z ON z.symbol = t.strategy AND t.entry_time >= z.bar_ts GROUP BY 1, 2""")
+def a21_regime_at_entry(spark, d):
+    """Trades by the regime of the last bar at their entry."""
+    df = s.indicators(bars(spark, d))
+    regimes = df.select("symbol", "bar_ts", s.regime(df).alias("bar_regime"))
+    own = joins.asof(trades(spark, d), regimes, keys={"strategy": "symbol"}, left_time="entry_time", right_time="bar_ts", columns=["bar_regime"])
+    r = F.col("r_multiple")
+    return own.groupBy("strategy", F.coalesce("bar_regime", F.lit("unknown")).alias("bar_regime")).agg(F.count("*").alias("n"), rounded(F.avg(F.col("outcome").contains("win").cast("double"))).alias("win_rate"), rounded(F.avg(r)).alias("mean_r"), rounded(F.sum(r)).alias("total_r"))
+
+
 #: Bars with every fault that validation mends, made from the hour of the day.
 _MESSY = """SELECT symbol, timeframe, bar_ts, CASE WHEN hour(bar_ts) = 3 THEN NULL WHEN hour(bar_ts) = 5 THEN CAST('NaN' AS DOUBLE) ELSE open END AS open,
  CASE WHEN hour(bar_ts) = 7 THEN CAST('Infinity' AS DOUBLE) WHEN hour(bar_ts) = 8 THEN low ELSE high END AS high, low, close,
