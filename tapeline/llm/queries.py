@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, mixing, neardup, pii, quality_model, quality_rules, sharding, token_counts
+from . import chat_format, decontaminate, language_id, line_dedup, mixing, neardup, pii, quality_model, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_model": quality_model.op8_quality_model,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_language_id": language_id.op10_language_id,
+    "op11_chat_format": chat_format.op11_chat_format,
 }
 
 #: Where SQL cannot say it on whole tables (edit joins, Viterbi, CRC-32, learned models) tests/llm compares with brute force instead.
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op4_near_duplicates": neardup.ORACLE_OP4,
     "op7_quality_rules": quality_rules.ORACLE_OP7,
     "op9_mix_sources": mixing.ORACLE_OP9,
+    "op11_chat_format": chat_format.ORACLE_OP11,
 }
