@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, line_dedup, mixing, neardup, pii, quality_model, quality_rules, sharding, token_counts
+from . import chat_format, decontaminate, divergence, language_id, line_dedup, mixing, neardup, pii, quality_model, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_language_id": language_id.op10_language_id,
     "op11_chat_format": chat_format.op11_chat_format,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }
 
 #: Where SQL cannot say it on whole tables (edit joins, Viterbi, CRC-32, learned models) tests/llm compares with brute force instead.
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op7_quality_rules": quality_rules.ORACLE_OP7,
     "op9_mix_sources": mixing.ORACLE_OP9,
     "op11_chat_format": chat_format.ORACLE_OP11,
+    "op12_source_divergence": divergence.ORACLE_OP12,
 }
