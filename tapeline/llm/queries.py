@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, divergence, language_id, line_dedup, mixing, neardup, pii, quality_model, quality_rules, sharding, token_counts
+from . import chat_format, decontaminate, divergence, language_id, line_dedup, mixing, neardup, pii, quality_model, quality_rules, sharding, spelling, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_chat_format": chat_format.op11_chat_format,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 #: Where SQL cannot say it on whole tables (edit joins, Viterbi, CRC-32, learned models) tests/llm compares with brute force instead.
