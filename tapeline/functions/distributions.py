@@ -83,11 +83,28 @@ def binomial_at_least(k: Column, n: Column) -> Column:
 
 
 def chi2_sf(x: Column, df: Column) -> Column:
-    """Upper tail of the chi-square distribution, by the series of the lower incomplete gamma function."""
+    """Upper tail of the chi-square distribution: the series of the lower incomplete gamma function up to about the mean, the continued fraction of the upper one
+    beyond it; both take steps with the square root of df."""
     a, y = df.cast("double") / 2, x / 2
-    steps = F.sequence(F.lit(1), (80 + 2 * y).cast("int"))
-    total = F.aggregate(steps, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda s, k: F.struct((s["t"] * y / (a + k)).alias("t"), (s["s"] + s["t"] * y / (a + k)).alias("s")), lambda s: s["s"])
-    return F.when(y <= 0, 1.0).when(y > 600, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.exp(a * F.ln(y) - y - lgamma(a + 1)) * total))
+    steps = F.sequence(F.lit(1), (80 + 10 * F.sqrt(a)).cast("int"))
+    front = F.exp(a * F.ln(y) - y - lgamma(a + 1))
+
+    def term(s: Column, k: Column) -> Column:
+        t = s["t"] * y / (a + k)
+        return F.struct(t.alias("t"), (s["s"] + t).alias("s"))
+
+    lower = front * F.aggregate(steps, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), term, lambda s: s["s"])
+    safe = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+
+    def deeper(s: Column, k: Column) -> Column:
+        top, low = k * (a - k), y + 2 * k + 1 - a
+        c, d = safe(low + top / s["c"]), 1 / safe(low + top * s["d"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+    d = 1 / safe(y + 1 - a)
+    start = F.struct(F.lit(1e300).alias("c"), d.alias("d"), d.alias("h"))
+    upper = front * a * F.aggregate(steps, start, deeper, lambda s: s["h"])
+    return F.when(y <= 0, 1.0).when(y < a + 1, F.greatest(F.lit(0.0), 1 - lower)).otherwise(F.least(F.lit(1.0), upper))
 
 
 def kolmogorov_sf(x: Column) -> Column:

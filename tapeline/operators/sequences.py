@@ -81,26 +81,26 @@ def affine_scan(df: DataFrame, by: str, order: str, slope: str, value: str, name
     return rows.select(by, *[F.col("_x")["_rows"][c].alias(c) for c in (order, *rest)], (F.col("_x")["_own"]["y"] + F.col("_x")["_own"]["m"] * F.col("_in")).alias(name))
 
 
-def kalman_edge(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time", settle: int = 2000) -> DataFrame:
+def kalman_edge(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time") -> DataFrame:
     """Mean R after each trade by a local-level Kalman filter, with two standard deviations around it.
 
-    The gain does not depend on the values, so it is a short recursion per key (it has settled after `settle` steps), and the filter is an affine scan."""
+    The variance after n trades, p -> r (p + q) / (p + q + r), is a linear fractional map with fixed points a > 0 > b, so (p - a) / (p - b) shrinks by the same
+    factor at each step: gain and variance have a closed form in n, and with them the filter is an affine scan."""
     df = _numbered(trades, by, time).withColumn("_d", F.col("r") - F.lag("r").over(Window.partitionBy(by).orderBy("no")))
-    noise = df.groupBy(by).agg(F.count("*").alias("n"), F.var_pop("r").alias("v"), F.var_pop("_d").alias("dv"))
+    noise = df.groupBy(by).agg(F.var_pop("r").alias("v"), F.var_pop("_d").alias("dv"))
     noise = noise.withColumn("q", F.greatest(F.lit(1e-6), F.coalesce(F.col("dv") / 2, F.lit(0.0)))).withColumn("rr", F.when(F.col("v") > 0,
         F.greatest(0.1 * F.col("v"), F.col("v") - F.col("q"))).otherwise(1e-6))
-    first = F.struct(F.when(F.col("v") > 0, F.col("v")).otherwise(1.0).alias("p"), F.array(F.struct(F.lit(1.0).alias("k"), F.when(F.col("v") > 0,
-        F.col("v")).otherwise(1.0).alias("p"))).alias("out"))
-
-    def step(s: Column, _: Column) -> Column:
-        pred = s["p"] + F.col("q")
-        k = pred / (pred + F.col("rr"))
-        return F.struct(((1 - k) * pred).alias("p"), F.array_append(s["out"], F.struct(k.alias("k"), ((1 - k) * pred).alias("p"))).alias("out"))
-
-    gains = noise.select(by, F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.col("n"), F.lit(settle)))), first, step, lambda s: s["out"]).alias("_g"))
-    at = F.element_at("_g", F.least(F.col("no"), F.size("_g")))
-    df = df.select(by, time, "no", "r").join(gains, by).select(by, time, "no", at["p"].alias("_p"), F.when(F.col("no") == 1, 0.0).otherwise(1 - at["k"]).alias("_m"),
-        F.when(F.col("no") == 1, F.col("r")).otherwise(at["k"] * F.col("r")).alias("_v"))
+    q, rr, first = F.col("q"), F.col("rr"), F.when(F.col("v") > 0, F.col("v")).otherwise(1.0)
+    noise = noise.withColumn("_s", F.sqrt(q * q + 4 * q * rr)).withColumn("_a", 2 * q * rr / (q + F.col("_s"))).withColumn("_b", -(q + F.col("_s")) / 2)
+    noise = noise.select(by, "q", "rr", "_s", "_a", F.log1p(-F.col("_s") / (rr - F.col("_b"))).alias("_step"), F.log1p(-F.col("_s") / (first - F.col("_b"))).alias("_from"))
+
+    def variance(n: Column) -> Column:
+        left = F.col("_from") + (n - 1) * F.col("_step")
+        return F.col("_a") + F.col("_s") * F.exp(left) / -F.expm1(left)
+
+    ahead = variance(F.greatest(F.col("no") - 1, F.lit(1))) + q
+    df = df.select(by, time, "no", "r").join(noise, by).withColumn("_k", F.when(F.col("no") == 1, 1.0).otherwise(ahead / (ahead + rr)))
+    df = df.select(by, time, "no", variance(F.col("no")).alias("_p"), (1 - F.col("_k")).alias("_m"), (F.col("_k") * F.col("r")).alias("_v"))
     out = affine_scan(df, by, "no", "_m", "_v", "edge")
     return out.select(by, time, "no", "edge", (F.col("edge") - 2 * F.sqrt("_p")).alias("low"), (F.col("edge") + 2 * F.sqrt("_p")).alias("high"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import normal_cdf
+from ..functions.distributions import chi2_sf, normal_cdf
 from ..functions.metrics import ratio, rounded, won
 
 
@@ -77,8 +77,7 @@ def sign_flip(trades: DataFrame, *, by: str = "strategy", rounds: int = 10_000,
     z = NormalDist().inv_cdf(1 - alpha / 2)
     flat, size = F.col("sd") < 1e-12, F.abs("mean_r")
     d = F.when(flat, F.when(size > 0, float("inf")).otherwise(0.0)).otherwise(size / F.col("sd"))
-    cdf = F.udf(lambda x: None if x is None else NormalDist().cdf(x), "double")  # a row a group
-    power = F.when(flat, (size > 0).cast("double")).otherwise(cdf(size * F.sqrt("n") / F.when(~flat, F.col("sd")) - z))
+    power = F.when(flat, (size > 0).cast("double")).otherwise(normal_cdf(size * F.sqrt("n") / F.when(~flat, F.col("sd")) - z))
 
     def needed(level):
         n = F.ceil(F.pow((z + NormalDist().inv_cdf(level)) / F.col("d"), 2))
@@ -135,7 +134,7 @@ def tail_risk(trades: DataFrame, *, by: str = "strategy") -> DataFrame:
     jb = F.col("n") / 6 * (F.pow("skew", 2) + F.pow("kurt", 2) / 4)
     return m.join(tail, by).select(by, "n", rounded(F.col("mu") - 1.6448536269514722 * F.col("sd")).alias("var_normal"),
         rounded(F.col("var_hist")).alias("var_hist"), rounded(F.col("cvar")).alias("cvar"), rounded(F.col("skew"), 3).alias("skew"), rounded(F.col("kurt"),
-        3).alias("kurt"), rounded(jb, 2).alias("jarque_bera"))
+        3).alias("kurt"), rounded(jb, 2).alias("jarque_bera"), rounded(chi2_sf(jb, F.lit(2)), 6).alias("jarque_bera_p"))
 
 
 def transitions(trades: DataFrame) -> DataFrame:
@@ -147,7 +146,7 @@ def transitions(trades: DataFrame) -> DataFrame:
 
 
 def autocorrelation(trades: DataFrame, *, by: str = "strategy", lags: int = 20) -> DataFrame:
-    """Mean-centred autocorrelation against the variance of the whole sample, and the Ljung-Box sum up to each lag."""
+    """Mean-centred autocorrelation against the variance of the whole sample, and the Ljung-Box sum up to each lag with its p-value."""
     df = _keyed(trades, by)
     w, all_ = Window.partitionBy(by).orderBy("no"), Window.partitionBy(by)
     df = df.withColumn("x", F.col("r_multiple") - F.avg("r_multiple").over(all_))
@@ -156,7 +155,9 @@ def autocorrelation(trades: DataFrame, *, by: str = "strategy", lags: int = 20)
     long = sums.select(by, "n", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), ratio(F.col(f"c{k}"), F.col("v")).alias("acf")) for k in range(1,
         lags + 1)])).alias("z")).select(by, "n", "z.lag", "z.acf")
     q = F.col("n") * (F.col("n") + 2) * F.sum(F.pow("acf", 2) / (F.col("n") - F.col("lag"))).over(Window.partitionBy(by).orderBy("lag").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return long.select(by, "lag", rounded(F.col("acf")).alias("acf"), rounded(q, 3).alias("ljung_box"), (F.abs("acf") > 1.96 / F.sqrt("n")).alias("significant"))
+    long = long.withColumn("_q", q)
+    return long.select(by, "lag", rounded(F.col("acf")).alias("acf"), rounded(F.col("_q"), 3).alias("ljung_box"), rounded(chi2_sf(F.col("_q"), F.col("lag")), 6).alias("ljung_box_p"),
+        (F.abs("acf") > 1.96 / F.sqrt("n")).alias("significant"))
 
 
 def excursion_bins(trades: DataFrame, bins: int = 5) -> DataFrame:

@@ -39,7 +39,6 @@ def w27_best_label(spark, d):
 SELECT day, round(r + 1.37E-7, 4) + 0.0E0 AS r, round(equity + 1.37E-7, 4) + 0.0E0 AS equity, round(greatest(max(equity) OVER (ORDER BY day), 0) - equity + 1.37E-7,
  4) + 0.0E0 AS drawdown FROM e""")
 def t8_equal_portfolio(spark, d):
-    """All labels of the data; t8_portfolio has given weights."""
     df = p.combined(joins.daily_r(trades(spark, d)))
     return df.select("day", *[rounded(F.col(c)).alias(c) for c in ("r", "equity", "drawdown")])
 
@@ -51,14 +50,6 @@ def t7_allocation(spark, d):
     return p.allocation(joins.daily_r(trades(spark, d)))
 
 
-@query(_D + """, c AS (SELECT day, sum(r * CASE strategy WHEN 'click' THEN 0.5E0 ELSE 0.25E0 END) AS r FROM d WHERE strategy IN ('click', 'purchase', 'view')
- GROUP BY day), e AS (SELECT *, sum(r) OVER (ORDER BY day) AS equity FROM c) SELECT day, round(r + 1.37E-7, 4) + 0.0E0 AS r, round(equity + 1.37E-7,
- 4) + 0.0E0 AS equity, round(greatest(max(equity) OVER (ORDER BY day), 0) - equity + 1.37E-7, 4) + 0.0E0 AS drawdown FROM e""")
-def t8_portfolio(spark, d):
-    df = p.combined(joins.daily_r(trades(spark, d)), {"click": 0.5, "purchase": 0.25, "view": 0.25})
-    return df.select("day", *[rounded(F.col(c)).alias(c) for c in ("r", "equity", "drawdown")])
-
-
 @query(""", n AS (SELECT strategy, r_multiple, row_number() OVER w AS n, sum(r_multiple) OVER w AS equity FROM trades WINDOW w AS (PARTITION BY strategy
  ORDER BY entry_time)), k AS (SELECT *, greatest(max(equity) OVER (PARTITION BY strategy ORDER BY n), 0) - equity AS dd FROM n) SELECT strategy, count(*) AS trades,
  round(regr_slope(equity, n) + 1.37E-7, 6) + 0.0E0 AS slope, round(regr_r2(equity, n) + 1.37E-7, 4) AS fit, round(sum(r_multiple) / nullif(max(dd), 0) + 1.37E-7,

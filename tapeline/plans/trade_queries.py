@@ -10,7 +10,7 @@ from ..functions.metrics import rounded
 from ..operators import joins
 from ..operators import statistics as st
 from ..operators import trades as t
-from .views import WITH, bars, events, normal_sql, trades
+from .views import WITH, bars, chi2_sql, events, normal_sql, trades
 
 _PERF = """count(*) AS total_trades, CAST(sum(CASE WHEN r_multiple > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wins,
  CAST(sum(CASE WHEN r_multiple <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS losses,
@@ -222,15 +222,6 @@ def j3_nearest(spark, d):
         left_time="entry_time", right_time="bar_ts").select("trade_id", "nearest")
 
 
-@query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades GROUP BY ALL), n AS (SELECT DISTINCT day FROM d)
-SELECT n.day, round(coalesce(a.r, 0) + 1.37E-7, 4) + 0.0E0 AS click, round(coalesce(b.r, 0) + 1.37E-7, 4) + 0.0E0 AS purchase FROM n LEFT
- JOIN d a ON a.day = n.day AND a.strategy = 'click' LEFT JOIN d b ON b.day = n.day AND b.strategy = 'purchase'""")
-def j8_outer_by_date(spark, d):
-    """The two labels of its SQL; j8_all_by_date has all."""
-    wide = joins.overlap_wide(joins.daily_r(trades(spark, d)), ["click", "purchase"], outer=True)
-    return wide.select("day", *[rounded(F.col(c)).alias(c) for c in ("click", "purchase")])
-
-
 @query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades GROUP BY ALL)
 SELECT n.day, l.strategy, round(coalesce(d.r, 0) + 1.37E-7, 4) + 0.0E0 AS r FROM (SELECT DISTINCT day FROM d) n CROSS JOIN (SELECT DISTINCT strategy FROM d) l LEFT
  JOIN d ON d.day = n.day AND d.strategy = l.strategy""")
@@ -238,16 +229,6 @@ def j8_all_by_date(spark, d):
     return joins.overlap_long(joins.daily_r(trades(spark, d)), outer=True).select("day", "strategy", rounded(F.col("r")).alias("r"))
 
 
-@query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades WHERE strategy IN ('click', 'purchase', 'view')
- GROUP BY ALL), f AS (SELECT day FROM d GROUP BY day HAVING count(*) = 3), k AS (SELECT d.* FROM d JOIN f USING (day)),
-c AS (SELECT x.strategy AS a, y.strategy AS b, round(corr(x.r, y.r) + 1.37E-7, 4) + 0.0E0 AS corr FROM k x JOIN k y ON x.day = y.day AND x.strategy < y.strategy
- GROUP BY ALL) SELECT *, CASE WHEN abs(corr) > 0.5 THEN 'high' WHEN abs(corr) < 0.1 THEN 'low' ELSE 'mid' END AS flag FROM c""")
-def j13_pair_correlations(spark, d):
-    """The three labels of its SQL; j13_all_pair_correlations has all."""
-    some = trades(spark, d).where(F.col("strategy").isin("click", "purchase", "view"))
-    return joins.pair_correlations(joins.overlap_long(joins.daily_r(some), outer=False))
-
-
 @query(""", d AS (SELECT strategy, CAST(CAST(exit_time AS DATE) AS VARCHAR) AS day, sum(r_multiple) AS r FROM trades GROUP BY ALL), f AS (SELECT day FROM d
  GROUP BY day HAVING count(*) = (SELECT count(DISTINCT strategy) FROM d)), k AS (SELECT d.* FROM d JOIN f USING (day)),
 c AS (SELECT x.strategy AS a, y.strategy AS b, round(corr(x.r, y.r) + 1.37E-7, 4) + 0.0E0 AS corr FROM k x JOIN k y ON x.day = y.day AND x.strategy < y.strategy
@@ -282,9 +263,12 @@ def l4_top_trades(spark, d):
     return trades(spark, d).withColumn("n", n).where("n <= 3").select("strategy", "trade_id", "r_multiple")
 
 
-@query(" SELECT strategy, max_by(trade_id, r_multiple) AS best, min_by(trade_id, entry_time) AS earliest FROM trades GROUP BY strategy")
+@query(""" SELECT strategy, (max({'a': r_multiple, 'b': trade_id})).b AS best, (min({'a': entry_time, 'b': trade_id})).b AS earliest FROM trades
+ WHERE r_multiple IS NOT NULL AND entry_time IS NOT NULL GROUP BY strategy""")
 def l5_arg_extremes(spark, d):
-    return trades(spark, d).groupBy("strategy").agg(F.max_by("trade_id", "r_multiple").alias("best"), F.min_by("trade_id", "entry_time").alias("earliest"))
+    """Ties: the largest trade_id of the best R, the smallest of the earliest time."""
+    best, earliest = F.max(F.struct("r_multiple", "trade_id"))["trade_id"], F.min(F.struct("entry_time", "trade_id"))["trade_id"]
+    return trades(spark, d).where("r_multiple IS NOT NULL AND entry_time IS NOT NULL").groupBy("strategy").agg(best.alias("best"), earliest.alias("earliest"))
 
 
 @query(""", m AS (SELECT strategy, count(*) AS n, avg(r_multiple) AS mu, stddev_samp(r_multiple) AS sd, quantile_cont(r_multiple, 0.05) AS q,
@@ -293,7 +277,8 @@ k AS (SELECT *, m2 - mu * mu AS v, m3 - 3 * mu * m2 + 2 * pow(mu, 3) AS c3, m4 -
 c AS (SELECT t.strategy, avg(r_multiple) AS cvar FROM trades t JOIN m ON m.strategy = t.strategy AND r_multiple <= q GROUP BY t.strategy)
 SELECT k.strategy, n, round(mu - 1.6448536269514722E0 * sd + 1.37E-7, 4) + 0.0E0 AS var_normal, round(q + 1.37E-7, 4) + 0.0E0 AS var_hist, round(cvar + 1.37E-7,
  4) + 0.0E0 AS cvar, round(c3 / pow(v, 1.5) + 1.37E-7, 3) + 0.0E0 AS skew, round(c4 / (v * v) - 3 + 1.37E-7, 3) + 0.0E0 AS kurt,
- round(n / 6.0E0 * (pow(c3 / pow(v, 1.5), 2) + pow(c4 / (v * v) - 3, 2) / 4) + 1.37E-7, 2) AS jarque_bera FROM k JOIN c ON c.strategy = k.strategy""")
+ round(n / 6.0E0 * (pow(c3 / pow(v, 1.5), 2) + pow(c4 / (v * v) - 3, 2) / 4) + 1.37E-7, 2) AS jarque_bera,
+ round(exp(-n / 12.0E0 * (pow(c3 / pow(v, 1.5), 2) + pow(c4 / (v * v) - 3, 2) / 4)) + 1.37E-7, 6) AS jarque_bera_p FROM k JOIN c ON c.strategy = k.strategy""")
 def t15_tail_risk(spark, d):
     return st.tail_risk(trades(spark, d))
 
@@ -309,9 +294,10 @@ def t16_transitions(spark, d):
  r_multiple - avg(r_multiple) OVER (PARTITION BY strategy) AS x FROM trades), s AS (SELECT strategy, count(*) AS n, sum(x * x) AS v FROM k GROUP BY strategy),
 l AS (SELECT unnest(range(1, 21)) AS lag), c AS (SELECT a.strategy, l.lag, sum(a.x * b.x) AS c FROM k a CROSS JOIN l
  JOIN k b ON b.strategy = a.strategy AND b.no = a.no - l.lag GROUP BY ALL),
-f AS (SELECT c.strategy, CAST(lag AS INT) AS lag, n, c / v AS acf FROM c JOIN s USING (strategy))
-SELECT strategy, lag, round(acf + 1.37E-7, 4) + 0.0E0 AS acf, round(n * (n + 2) * sum(acf * acf / (n - lag)) OVER (PARTITION BY strategy ORDER BY lag) + 1.37E-7,
- 3) AS ljung_box, abs(acf) > 1.96E0 / sqrt(n) AS significant FROM f""")
+f AS (SELECT c.strategy, CAST(lag AS INT) AS lag, n, c / v AS acf FROM c JOIN s USING (strategy)),
+q AS (SELECT *, n * (n + 2) * sum(acf * acf / (n - lag)) OVER (PARTITION BY strategy ORDER BY lag) AS q FROM f)
+SELECT strategy, lag, round(acf + 1.37E-7, 4) + 0.0E0 AS acf, round(q + 1.37E-7, 3) AS ljung_box, round(""" + chi2_sql("q", "lag") + """ + 1.37E-7, 6) + 0.0E0 AS ljung_box_p,
+ abs(acf) > 1.96E0 / sqrt(n) AS significant FROM q""")
 def w39_autocorrelation(spark, d):
     return st.autocorrelation(trades(spark, d))
 

@@ -39,6 +39,12 @@ def normal_sql(x: str) -> str:
     return f"(CASE WHEN {x} > 8 THEN 1.0E0 WHEN {x} < -8 THEN 0.0E0 WHEN {x} = 0 THEN 0.5E0 ELSE 0.5E0 + sign({x}) * exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {terms} END)"
 
 
+def chi2_sql(x: str, df: str) -> str:
+    """DuckDB: the upper tail of the chi-square distribution, by the series of the lower incomplete gamma function."""
+    terms = f"list_sum(list_transform(range(0, 400), lambda k: exp(({df} / 2.0E0 + k) * ln({x} / 2) - {x} / 2 - lgamma({df} / 2.0E0 + k + 1))))"
+    return f"(CASE WHEN {x} <= 0 THEN 1.0E0 ELSE greatest(0.0E0, 1 - {terms}) END)"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 

@@ -37,4 +37,8 @@ def test_t(spark):
 def test_chi_square_and_kolmogorov(spark):
     rows = [(10.0, 2), (3.8414588, 1), (31.4104328, 20), (0.0, 3)]
     assert values(spark, rows, "x double, k int", d.chi2_sf(F.col("x"), F.col("k"))) == pytest.approx([math.exp(-5), 0.05, 0.05, 1.0], abs=1e-7)
+    # many degrees of freedom, both tails: sums of Poisson chances for even df
+    rows = [(1300.0, 2000), (2000.0, 2000), (2300.0, 2000), (1900.0, 1000), (40.0, 4), (5000.0, 5200)]
+    poisson = [math.fsum(math.exp(k * math.log(x / 2) - x / 2 - math.lgamma(k + 1)) for k in range(v // 2)) for x, v in rows]
+    assert values(spark, rows, "x double, k int", d.chi2_sf(F.col("x"), F.col("k"))) == pytest.approx(poisson, rel=1e-8)
     assert values(spark, [(1.3580986,), (0.1,)], "x double", d.kolmogorov_sf(F.col("x"))) == pytest.approx([0.05, 1.0], abs=1e-6)
