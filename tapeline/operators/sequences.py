@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import kolmogorov_sf, t_two_sided
 from ..functions.metrics import ratio, rounded
+from .ordering import positions
 
 UP = Window.unboundedPreceding
 
 
 def _numbered(trades: DataFrame, by: str, time: str) -> DataFrame:
-    return trades.select(by, time, F.col("r_multiple").alias("r")).withColumn("no", F.row_number().over(Window.partitionBy(by).orderBy(time)))
+    return positions(trades.select(by, time, F.col("r_multiple").alias("r")), [by], time, ("r",))
 
 
 def recovery(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time", thresholds: tuple[float, ...] = (1.0, 2.0, 5.0, 10.0)) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import positions
+
 KEYS = ("symbol", "timeframe")
 
 
@@ -41,7 +43,7 @@ def _fold(column: str, a: float, first: int) -> Column:
 
 def numbered(df: DataFrame) -> DataFrame:
     """df with `bar_no`, from 1 in each series."""
-    return df if "bar_no" in df.columns else df.withColumn("bar_no", F.row_number().over(ordered()))
+    return df if "bar_no" in df.columns else positions(df, list(KEYS), "bar_ts", name="bar_no")
 
 
 def ewm(df: DataFrame, columns: dict[str, tuple], *, block: int = 512) -> DataFrame:
