@@ -23,3 +23,34 @@ def positions(df: DataFrame, by: list[str], order: str, ties: tuple[str, ...] =
         same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     inside = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(order, *ties))
     return df.withColumn("_inside", inside).join(counts, same).withColumn(name, (F.col("_before") + F.col("_inside")).cast("int")).drop("_inside", "_before", "_cell", "_kc", *[f"_k{i}" for i in range(len(by))])
+
+
+def ranked(df: DataFrame, by: list[str], order: str, sums: dict[str, str] | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with `no`, from 1 along any sortable `order` within `by`, and running sums (column: name) up to each row.
+
+    Rows are dealt by ranges of (by, order, ties), so one key goes to many tasks; only a count and sums per range are added up along the key."""
+    from ..functions.storage import cut
+
+    sums = sums or {}
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = cut(df.repartitionByRange(parts, *by, order, *ties).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*[f"_k{i}" for i in range(len(by))]).orderBy("_kp").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_part").alias("_kp")).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
+    totals = totals.select("_kp", *[f"_k{i}" for i in range(len(by))], *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_n", *[f"_t{i}" for i in range(len(sums))])])
+    same = F.col("_part") == F.col("_kp")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    w = Window.partitionBy(*by, "_part").orderBy(order, *ties)
+    made = {"_no": F.row_number().over(w), **{f"_r{i}": F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for i, c in enumerate(sums)}}
+    out = df.withColumns(made).join(totals, same).withColumn("no", F.col("_no") + F.col("_n_before"))
+    out = out.withColumns({name: F.col(f"_r{i}") + F.col(f"_t{i}_before") for i, name in enumerate(sums.values())})
+    return out.select(*[c for c in df.columns if c != "_part"], "no", *sums.values())
+
+
+def in_blocks(df: DataFrame, by: list[str], back: int, *, no: str = "no", block: int = 4096) -> DataFrame:
+    """df with `_block` and `_halo`: each block of numbered rows, and before it the `back` rows that windows over (by, _block) look back to (drop those where _halo)."""
+    df = df.withColumn("_block", F.floor((F.col(no) - 1) / block)).withColumn("_halo", F.lit(False))
+    steps = max(1, -(-back // block))
+    near = df.withColumn("_shift", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("_block", F.col("_block") + F.col("_shift")).withColumn("_halo", F.lit(True))
+    near = near.where(F.col(no) > F.col("_block") * block - back).drop("_shift")
+    return df.union(near)

@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf, normal_cdf
 from ..functions.metrics import ratio, rounded, won
-
-
-def _keyed(trades: DataFrame, by: str) -> DataFrame:
-    return trades.select(by, "entry_time", "trade_id", "r_multiple").withColumn("no", F.row_number().over(Window.partitionBy(by).orderBy("entry_time")))
+from .ordering import in_blocks, positions
 
 
 def _replicates(trades: DataFrame, by: str, rounds: int, seed: int, draw, sums: tuple[str, ...]) -> DataFrame:
@@ -147,11 +144,11 @@ def transitions(trades: DataFrame) -> DataFrame:
 
 def autocorrelation(trades: DataFrame, *, by: str = "strategy", lags: int = 20) -> DataFrame:
     """Mean-centred autocorrelation against the variance of the whole sample, and the Ljung-Box sum up to each lag with its p-value."""
-    df = _keyed(trades, by)
-    w, all_ = Window.partitionBy(by).orderBy("no"), Window.partitionBy(by)
-    df = df.withColumn("x", F.col("r_multiple") - F.avg("r_multiple").over(all_))
-    sums = df.select(by, "x", *[F.lag("x", k).over(w).alias(f"l{k}") for k in range(1, lags + 1)]).groupBy(by).agg(F.count("*").alias("n"),
-        F.sum(F.col("x") * F.col("x")).alias("v"), *[F.sum(F.col("x") * F.col(f"l{k}")).alias(f"c{k}") for k in range(1, lags + 1)])
+    mean = trades.groupBy(by).agg(F.avg("r_multiple").alias("_mean"))
+    df = positions(trades.select(by, "entry_time", "r_multiple"), [by], "entry_time", ("r_multiple",)).join(mean, by).withColumn("x", F.col("r_multiple") - F.col("_mean"))
+    w = Window.partitionBy(by, "_block").orderBy("no")
+    df = in_blocks(df, [by], lags).select(by, "x", "_halo", *[F.lag("x", k).over(w).alias(f"l{k}") for k in range(1, lags + 1)]).where("NOT _halo")
+    sums = df.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("v"), *[F.sum(F.col("x") * F.col(f"l{k}")).alias(f"c{k}") for k in range(1, lags + 1)])
     long = sums.select(by, "n", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), ratio(F.col(f"c{k}"), F.col("v")).alias("acf")) for k in range(1,
         lags + 1)])).alias("z")).select(by, "n", "z.lag", "z.acf")
     q = F.col("n") * (F.col("n") + 2) * F.sum(F.pow("acf", 2) / (F.col("n") - F.col("lag"))).over(Window.partitionBy(by).orderBy("lag").rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -20,6 +20,11 @@ def test_normal(spark):
     assert got[0] == pytest.approx(1.12859e-19, rel=1e-5)
 
 
+def test_normal_quantile(spark):
+    ps = [1e-300, 1e-12, 1e-5, 0.01, 0.07, 0.3, 0.5, 0.74, 0.93, 0.999, 1 - 1e-10]
+    assert values(spark, [(p,) for p in ps], "p double", d.normal_quantile(F.col("p"))) == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-12, abs=1e-15)
+
+
 def test_binomial(spark):
     rows = [(3, 5), (0, 4), (60, 100), (5100, 10_000), (5, 5)]
     got = values(spark, rows, "k int, n int", d.binomial_at_least(F.col("k"), F.col("n")))
