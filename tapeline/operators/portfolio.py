@@ -53,13 +53,26 @@ def combined(daily: DataFrame, weights: dict[str, float] | None = None, by: str
     return df.withColumn("drawdown", F.greatest(F.max("equity").over(w), F.lit(0.0)) - F.col("equity"))
 
 
-def equity_line(trades: DataFrame, by: str = "strategy") -> DataFrame:
-    """Slope and fit of the equity against the trade number, and gain over worst drawdown."""
-    from .trades import drawdown, running
-
-    df = running(drawdown(trades, by), [by], ["entry_time"], F.lit(1), "n")
-    return df.groupBy(by).agg(F.count("*").alias("trades"), rounded(F.regr_slope("equity", "n"), 6).alias("slope"), rounded(F.regr_r2("equity", "n")).alias("fit"),
-        rounded(ratio(F.sum("r_multiple"), F.max("drawdown"))).alias("recovery_factor"))
+def equity_line(trades: DataFrame, by: str = "strategy", *, start: float = 10_000.0) -> DataFrame:
+    """Of the account after each trade (start + PnL so far): worst drawdown with its day and share of the peak, Sharpe ratio at the key's own trade frequency, gain a
+    year and in all over the worst drawdown, fit of a line through the account, and slope of the wins."""
+    from .ordering import positions
+    from .trades import drawdown
+
+    df = positions(drawdown(trades, by, value="pnl_usd", least=None), [by], "entry_time").withColumn("no", F.col("no") - 1)
+    worst = F.max(F.struct("drawdown", (-F.col("no")).alias("no"), "peak", "entry_time"))
+    won = (F.col("pnl_usd") > 0).cast("double")
+    df = df.groupBy(by).agg(F.count("*").alias("trades"), F.count("r_multiple").alias("k"), worst.alias("w"), F.sum("pnl_usd").alias("pnl"), F.avg("r_multiple").alias("mean"),
+        F.stddev_samp("r_multiple").alias("sd"), F.min("entry_time").alias("a"), F.max("entry_time").alias("b"), F.regr_r2("equity", "no").alias("r2"), F.regr_slope(won, "no").alias("slope"))
+    seconds = F.unix_timestamp(F.col("b").cast("timestamp")) - F.unix_timestamp(F.col("a").cast("timestamp"))
+    df = df.withColumn("days", F.greatest(F.lit(1), F.floor(seconds / 86_400))).withColumn("dd", F.col("w.drawdown"))
+    peak = F.col("w.peak") + start
+    sharpe = F.when(F.col("k") >= 2, ratio(F.col("mean"), F.col("sd")) * F.sqrt(F.col("k") / (F.col("days") / 365.25))).otherwise(0.0)
+    falls = F.col("dd") > 0
+    return df.select(by, "trades", rounded(F.col("dd"), 2).alias("max_dd"), rounded(F.when(peak > 0, 100 * F.col("dd") / F.when(peak > 0, peak)).otherwise(0.0)).alias("max_dd_pct"),
+        F.to_date("w.entry_time").cast("string").alias("max_dd_date"), rounded(sharpe).alias("sharpe"), rounded(F.when(falls, ratio(F.col("pnl") * 365.25 / F.col("days"), F.col("dd"))).otherwise(0.0)).alias("calmar"),
+        rounded(F.when(falls, ratio(F.col("pnl"), F.col("dd"))).otherwise(0.0)).alias("recovery_factor"), rounded(F.when(F.col("trades") >= 5, F.coalesce("r2", F.lit(0.0))).otherwise(0.0)).alias("equity_r2"),
+        rounded(F.when(F.col("k") >= 5, F.col("slope")).otherwise(0.0), 8).alias("win_rate_slope"))
 
 
 def growth_curve(trades: DataFrame, by: str = "strategy", fractions: int = 50, most: float = 0.5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf, normal_cdf
@@ -184,19 +184,37 @@ def risk_ratios(daily: DataFrame, by: str = "strategy") -> DataFrame:
     )
 
 
-def deflated_sharpe(trades: DataFrame, *, by: str = "strategy", trials: int = 100) -> DataFrame:
-    """T-5: the Sharpe ratio against what the best of `trials` would show by chance, with its p-value and verdict."""
+def expected_best(trials: int) -> float:
+    """T-5: the Sharpe ratio that the best of `trials` (two or more) strategies without an edge is taken to show."""
     import math
 
     log = math.log(trials)
-    best = math.sqrt(2 * log) - (math.log(math.pi) + math.log(log)) / (2 * math.sqrt(2 * log))
+    return math.sqrt(2 * log) - (math.log(math.pi) + math.log(log)) / (2 * math.sqrt(2 * log))
+
+
+def minimum_length(sr: Column, trials: int, *, skew: Column | float = 0.0, kurt: Column | float = 3.0, confidence: float = 0.95) -> Column:
+    """T-5: how many results a Sharpe ratio needs to stand out from `trials`: 252 where there is nothing to test, 99,999 where it stays below what chance shows, 30 at least."""
+    from statistics import NormalDist
+
+    if trials <= 1:
+        return F.lit(252).cast("long")
+    best, z = expected_best(trials), NormalDist().inv_cdf(confidence)
+    spread = 1 + 0.5 * sr * sr - skew * sr + (kurt - 3) / 4 * sr * sr
+    n = F.ceil(z * z * spread / F.pow(F.when(sr > best, sr - best), F.lit(2.0))) + 1
+    return F.when(sr <= 0, 252).when(sr <= best, 99_999).otherwise(F.greatest(n, F.lit(30))).cast("long")
+
+
+def deflated_sharpe(trades: DataFrame, *, by: str = "strategy", trials: int = 100) -> DataFrame:
+    """T-5: the Sharpe ratio against what the best of `trials` would show by chance, with its p-value and verdict, and the number of trades it would need."""
+    best = expected_best(trials)
     r = F.col("r_multiple")
     df = trades.groupBy(by).agg(F.count("*").alias("n"), ratio(F.avg(r), F.stddev_samp(r)).alias("sr"), F.skewness(r).alias("skew"), (F.kurtosis(r) + 3).alias("kurt"))
     sr = F.col("sr")
     var = (1 + 0.5 * sr * sr - F.col("skew") * sr + (F.col("kurt") - 3) / 4 * sr * sr) / (F.col("n") - 1)
     stat = (sr - best) / F.sqrt(var)
     p = normal_cdf(-stat)
-    return df.select(by, "n", rounded(sr).alias("sharpe"), rounded(stat, 3).alias("statistic"), rounded(p, 6).alias("p_value"), (p < 0.05).alias("significant"))
+    return df.select(by, "n", rounded(sr).alias("sharpe"), rounded(stat, 3).alias("statistic"), rounded(p, 6).alias("p_value"), (p < 0.05).alias("significant"),
+        minimum_length(sr, trials, skew=F.col("skew"), kurt=F.col("kurt")).alias("min_length"))
 
 
 def classifier_report(scored: DataFrame, bins: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import binomial_at_least, t_quantile, t_two_sided
+from ..functions.distributions import binomial_at_least, normal_two_sided, t_quantile, t_two_sided
 from ..functions.metrics import profit_factor, ratio, rounded, share, wilson, won
 
 R, PNL = F.col, F.col
@@ -65,8 +65,8 @@ def running(df: DataFrame, by: list[str], order: list[str], value: Column, name:
     return df.join(days, day).withColumn(name, F.col("_rb") + F.sum("_rv").over(inside)).drop("_rday", "_rv", "_rb")
 
 
-def drawdown(trades: DataFrame, *by: str, value: str = "r_multiple", time: str = "entry_time") -> DataFrame:
-    """Equity, peak (never below 0) and drawdown after each trade.
+def drawdown(trades: DataFrame, *by: str, value: str = "r_multiple", time: str = "entry_time", least: float | None = 0.0) -> DataFrame:
+    """Equity, peak (never below `least`; None: the first equity is the first peak) and drawdown after each trade.
 
     Running sums go over the trades of one key and day; what the days before leave (sum and peak) comes from one row per day, so a hot key is spread over its days."""
     day = [*by, "_day"]
@@ -76,7 +76,7 @@ def drawdown(trades: DataFrame, *by: str, value: str = "r_multiple", time: str =
     days = df.groupBy(*day).agg(F.sum(value).alias("_total"), F.max("_own").alias("_top"))
     before = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0.0)))
-    days = days.withColumn("_peak", F.greatest(F.max(F.col("_before") + F.col("_top")).over(before), F.lit(0.0))).select(*day, "_before", "_peak")
+    days = days.withColumn("_peak", F.greatest(F.max(F.col("_before") + F.col("_top")).over(before), F.lit(least).cast("double"))).select(*day, "_before", "_peak")
     df = df.join(days, day).withColumn("equity", F.col("_before") + F.col("_own"))
     df = df.withColumn("peak", F.greatest(F.max("equity").over(inside), F.col("_peak")))
     return df.withColumn("drawdown", F.col("peak") - F.col("equity")).select(*trades.columns, "equity", "peak", "drawdown")
@@ -125,11 +125,23 @@ def bucket_metrics(trades: DataFrame, bucket: Column, buckets: list | None = Non
 
 
 def hold_durations(trades: DataFrame) -> DataFrame:
-    """Quantiles of the bars held by outcome, and the correlation with R."""
-    q = F.percentile("bars_held", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9))))
-    df = trades.groupBy("outcome").agg(F.count("*").alias("n"), q.alias("q"), rounded(F.avg("bars_held")).alias("mean_bars"), rounded(F.corr("bars_held",
-        "r_multiple")).alias("corr_r"))
-    return df.select("outcome", "n", "mean_bars", "corr_r", *[rounded(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((25, 50, 75, 90))])
+    """The bars held of all trades, and their correlation with R (from six trades on) with its p-value by the normal law."""
+    df = trades.where(F.col("bars_held").isNotNull())
+    b = F.col("bars_held")
+    q = F.percentile(b, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9))))
+    df = df.agg(F.count("*").alias("n"), F.avg(b).alias("mean"), F.stddev_samp(b).alias("sd"), F.min(b).alias("low"), F.max(b).alias("high"), q.alias("q"), F.corr(b, "r_multiple").alias("c"))
+    c = F.when(F.col("n") > 5, F.col("c"))
+    t = F.abs(c) * F.sqrt(F.try_divide(F.col("n") - 2, 1 - c * c))
+    p = F.when(F.abs(c) < 1, normal_two_sided(t)).when(c.isNotNull(), 0.0)
+    return df.where("n > 0").select("n", rounded(F.col("mean")).alias("mean_bars"), rounded(F.coalesce("sd", F.lit(0.0))).alias("std_bars"), F.col("low").alias("min_bars"),
+        F.col("high").alias("max_bars"), *[rounded(F.col("q")[i]).alias(f"p{k}") for i, k in enumerate((25, 50, 75, 90))], rounded(c).alias("pearson_r"),
+        rounded(p, 6).alias("p_value"), (p < 0.05).alias("significant"))
+
+
+def hold_by_outcome(trades: DataFrame) -> DataFrame:
+    """Count, mean and median of the bars held by outcome."""
+    df = trades.where(F.col("bars_held").isNotNull()).groupBy("outcome").agg(F.count("*").alias("n"), F.avg("bars_held").alias("mean"), F.percentile("bars_held", F.lit(0.5)).alias("q"))
+    return df.select("outcome", "n", rounded(F.col("mean")).alias("mean_bars"), rounded(F.col("q")).alias("median_bars"))
 
 
 def exit_reasons(trades: DataFrame) -> DataFrame:

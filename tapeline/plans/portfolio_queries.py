@@ -50,10 +50,15 @@ def t7_allocation(spark, d):
     return p.allocation(joins.daily_r(trades(spark, d)))
 
 
-@query(""", n AS (SELECT strategy, r_multiple, row_number() OVER w AS n, sum(r_multiple) OVER w AS equity FROM trades WINDOW w AS (PARTITION BY strategy
- ORDER BY entry_time)), k AS (SELECT *, greatest(max(equity) OVER (PARTITION BY strategy ORDER BY n), 0) - equity AS dd FROM n) SELECT strategy, count(*) AS trades,
- round(regr_slope(equity, n) + 1.37E-7, 6) + 0.0E0 AS slope, round(regr_r2(equity, n) + 1.37E-7, 4) AS fit, round(sum(r_multiple) / nullif(max(dd), 0) + 1.37E-7,
- 4) + 0.0E0 AS recovery_factor FROM k GROUP BY strategy""")
+@query(""", n AS (SELECT strategy, entry_time, r_multiple, pnl_usd, row_number() OVER w - 1 AS no, 10000 + sum(pnl_usd) OVER w AS e FROM trades
+ WINDOW w AS (PARTITION BY strategy ORDER BY entry_time)), k AS (SELECT *, max(e) OVER (PARTITION BY strategy ORDER BY no) AS peak FROM n), x AS (SELECT *, peak - e AS dd FROM k),
+f AS (SELECT strategy, dd, peak, entry_time, row_number() OVER (PARTITION BY strategy ORDER BY dd DESC, no) AS i FROM x),
+g AS (SELECT strategy, count(*) AS trades, sum(pnl_usd) AS pnl, avg(r_multiple) AS m, stddev_samp(r_multiple) AS sd, greatest(1, datediff('second', min(entry_time),
+ max(entry_time)) // 86400) AS days, regr_r2(e, no) AS r2, regr_slope(CASE WHEN pnl_usd > 0 THEN 1.0E0 ELSE 0 END, no) AS slope FROM x GROUP BY strategy)
+SELECT strategy, trades, round(dd + 1.37E-7, 2) + 0.0E0 AS max_dd, round(100 * dd / peak + 1.37E-7, 4) + 0.0E0 AS max_dd_pct, CAST(CAST(entry_time AS DATE) AS VARCHAR) AS max_dd_date,
+ round(m / sd * sqrt(trades / (days / 365.25E0)) + 1.37E-7, 4) + 0.0E0 AS sharpe, round(pnl * 365.25E0 / days / dd + 1.37E-7, 4) + 0.0E0 AS calmar,
+ round(pnl / dd + 1.37E-7, 4) + 0.0E0 AS recovery_factor, round(r2 + 1.37E-7, 4) + 0.0E0 AS equity_r2, round(slope + 1.37E-7, 8) + 0.0E0 AS win_rate_slope
+FROM g JOIN f USING (strategy) WHERE i = 1""")
 def w34_equity_line(spark, d):
     return p.equity_line(trades(spark, d))
 

@@ -95,11 +95,23 @@ def a8_session_matrix(spark, d):
     return t.bucket_metrics(trades(spark, d), F.concat_ws("|", t.session_of(F.col("entry_time")), "strategy"))
 
 
-@query(" SELECT outcome, count(*) AS n, round(avg(bars_held) + 1.37E-7, 4) AS mean_bars, round(corr(bars_held, r_multiple) + 1.37E-7, 4) + 0.0E0 AS corr_r, round(quantile_cont(bars_held, 0.25) + 1.37E-7, 4) AS p25, round(quantile_cont(bars_held, 0.5) + 1.37E-7, 4) AS p50, round(quantile_cont(bars_held, 0.75) + 1.37E-7, 4) AS p75, round(quantile_cont(bars_held, 0.9) + 1.37E-7, 4) AS p90 FROM trades GROUP BY outcome")
+_HOLD = """, h AS (SELECT count(*) AS n, avg(bars_held) AS m, stddev_samp(bars_held) AS sd, min(bars_held) AS lo, max(bars_held) AS hi,
+ quantile_cont(bars_held, [0.25, 0.5, 0.75, 0.9]) AS q, corr(bars_held, r_multiple) AS c FROM trades WHERE bars_held IS NOT NULL), t AS (SELECT *, abs(c) * sqrt((n - 2) / (1 - c * c)) AS t FROM h),
+p AS (SELECT *, 2 * (1 - """ + normal_sql("t") + """) AS p FROM t)"""
+
+
+@query(_HOLD + """ SELECT n, round(m + 1.37E-7, 4) AS mean_bars, round(sd + 1.37E-7, 4) AS std_bars, lo AS min_bars, hi AS max_bars, round(q[1] + 1.37E-7, 4) AS p25, round(q[2] + 1.37E-7, 4) AS p50,
+ round(q[3] + 1.37E-7, 4) AS p75, round(q[4] + 1.37E-7, 4) AS p90, round(c + 1.37E-7, 4) + 0.0E0 AS pearson_r, round(p + 1.37E-7, 6) + 0.0E0 AS p_value, p < 0.05 AS significant FROM p""")
 def a14_hold_durations(spark, d):
     return t.hold_durations(trades(spark, d))
 
 
+@query(""" SELECT outcome, count(*) AS n, round(avg(bars_held) + 1.37E-7, 4) AS mean_bars, round(quantile_cont(bars_held, 0.5) + 1.37E-7, 4) AS median_bars FROM trades
+ WHERE bars_held IS NOT NULL GROUP BY outcome""")
+def a14_hold_by_outcome(spark, d):
+    return t.hold_by_outcome(trades(spark, d))
+
+
 @query(", c AS (SELECT strategy, outcome, count(*) AS n FROM trades GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY strategy) + 1.37E-7, 4) AS share, CAST(row_number() OVER (PARTITION BY strategy ORDER BY n DESC, outcome) AS INT) AS place FROM c")
 def a12_exit_reasons(spark, d):
     return t.exit_reasons(trades(spark, d))
@@ -333,7 +345,8 @@ k AS (SELECT *, mu / sd AS sr, (m3 - 3 * mu * m2 + 2 * pow(mu, 3)) / pow(m2 - mu
  4)) / pow(m2 - mu * mu, 2) AS kurt FROM m),
 x AS (SELECT *, (sr - {_BEST!r}) / sqrt((1 + 0.5E0 * sr * sr - skew * sr + (kurt - 3) / 4 * sr * sr) / (n - 1)) AS x FROM k)
 SELECT strategy, n, round(sr + 1.37E-7, 4) + 0.0E0 AS sharpe, round(x + 1.37E-7, 3) + 0.0E0 AS statistic, round(1 - {normal_sql("x")} + 1.37E-7,
- 6) + 0.0E0 AS p_value, 1 - {normal_sql("x")} < 0.05 AS significant FROM x""")
+ 6) + 0.0E0 AS p_value, 1 - {normal_sql("x")} < 0.05 AS significant, CAST(CASE WHEN sr <= 0 THEN 252 WHEN sr <= {_BEST!r} THEN 99999
+ ELSE greatest(30, 1 + ceil(pow(1.6448536269514722E0, 2) * (1 + 0.5E0 * sr * sr - skew * sr + (kurt - 3) / 4 * sr * sr) / pow(sr - {_BEST!r}, 2))) END AS BIGINT) AS min_length FROM x""")
 def t5_deflated_sharpe(spark, d):
     return st.deflated_sharpe(trades(spark, d))
 

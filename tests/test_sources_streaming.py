@@ -73,17 +73,31 @@ def test_replace_is_finished_after_a_stop(spark, tmp_path):
     assert tables.read_bars(spark, path).count() == 3 and os.listdir(tmp_path) == ["bars"]
 
 
-def test_drawdown_guard(spark, tmp_path):
-    rows = [("a", T0 + dt.timedelta(minutes=i), r) for i, r in enumerate([1.0, -1.0, -1.0, -1.0, 2.0, 2.0])]
+def guarded(spark, tmp_path, name, values, **options):
+    rows = [("a", T0 + dt.timedelta(minutes=i), r) for i, r in enumerate(values)]
     df = spark.createDataFrame(rows, "strategy string, ts timestamp, r_multiple double")
-    df.write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    q = candles.drawdown_guard(stream, losses=3, cooldown=2).writeStream.format("memory").queryName("guard").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
+    df.write.parquet(f"{tmp_path}/{name}")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/{name}")
+    q = candles.drawdown_guard(stream, **options).writeStream.format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c_{name}").start()
     q.awaitTermination(120)
-    got = spark.table("guard").orderBy("ts").collect()
+    return spark.table(name).orderBy("ts").collect()
+
+
+def test_drawdown_guard(spark, tmp_path):
+    got = guarded(spark, tmp_path, "guard", [1.0, -1.0, -1.0, -1.0, 2.0, 2.0], losses=3, cooldown=2)
     assert [r.streak for r in got] == [0, 1, 2, 3, 0, 0] and [r.paused for r in got] == [False, False, False, True, True, False] and got[3].overall_dd == 3.0
 
 
+def test_guard_pauses_anew_and_breakeven_is_no_loss(spark, tmp_path):
+    # the streak goes on through the pause: it is lifted at the second trade after it and renewed by the same trade
+    got = guarded(spark, tmp_path, "renewed", [-1.0] * 7 + [1.0, 1.0, 0.0, 0.0, 0.0], losses=3, cooldown=2)
+    assert [r.paused for r in got] == [False, False, True, True, True, True, True, True, False, False, False, False]
+    assert [r.reason for r in got][2:8] == ["streak"] * 6 and [r.streak for r in got][-3:] == [0, 0, 0]
+    # a fall within the window, counted from its own first trade
+    got = guarded(spark, tmp_path, "window", [5.0, -1.0, -1.0, -2.0, 4.0], window=3, limit=3.0, losses=9, cooldown=1)
+    assert [r.reason for r in got] == ["", "", "", "window", ""] and [r.window_dd for r in got] == [0.0, 1.0, 2.0, 3.0, 2.0]
+
+
 def test_ewm_blocks_agree(spark):
     df = bars(spark, [float((i * 37) % 11) for i in range(50)])
     one, many = (se.ewm(df, {"y": ("close", 0.1)}, block=b).orderBy("bar_ts").collect() for b in (1000, 7))

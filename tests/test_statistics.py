@@ -50,3 +50,15 @@ def test_bootstrap(trades):
 def test_partitions_do_not_change_draws(trades):
     for f in (st.sign_flip, st.bootstrap):
         assert sorted(f(trades.repartition(1)).collect()) == sorted(f(trades.repartition(7)).collect())
+
+
+def test_minimum_length(spark):
+    from pyspark.sql import functions as F
+
+    def length(sr, trials, **more):
+        return spark.createDataFrame([(sr,)], "sr double").select(st.minimum_length(F.col("sr"), trials, **more)).first()[0]
+
+    assert length(0.0, 100) == 252 and length(2.0, 1) == 252 and length(2.0, 100) == 99_999
+    best, z = st.expected_best(100), NormalDist().inv_cdf(0.95)
+    assert length(3.0, 100) == max(30, -int(-(z * z * (1 + 0.5 * 9) / (3 - best) ** 2) // 1) + 1)
+    assert length(9.0, 100) == 30 and length(3.0, 100, kurt=9.0) > length(3.0, 100)
