@@ -3,8 +3,8 @@
 Each task counts terms and the documents that hold them per (lang, source) and gives its sums in slices; terms in enough documents of their lang are kept.
 A group's share of a term is p = 1 + floor(scale * (count + 5) / (N + 5 V)), so a group without the term has a baseline share of its own, not zero.
 
-Distances of all sources of a lang: kept terms are dealt by hash to blocks of about `block` postings (a posting: a source that has the term), so a hot
-lang or term set goes to as many tasks as it needs.  A block holds its postings twice, by term (the index) and by source.  For each source the task
+Distances of all sources of a lang: kept terms are dealt by hash to blocks of a tenth of `block` to `block` postings (a posting: a source that has the
+term), more where there are many sources and so many sums, so a hot lang or term set goes to as many tasks as it needs.  A block holds its postings twice, by term (the index) and by source.  For each source the task
 goes through its terms, takes each term's list from the term-major index and scatters the differences into one dense accumulator over all
 peers; no pair of postings leaves the task, only sums per pair of sources.  What the lists lack is corrected: of terms that only one side has, the
 difference to the other's baseline comes from sorted shares and prefix sums; terms that neither has give the difference of the baselines times
@@ -126,7 +126,8 @@ def audit(docs: DataFrame, *, min_docs: int = 30, top: int = 50, scale: int = 1_
     none = F.col("terms") == 0
     share = lambda n, total: F.when(none, F.lit(0)).otherwise(_share(n, F.col(total), F.greatest("terms", F.lit(1)), scale, plus))
     groups = groups.join(per_lang, "lang").withColumn("baseline", share(F.lit(0), "total"))
-    groups = groups.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("lang_postings") / block)).cast("int"))
+    per_block = F.least(F.lit(block), F.greatest(F.lit(block // 10), F.col("sources") * F.col("sources")))  # no more sums than postings where that can be
+    groups = groups.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("lang_postings") / per_block)).cast("int"))
     tiles = F.least(F.col("sources"), F.ceil(F.col("sources") * F.col("sources") / pairs)).cast("int")
     groups = saved(groups.select("lang", "source", "total", "terms", "lang_total", "baseline", "blocks", tiles.alias("tiles")), "groups")  # a row per source of a lang
 
