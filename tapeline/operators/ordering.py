@@ -54,3 +54,12 @@ def in_blocks(df: DataFrame, by: list[str], back: int, *, no: str = "no", block:
     near = df.withColumn("_shift", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("_block", F.col("_block") + F.col("_shift")).withColumn("_halo", F.lit(True))
     near = near.where(F.col(no) > F.col("_block") * block - back).drop("_shift")
     return df.union(near)
+
+
+def greatest_before(df: DataFrame, by: list[str], value: str, *, no: str = "no", block: int = 4096, name: str = "before") -> DataFrame:
+    """df with the greatest `value` of all rows with a smaller `no` within `by`; blocks of whole numbers carry one value each."""
+    df = df.withColumn("_gb", F.floor(F.col(no) / block))
+    up = Window.partitionBy(*by).orderBy("_gb").rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(*by, "_gb").agg(F.max(value).alias("_top")).select(*by, "_gb", F.max("_top").over(up).alias("_carried"))
+    inside = Window.partitionBy(*by, "_gb").orderBy(no).rangeBetween(Window.unboundedPreceding, -1)
+    return df.join(tops, [*by, "_gb"]).withColumn(name, F.greatest(F.max(value).over(inside), F.col("_carried"))).drop("_gb", "_carried")
