@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,11 +69,11 @@ def _share(count: Column, total: Column, terms: Column, scale: int, plus: int) -
 
 def _tile(held: pa.Table, n_tiles: int, tile: int) -> pa.Table:
     """Partial distances (lang, source, item, value) of the tile's sources to all of their lang, over one block of terms."""
-    base = held.filter(pa.compute.is_null(held["term"])).sort_by("source")
+    base = held.filter(pc.is_null(held["term"])).sort_by("source")
     lang, first = base["lang"][0], base["first"][0].as_py()
     names, baseline, unseen = base["source"].combine_chunks(), base["baseline"].to_numpy(), base["terms"][0].as_py() if first else 0
-    posts = held.filter(pa.compute.is_valid(held["term"]))
-    who = pa.compute.index_in(posts["source"], value_set=names).to_numpy().astype(np.int64)
+    posts = held.filter(pc.is_valid(held["term"]))
+    who = pc.index_in(posts["source"], value_set=names).to_numpy().astype(np.int64)
     term = posts["term"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
     share, peers = posts["share"].to_numpy(), len(names)
     # the term-major index, and each source's postings in it
