@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
 from .ordering import greatest_before, in_blocks
 
 #: Weights of the score of a touch, and what makes stops and targets. Fixed values of the strategy.
@@ -97,7 +98,7 @@ def zones(bars: DataFrame, *, by: list[str], least: float = 0.002) -> DataFrame:
 def zone_lives(bars: DataFrame, *, by: list[str], least: float = 0.002, age: int = 50) -> DataFrame:
     """G1: zones with `broken` (number of the first bar, up to `age` after it formed, that closes beyond the far edge; null: none, the zone expires) and `touched`
     (first bar from the next on that reaches the near edge, up to `age` after it; null: none)."""
-    z = zones(bars, by=by, least=least)
+    z = cut(zones(bars, by=by, least=least))
     broken = first_passage(z.withColumns({"start": F.col("formed"), "level": F.when(F.col("bullish"), F.col("bottom")).otherwise(F.col("top")), "below": F.col("bullish")}),
         bars, by=by, low="close", high="close")
     timely = lambda c: F.when(F.col(c) - F.col("formed") <= age, F.col(c))
@@ -113,8 +114,8 @@ def touches(bars: DataFrame, *, by: list[str], least: float = 0.002, age: int =
     """G1: each bar that meets a live zone (`retest`) or one that was broken and changed sides (`flipped`), where the gates let it pass and the score is high enough.
 
     bars: by, no, bar_ts, OHLCV, atr, and where there are such columns rsi, ema_50 with ema_200, structure, dvol, calm (true: no trade), rv_rank (0 to 1)."""
-    have = set(bars.columns)
-    lives = zone_lives(bars, by=by, least=least, age=age)
+    have, bars = set(bars.columns), cut(bars)
+    lives = cut(zone_lives(bars, by=by, least=least, age=age))
     same = [*by, "top", "bottom", "share", "busy", "formed"]
     retest = lives.select(*same, F.lit(0).alias("flipped"), F.col("formed").alias("since"), F.col("bullish").alias("long"), F.least(F.col("formed") + age, F.col("broken") - 1).alias("until"))
     flipped = lives.where("broken IS NOT NULL").select(*same, F.lit(1).alias("flipped"), F.col("broken").alias("since"), (~F.col("bullish")).alias("long"), (F.col("broken") + age).alias("until"))
@@ -176,7 +177,7 @@ def zone_signals(bars: DataFrame, *, by: list[str], least: float = 0.002, age: i
     breaks zones) once, COOLDOWN bars apart, with stop and targets.
 
     Touches fall into stretches that share neither a zone nor a cooldown; within one the choice is a fold over its touches, which holds the zones of the last `age` bars."""
-    found = touches(bars, by=by, least=least, age=age, confidence=confidence)
+    found = cut(touches(bars, by=by, least=least, age=age, confidence=confidence))
     spans = found.groupBy(*by, "flipped", "since").agg(F.min("no").alias("no"), (F.max("no") + COOLDOWN).alias("_end"))
     starts = greatest_before(spans, by, "_end").where(F.col("before").isNull() | (F.col("before") <= F.col("no"))).select(*by, F.col("no").alias("_begin")).distinct()
     # of each touch the last stretch that begins at or before it
