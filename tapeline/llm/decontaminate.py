@@ -6,9 +6,10 @@ runs of words that the benchmark knows and that are long enough to hold a phrase
 suffix array, Burrows-Wheeler transform and wavelet matrix over them, finds every phrase by backward search, locates the
 occurrences by walking to sampled suffix positions, and merges the spans.
 
-The benchmark is cut into blocks of at most about `block_words` words; tasks make their phrase tables, and the driver, a broadcast and a Python
-worker hold one block at a time.  A benchmark of one block is judged in one pass without a shuffle.  With more, each block has a pass over
-the corpus that writes its hits alone, then the hits of a document are merged; only hits and the documents that a bitmap of theirs lets pass are shuffled.
+The benchmark is cut into blocks of at most about `block_words` words; tasks make their phrase tables.  A benchmark of one block is judged in one pass
+without a shuffle.  With more, blocks are searched `pass_words` words at a time: the index of a shard is built once over the words that any block of the pass
+knows, and the blocks, pickled in one broadcast of that bounded size, are opened and searched one after another.  A pass writes its hits alone, then the
+hits of a document are merged; only hits and the documents that a bitmap of theirs lets pass are shuffled.
 
 Defined results: a null or empty text has no words and no hit; very long texts are taken whole, as a shard of their own if need be; a null or empty item
 has no phrase; a null item_id counts as the empty string; repeated documents are judged one by one; repeated items count once by item_id, and a
@@ -64,6 +65,29 @@ class Phrases:
         self.shortest = int(self.length.min()) if len(found) else 0
 
 
+class Group:
+    """Blocks that are searched in one pass: one vocabulary for all, and the blocks in its ids, pickled but for a single one."""
+
+    def __init__(self, blocks: Iterable[Phrases]):
+        self.vocab: dict[bytes, int] = {}
+        self.shortest, self.top, self.held = 0, 0, []
+        for one in blocks:
+            if len(one.length):
+                ids = np.zeros(len(one.vocab) + 1, np.int32)
+                for word, k in one.vocab.items():
+                    ids[k] = self.vocab.setdefault(word, len(self.vocab) + 1)
+                one.matrix, one.vocab = ids[one.matrix], {}
+                self.top = max(self.top, int(one.matrix.max()))
+                self.shortest = min(self.shortest or one.shortest, one.shortest)
+                self.held.append(pickle.dumps(one, 5))
+        if len(self.held) == 1:
+            self.held = [pickle.loads(self.held[0])]
+
+    def blocks(self) -> Iterator[Phrases]:
+        for one in self.held:
+            yield pickle.loads(one) if isinstance(one, bytes) else one
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], window: int, most: int) -> Iterator[pa.RecordBatch]:
     """Item words in pieces of at most `most` that overlap by window - 1, so that each phrase lies whole in one."""
     for batch in batches:
@@ -183,23 +207,27 @@ class FMIndex:
         return self.sa[at] + steps
 
 
-def _search(ids: np.ndarray, doc_of: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids: the block's id of each word of the shard (0: not in the benchmark). Returns phrase, first word and length of each hit."""
-    none = np.zeros(0, np.int64)
+def _indexed(ids: np.ndarray, doc_of: np.ndarray, shortest: int, top: int) -> tuple[FMIndex, np.ndarray] | None:
+    """ids: the pass's id of each word of the shard (0: not in the benchmark). The index over the runs of known words that can hold a phrase, and the words' places."""
     edge = np.concatenate([[True], (doc_of[1:] != doc_of[:-1]) | ((ids[1:] > 0) != (ids[:-1] > 0)), [True]])
     cut = np.flatnonzero(edge)
     begin, end = cut[:-1], cut[1:]
-    long = (ids[begin] > 0) & (end - begin >= phrases.shortest)
+    long = (ids[begin] > 0) & (end - begin >= shortest)
     begin, size = begin[long], (end - begin)[long]
     if not len(begin):
-        return none, none, none, none
+        return None
     start = np.concatenate([[0], np.cumsum(size + 1)])
     place = np.full(start[-1], -1, np.int64)
     inside = np.ones(start[-1], bool)
     inside[start[1:] - 1] = False
     place[inside] = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
     seq = np.where(inside, ids[place], 0).astype(np.int64)
-    index = FMIndex(seq, int(phrases.matrix.max()))
+    return FMIndex(seq, top), place
+
+
+def _search(index: FMIndex, place: np.ndarray, doc_of: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase, first word, length and document of each hit of a block."""
+    none = np.zeros(0, np.int64)
     low, high = index.find(phrases)
     some = np.flatnonzero(high > low)
     n = (high - low)[some]
@@ -211,17 +239,18 @@ def _search(ids: np.ndarray, doc_of: np.ndarray, phrases: Phrases) -> tuple[np.n
     return which, first, phrases.length[which], doc_of[first]
 
 
-def _judge(texts: list[str | None], phrases: Phrases) -> list[tuple[int, list[str], list[tuple[int, int]]]]:
+def _judge(texts: list[str | None], group: Group) -> list[tuple[int, list[str], list[tuple[int, int]]]]:
     """Of each text of a shard: words, item ids, and the merged spans in words."""
     ids, size = [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
         words = _split(text)
         size[k] = len(words)
-        ids.append(np.fromiter((phrases.vocab.get(w, 0) for w in words), np.int32, len(words)))
+        ids.append(np.fromiter((group.vocab.get(w, 0) for w in words), np.int32, len(words)))
     doc_of, start = np.repeat(np.arange(len(texts)), size), np.concatenate([[0], np.cumsum(size)])
     depth, items = np.zeros(int(start[-1]) + 1, np.int32), [set() for _ in texts]
-    if len(doc_of) and len(phrases.length):
-        which, first, length, doc = _search(np.concatenate(ids), doc_of, phrases)
+    found = _indexed(np.concatenate(ids), doc_of, group.shortest, group.top) if len(doc_of) and group.held else None
+    for phrases in group.blocks() if found else ():
+        which, first, length, doc = _search(*found, doc_of, phrases)
         np.add.at(depth, first, 1)
         np.add.at(depth, first + length, -1)
         for d, p in set(zip(doc.tolist(), which.tolist(), strict=True)):
@@ -288,7 +317,7 @@ _KIND = "doc_id long, n_words long, n_hit long, items array<string>, items_sha25
 def _one_block(docs: DataFrame, blocks: DataFrame):
     """The phrases of a benchmark of at most one block, broadcast."""
     row = blocks.first()
-    return docs.sparkSession.sparkContext.broadcast(pickle.loads(bytes(row["phrases"])) if row else Phrases([], 1))
+    return docs.sparkSession.sparkContext.broadcast(Group([pickle.loads(bytes(row["phrases"]))] if row else []))
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -296,11 +325,13 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_mark", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).cast("binary")))
 
 
-def _block_hits(docs: DataFrame, blocks: DataFrame, shard_chars: int) -> DataFrame:
-    """(_mark, items, spans) of the documents that any block hits: one pass over the corpus for each block, of which only its hits are written."""
+def _block_hits(docs: DataFrame, blocks: DataFrame, at_once: int, shard_chars: int) -> DataFrame:
+    """(_mark, items, spans) of the documents that any block hits: one pass over the corpus for each `at_once` blocks, of which only its hits are written."""
     texts, spark, tables = _marked(docs).select("_mark", "text"), docs.sparkSession, []
-    for (no,) in blocks.select("no").collect():  # numbers only
-        shared = spark.sparkContext.broadcast(pickle.loads(bytes(blocks.where(F.col("no") == no).first()["phrases"])))
+    numbers = sorted(no for (no,) in blocks.select("no").collect())  # numbers only
+    for i in range(0, len(numbers), at_once):
+        some = (pickle.loads(bytes(blocks.where(F.col("no") == no).first()["phrases"])) for no in numbers[i : i + at_once])
+        shared = spark.sparkContext.broadcast(Group(some))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -320,7 +351,8 @@ def _block_hits(docs: DataFrame, blocks: DataFrame, shard_chars: int) -> DataFra
     return merged
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 200_000, shard_chars: int = 8_000_000, with_text: bool = True) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 200_000, pass_words: int = 2_000_000, shard_chars: int = 8_000_000,
+                       with_text: bool = True) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, items, items_sha256, spans (pairs of word offsets), clean_text (spans cut out; null unless with_text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = phrase_blocks(benchmark, window, block_words)
@@ -334,7 +366,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 1
                     yield _record([_row(d, t, *x, with_text) for d, t, x in zip(doc_ids[a:b], texts[a:b], _judge(texts[a:b], shared.value), strict=True)])
 
         return docs.mapInArrow(run, _KIND)
-    hits = _block_hits(docs, blocks, shard_chars)
+    hits = _block_hits(docs, blocks, max(1, pass_words // block_words), shard_chars)
     marks = bitmap(hits.select("_mark"), "_mark")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +381,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 1
     return clean.union(rest).mapInArrow(finish, _KIND)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 200_000, shard_chars: int = 8_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 200_000, pass_words: int = 2_000_000, shard_chars: int = 8_000_000) -> DataFrame:
     """The documents without a hit, with all their columns."""
     blocks = phrase_blocks(benchmark, window, block_words)
     if blocks.count() <= 1:
@@ -362,7 +394,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
-    hits = _block_hits(docs, blocks, shard_chars).select("_mark")
+    hits = _block_hits(docs, blocks, max(1, pass_words // block_words), shard_chars).select("_mark")
     marks = bitmap(hits, "_mark")
     rows = _marked(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"))
     left = maybe_among(rows, F.col("_mark"), marks, among=False).select("_row").union(maybe_among(rows, F.col("_mark"), marks).join(hits, "_mark", "left_anti").select("_row"))
