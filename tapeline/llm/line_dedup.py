@@ -5,8 +5,9 @@ Lines are split at newlines and trimmed of ASCII white space; blank lines are le
 unchanged in any line that near; a probing line looks up, for each possible length, only those substrings that can be that segment (length-aware
 multi-match windows).  A probe whose key no other line has in the index, by a bitmap of bounded size, is not sent.  A join row also carries 64 parity
 bits over the line's bigrams, of which an edit flips at most four; pairs that differ in more cannot be near and never leave the join, so a
-segment that thousands of lines share does not give all their pairs.  Keys with more than `hot` index lines are dealt to as many tasks as they have
-`hot` lines, and their probes go to each.  The remaining pairs are verified by a banded bit-parallel edit distance.  Classes are the connected
+segment that thousands of lines share does not give all their pairs.  A key that more than `hot` index lines share is not joined as it is: what is left of its
+lines without the segment lies within the same distance, so the key is extended by a segment of the rest in the same way, again and again until no key is crowded or the
+rest is too short to be cut.  Keys that stay crowded even then are dealt to as many tasks as they have `hot` lines, and their probes go to each.  The remaining pairs are verified by a banded bit-parallel edit distance.  Classes are the connected
 components; of a class the occurrence first by (doc_id, line number) stays, all others are removed.
 
 Defined results: null and blank texts have no lines; lines of fewer than `min_chars` letters (by default distance + 1, as shorter ones are within the
@@ -151,6 +152,71 @@ def _cut(batches: Iterator[pa.RecordBatch], k: int, probing: bool) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), *(batch.column(c).take(again) for c in (1, 2, 3)), pa.array(own, pa.bool_())], ["key", "doc", "pos", "sig", "own"])
 
 
+def _recut(batches: Iterator[pa.RecordBatch], k: int, probing: bool) -> Iterator[pa.RecordBatch]:
+    """Index or probe rows (rest, key, doc, pos, sig, ended) of lines or rests with a key: the key extended by a segment, and what is left without it.
+
+    Rests that are too short to be cut have one key, which probes of up to twice the distance share with them."""
+    plan: dict[int, list] = {}
+    for batch in _slices(batches, rows=500):
+        rests, keys, ended, times = [], [], [], np.zeros(batch.num_rows, np.int64)
+        for row, (text, old) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            n, salt = len(text), b"" if old is None else old.to_bytes(8, "little", signed=True)
+            if n not in plan:
+                if len(plan) > 5000:
+                    plan.clear()
+                plan[n] = [x[:4] for x in probes(n, k)] if probing else [(n, i, p, s) for i, (p, s) in enumerate(segments(n, k))] if n > k else []
+            out = plan[n]
+            keys += [xxhash.xxh3_64_intdigest(text[p : p + s].encode("utf-8", "surrogatepass") + salt, m * (k + 1) + i) for m, i, p, s in out]
+            rests += [text[:p] + text[p + s :] for _, _, p, s in out]
+            short = n <= (2 * k if probing else k)
+            if short:
+                keys.append(xxhash.xxh3_64_intdigest(salt, (1 << 40) + k))
+                rests.append("")
+            ended += [False] * len(out) + [True] * short
+            times[row] = len(out) + short
+        again = pa.array(np.repeat(np.arange(batch.num_rows), times))
+        yield pa.RecordBatch.from_arrays([pa.array(rests, pa.string()), pa.array(np.array(keys, np.uint64).view(np.int64)), *(batch.column(c).take(again) for c in (2, 3, 4)), pa.array(ended, pa.bool_())],
+            ["rest", "key", "doc", "pos", "sig", "ended"])
+
+
+def _dealt(probe: DataFrame, index: DataFrame, hot: int) -> DataFrame:
+    """probe join index by key; keys with more than `hot` index rows are dealt to several tasks."""
+    often = saved(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("s")), "hot-segments")
+    if often.isEmpty():
+        return probe.join(index, "key")
+    parts = probe.join(often, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1))).drop("s")
+    dealt = index.join(often, "key", "left").withColumn("part", F.pmod(F.xxhash64("xd", "xp"), F.coalesce("s", F.lit(1))).cast("int")).drop("s")
+    return parts.join(dealt, ["key", "part"])
+
+
+def _crowded(long: DataFrame, index: DataFrame, probe: DataFrame, often: DataFrame, k: int, hot: int, near_bits: Column, levels: int = 12) -> DataFrame:
+    """Pairs that meet in crowded keys, by keys extended with segments of the rest until none is crowded."""
+    key, kind = F.col("key"), "rest string, key long, doc long, pos int, sig long, ended boolean"
+    marks = bitmap(often, "key")
+    place = F.struct("doc", "pos")
+    ids = maybe_among(index, key, marks).select(F.col("xd").alias("doc"), F.col("xp").alias("pos")).union(maybe_among(probe, key, marks).select("yd", "yp")).distinct()
+    some = maybe_among(long, place, bitmap(saved(ids.select(place.alias("id")), "crowded-lines"), "id"))
+    start = some.select(F.col("line").alias("rest"), F.lit(None).cast("long").alias("key"), "doc", "pos", "sig")
+    xs, ys = (maybe_among(start.mapInArrow(lambda b, p=p: _recut(b, k, p), kind), key, marks) for p in (False, True))
+    found = None
+    for level in range(levels):
+        columns = ("rest", "key", "doc", "pos", "sig")
+        xs = saved(xs.select(*columns).mapInArrow(lambda b: _recut(b, k, False), kind), "extended-segments")
+        ys = saved(maybe_among(ys.select(*columns).mapInArrow(lambda b: _recut(b, k, True), kind), key, bitmap(xs, "key")), "extended-probes")
+        full = saved(xs.where("NOT ended").groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded-keys")
+        last = full.isEmpty() or level == levels - 1
+        marks = bitmap(full, "key")
+        plain = [df if last else df.where("ended").union(maybe_among(df.where("NOT ended"), key, marks, among=False)) for df in (xs, ys)]
+        x = plain[0].select("key", F.col("doc").alias("xd"), F.col("pos").alias("xp"), F.col("sig").alias("xs"))
+        y = plain[1].select("key", F.col("doc").alias("yd"), F.col("pos").alias("yp"), F.col("sig").alias("ys"))
+        met = _dealt(y, x, hot).where(near_bits).select("xd", "xp", "xs", "yd", "yp", "ys")
+        found = met if found is None else found.union(met)
+        if last:
+            return found
+        xs, ys = (maybe_among(df.where("NOT ended"), key, marks) for df in (xs, ys))
+    return found
+
+
 def _near(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield batch.select([0, 1]).filter(pa.array([within(a, b, k) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_()))
@@ -185,15 +251,15 @@ def line_classes(docs: DataFrame, *, distance: int = 2, min_chars: int | None =
     probe = saved(probe.select("key", F.col("doc").alias("yd"), F.col("pos").alias("yp"), F.col("sig").alias("ys")), "probes")
     index = saved(maybe_among(every, F.col("key"), bitmap(probe, "key")), "segments")
     crowded = not marks.where(F.col("_top") > hot).isEmpty()
-    often = saved(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("s")), "hot-segments") if crowded else None
-    spent(every, marks)
     near_bits = (F.bit_count(F.col("xs").bitwiseXOR(F.col("ys"))) <= 4 * distance) & ((F.col("xd") != F.col("yd")) | (F.col("xp") != F.col("yp")))
-    if often is None:
+    often = saved(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "hot-segments") if crowded else None
+    spent(every, marks)
+    if often is None or often.isEmpty():
         met = probe.join(index, "key")
     else:
-        parts = probe.join(often, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1))).drop("s")
-        dealt = index.join(often, "key", "left").withColumn("part", F.pmod(F.xxhash64("xd", "xp"), F.coalesce("s", F.lit(1))).cast("int")).drop("s")
-        met = parts.join(dealt, ["key", "part"])
+        hot_keys = bitmap(often, "key")
+        plain = maybe_among(probe, F.col("key"), hot_keys, among=False).join(maybe_among(index, F.col("key"), hot_keys, among=False), "key")
+        met = plain.select("xd", "xp", "xs", "yd", "yp", "ys").union(_crowded(long, index, probe, often, distance, hot, near_bits))
     x, y = F.struct(F.col("xd").alias("doc"), F.col("xp").alias("pos")), F.struct(F.col("yd").alias("doc"), F.col("yp").alias("pos"))
     pairs = saved(met.where(near_bits).select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct(), "line-pairs")
     spent(probe, index, often)

@@ -101,6 +101,26 @@ def test_decontaminate(spark, docs, block_words):
     assert sorted(map(str, clean)) == sorted(str(r) for r in docs.collect() if not brute_hits([r.text], items)[0][1])
 
 
+@pytest.mark.parametrize("pass_words, passes", [(2_000_000, 1), (250, 12)])
+def test_blocks_share_an_index(spark, monkeypatch, pass_words, passes):
+    """A benchmark of some twenty blocks is searched in as few passes as `pass_words` asks for, with the hits of one block."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(words, k=25))) for i in range(40)]
+    texts = [" ".join([*rng.choices(words, k=20), *items[i % 40][1].split()[3:16], *rng.choices(words, k=5)]) if i % 3 else "nothing here" for i in range(60)]
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, _mark string, _row int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    made, real = [], dc.saved
+    monkeypatch.setattr(dc, "saved", lambda frame, name: made.append(name) or real(frame, name))
+    options = dict(block_words=50, pass_words=pass_words)
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in dc.find_contamination(df, bench, **options).collect()}
+    assert got == dict(enumerate(brute_hits(texts, items)))
+    assert min(passes, 2) <= made.count("block-hits") <= passes
+    clean = dc.drop_contaminated(df, bench, **options)
+    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {i for i, g in got.items() if not g[1]}
+    assert all(tuple(r)[2:] == ("clash", 1) for r in clean.collect())
+
+
 def test_blocks_are_bounded(spark):
     bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(200))) for i in range(30)], "item_id long, text string")
     blocks = [pickle.loads(bytes(r.phrases)) for r in dc.phrase_blocks(bench, 10, 1000).collect()]
@@ -117,7 +137,7 @@ def test_decontaminate_empty(docs, none, spark):
 @settings(max_examples=40, deadline=None)
 @given(st.text("ab ", max_size=60), st.text("ab ", max_size=8))
 def test_index_finds_all(text, item):
-    n, found, spans = dc._judge([text], dc.Phrases([("i", dc._split(item))], 3))[0]
+    n, found, spans = dc._judge([text], dc.Group([dc.Phrases([("i", dc._split(item))], 3)]))[0]
     assert (n, sum(b - a for a, b in spans), found) == brute_hits([text], [("i", item)], 3)[0]
 
 
@@ -199,6 +219,32 @@ def test_short_lines_and_hot_segments(spark):
         line_dedup.line_classes(df, distance=32)
 
 
+def test_crowded_segments_give_no_square(spark, monkeypatch):
+    """Lines that share most of their letters: keys are extended until few lines share one, and no link is lost."""
+    rng = random.Random(3)
+    head = "all of these lines begin in the very same way and go on like that for long "
+    tails = ["".join(rng.choices("abcdefghij", k=14)) for _ in range(700)]
+    tails += [t[:5] + "X" + t[6:] for t in tails[:40]] + [t[1:] + "Y" for t in tails[40:60]]
+    lines = [head + t for t in tails] + [f"page {i} of a book with very many pages" for i in range(30)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    met = []
+    real = line_dedup._dealt
+
+    def counted(probe, index, hot):
+        met.append(probe.join(index, "key").count())
+        return real(probe, index, hot)
+
+    monkeypatch.setattr(line_dedup, "_dealt", counted)
+    got = {r.line: r.n_links for r in line_dedup.line_classes(df, hot=50).collect()}
+    assert len(met) > 2 and sum(met) < 150 * len(lines)  # all pairs of the two segments that all share would be 1,400 a line
+    near = Counter()
+    for a, x in enumerate(lines):
+        for y in lines[:a]:
+            if abs(len(x) - len(y)) <= 2 and line_dedup.within(x, y, 2):
+                near.update((x, y))
+    assert got == {x: near[x] for x in lines} and sum(near.values()) > 100
+
+
 def test_line_dedup(spark):
     rng = random.Random(5)
     base = ["".join(rng.choices("abcde ", k=rng.randint(18, 40))) + "." for _ in range(25)]
