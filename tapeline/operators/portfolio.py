@@ -169,10 +169,28 @@ def splits(groups: int, tests: int, purge: int) -> list[tuple[list[int], list[in
     out = []
     for test in combinations(range(groups), tests):
         near = {g + d for g in test for d in range(-purge, purge + 1)}
-        out.append(([g for g in range(groups) if g not in near], list(test)))
+        train = [g for g in range(groups) if g not in near]
+        if train and test:
+            out.append((train, list(test)))
     return out
 
 
+def purged_scores(trades: DataFrame, by: str = "strategy", *, groups: int = 6, tests: int = 2, purge: int = 1) -> DataFrame:
+    """T-6: mean R of the training and the test trades of each split; a key's trades in order of time are cut into equal groups (the last takes what is left over).
+
+    Groups are added up first, so splits cost a row per group of a key."""
+    from .ordering import positions
+
+    df = positions(trades.where(F.col("r_multiple").isNotNull()).select(by, "entry_time", "r_multiple"), [by], "entry_time", ("r_multiple",))
+    n = df.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") >= groups)
+    group = F.least(F.floor((F.col("no") - 1) / F.floor(F.col("_n") / groups)), F.lit(groups - 1)).cast("int")
+    sums = df.join(n, by).groupBy(by, group.alias("group")).agg(F.count("*").alias("k"), F.sum("r_multiple").alias("s"))
+    roles = [(i, g, role) for i, parts in enumerate(splits(groups, tests, purge), 1) for role, part in zip(("train", "test"), parts, strict=True) for g in part]
+    rows = sums.join(trades.sparkSession.createDataFrame(roles, "split int, group int, role string"), "group")  # a small list
+    of = lambda role, c: F.sum(F.when(F.col("role") == role, F.col(c)))
+    return rows.groupBy(by, "split").agg(of("train", "k").alias("n_train"), of("test", "k").alias("n_test"), rounded(of("train", "s") / of("train", "k")).alias("train_r"), rounded(of("test", "s") / of("test", "k")).alias("test_r"))
+
+
 def overfit_probability(scores: DataFrame) -> DataFrame:
     """T-6: share of rows (row, combo, is_score, oos_score) whose in-sample best ranks in the lower half out of sample; average ranks for ties."""
     w = Window.partitionBy("row")

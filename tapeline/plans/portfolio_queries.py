@@ -238,3 +238,15 @@ def f_json_props(spark, d):
 
     df = parsed_props(events(spark, d).select("event_id", "event_type", "props"), "props", "k long")
     return df.select("event_id", "k", F.to_json(F.struct("k", F.col("event_type").alias("type"))).alias("written"))
+
+
+_SPLITS = ", ".join(f"({i}, {g}, '{role}')" for i, parts in enumerate(p.splits(6, 2, 1), 1) for role, part in zip(("train", "test"), parts, strict=True) for g in part)
+
+
+@query(f""", n AS (SELECT strategy, r_multiple, row_number() OVER (PARTITION BY strategy ORDER BY entry_time) AS no, count(*) OVER (PARTITION BY strategy) AS n FROM trades),
+g AS (SELECT strategy, least((no - 1) // (n // 6), 5) AS grp, r_multiple FROM n WHERE n >= 6), s AS (SELECT * FROM (VALUES {_SPLITS}) v(split, grp, role))
+SELECT strategy, CAST(split AS INT) AS split, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test,
+ round(avg(r_multiple) FILTER (role = 'train') + 1.37E-7, 4) + 0.0E0 AS train_r, round(avg(r_multiple) FILTER (role = 'test') + 1.37E-7, 4) + 0.0E0 AS test_r
+FROM g JOIN s USING (grp) GROUP BY strategy, split""")
+def t6_purged_splits(spark, d):
+    return p.purged_scores(trades(spark, d))

@@ -62,3 +62,12 @@ def test_minimum_length(spark):
     best, z = st.expected_best(100), NormalDist().inv_cdf(0.95)
     assert length(3.0, 100) == max(30, -int(-(z * z * (1 + 0.5 * 9) / (3 - best) ** 2) // 1) + 1)
     assert length(9.0, 100) == 30 and length(3.0, 100, kurt=9.0) > length(3.0, 100)
+
+
+def test_splits():
+    from tapeline.operators.portfolio import splits
+
+    assert len(splits(6, 2, 0)) == 15
+    for train, test in splits(6, 2, 1):
+        assert len(test) == 2 and not set(train) & {g + d for g in test for d in (-1, 0, 1)}
+    assert all(train for train, _ in splits(4, 2, 1))  # splits that leave nothing to train on go
