@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 4096  # whole numbers of one bucket
@@ -63,3 +63,34 @@ def greatest_before(df: DataFrame, by: list[str], value: str, *, no: str = "no",
     tops = df.groupBy(*by, "_gb").agg(F.max(value).alias("_top")).select(*by, "_gb", F.max("_top").over(up).alias("_carried"))
     inside = Window.partitionBy(*by, "_gb").orderBy(no).rangeBetween(Window.unboundedPreceding, -1)
     return df.join(tops, [*by, "_gb"]).withColumn(name, F.greatest(F.max(value).over(inside), F.col("_carried"))).drop("_gb", "_carried")
+
+
+def cooled(df: DataFrame, by: list[str], least: int, *, no: str = "no", block: int = 4096) -> DataFrame:
+    """Of rows with whole numbers the first, and then each that lies `least` or more after the one taken before it.
+
+    All that a stretch of numbers needs to know of what came before is how long it still has to wait, one of `least` values: a block is walked once for each of them, blocks
+    are composed by these few numbers, and the walk that holds is kept.  Rows of one number stay or go together."""
+    start = F.floor(F.col(no) / block) * block
+    blocks = df.groupBy(*by, start.alias("_start")).agg(F.array_sort(F.collect_set(F.col(no).cast("long"))).alias("_nos"))
+
+    def walk(wait: Column) -> Column:
+        begin = F.struct((F.col("_start") + wait).alias("free"), F.array().cast("array<bigint>").alias("taken"))
+
+        def step(s: Column, x: Column) -> Column:
+            return F.when(x >= s["free"], F.struct((x + least).alias("free"), F.array_append(s["taken"], x).alias("taken"))).otherwise(s)
+
+        return F.aggregate("_nos", begin, step)
+
+    blocks = blocks.withColumn("_walks", F.array(*[walk(F.lit(w).cast("long")) for w in range(least)]))
+    ends = F.sort_array(F.collect_list(F.struct("_start", F.transform("_walks", lambda x: x["free"]).alias("free"))))
+    wait = lambda free, at: F.greatest(F.lit(0).cast("long"), free - at)
+    first = F.struct(F.lit(None).cast("bigint").alias("free"), F.array().cast("array<bigint>").alias("waits"))
+
+    def on(s: Column, x: Column) -> Column:
+        w = F.coalesce(wait(s["free"], x["_start"]), F.lit(0).cast("long"))
+        return F.struct(F.element_at(x["free"], (w + 1).cast("int")).alias("free"), F.array_append(s["waits"], w).alias("waits"))
+
+    keys = blocks.groupBy(*by).agg(ends.alias("_ends")).withColumn("_waits", F.aggregate("_ends", first, on, lambda s: s["waits"]))
+    chosen = keys.select(*by, F.explode(F.arrays_zip(F.transform("_ends", lambda x: x["_start"]).alias("s"), F.col("_waits").alias("w"))).alias("_z")).select(*by, F.col("_z")["s"].alias("_start"), F.col("_z")["w"].alias("_w"))
+    kept = blocks.join(chosen, [*by, "_start"]).select(*by, F.explode(F.element_at("_walks", (F.col("_w") + 1).cast("int"))["taken"]).alias(no))
+    return df.join(kept.withColumn(no, F.col(no).cast(dict(df.dtypes)[no])), [*by, no], "left_semi")

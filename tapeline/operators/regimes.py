@@ -267,7 +267,8 @@ def _fit_short(blocks: DataFrame, by: list[str], k: int, d: int, most: int, tol:
         columns = [group.column(c).slice(0, 1).combine_chunks() for c in by]
         return pa.table([*columns, *[_lists(model[n], model[n].size) for n in _MODEL], pa.array([ll]), pa.array([rounds], pa.int32())], [*by, *_MODEL, "log_likelihood", "rounds"])
 
-    return blocks.groupBy(*by).applyInArrow(run, f"{_kinds(blocks, by)}, {_FITTED}")
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as few bytes hold much work
+    return blocks.repartition(tasks, *by).groupBy(*by).applyInArrow(run, f"{_kinds(blocks, by)}, {_FITTED}")
 
 
 def _messages(blocks: DataFrame, models: DataFrame, by: list[str], k: int, d: int, best: bool = False) -> DataFrame:

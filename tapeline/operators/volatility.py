@@ -136,7 +136,8 @@ def garch_fit(trades: DataFrame, *, by: str = "strategy", time: str = "entry_tim
         return pa.table([group[by].slice(0, 1).combine_chunks(), *_state_columns([state])], [by, *_STATE_NAMES])
 
     scale = cut(scale.select(by, "n", "variance"))
-    done = blocks.where(F.col("n") <= whole).groupBy(by).applyInArrow(short, f"`{by}` {kind}, {_STATE}")
+    tasks = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as few bytes hold much work
+    done = blocks.where(F.col("n") <= whole).repartition(tasks, by).groupBy(by).applyInArrow(short, f"`{by}` {kind}, {_STATE}")
     if not scale.where(F.col("n") > whole).isEmpty():
         done = done.union(_garch_long(cut(blocks.where(F.col("n") > whole)), scale.where(F.col("n") > whole), by, kind, most, tol))
     theta = [F.col("theta")[i].alias(c) for i, c in enumerate(("omega", "alpha", "beta"))]

@@ -9,6 +9,7 @@ from ..functions.metrics import rounded
 from ..operators import series as s
 from ..operators import zones as z
 from ..operators.ordering import positions
+from ..operators.retracements import retracement_signals
 from .trade_queries import QUERIES, query
 from .views import bars
 
@@ -37,4 +38,11 @@ def g1_zone_signals(spark, d):
     return df.select("symbol", "bar_ts", "direction", "signal_type", *[rounded(F.col(c)).alias(c) for c in ("entry", "sl", "tp1", "tp2", "confidence")], "bias")
 
 
-QUERIES["g1_zone_signals"] = g1_zone_signals
+def g6_retracement_signals(spark, d):
+    """Entries at rejected sweeps of the 0.618 retracement, over bars with their indicators and structure; tests follow them bar by bar."""
+    df = s.structure_bias(s.indicators(bars(spark, d))).withColumnsRenamed({"bar_no": "no", "structure_bias": "structure"})
+    df = retracement_signals(df, by=["symbol"])
+    return df.select("symbol", "bar_ts", "direction", *[rounded(F.col(c)).alias(c) for c in ("entry", "sl", "tp1", "tp2", "confidence")], "bias")
+
+
+QUERIES |= {"g1_zone_signals": g1_zone_signals, "g6_retracement_signals": g6_retracement_signals}
