@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,27 +122,42 @@ def edge_trend(filtered: DataFrame, *, by: str = "strategy") -> DataFrame:
         6).alias("total_drift"), rounded(F.col("up")).alias("share_positive"), trend.alias("edge_trend"))
 
 
+def _alarms(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.RecordBatch]:
+    """Of values in order within keys (by, r, mu, s): a row per key (by, n_changes, changes, current_start, current_mean); a few numbers and the alarms are held."""
+    key, known = None, False
+    names = [by, "n_changes", "changes", "current_start", "current_mean"]
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([key, pa.array([len(at)], pa.int32()), pa.array([",".join(map(str, at))]), pa.array([begin], pa.int32()), pa.array([total / n])], names)
+
+    for batch in batches:
+        keys = batch.column(0).to_pylist()
+        for k, (own, r, mu, s) in enumerate(zip(keys, *(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+            if not known or own != now:
+                if known:
+                    yield row()
+                key, now, known = batch.column(0).slice(k, 1), own, True
+                i, up, down, at, begin, total, n = 0, 0.0, 0.0, [], 0, 0.0, 0
+            if i:
+                up, down = max(0.0, up + r - mu - 0.5 * s), max(0.0, down - (r - mu + 0.5 * s))
+                if up > 5 * s or down > 5 * s:
+                    up, down, begin, total, n = 0.0, 0.0, i, 0.0, 0
+                    at.append(i)
+            i, total, n = i + 1, total + r, n + 1
+    if known:
+        yield row()
+
+
 def change_points(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time") -> DataFrame:
     """Alarms of a two-sided CUSUM (allowance half a standard deviation, limit five) that starts anew after each, and the mean since the last one.
 
-    The restart makes it a sequential fold over the key's values, done in the JVM with four numbers of state and the alarms."""
-    df = trades.groupBy(by).agg(F.avg("r_multiple").alias("mu"), F.stddev_samp("r_multiple").alias("s"), F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"),
-        F.col("r_multiple").alias("r")))).alias("_rs"))
-    df = df.withColumn("s", F.when(F.coalesce("s", F.lit(1.0)) < 1e-12, 1.0).otherwise(F.coalesce("s", F.lit(1.0))))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.array().cast("array<int>").alias("at"))
-
-    def step(s: Column, x: Column) -> Column:
-        up, down = F.greatest(F.lit(0.0), s["up"] + x["r"] - F.col("mu") - 0.5 * F.col("s")), F.greatest(F.lit(0.0), s["down"] - (x["r"] - F.col("mu") + 0.5 * F.col("s")))
-        up, down = F.when(s["i"] == 0, 0.0).otherwise(up), F.when(s["i"] == 0, 0.0).otherwise(down)
-        alarm = (up > 5 * F.col("s")) | (down > 5 * F.col("s"))
-        return F.struct((s["i"] + 1).alias("i"), F.when(alarm, 0.0).otherwise(up).alias("up"), F.when(alarm, 0.0).otherwise(down).alias("down"), F.when(alarm,
-            F.array_append(s["at"], s["i"])).otherwise(s["at"]).alias("at"))
-
-    df = df.withColumn("at", F.aggregate("_rs", start, step, lambda s: s["at"])).withColumn("begin", F.coalesce(F.element_at("at", F.when(F.size("at") > 0,
-        -1).otherwise(None)), F.lit(0)))
-    mean = F.aggregate(F.slice("_rs", F.col("begin") + 1, F.size("_rs")), F.lit(0.0), lambda s, x: s + x["r"]) / (F.size("_rs") - F.col("begin"))
-    return df.select(by, F.size("at").alias("n_changes"), F.array_join(F.col("at").cast("array<string>"), ",").alias("changes"),
-        F.col("begin").alias("current_start"), rounded(mean, 6).alias("current_mean"))
+    The restart makes it a walk over the key's values, which a task reads in order and does not hold."""
+    rows = trades.where(F.col("r_multiple").isNotNull()).select(by, time, F.col("r_multiple").cast("double").alias("r"))
+    law = rows.groupBy(by).agg(F.avg("r").alias("mu"), F.coalesce(F.stddev_samp("r"), F.lit(1.0)).alias("s")).withColumn("s", F.when(F.col("s") < 1e-12, 1.0).otherwise(F.col("s")))
+    df = rows.join(law, by).repartition(by).sortWithinPartitions(by, time, "r").select(by, "r", "mu", "s")
+    kind = dict(df.dtypes)[by]
+    out = df.mapInArrow(lambda b: _alarms(b, by), f"`{by}` {kind}, n_changes int, changes string, current_start int, current_mean double")
+    return out.withColumn("current_mean", rounded(F.col("current_mean"), 6))
 
 
 def convergence(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time") -> DataFrame:
