@@ -116,7 +116,7 @@ def _state_columns(states: list[dict]) -> list[pa.Array]:
     return [pa.array([np.asarray(s[n]).tolist() for s in states], k) for n, k in zip(_STATE_NAMES, kinds, strict=True)]
 
 
-def garch_fit(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time", most: int = 300, tol: float = 1e-13, block: int = 256, whole: int = 100_000) -> DataFrame:
+def garch_fit(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time", most: int = 200, tol: float = 1e-12, block: int = 256, whole: int = 100_000) -> DataFrame:
     """By, n, variance, omega, alpha, beta, log_likelihood (without its constant), rounds; of keys with at least 20 trades and some spread."""
     rows = trades.where(F.col("r_multiple").isNotNull()).select(by, time, F.col("r_multiple").cast("double").alias("r"))
     scale = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg("r").alias("_mean"), F.var_pop("r").alias("variance")).where("n >= 20 AND variance > 1e-12")
