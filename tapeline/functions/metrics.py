@@ -16,6 +16,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r of two columns without nulls as an aggregate; null where one of them is constant (where Spark's own `corr` raises an error)."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
