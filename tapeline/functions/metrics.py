@@ -16,9 +16,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def correlation(x: Column, y: Column) -> Column:
-    """Pearson's r of two columns without nulls as an aggregate; null where one of them is constant (where Spark's own `corr` raises an error)."""
-    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+def correlation(x: Column, y: Column, over=None) -> Column:
+    """Pearson's r of the rows that have both, as an aggregate or over a window; null where one side is constant (Spark's own `corr` raises an error there)."""
+    both = x.isNotNull() & y.isNotNull()
+    parts = [F.covar_pop(x, y), F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))]
+    together, sx, sy = [p.over(over) for p in parts] if over is not None else parts
+    return F.try_divide(together, F.nullif(sx * sy, F.lit(0.0)))
 
 
 def share(condition: Column) -> Column:

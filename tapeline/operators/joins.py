@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.metrics import correlation
+
 from .trades import running
 
 
@@ -104,7 +106,7 @@ def overlap_long(daily: DataFrame, *, outer: bool) -> DataFrame:
 def pair_correlations(long: DataFrame) -> DataFrame:
     """Correlation of each pair of labels over the dates that both have."""
     b = long.select("day", F.col("strategy").alias("b"), F.col("r").alias("_r"))
-    out = long.withColumnRenamed("strategy", "a").join(b, "day").where("a < b").groupBy("a", "b").agg(F.corr("r", "_r").alias("corr"))
+    out = long.withColumnRenamed("strategy", "a").join(b, "day").where("a < b").groupBy("a", "b").agg(correlation(F.col("r"), F.col("_r")).alias("corr"))
     return out.withColumn("corr", F.round(F.col("corr") + 1.37e-7, 4) + F.lit(0.0)).withColumn("flag", F.when(F.abs("corr") > 0.5, "high").when(F.abs("corr") < 0.1,
         "low").otherwise("mid"))
 

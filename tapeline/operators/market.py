@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.metrics import correlation
 from . import series
 
 FEATURES = (
@@ -74,4 +75,4 @@ def cross_asset(bars: DataFrame, a: str, b: str, n: int = 20) -> DataFrame:
         df = df.withColumn(f"{c}r", F.when((F.col(c) > 0) & (before > 0), F.ln(F.col(c) / before))).withColumn(f"{c}m", F.when(old > 0, F.col(c) / old - 1))
     frame = w.rowsBetween(-(n - 1), 0)
     both = F.count(F.when(F.col("_ar").isNotNull() & F.col("_br").isNotNull(), 1)).over(frame)
-    return df.select("timeframe", "bar_ts", F.when(both == n, F.corr("_ar", "_br").over(frame)).alias("rolling_corr"), (F.col("_am") - F.col("_bm")).alias("divergence"))
+    return df.select("timeframe", "bar_ts", F.when(both == n, correlation(F.col("_ar"), F.col("_br"), frame)).alias("rolling_corr"), (F.col("_am") - F.col("_bm")).alias("divergence"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import kolmogorov_sf, t_two_sided
-from ..functions.metrics import ratio, rounded
+from ..functions.metrics import correlation, ratio, rounded
 from .ordering import positions
 
 UP = Window.unboundedPreceding
@@ -167,7 +167,7 @@ def convergence(trades: DataFrame, *, by: str = "strategy", time: str = "entry_t
     first = F.col("no") <= F.floor(F.col("n") / 2)
     x = (F.col("no") - 1).cast("double")
     agg = df.groupBy(by).agg(F.max("n").alias("n"), F.stddev_pop(F.when(first, F.col("m"))).alias("a"), F.stddev_pop(F.when(~first, F.col("m"))).alias("b"),
-        F.regr_slope("m", x).alias("slope"), F.corr("m", x).alias("c"))
+        F.regr_slope("m", x).alias("slope"), F.coalesce(correlation(F.col("m"), x), F.when(F.count("*") > 2, 0.0)).alias("c"))
     spread = F.when((F.col("n") >= 4) & (F.col("a") > 1e-12), F.col("b") / F.when(F.col("a") > 1e-12, F.col("a"))).otherwise(1.0)
     t = F.col("c") * F.sqrt((F.col("n") - 2) / F.when(1 - F.col("c") * F.col("c") > 1e-300, 1 - F.col("c") * F.col("c")))
     p = F.coalesce(t_two_sided(t, F.col("n") - 2), F.lit(0.0))

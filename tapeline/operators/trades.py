@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import binomial_at_least, normal_two_sided, t_quantile, t_two_sided
-from ..functions.metrics import profit_factor, ratio, rounded, share, wilson, won
+from ..functions.metrics import correlation, profit_factor, ratio, rounded, share, wilson, won
 
 R, PNL = F.col, F.col
 
@@ -129,7 +129,7 @@ def hold_durations(trades: DataFrame) -> DataFrame:
     df = trades.where(F.col("bars_held").isNotNull())
     b = F.col("bars_held")
     q = F.percentile(b, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9))))
-    df = df.agg(F.count("*").alias("n"), F.avg(b).alias("mean"), F.stddev_samp(b).alias("sd"), F.min(b).alias("low"), F.max(b).alias("high"), q.alias("q"), F.corr(b, "r_multiple").alias("c"))
+    df = df.agg(F.count("*").alias("n"), F.avg(b).alias("mean"), F.stddev_samp(b).alias("sd"), F.min(b).alias("low"), F.max(b).alias("high"), q.alias("q"), correlation(b, F.col("r_multiple")).alias("c"))
     c = F.when(F.col("n") > 5, F.col("c"))
     t = F.abs(c) * F.sqrt(F.try_divide(F.col("n") - 2, 1 - c * c))
     p = F.when(F.abs(c) < 1, normal_two_sided(t)).when(c.isNotNull(), 0.0)
@@ -229,7 +229,7 @@ def significance(trades: DataFrame, *by: str) -> DataFrame:
     df = df.withColumn("_dd", F.max("_e").over(up) - F.col("_e"))
     gain, loss = F.coalesce(F.avg(F.when(r > 0, r)), F.lit(0.0)), F.coalesce(F.avg(F.when(r <= 0, r)), F.lit(0.0))
     out = df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("_w").alias("wr"), F.sum("_w").alias("wins"), F.avg(r).alias("mean_r"), F.stddev_samp(r).alias("sd"), F.corr(F.when(F.col("_lag").isNotNull(), F.col("_g")), "_lag").alias("autocorr"),
+        F.count("*").alias("n"), F.avg("_w").alias("wr"), F.sum("_w").alias("wins"), F.avg(r).alias("mean_r"), F.stddev_samp(r).alias("sd"), correlation(F.col("_g"), F.col("_lag")).alias("autocorr"),
         profit_factor(r).alias("pf"), F.max("_dd").alias("max_dd"), gain.alias("gain"), loss.alias("loss"),
     ).where("n >= 5")
     low, high = wilson(F.col("wr"), F.col("n").cast("double"))
