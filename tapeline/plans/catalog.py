@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filter_queries, portfolio_queries, profile_queries, regime_queries, resampling_queries, selector_queries, sequence_queries, series_queries, trade_queries, volatility_queries, zone_queries  # noqa: F401  (each adds its queries)
+from . import filter_queries, portfolio_queries, profile_queries, regime_queries, resampling_queries, selector_queries, sequence_queries, series_queries, trade_queries, tuning_queries, volatility_queries, zone_queries  # noqa: F401  (each adds its queries)
 
 FLAGSHIP = "a1_strategy_performance"
 QUERIES = dict(trade_queries.QUERIES)
