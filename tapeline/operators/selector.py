@@ -49,21 +49,21 @@ def prepared(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]
     return df, sorted(r["label"] for r in df.select("label").distinct().collect())  # one row a strategy
 
 
-def fitted(rows: DataFrame, classes: list[str], *, trees: int = 100, depth: int = 10, seed: int = 42) -> RandomForestClassificationModel | None:
-    """A forest over prepared rows in which each class has the same weight in total; None without rows. Rows are dealt and ordered by their keys, so reruns agree."""
+def fitted(rows: DataFrame, classes: list[str], *, keys: tuple[str, ...] = KEYS, trees: int = 100, depth: int = 10, seed: int = 42) -> RandomForestClassificationModel | None:
+    """A forest over prepared rows in which each class has the same weight in total; None without rows. The rows are dealt and ordered by their keys, so reruns agree."""
     counts = rows.groupBy("label").agg(F.count("*").alias("_k")).withColumn("_weight", F.lit(1.0) / F.col("_k"))
     n, k = counts.agg(F.sum("_k"), F.count("*")).first()
     if not n:
         return None
-    indexer = StringIndexerModel.from_labels(classes, inputCol="label", outputCol="target")
+    indexer = StringIndexerModel.from_labels(classes if len(classes) > 1 else [*classes, ""], inputCol="label", outputCol="target")
     df = rows.join(counts, "label").withColumn("_weight", F.col("_weight") * (n / k))
-    df = df.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS).sortWithinPartitions(*KEYS)
+    df = df.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
     return RandomForestClassifier(labelCol="target", featuresCol="features", weightCol="_weight", numTrees=trees, maxDepth=depth, seed=seed).fit(indexer.transform(df))
 
 
 def predicted(rows: DataFrame, model: RandomForestClassificationModel, classes: list[str]) -> DataFrame:
     """Prepared rows with `predicted`, the likeliest class (ties: the first by name), and `chances`, class by class."""
-    df = model.transform(rows).withColumn("chances", vector_to_array("probability"))
+    df = model.transform(rows).withColumn("chances", F.slice(vector_to_array("probability"), 1, len(classes)))  # a forest has two classes at least
     names = F.array(*[F.lit(c) for c in classes])
     best = F.element_at(names, F.array_position("chances", F.array_max("chances")).cast("int"))
     return df.withColumn("predicted", best).drop("rawPrediction", "probability", "prediction")
@@ -115,6 +115,21 @@ def walk_forward(rows: DataFrame, columns: list[str], *, least: int = 60, every:
         F.coalesce(F.col("forward")[F.col("predicted")], F.lit(0.0)).alias("hard"), soft.alias("soft"), (total / F.size(worth)).alias("equal"), F.array_max(worth).alias("best"))
 
 
+def win_confidence(trades: DataFrame, columns: list[str], *, until, key: str = "trade_id", time: str = "entry_time", end: str = "exit_time", missing: float = -1.0, **forest) -> DataFrame:
+    """Q9: the chance to win that a forest over trades closed before `until` gives to those entered from then on; missing features are `missing`.
+
+    trades: key, time, end, is_win (null: neither learned from nor left out of scoring), columns. Wins only in the past: 1, no win there: 0, no past at all: null."""
+    df = trades.select(key, time, end, "is_win", *[F.coalesce(F.col(c).cast("double"), F.lit(missing)).alias(c) for c in columns])
+    df = VectorAssembler(inputCols=columns, outputCol="features").transform(df).withColumn("label", F.when(F.col("is_win"), "win").otherwise("loss"))
+    past, later = df.where((F.col(end) < until) & F.col("is_win").isNotNull()), df.where(F.col(time) >= until)
+    classes = sorted(r["label"] for r in past.select("label").distinct().collect())  # two at most
+    model = fitted(past, classes, keys=(key,), **forest)
+    if model is None:
+        return later.select(key, "is_win", F.lit(None).cast("double").alias("confidence"))
+    win = F.col("chances")[classes.index("win")] if "win" in classes else F.lit(0.0)
+    return predicted(later, model, classes).select(key, "is_win", win.alias("confidence"))
+
+
 def walk_metrics(walk: DataFrame) -> DataFrame:
     """Per market and way of choosing: days, total and mean R, Sharpe ratio (365 days), worst drop of the running sum below its peak, share of days above 0, accuracy."""
     ways = F.explode(F.array(*[F.struct(F.lit(c).alias("way"), F.col(c).alias("r")) for c in ("hard", "soft", "equal", "best")]))

@@ -73,3 +73,16 @@ def x3_selector_walk(spark, d):
 def x5_feature_importance(spark, d):
     """Which features the forest's choice rests on, by their contributions, by gain and by dealing their values anew."""
     return c.importance(_rows(spark, d), COLUMNS)
+
+
+@_query
+def q9_win_confidence(spark, d):
+    """The last third of the trades by time, each with the chance to win that a forest over trades closed before it gives."""
+    df = trades(spark, d)
+    span = df.agg(F.min("entry_time").alias("a"), F.max("entry_time").alias("b")).first()
+    until = F.lit(span["a"] + (span["b"] - span["a"]) * 2 / 3 if span["a"] else None)  # an empty table has no time to cut at
+    known = F.when(F.col("regime") != "unknown", F.array_position(F.array(*[F.lit(x) for x in c.REGIMES]), F.col("regime")).cast("double"))
+    df = df.withColumns({"is_win": F.col("outcome").contains("win"), "hour": F.hour("entry_time"), "weekday": F.weekday("entry_time"),
+        "is_long": (F.col("direction") == "LONG").cast("double"), "regime_no": known})
+    found = c.win_confidence(df, ["hour", "weekday", "is_long", "regime_no", "entry_price"], until=until)
+    return found.withColumn("confidence", rounded(F.col("confidence")))

@@ -133,3 +133,28 @@ def _mixed(rows, order, i, f):
     if f >= 0:
         x[f] = rows[order[(i + 1) % len(order)]][0][f]
     return Vectors.dense(x)
+
+
+def test_one_class(spark):
+    rows = [(*row[:6], "none") for row in made(12, 1)]
+    df, classes = c.prepared(spark.createDataFrame(rows, KIND), COLUMNS)
+    got = c.predicted(df, c.fitted(df, classes, trees=3, depth=2), classes).collect()
+    assert classes == ["none"] and {(r.predicted, tuple(r.chances)) for r in got} == {("none", (1.0,))}
+
+
+def test_win_confidence(spark):
+    rng, rows = np.random.default_rng(2), []
+    for i in range(300):
+        a = None if i % 7 == 0 else float(rng.normal())
+        rows.append((f"t{i}", i, i + 5, None if i % 50 == 3 else (a is None or a > 0), a))
+    df = spark.createDataFrame(rows, "trade_id string, entry_time int, exit_time int, is_win boolean, a double")
+    got = {r.trade_id: r for r in c.win_confidence(df, ["a"], until=200, trees=8, depth=4).collect()}
+    assert set(got) == {f"t{i}" for i in range(200, 300)}
+    right = [(r.confidence > 0.5) == r.is_win for r in got.values() if r.is_win is not None]
+    assert np.mean(right) > 0.8
+    changed = df.withColumn("is_win", F.when(F.col("exit_time") >= 200, ~F.col("is_win")).otherwise(F.col("is_win")))  # not closed by then: not learned from
+    assert {r.trade_id: r.confidence for r in c.win_confidence(changed, ["a"], until=200, trees=8, depth=4).collect()} == {k: r.confidence for k, r in got.items()}
+    wins, losses = (df.withColumn("is_win", F.lit(x)) for x in (True, False))
+    assert {r.confidence for r in c.win_confidence(wins, ["a"], until=200, trees=2).collect()} == {1.0}
+    assert {r.confidence for r in c.win_confidence(losses, ["a"], until=200, trees=2).collect()} == {0.0}
+    assert {r.confidence for r in c.win_confidence(df, ["a"], until=0, trees=2).collect()} == {None}
