@@ -12,6 +12,9 @@ share gives groups whose size is bounded by the alphabet.  Such keys are told ap
 A word's form is its near word of largest count, if that is at least `ratio` times its own (ties: first by code points); its root is reached by following
 forms, found by pointer doubling: counts double at each step, so some six rounds reach the end.
 
+Joins of words with words are merge joins by a hint: the size of a saved table is that of its compressed files, from which Spark would take one that comes out
+many times larger for small enough to broadcast, and the driver would hold it.
+
 Defined results: null texts have no words, a null doc_id reads as '' where edits are drawn; empty texts have none; very long texts and words are taken whole;
 repeated rows count again; a text of a doc_id that stands twice draws the same edits; an empty table gives an empty result; other columns are ignored,
 whatever their names.
@@ -120,7 +123,7 @@ def near_words(words: DataFrame, *, hot: int = 512) -> DataFrame:
     crowded = saved(index.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded-chunks")
 
     def met(index: DataFrame, grams: DataFrame) -> DataFrame:
-        pairs = index.drop("rest").join(grams.drop("rest"), "key").where("(longer OR x < y) AND levenshtein(x, y, 1) = 1")
+        pairs = index.drop("rest").hint("merge").join(grams.drop("rest"), "key").where("(longer OR x < y) AND levenshtein(x, y, 1) = 1")
         return pairs.select("x", "xn", "y", "yn")
 
     if crowded.isEmpty():
@@ -137,7 +140,7 @@ def roots(forms: DataFrame) -> DataFrame:
         # only roots that are words with a form of their own can move; words that share a final root stay where they are
         marks = bitmap(now, "word")
         onward = now.select(F.col("word").alias("_word"), F.col("root").alias("_onward"))
-        moving = maybe_among(now, F.col("root"), marks).join(onward, F.col("root") == F.col("_word"), "left")
+        moving = maybe_among(now, F.col("root"), marks).hint("merge").join(onward, F.col("root") == F.col("_word"), "left")
         moved = saved(moving.select("word", F.coalesce("_onward", "root").alias("root"), F.col("_onward").isNotNull().alias("moved")), "moving-roots")
         if moved.where("moved").isEmpty():
             return now
@@ -153,11 +156,11 @@ def spelling_variants(docs: DataFrame, *, ratio: int = 2, hot: int = 512, **coun
     sides = pairs.toDF("word", "n", "near", "near_n").union(pairs.select("y", "yn", "x", "xn"))
     best = F.min_by(F.struct("near", "near_n"), F.struct(-F.col("near_n"), F.col("near")))
     near = sides.groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    near = words.join(near, "word", "left").withColumn("best", F.when(F.col("best.near_n") >= ratio * F.col("n"), F.col("best")))
+    near = words.join(near.hint("merge"), "word", "left").withColumn("best", F.when(F.col("best.near_n") >= ratio * F.col("n"), F.col("best")))
     near = saved(near.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.col("best.near").alias("form"), F.col("best.near_n").alias("form_n")), "word-forms")
     spent(pairs)
     ends = roots(near.where("form IS NOT NULL"))
-    return near.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return near.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op13_spelling_variants(spark, sf_dir: str) -> DataFrame:
