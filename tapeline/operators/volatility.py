@@ -3,7 +3,7 @@
 GARCH(1,1): the variance h after a trade is omega + alpha * e^2 + beta * h, an affine recurrence, and so are its three derivatives.  A series is cut into
 blocks; a block's effect on (h, its derivatives) is beta to the power of its length and four own sums, so blocks are composed by one row each, and a second
 pass gives each block's part of the log likelihood, its gradient and its expected information.  The fit takes damped scoring steps within the bounds.  Series of
-at most `whole` trades are fitted within one task each, longer ones by rounds of jobs with the same functions.
+at most `whole` trades are fitted within one task each, longer ones by rounds of one job each with the same functions, over stretches that need no other.
 
 Defined results: rows without an R take no part; a key with fewer than 20 trades or without spread has no model (nulls); ties in time are ordered by R.
 """
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.distributions import chi2_sf, normal_quantile
 from ..functions.metrics import ratio, rounded
@@ -25,6 +26,8 @@ from .ordering import in_blocks, positions, ranked
 #: Bounds of omega, alpha, beta; where the search begins (omega in units of the variance). Fixed values of the model.
 LOW, HIGH = np.array([1e-6, 1e-6, 1e-6]), np.array([np.inf, 0.5, 0.99])
 BEGIN = (0.05, 0.10, 0.85)
+#: Trades of a stretch of a long series, and of what it brings along before it: with beta at most 0.99, what lies REACH trades back weighs 1e-18.
+STRETCH, REACH = 32_768, 4_096
 
 
 # ---------------------------------------------------------------- blocks in numpy
@@ -139,56 +142,55 @@ def garch_fit(trades: DataFrame, *, by: str = "strategy", time: str = "entry_tim
     tasks = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as few bytes hold much work
     done = blocks.where(F.col("n") <= whole).repartition(tasks, by).groupBy(by).applyInArrow(short, f"`{by}` {kind}, {_STATE}")
     if not scale.where(F.col("n") > whole).isEmpty():
-        done = done.union(_garch_long(cut(blocks.where(F.col("n") > whole)), scale.where(F.col("n") > whole), by, kind, most, tol))
+        done = done.union(_garch_long(blocks.where(F.col("n") > whole), scale.where(F.col("n") > whole), by, block, most, tol))
     theta = [F.col("theta")[i].alias(c) for i, c in enumerate(("omega", "alpha", "beta"))]
     return scale.join(done.select(by, *theta, F.col("ll").alias("log_likelihood"), "rounds"), by)
 
 
-def _garch_long(blocks: DataFrame, scale: DataFrame, by: str, kind: str, most: int, tol: float) -> DataFrame:
-    """The same search, each round one pass for the blocks' maps and one for their sums."""
+def _garch_long(blocks: DataFrame, scale: DataFrame, by: str, block: int, most: int, tol: float) -> DataFrame:
+    """The same search, each round one pass over stretches of the series that bring the REACH trades before them along, so none waits for another.
+
+    The driver holds a search's state (some twenty numbers) for each key, and keys are at least `whole` trades long."""
+    spark, keys = blocks.sparkSession, scale.collect()
+    names = spark.createDataFrame([(r[by], i) for i, r in enumerate(keys)], StructType([scale.schema[by], StructField("_key", IntegerType())]))
+    size, reach = max(1, STRETCH // block), -(-REACH // block)
+    rows = blocks.select(by, "_b", "_x").join(F.broadcast(names), by).withColumn("_c", F.floor(F.col("_b") / size).cast("int"))
+    ahead = rows.withColumn("_ahead", F.explode(F.sequence(F.lit(0), F.lit(-(-reach // size))))).withColumn("_c", F.col("_c") + F.col("_ahead"))
+    ahead = ahead.where(F.col("_b") >= F.col("_c") * size - reach)
+    ahead = ahead.join(F.broadcast(spark.createDataFrame([(i, (r["n"] - 1) // block // size) for i, r in enumerate(keys)], "_key int, _last int")), "_key").where("_c <= _last")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r["n"] for r in keys) // (8 * STRETCH))  # given, as few bytes hold much work
+    stretches = ahead.repartition(tasks, "_key", "_c").groupBy("_key", "_c").agg(F.sort_array(F.collect_list(F.struct("_b", "_x"))).alias("_rows"))
+    stretches = cut(stretches.select("_key", (F.least(F.lit(reach), F.col("_c") * size)).alias("_before"), F.transform("_rows", lambda v: v["_x"]).alias("_xs")))
+    variance = [r["variance"] for r in keys]
+
+    def round_sums(live: dict[int, list[float]]) -> dict[int, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for key, before, xs in zip(batch.column("_key").to_pylist(), batch.column("_before").to_pylist(), batch.column("_xs"), strict=True):
+                    e2, n = _padded([np.asarray(v.values) for v in xs])
+                    theta = np.tile(live[key], (len(e2), 1))
+                    begin = incoming(block_maps(e2, n, theta), variance[key])
+                    total[key] = total.get(key, 0.0) + block_sums(e2[before:], n[before:], theta[before:], begin[before:]).sum(0)
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *[pa.array(v) for v in np.stack(list(total.values())).T]], ["_key", *[f"_{i}" for i in range(10)]])
+
+        parts = stretches.where(F.col("_key").isin(list(live))).mapInArrow(run, "_key int, " + ", ".join(f"_{i} double" for i in range(10)))
+        return {r["_key"]: np.array(r[1:]) for r in parts.groupBy("_key").agg(*[F.sum(f"_{i}") for i in range(10)]).collect()}
+
+    states = [first_state(v) for v in variance]
+    for _ in range(most):
+        live = {i: s["trial"] for i, s in enumerate(states) if not s["done"]}
+        if not live:
+            break
+        for i, found in round_sums(live).items():
+            states[i] = search_step(states[i], found, tol)
+    fields = StructType([scale.schema[by], *StructType.fromDDL(_STATE).fields])
+    return spark.createDataFrame([(r[by], *[_plain(s[n]) for n in _STATE_NAMES]) for r, s in zip(keys, states, strict=True)], fields)
 
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                e2, size = _padded([np.asarray(v.values) for v in batch.column("_x")])
-                found = block_maps(e2, size, np.stack([np.asarray(v.values) for v in batch.column("trial")]))
-                yield pa.RecordBatch.from_arrays([batch.column(by), batch.column("_b"), batch.column("variance"), pa.array(list(found))], [by, "_b", "variance", "_m"])
 
-    def composed(group: pa.Table) -> pa.Table:
-        group = group.sort_by("_b")
-        found = incoming(np.stack([np.asarray(v.values) for v in group["_m"].combine_chunks()]), group["variance"][0].as_py())
-        return pa.table([group[by], group["_b"], pa.array(list(found))], [by, "_b", "_in"])
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                e2, size = _padded([np.asarray(v.values) for v in batch.column("_x")])
-                found = block_sums(e2, size, *(np.stack([np.asarray(v.values) for v in batch.column(c)]) for c in ("trial", "_in")))
-                yield pa.RecordBatch.from_arrays([batch.column(by), *[pa.array(found[:, i]) for i in range(10)]], [by, *[f"_{i}" for i in range(10)]])
-
-    def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            states = [{n: row[n] for n in _STATE_NAMES} for row in batch.to_pylist()]
-            found = [np.array([batch.column(f"_{j}")[i].as_py() for j in range(10)]) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(by), *_state_columns([search_step(s, f, tol) for s, f in zip(states, found, strict=True)])], [by, *_STATE_NAMES])
-
-    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(by), *_state_columns([first_state(v) for v in batch.column("variance").to_pylist()])], [by, *_STATE_NAMES])
-
-    now, ended = cut(scale.mapInArrow(begun, f"`{by}` {kind}, {_STATE}")), None
-    for round_ in range(1, most + 1):
-        work = blocks.join(now.select(by, "trial"), by)
-        before = work.mapInArrow(maps, f"`{by}` {kind}, _b int, variance double, _m array<double>").groupBy(by).applyInArrow(composed, f"`{by}` {kind}, _b int, _in array<double>")
-        found = work.join(before, [by, "_b"]).mapInArrow(sums, f"`{by}` {kind}, " + ", ".join(f"_{i} double" for i in range(10)))
-        found = found.groupBy(by).agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(10)])
-        now = cut(now.join(found, by).mapInArrow(stepped, f"`{by}` {kind}, {_STATE}"))
-        over = now.where(F.col("done") | F.lit(round_ == most))
-        ended = over if ended is None else ended.union(over)
-        now = now.where(~F.col("done"))
-        if now.isEmpty():
-            break
-    return ended
+def _plain(x):
+    return np.asarray(x).tolist()
 
 
 def squared_autocorrelation(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time", lags: int = 10) -> DataFrame:
