@@ -104,7 +104,8 @@ def robustness(trades: DataFrame, by: str = "strategy", asset: str = "symbol") -
     per = significance(trades, by, asset)
     regimes = trades.groupBy(by, asset, "regime").agg(F.avg("r_multiple").alias("m")).groupBy(by, asset).agg(F.max(F.struct("m", "regime"))["regime"].alias("best"))
     agree = regimes.groupBy(by, "best").count().groupBy(by).agg((F.max("count") / F.sum("count") * 100).alias("regime_score"))
-    cv = F.stddev_pop("mean_r") / F.abs(F.avg("mean_r"))
+    spread, middle = F.stddev_pop("mean_r"), F.abs(F.avg("mean_r"))
+    cv = F.when(middle > 0, F.try_divide(spread, middle)).when(spread > 0, float("inf")).otherwise(0.0)  # means that cancel are no error: their variation has no bound
     out = per.groupBy(by).agg(F.count("*").alias("assets"), cv.alias("cv"), (F.avg((F.col("mean_r") > 0).cast("double")) * 100).alias("profit_score"),
         (F.avg(F.col("mean_r_significant").cast("double")) * 100).alias("significance_score")).join(agree, by)
     consistency = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - F.col("cv")) / 0.85 * 100))
