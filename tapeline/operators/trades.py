@@ -56,12 +56,12 @@ def performance(trades: DataFrame, *by: str) -> DataFrame:
 
 
 def running(df: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """df with `name`, the sum of value up to each row along `order` within `by`. Sums run inside a day of order's first column and start from one carried row per day, so a hot key is spread over its days."""
+    """df with `name`, the sum of value up to each row along `order` within `by`; rows of one place in that order are peers, as in SQL, and have their sum in common. Sums run inside a day of order's first column and start from one carried row per day, so a hot key is spread over its days."""
     day = [*by, "_rday"]
     df = df.withColumn("_rday", F.to_date(order[0])).withColumn("_rv", value)
     before = Window.partitionBy(*by).orderBy("_rday").rowsBetween(Window.unboundedPreceding, -1)
     days = df.groupBy(*day).agg(F.sum("_rv").alias("_rt")).select(*day, F.coalesce(F.sum("_rt").over(before), F.lit(0)).alias("_rb"))
-    inside = Window.partitionBy(*day).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*day).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return df.join(days, day).withColumn(name, F.col("_rb") + F.sum("_rv").over(inside)).drop("_rday", "_rv", "_rb")
 
 
