@@ -66,12 +66,12 @@ def running(df: DataFrame, by: list[str], order: list[str], value: Column, name:
 
 
 def drawdown(trades: DataFrame, *by: str, value: str = "r_multiple", time: str = "entry_time", least: float | None = 0.0) -> DataFrame:
-    """Equity, peak (never below `least`; None: the first equity is the first peak) and drawdown after each trade.
+    """Equity, peak (never below `least`; None: the first equity is the first peak) and drawdown after each trade; trades of one time are peers (see `running`).
 
     Running sums go over the trades of one key and day; what the days before leave (sum and peak) comes from one row per day, so a hot key is spread over its days."""
     day = [*by, "_day"]
     df = trades.withColumn("_day", F.to_date(time))
-    inside = Window.partitionBy(*day).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*day).orderBy(time).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     df = df.withColumn("_own", F.sum(value).over(inside))
     days = df.groupBy(*day).agg(F.sum(value).alias("_total"), F.max("_own").alias("_top"))
     before = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
