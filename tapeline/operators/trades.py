@@ -223,8 +223,9 @@ def position_size(trades: DataFrame, nav: float, risk: float, cap: float) -> Dat
 def significance(trades: DataFrame, *by: str) -> DataFrame:
     """T-1: Wilson interval, binomial and t tests, interval of mean R, Sharpe, profit factor, drawdown, expectancy, smallest sample,
  and lag-1 correlation of gains (from 11 trades on); from 5 trades on."""
-    w = Window.partitionBy(*by).orderBy("entry_time")
-    r, up = F.col("r_multiple"), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = [F.length("trade_id"), "trade_id"] if "trade_id" in trades.columns else ["r_multiple"]
+    w = Window.partitionBy(*by).orderBy("entry_time", *ties)  # the lag needs an order of trades of one time, for the equity they are peers
+    r, up = F.col("r_multiple"), Window.partitionBy(*by).orderBy("entry_time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     df = trades.withColumn("_w", won().cast("double")).withColumn("_g", (r > 0).cast("double")).withColumn("_lag", F.lag("_g").over(w)).withColumn("_e", F.sum(r).over(up))
     df = df.withColumn("_dd", F.max("_e").over(up) - F.col("_e"))
     gain, loss = F.coalesce(F.avg(F.when(r > 0, r)), F.lit(0.0)), F.coalesce(F.avg(F.when(r <= 0, r)), F.lit(0.0))
