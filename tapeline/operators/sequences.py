@@ -16,8 +16,14 @@ from .ordering import positions
 UP = Window.unboundedPreceding
 
 
+def _ties(trades: DataFrame, other: str) -> list[Column | str]:
+    """What orders trades of one time: their ids (as whole numbers are, where they are written so), else `other`."""
+    return [F.length("trade_id"), F.col("trade_id")] if "trade_id" in trades.columns else [other]
+
+
 def _numbered(trades: DataFrame, by: str, time: str) -> DataFrame:
-    return positions(trades.select(by, time, F.col("r_multiple").alias("r")), [by], time, ("r",))
+    ids = ["trade_id"] if "trade_id" in trades.columns else []
+    return positions(trades.select(by, time, F.col("r_multiple").alias("r"), *ids), [by], time, tuple(_ties(trades, "r"))).drop(*ids)
 
 
 def recovery(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time", thresholds: tuple[float, ...] = (1.0, 2.0, 5.0, 10.0)) -> DataFrame:
@@ -152,9 +158,10 @@ def change_points(trades: DataFrame, *, by: str = "strategy", time: str = "entry
     """Alarms of a two-sided CUSUM (allowance half a standard deviation, limit five) that starts anew after each, and the mean since the last one.
 
     The restart makes it a walk over the key's values, which a task reads in order and does not hold."""
-    rows = trades.where(F.col("r_multiple").isNotNull()).select(by, time, F.col("r_multiple").cast("double").alias("r"))
+    ids = ["trade_id"] if "trade_id" in trades.columns else []
+    rows = trades.where(F.col("r_multiple").isNotNull()).select(by, time, F.col("r_multiple").cast("double").alias("r"), *ids)
     law = rows.groupBy(by).agg(F.avg("r").alias("mu"), F.coalesce(F.stddev_samp("r"), F.lit(1.0)).alias("s")).withColumn("s", F.when(F.col("s") < 1e-12, 1.0).otherwise(F.col("s")))
-    df = rows.join(law, by).repartition(by).sortWithinPartitions(by, time, "r").select(by, "r", "mu", "s")
+    df = rows.join(law, by).repartition(by).sortWithinPartitions(by, time, *_ties(trades, "r")).select(by, "r", "mu", "s")
     kind = dict(df.dtypes)[by]
     out = df.mapInArrow(lambda b: _alarms(b, by), f"`{by}` {kind}, n_changes int, changes string, current_start int, current_mean double")
     return out.withColumn("current_mean", rounded(F.col("current_mean"), 6))
