@@ -3,7 +3,7 @@
 A path of n draws is cut into segments of steps.  A segment's blocks of trades are drawn by a generator of its own, seeded by (seed, key, segment), for all paths at once,
 so results do not depend on partitions, and any task can make any segment again.  What a segment does to a path (sum, highest and lowest place, deepest fall, and sums for
 the other statistics) composes along the path, path by path; bands are taken step by step once the places where segments begin are known.  A task holds one
-key's R values (eight bytes a trade) and one segment of all paths.
+key's R values (eight bytes a trade) and one segment of all paths; segments of a share are composed as they are drawn, so only `tasks` rows a key are shuffled.
 
 Defined results: rows without an R take no part; keys with fewer than `least` trades have no paths; ties in time are ordered by R; an empty table gives an empty result.
 """
@@ -22,6 +22,7 @@ from ..functions.storage import cut
 
 _SUMS = ("s", "top", "low", "fall", "q", "wins", "gain")
 _PATHS = 500  # paths that are composed in one group
+_DIGITS = 9  # of results: the order of sums, which follows the shares, shows only beyond
 
 
 def _drawn(r: np.ndarray, seed: int, segment: int, steps: int, size: int, rounds: int) -> np.ndarray:
@@ -45,54 +46,61 @@ def _work(trades: DataFrame, by: str, time: str, seed: int, steps: int, tasks: i
     return rows.repartition(by, "share")
 
 
-def _segments(trades: DataFrame, by: str, time: str, *, rounds: int, size: int, seed: int, steps: int, tasks: int, least: int) -> DataFrame:
-    """by, n, segment, chunk and arrays of what the segment does to each of the chunk's paths."""
+def _after(a: dict | None, b: dict) -> dict:
+    """What two stretches in a row do to each path, as one."""
+    if a is None:
+        return b
+    fall = np.maximum(np.maximum(a["fall"], b["fall"]), a["top"] - (a["s"] + b["low"]))
+    return {"s": a["s"] + b["s"], "top": np.maximum(a["top"], a["s"] + b["top"]), "low": np.minimum(a["low"], a["s"] + b["low"]), "fall": fall, **{c: a[c] + b[c] for c in ("q", "wins", "gain")}}
+
+
+def _shares(trades: DataFrame, by: str, time: str, *, rounds: int, size: int, seed: int, steps: int, tasks: int, least: int) -> DataFrame:
+    """by, n, share, chunk and arrays of what the share's segments, composed as they are drawn, do to each of the chunk's paths. A group is one share, so a task holds one key's values."""
     kind = dict(trades.dtypes)[by]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                n, h, first, last = (batch.column(c)[i].as_py() for c in ("n", "seed", "first", "last"))
-                r = np.asarray(batch.column("rs")[i].values)
-                for segment in range(first, last + 1):
-                    x = _drawn(r, h, segment, min(steps, n - segment * steps), size, rounds)
-                    c = np.cumsum(x, 1)
-                    fall = (np.maximum.accumulate(c, 1) - c).max(1)
-                    found = np.stack([c[:, -1], c.max(1), c.min(1), fall, (x * x).sum(1), (x > 0).sum(1), np.where(x > 0, x, 0.0).sum(1)])
-                    cuts = range(0, rounds, _PATHS)
-                    yield pa.RecordBatch.from_arrays([batch.column(by).take(pa.array([i] * len(cuts))), pa.array([n] * len(cuts), pa.int32()), pa.array([segment] * len(cuts), pa.int32()),
-                        pa.array([k // _PATHS for k in cuts], pa.int32()), *[pa.array([v[k : k + _PATHS] for k in cuts]) for v in found]], [by, "n", "segment", "chunk", *_SUMS])
+    def run(row: pa.Table) -> pa.Table:
+        row = row.combine_chunks()
+        n, h, first, last, share = (row[c][0].as_py() for c in ("n", "seed", "first", "last", "share"))
+        r, total = np.asarray(row["rs"][0].values), None
+        for segment in range(first, last + 1):
+            x = _drawn(r, h, segment, min(steps, n - segment * steps), size, rounds)
+            c = np.cumsum(x, 1)
+            fall = (np.maximum.accumulate(c, 1) - c).max(1)
+            total = _after(total, dict(zip(_SUMS, [c[:, -1], c.max(1), c.min(1), fall, (x * x).sum(1), (x > 0).sum(1).astype(float), np.where(x > 0, x, 0.0).sum(1)], strict=True)))
+        cuts = range(0, rounds, _PATHS)
+        same = lambda v: pa.array([v] * len(cuts), pa.int32())
+        return pa.table([row[by].take(pa.array([0] * len(cuts))), same(n), same(share), pa.array([k // _PATHS for k in cuts], pa.int32()),
+            *[pa.array([total[c][k : k + _PATHS] for k in cuts]) for c in _SUMS]], [by, "n", "share", "chunk", *_SUMS])
 
     work = _work(trades, by, time, seed, steps, tasks, least)
-    return work.mapInArrow(run, f"`{by}` {kind}, n int, segment int, chunk int, " + ", ".join(f"{c} array<double>" for c in _SUMS))
+    return work.groupBy(by, "share").applyInArrow(run, f"`{by}` {kind}, n int, share int, chunk int, " + ", ".join(f"{c} array<double>" for c in _SUMS))
 
 
-def _composed(segments: DataFrame, by: str, starts: bool) -> DataFrame:
-    """Per path its statistics; starts: instead, where each segment of each path begins (by, segment, chunk, begin)."""
-    kind = dict(segments.dtypes)[by]
+def _composed(shares: DataFrame, by: str, starts: bool) -> DataFrame:
+    """Per path its statistics; starts: instead, where each share of each path begins (by, share, chunk, begin). A group has a row for each of a key's shares."""
+    kind = dict(shares.dtypes)[by]
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("segment").combine_chunks()
+        group = group.sort_by("share").combine_chunks()
         v = {c: np.stack([np.asarray(x.values) for x in group[c].combine_chunks()]) for c in _SUMS}
-        begin = np.cumsum(v["s"], 0) - v["s"]
         key, chunk, n = group[by].slice(0, 1).combine_chunks(), group["chunk"][0].as_py(), group["n"][0].as_py()
         if starts:
-            return pa.table([group[by], group["segment"], group["chunk"], pa.array(list(begin))], [by, "segment", "chunk", "begin"])
-        top = np.maximum.accumulate(begin + v["top"], 0)
-        fall = np.maximum(v["fall"].max(0), (top[:-1] - (begin + v["low"])[1:]).max(0)) if len(begin) > 1 else v["fall"][0]
-        s, q, wins, gain = (v[c].sum(0) for c in ("s", "q", "wins", "gain"))
-        m = len(s)
-        return pa.table([key.take(pa.array([0] * m)), pa.array(chunk * _PATHS + np.arange(m, dtype=np.int32), pa.int32()), pa.array([n] * m, pa.int32()), *[pa.array(x) for x in (s, q, wins, gain, fall)]],
+            return pa.table([group[by], group["share"], group["chunk"], pa.array(list(np.cumsum(v["s"], 0) - v["s"]))], [by, "share", "chunk", "begin"])
+        total = None
+        for i in range(group.num_rows):
+            total = _after(total, {c: v[c][i] for c in _SUMS})
+        m = len(total["s"])
+        return pa.table([key.take(pa.array([0] * m)), pa.array(chunk * _PATHS + np.arange(m, dtype=np.int32), pa.int32()), pa.array([n] * m, pa.int32()), *[pa.array(np.round(total[c], _DIGITS)) for c in ("s", "q", "wins", "gain", "fall")]],
             [by, "path", "n", "s", "q", "wins", "gain", "fall"])
 
-    kinds = f"`{by}` {kind}, segment int, chunk int, begin array<double>" if starts else f"`{by}` {kind}, path int, n int, s double, q double, wins double, gain double, fall double"
-    return segments.groupBy(by, "chunk").applyInArrow(run, kinds)
+    kinds = f"`{by}` {kind}, share int, chunk int, begin array<double>" if starts else f"`{by}` {kind}, path int, n int, s double, q double, wins double, gain double, fall double"
+    return shares.groupBy(by, "chunk").applyInArrow(run, kinds)
 
 
 def resampled_paths(trades: DataFrame, *, by: str = "strategy", time: str = "entry_time", rounds: int = 10_000, size: int = 1, seed: int = 42, steps: int = 256, tasks: int = 32, least: int = 5) -> DataFrame:
     """T-2: per path its final R, mean R, win rate, expectancy, profit factor, Sharpe ratio and deepest fall; blocks of `size` trades keep their order."""
     steps = -(-steps // size) * size
-    p = _composed(_segments(trades, by, time, rounds=rounds, size=size, seed=seed, steps=steps, tasks=tasks, least=least), by, False)
+    p = _composed(_shares(trades, by, time, rounds=rounds, size=size, seed=seed, steps=steps, tasks=tasks, least=least), by, False)
     n, s, wins, gain = F.col("n").cast("double"), F.col("s"), F.col("wins"), F.col("gain")
     loss, sd = gain - s, F.sqrt(F.greatest(F.col("q") - s * s / n, F.lit(0.0)) / (n - 1))
     rate = wins / n
@@ -114,28 +122,25 @@ def equity_fan(trades: DataFrame, *, by: str = "strategy", time: str = "entry_ti
                bands: tuple[int, ...] = (5, 25, 50, 75, 95)) -> DataFrame:
     """T-3, V5: percentiles of the resampled equity after each number of trades, exact over all paths."""
     steps = -(-steps // size) * size
-    begins = _composed(cut(_segments(trades, by, time, rounds=rounds, size=size, seed=seed, steps=steps, tasks=tasks, least=least)), by, True)
-    begins = begins.groupBy(by, "segment").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "begin"))), lambda x: x["begin"])).alias("begin"))
-    work = _work(trades, by, time, seed, steps, tasks, least)
-    # each segment goes to the task that has its share; R values travel once a share
-    owner = work.select(by, "share", F.explode(F.sequence("first", "last")).alias("segment"))
-    given = begins.join(owner, [by, "segment"]).groupBy(by, "share").agg(F.sort_array(F.collect_list(F.struct("segment", "begin"))).alias("parts"))
+    begins = _composed(_shares(trades, by, time, rounds=rounds, size=size, seed=seed, steps=steps, tasks=tasks, least=least), by, True)
+    begins = begins.groupBy(by, "share").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "begin"))), lambda x: x["begin"])).alias("begin"))
+    # where a share's paths begin goes to the task that has it; there they go on from segment to segment
+    work = _work(trades, by, time, seed, steps, tasks, least).join(cut(begins), [by, "share"])
     kind = dict(trades.dtypes)[by]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                n, h = batch.column("n")[i].as_py(), batch.column("seed")[i].as_py()
-                r = np.asarray(batch.column("rs")[i].values)
-                for part in batch.column("parts")[i]:
-                    segment, begin = part["segment"].as_py(), np.asarray(part["begin"].values)
-                    x = _drawn(r, h, segment, min(steps, n - segment * steps), size, rounds)
-                    found = np.percentile(begin[:, None] + np.cumsum(x, 1), bands, axis=0)
-                    m = x.shape[1]
-                    yield pa.RecordBatch.from_arrays([batch.column(by).take(pa.array([i] * m)), pa.array(segment * steps + 1 + np.arange(m, dtype=np.int64)), *[pa.array(v) for v in found]],
-                        [by, "trade", *[f"p{b}" for b in bands]])
-
-    return work.join(given, [by, "share"]).mapInArrow(run, f"`{by}` {kind}, trade long, " + ", ".join(f"p{b} double" for b in bands))
+    def run(row: pa.Table) -> pa.Table:
+        row = row.combine_chunks()
+        n, h, first, last = (row[c][0].as_py() for c in ("n", "seed", "first", "last"))
+        r, begin, found = np.asarray(row["rs"][0].values), np.asarray(row["begin"][0].values), []
+        for segment in range(first, last + 1):
+            paths = begin[:, None] + np.cumsum(_drawn(r, h, segment, min(steps, n - segment * steps), size, rounds), 1)
+            found.append(np.percentile(paths, bands, axis=0))
+            begin = paths[:, -1]
+        found = np.round(np.concatenate(found, 1), _DIGITS)
+        m = found.shape[1]
+        return pa.table([row[by].take(pa.array(np.zeros(m, np.int64))), pa.array(first * steps + 1 + np.arange(m, dtype=np.int64)), *[pa.array(v) for v in found]], [by, "trade", *[f"p{b}" for b in bands]])
+
+    return work.groupBy(by, "share").applyInArrow(run, f"`{by}` {kind}, trade long, " + ", ".join(f"p{b} double" for b in bands))
 
 
 def fan_summary(trades: DataFrame, *, by: str = "strategy", **options) -> DataFrame:
