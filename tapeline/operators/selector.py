@@ -5,10 +5,15 @@ default the days that a label looks ahead. The number of days bounds what goes t
 
 from __future__ import annotations
 
+import math
 import uuid
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +26,8 @@ from .portfolio import best_label
 
 REGIMES = ("trending_up", "trending_down", "ranging", "volatile")  # one column each; 'unknown' has none
 KEYS = ("symbol", "day")
+BINS = 32  # of a feature, as Spark's forests have them
+AT_ONCE = 8  # forests of one tree that are grown at the same time
 
 
 def selector_rows(features: DataFrame, regimes: DataFrame, daily: DataFrame, *, columns: tuple[str, ...], days: int = 7) -> DataFrame:
@@ -115,13 +122,22 @@ def walk_forward(rows: DataFrame, columns: list[str], *, least: int = 60, every:
         F.coalesce(F.col("forward")[F.col("predicted")], F.lit(0.0)).alias("hard"), soft.alias("soft"), (total / F.size(worth)).alias("equal"), F.array_max(worth).alias("best"))
 
 
-def win_confidence(trades: DataFrame, columns: list[str], *, until, key: str = "trade_id", time: str = "entry_time", end: str = "exit_time", missing: float = -1.0, **forest) -> DataFrame:
+def win_confidence(trades: DataFrame, columns: list[str], *, until, key: str = "trade_id", time: str = "entry_time", end: str = "exit_time", missing: float = -1.0, least: int = 100_000,
+                   **forest) -> DataFrame:
     """Q9: the chance to win that a forest over trades closed before `until` gives to those entered from then on; missing features are `missing`.
 
-    trades: key, time, end, is_win (null: neither learned from nor left out of scoring), columns. Wins only in the past: 1, no win there: 0, no past at all: null."""
+    trades: key, time, end, is_win (null: neither learned from nor left out of scoring), columns. Wins only in the past: 1, no win there: 0, no past at all: null.
+    From `least` past trades on, those in the same bins of all features with the same label are one row with a number, if that leaves a quarter of the rows or less."""
     df = trades.select(key, time, end, "is_win", *[F.coalesce(F.col(c).cast("double"), F.lit(missing)).alias(c) for c in columns])
-    df = VectorAssembler(inputCols=columns, outputCol="features").transform(df).withColumn("label", F.when(F.col("is_win"), "win").otherwise("loss"))
+    df = df.withColumn("label", F.when(F.col("is_win"), "win").otherwise("loss"))
     past, later = df.where((F.col(end) < until) & F.col("is_win").isNotNull()), df.where(F.col(time) >= until)
+    if (n := past.count()) >= least:
+        bins = in_bins(past, columns)
+        cells = cut(bins.transform(past).groupBy(F.array(*bins.getOutputCols()).alias("x"), "label").agg(F.count("*").alias("n")))
+        if 4 * cells.count() <= n:
+            later = bins.transform(later).select(key, "is_win", F.array(*bins.getOutputCols()).alias("x"))
+            return later.join(cell_chances(cells, later.select("x").distinct(), "win", **forest), "x").select(key, "is_win", F.col("chance").alias("confidence"))
+    past, later = (VectorAssembler(inputCols=columns, outputCol="features").transform(x) for x in (past, later))
     classes = sorted(r["label"] for r in past.select("label").distinct().collect())  # two at most
     model = fitted(past, classes, keys=(key,), **forest)
     if model is None:
@@ -130,6 +146,57 @@ def win_confidence(trades: DataFrame, columns: list[str], *, until, key: str = "
     return predicted(later, model, classes).select(key, "is_win", win.alias("confidence"))
 
 
+def in_bins(rows: DataFrame, columns: list[str]) -> Bucketizer:
+    """Each column in at most BINS bins (column: _bin_ and its name), the number that a forest tells apart: a bin a value where there are no more values, else quantiles of all rows."""
+    splits = []
+    for c in columns:
+        given = rows.where(~F.isnan(c)).select(c)  # NaN has a bin of its own
+        values = sorted(r[c] for r in given.distinct().limit(BINS + 1).collect())
+        if len(values) > BINS:
+            cuts = given.agg(F.percentile_approx(c, [i / BINS for i in range(1, BINS)], 10_000).alias("at")).first()["at"]
+        else:
+            cuts = [(a + b) / 2 for a, b in zip(values, values[1:])] or [0.0]  # a Bucketizer has two bins at least
+        splits.append(sorted({-math.inf, *cuts, math.inf}))
+    return Bucketizer(splitsArray=splits, inputCols=columns, outputCols=[f"_bin_{c}" for c in columns], handleInvalid="keep")
+
+
+def cell_chances(cells: DataFrame, asked: DataFrame, of: str, *, trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
+    """Distinct x with `chance`, that of class `of` by a forest over cells: x (an array of bins), label (two at most), n (rows in the cell). Each class has the same weight in total.
+
+    A forest draws each row a Poisson(1) number of times for each tree, so a cell of n rows Poisson(n) times: this is drawn here, by hashes of the cells, and each tree is
+    Spark's forest of one tree over the cells drawn. Work and memory follow the number of cells, not of rows."""
+    spark = cells.sparkSession
+    sums = {r["label"]: r["n"] for r in cells.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # one row a class
+    classes, n = sorted(sums), sum(sums.values())
+    if len(classes) < 2:
+        return asked.select("x", F.lit(float(of in sums)).alias("chance"))
+    exact = 1 << 20  # weights in whole parts of it: sums of them do not depend on their order
+    weight = F.element_at(F.create_map(*[F.lit(v) for c in classes for v in (c, max(1, round(n / len(classes) / sums[c] * exact)) / exact)]), F.col("label"))
+
+    @F.pandas_udf("array<bigint>")
+    def drawn(h: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([np.random.Generator(np.random.SFC64(int(a) & (1 << 64) - 1)).poisson(k, trees) for a, k in zip(h, n)])
+
+    parts = 1 + cells.count() // 20_000
+    bags = cells.select("x", "label", array_to_vector("x").alias("features"), weight.alias("_weight"), drawn(F.xxhash64(F.lit(seed), "x", "label"), "n").alias("_times"))
+    bags = cut(bags.repartition(parts, "x", "label").sortWithinPartitions("x", "label"))
+    bags = StringIndexerModel.from_labels(classes, inputCol="label", outputCol="target").transform(bags)
+
+    def grown(tree: int) -> RandomForestClassificationModel:
+        bag = bags.select("features", "target", (F.get("_times", F.lit(tree)) * F.col("_weight")).alias("_w")).where("_w > 0")
+        one = RandomForestClassifier(labelCol="target", weightCol="_w", numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt", maxBins=BINS + 1, maxDepth=depth, seed=seed + tree)
+        return one.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_p").fit(bag)
+
+    with ThreadPool(AT_ONCE) as pool:
+        models = pool.map(inheritable_thread_target(spark)(grown), range(trees), chunksize=1)
+    out = cut(asked.select("x", array_to_vector("x").alias("features"), F.lit(0.0).alias("chance")))
+    for i in range(0, trees, 10):  # ten trees a plan
+        for model in models[i : i + 10]:
+            out = model.transform(out).withColumn("chance", F.col("chance") + vector_to_array("_p")[classes.index(of)]).drop("_p")
+        out = cut(out)
+    return out.select("x", (F.col("chance") / trees).alias("chance"))
+
+
 def walk_metrics(walk: DataFrame) -> DataFrame:
     """Per market and way of choosing: days, total and mean R, Sharpe ratio (365 days), worst drop of the running sum below its peak, share of days above 0, accuracy."""
     ways = F.explode(F.array(*[F.struct(F.lit(c).alias("way"), F.col(c).alias("r")) for c in ("hard", "soft", "equal", "best")]))
